@@ -25,10 +25,13 @@ def canonical(columns: list[str], rows: list[tuple]) -> list[str]:
     return sorted("|".join(show(row[i]) for i in order) for row in rows)
 
 
-def compare(df, sql: str, db) -> str | None:
+def compare(df, sql: str, db, times: dict | None = None) -> str | None:
     """None if both give the same rows under the same column names, else what differs."""
+    begun = time.time()
     expected = db.sql(sql)
     wanted = canonical(expected.columns, expected.fetchall())
+    if times is not None:
+        times["sql"] = time.time() - begun
     if sorted(df.columns) != sorted(expected.columns):
         return f"columns {sorted(df.columns)} / {sorted(expected.columns)}"
     found = canonical(df.columns, [tuple(r) for r in df.collect()])
@@ -59,15 +62,15 @@ if __name__ == "__main__":
     for name, run in queries.items():
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
-        begun = time.time()
+        begun, times = time.time(), {}
         try:
             df = run(spark, folder)
             built = time.time()
-            problem = compare(df, oracles[name], db)
+            problem = compare(df, oracles[name], db, times)
             mixed = kinds(df, db.sql(oracles[name]))
             problem = problem or (f"types {mixed}" if mixed else None)
         except Exception as error:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - begun:.1f}s {problem or df.count()}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - begun - times.get('sql', 0):.1f}s sql {times.get('sql', 0):.1f}s {problem or ''}", flush=True)
     print("failed:", failed)
