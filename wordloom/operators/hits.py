@@ -26,21 +26,26 @@ def find_hits(
     within: str = "s",
     texts: DataFrame | None = None,
     keep: tuple[str, ...] = (),
+    match: tuple[str, ...] = (),
 ) -> DataFrame:
     """Hits of any of the patterns: ``text_id, start, end, <within>_id, _first, _last`` (and ``startpos`` if known).
 
     ``within`` names the region (columns ``<within>_id``, ``<within>_first``, ``<within>_last`` of the token table).
-    ``texts`` limits the search to those texts. ``keep`` asks for token attributes of the hit's first token; they
-    come from the matching token itself, so counting them needs no second read of the tokens.
+    ``texts`` limits the search to those texts. ``keep`` asks for attributes of the hit's first token, ``match`` for the
+    array of all its tokens with these attributes. Where the pattern restricts every token of the hit they come from the
+    matching tokens themselves, so counting them needs no second read of the token table.
     """
-    tokens = tokens if "pos" not in tokens.columns else tokens.withColumn("startpos", F.col("pos") - F.col("tok_no"))
+    if "pos" in tokens.columns and "startpos" not in tokens.columns:
+        tokens = tokens.withColumn("startpos", F.col("pos") - F.col("tok_no"))
     alternatives = [steps for pattern in patterns for steps in normalise(pattern)]
     if not alternatives:
         raise ValueError("no pattern given")
-    found = [_match(tokens, steps, within, texts, keep) for steps in alternatives]
+    carried = match if all(steps.contiguous for steps in alternatives) else ()
+    found = [_match(tokens, steps, within, texts, keep, carried) for steps in alternatives]
     hits = reduce(DataFrame.unionByName, found)
     # PAT-16, SET-1: rows that agree on the keys agree on everything else
-    return hits if len(found) == 1 else hits.distinct()
+    hits = hits if len(found) == 1 else hits.distinct()
+    return with_match(hits, tokens, match) if match and not carried else hits
 
 
 def count_hits(hits: DataFrame) -> DataFrame:
@@ -53,7 +58,14 @@ def _carried(tokens: DataFrame, within: str, keep: tuple[str, ...]) -> list[str]
     return region + [c for c in ("startpos",) if c in tokens.columns] + list(keep)
 
 
-def _match(tokens: DataFrame, steps: Steps, within: str, texts: DataFrame | None, keep: tuple[str, ...]) -> DataFrame:
+def _match(
+    tokens: DataFrame,
+    steps: Steps,
+    within: str,
+    texts: DataFrame | None,
+    keep: tuple[str, ...],
+    match: tuple[str, ...],
+) -> DataFrame:
     carried = _carried(tokens, within, keep)
     if keep and steps.lead:
         raise ValueError("attributes of the first token can be kept only if the pattern restricts it")
@@ -67,17 +79,30 @@ def _match(tokens: DataFrame, steps: Steps, within: str, texts: DataFrame | None
         candidates = in_texts(candidates, texts)
     if len(steps.terms) == 1:
         begun = candidates.select(
-            "text_id", F.col("tok_no").alias("start"), F.col("tok_no").alias("end"), *carried
+            "text_id",
+            F.col("tok_no").alias("start"),
+            F.col("tok_no").alias("end"),
+            *carried,
+            *([F.array(F.struct("tok_no", *match)).alias("match")] if match else []),
         )
     elif steps.fixed:
-        begun = _match_fixed(candidates, steps, tests, carried, within)
+        begun = _match_fixed(candidates, steps, tests, carried, within, match)
     else:
         begun = _match_gaps(candidates, steps, tests, carried, within)
+    if not steps.lead and not steps.trail:
+        return begun
     moved = begun.withColumn("start", F.col("start") - steps.lead).withColumn("end", F.col("end") + steps.trail)
     return moved.where((F.col("start") >= F.col(first)) & (F.col("end") <= F.col(last)))
 
 
-def _match_fixed(candidates: DataFrame, steps: Steps, tests: list[Column], carried: list[str], within: str) -> DataFrame:
+def _match_fixed(
+    candidates: DataFrame,
+    steps: Steps,
+    tests: list[Column],
+    carried: list[str],
+    within: str,
+    match: tuple[str, ...],
+) -> DataFrame:
     """Terms at fixed distances: every token votes for the start it would belong to.
 
     One bit per term; a start with all bits is a hit. Groups have at most one row per term, whatever the skew, and
@@ -86,30 +111,34 @@ def _match_fixed(candidates: DataFrame, steps: Steps, tests: list[Column], carri
     offsets = [0]
     for low, _ in steps.gaps:
         offsets.append(offsets[-1] + low)
-    votes = F.array_compact(
-        F.array(
-            *(
-                F.when(test, F.struct((F.col("tok_no") - offset).alias("start"), F.lit(1 << k).alias("bit")))
-                for k, (test, offset) in enumerate(zip(tests, offsets))
-            )
+    votes = F.array(
+        *(
+            F.when(test, F.struct((F.col("tok_no") - offset).alias("start"), F.lit(1 << k).alias("bit")))
+            for k, (test, offset) in enumerate(zip(tests, offsets))
         )
     )
     # attributes are those of the first term's token
     value = {c: F.when(F.col("_v.bit") == 1, F.col(c)) for c in carried}
     region = [f"{within}_id", f"{within}_first", f"{within}_last"]
+    # one token per term at most, so the array is as short as the pattern
+    gathered = [F.array_sort(F.collect_list(F.struct("tok_no", *match))).alias("match")] if match else []
     return (
         candidates.withColumn("_v", F.explode(votes))
         .where(
-            (F.col("_v.start") >= F.col(f"{within}_first"))
+            F.col("_v").isNotNull()
+            & (F.col("_v.start") >= F.col(f"{within}_first"))
             & (F.col("_v.start") + offsets[-1] <= F.col(f"{within}_last"))
         )
         .groupBy("text_id", F.col("_v.start").alias("start"))
         .agg(
             F.bit_or("_v.bit").alias("_bits"),
             *(F.max(F.col(c) if c in region else value[c]).alias(c) for c in carried),
+            *gathered,
         )
         .where(F.col("_bits") == (1 << len(tests)) - 1)
-        .select("text_id", "start", (F.col("start") + offsets[-1]).alias("end"), *carried)
+        .select(
+            "text_id", "start", (F.col("start") + offsets[-1]).alias("end"), *carried, *(["match"] if match else [])
+        )
     )
 
 
@@ -150,8 +179,10 @@ def _steps_bounded(rows: DataFrame, levels: list[tuple[int, int, int]], within:
     first = f"{within}_first"
     own = block("tok_no", bits)
     near_start = (F.col("tok_no") - F.shiftleft(own, bits) < reach) & (block(first, bits) < own)
-    rows = rows.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.array_compact(F.array(own, F.when(near_start, own - 1))))
+    rows = (
+        rows.withColumn("_own", own)
+        .withColumn("_block", F.explode(F.array(own, F.when(near_start, own - 1))))
+        .where(F.col("_block").isNotNull())
     )
     order = W.partitionBy("text_id", first, "_block").orderBy("tok_no")
     for level, low, high in levels:
@@ -171,9 +202,11 @@ def _step_open(rows: DataFrame, level: int, low: int, within: str) -> DataFrame:
         (F.col("tok_no") + low).alias("at"), F.lit(None).cast("bigint").alias("end"), F.lit(True).alias("ask")
     )
     given = F.struct(F.col("tok_no").alias("at"), F.col("_end").alias("end"), F.lit(False).alias("ask"))
-    events = rows.withColumn(
-        "_e", F.explode(F.array_compact(F.array(asked, F.when(F.col("_end").isNotNull(), given))))
-    ).withColumn("_block", block("_e.at", OPEN_GAP_BITS))
+    events = (
+        rows.withColumn("_e", F.explode(F.array(asked, F.when(F.col("_end").isNotNull(), given))))
+        .where(F.col("_e").isNotNull())
+        .withColumn("_block", block("_e.at", OPEN_GAP_BITS))
+    )
     from_right = (
         W.partitionBy(*region, "_block").orderBy(F.desc("_e.at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     )

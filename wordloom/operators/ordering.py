@@ -27,9 +27,9 @@ def sort_keys(hits: DataFrame, tokens: DataFrame, by: str = "position", within:
     if by == "position":
         return hits.withColumn("sort_key", F.lit(None).cast("string"))
     if by == "match":
-        texts = with_match(hits, tokens, ["word"])
+        texts = hits if "match" in hits.columns else with_match(hits, tokens, ["word"])
         joined = F.array_join(F.transform("match", lambda t: t["word"]), " ")
-        return texts.withColumn("sort_key", F.lower(joined)).drop("match")
+        return texts.withColumn("sort_key", F.lower(joined)).select(*hits.columns, "sort_key")
     if by not in ("left", "right"):
         raise ValueError(f"unknown sort key: {by}")
     at = F.col("start") - 1 if by == "left" else F.col("end") + 1
@@ -124,9 +124,13 @@ def sample_hits_by_part(
     total = parts.agg(F.sum("n_tokens")).scalar()
     quotas = parts.select("part", F.ceil(F.lit(n) * F.col("n_tokens") / total).alias("_quota"))
     drawn = hits.join(quotas, "part").withColumn("_draw", _draw(seed))
-    picked = _lowest(drawn, ["part"]).drop("_quota")
     if n <= top_n_limit:
+        # the fixed limit lets every task drop all but its own first n rows of a part before the shuffle
+        rank = F.row_number().over(W.partitionBy("part").orderBy("_draw", *CORPUS_ORDER))
+        ranked = drawn.withColumn("_rank", rank).where(F.col("_rank") <= n)
+        picked = ranked.where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
         return picked.orderBy("_draw", *CORPUS_ORDER).limit(n).drop("_draw")
+    picked = _lowest(drawn, ["part"]).drop("_quota")
     return _lowest(picked.withColumn("_quota", F.lit(n)), []).drop("_draw", "_quota")
 
 

@@ -49,8 +49,8 @@ class Test:
             test = reduce(or_, [F.array_contains(self.attr, v) for v in self.values])
         else:
             raise ValueError(f"unknown test: {self.kind}")
-        test = F.coalesce(test, F.lit(False))
-        return ~test if self.negate else test
+        # a plain comparison reaches the Parquet scan; NULL only needs a value where it is negated
+        return ~F.coalesce(test, F.lit(False)) if self.negate else test
 
 
 def _like(wildcards: str) -> str:
@@ -193,6 +193,11 @@ class Steps:
     def fixed(self) -> bool:
         return all(low == high for low, high in self.gaps)
 
+    @property
+    def contiguous(self) -> bool:
+        """Every token of a hit is restricted by a term of its own."""
+        return not self.lead and not self.trail and all(gap == (1, 1) for gap in self.gaps)
+
     @property
     def min_length(self) -> int:
         return 1 + sum(low for low, _ in self.gaps) + self.lead + self.trail

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from wordloom.operators import concordance, hits as hit_ops, ordering, stats
 from wordloom.operators.patterns import Gap, Tok
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
+from wordloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -59,12 +60,15 @@ class Corpus:
         selection: Selection = Selection(),
         excluded: Iterable[str] = (),
     ) -> "Distribution":
-        """AGG-10..16 for hits that carry ``attribute``."""
-        by_text = stats.without_values(stats.attribute_by_text(hits, attribute), excluded)
+        """AGG-10..16 for hits that carry ``attribute``.
+
+        The counts per text and the category totals are written to the checkpoint folder once: cells, margins and scores
+        are then all taken from them, and the tokens are read a single time.
+        """
+        by_text = cut(stats.without_values(stats.attribute_by_text(hits, attribute), excluded))
         values = stats.category_values(self.texts, category, selection, self.dimensions, facet=False)
-        return Distribution(
-            by_text, stats.distribution_cells(by_text, values), stats.category_totals(values, self.texts)
-        )
+        totals = cut(stats.category_totals(values, self.texts))
+        return Distribution(by_text, stats.distribution_cells(by_text, values), totals)
 
 
 @dataclass(frozen=True)

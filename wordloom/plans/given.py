@@ -8,7 +8,7 @@ from wordloom.layout import number_rows, running_total
 from wordloom.operators.selection import Dimension
 from wordloom.plans.corpus import Corpus
 from wordloom.session import spread, tune
-from wordloom.sources.tokens import TOKEN_PATTERN, tokenise
+from wordloom.sources.tokens import TOKEN_PATTERN, arranged, tokenise
 
 UNLISTED_ROLE = "system"
 PLACES_WITHOUT_COORDINATES = (3, 7, 11)
@@ -71,6 +71,18 @@ def docs_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return placed.withColumn("endpos", F.col("startpos") + F.col("n_tokens") - 1)
 
 
+def docs_placed_tokens(spark: SparkSession, folder: str, ranges: DataFrame, in_order: bool = False) -> DataFrame:
+    """Tokens with ``startpos`` and ``pos``. The start is joined to the documents, one row each, before they are expanded:
+    joined to the tokens, a long text would be one hot key."""
+    placed = documents(spark, folder).join(
+        ranges.select(F.col("text_id").alias("doc_id"), "startpos"), "doc_id"
+    )
+    if in_order:
+        placed = arranged(placed, "doc_id")
+    tokens = tokenise(placed, "doc_id", "text", ("lang", "startpos"))
+    return annotated(tokens.withColumn("pos", F.col("startpos") + F.col("tok_no")))
+
+
 def docs(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(
         docs_tokens(spark, folder), docs_texts(spark, folder), attributes=("lemma", "pos_tag", "phon", "orig", "feats")
@@ -210,19 +222,29 @@ def talk_tokens(spark: SparkSession, folder: str, segments: DataFrame | None = N
 
 
 def talk_speakers(segments: DataFrame) -> DataFrame:
-    """One row per listed speaker with ``bounds`` in the notation of the input files."""
+    """Listed speakers, one row each."""
     listed = segments.where(F.col("role") != UNLISTED_ROLE)
-    ranges = listed.where(F.col("startpos") <= F.col("endpos"))
+    return listed.select(F.col("speaker").alias("text_id"), "role").distinct()
+
+
+def talk_bounds(segments: DataFrame) -> DataFrame:
+    """Speakers with ``bounds`` in the notation of the input files, at most 64 segments to a row."""
     bounds = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("startpos", "endpos"))),
-            lambda r: F.concat(r["startpos"].cast("string"), F.lit("-"), r["endpos"].cast("string")),
+            F.array_sort(F.collect_list(F.struct("start", "end"))),
+            lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string")),
         ),
         ":",
     )
-    speakers = listed.select(F.col("speaker").alias("text_id"), "role").distinct()
-    listed_bounds = ranges.groupBy(F.col("speaker").alias("text_id")).agg(bounds.alias("bounds"))
-    return speakers.join(listed_bounds, "text_id", "left").na.fill("", ["bounds"])
+    listed = segments.where(F.col("role") != UNLISTED_ROLE).select(
+        F.col("speaker").alias("text_id"),
+        F.shiftright("seg_id", 6).alias("_part"),
+        F.when(F.col("startpos") <= F.col("endpos"), F.col("startpos")).alias("start"),
+        F.col("endpos").alias("end"),
+    )
+    spoken = listed.where(F.col("start").isNotNull()).groupBy("text_id", "_part").agg(bounds.alias("bounds"))
+    silent = listed.where(F.col("start").isNull()).select("text_id", "_part", F.lit("").alias("bounds"))
+    return spoken.unionByName(silent).drop("_part")
 
 
 def talk_ranges(segments: DataFrame) -> DataFrame:
@@ -233,9 +255,12 @@ def talk_ranges(segments: DataFrame) -> DataFrame:
 
 def talk(spark: SparkSession, folder: str) -> Corpus:
     segments = talk_segments(spark, folder)
-    speakers = segments.where(F.col("role") != UNLISTED_ROLE).select(F.col("speaker").alias("text_id"), "role").distinct()
     return Corpus(
-        talk_tokens(spark, folder, segments), speakers, within="seg", spoken=True, ranges=talk_ranges(segments)
+        talk_tokens(spark, folder, segments),
+        talk_speakers(segments),
+        within="seg",
+        spoken=True,
+        ranges=talk_ranges(segments),
     )
 
 
@@ -284,7 +309,10 @@ def event_values(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_categories(spark: SparkSession, folder: str) -> list[str]:
-    """Category names; like the columns of a metadata table they are few and known to the driver."""
-    names = table(spark, folder, "events").select("event_type").distinct().orderBy("event_type").limit(1000)
-    return [r[0] for r in names.collect()]
+def event_categories(spark: SparkSession, folder: str, most: int = 1000) -> list[str]:
+    """Category names; like the columns of a metadata table they have to be known to the driver."""
+    names = table(spark, folder, "events").select("event_type").distinct().orderBy("event_type").limit(most + 1)
+    found = [r[0] for r in names.collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories cannot become columns")
+    return found

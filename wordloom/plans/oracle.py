@@ -612,6 +612,11 @@ oracle(
     SELECT word, pos_tag, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1, 2""",
     DOCS,
 )
+oracle(
+    "agg7_sequence_list",
+    pair("a.lemma = 'of'", "starts_with(b.lemma, 't')", "a.lemma || ' ' || b.lemma AS word, CAST(count(*) AS BIGINT) AS n") + " GROUP BY 1",
+    DOCS,
+)
 oracle(
     "agg7_one_token_list",
     "SELECT lemma, coalesce(phon, '') AS phon, CAST(count(*) AS BIGINT) AS n FROM t WHERE is_cap GROUP BY 1, 2",

@@ -147,7 +147,7 @@ def src5_counted_positions(spark, folder):
 
 @query
 def src5_token_positions(spark, folder):
-    placed = token_source.with_positions(given.docs_tokens(spark, folder), given.docs_ranges(spark, folder))
+    placed = given.docs_placed_tokens(spark, folder, given.docs_ranges(spark, folder))
     return placed.groupBy("text_id").agg(
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum(F.col("pos") * F.length("word")).alias("checksum")
     )
@@ -155,8 +155,7 @@ def src5_token_positions(spark, folder):
 
 @query
 def src6_speaker_bounds(spark, folder):
-    speakers = given.talk_speakers(given.talk_segments(spark, folder))
-    return tables.parse_bounds(speakers).select(
+    return tables.parse_bounds(given.talk_bounds(given.talk_segments(spark, folder))).select(
         "text_id", F.col("start").alias("range_start"), F.col("end").alias("range_end")
     )
 
@@ -354,7 +353,7 @@ def joi4_hit_lists(spark, folder):
 @query
 def joi5_token_in_range(spark, folder):
     ranges = given.docs_ranges(spark, folder)
-    placed = token_source.with_positions(given.docs_tokens(spark, folder), ranges)
+    placed = given.docs_placed_tokens(spark, folder, ranges)
     spanish = ranges.where("lang = 'es'").select(F.col("startpos").alias("start"), F.col("endpos").alias("end"))
     return in_ranges(placed, spanish).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -625,9 +624,8 @@ def kwi5_multiword(spark, folder):
 
 @query
 def kwi6_fields(spark, folder):
-    ranges = given.docs_ranges(spark, folder)
-    tokens = given.docs_tokens(spark, folder)
-    hits = hit_ops.find_hits(tokens, [[word("from"), word("the")]]).join(ranges.select("text_id", "startpos"), "text_id")
+    tokens = given.docs_placed_tokens(spark, folder, given.docs_ranges(spark, folder))
+    hits = hit_ops.find_hits(tokens, [[word("from"), word("the")]])
     lines = concordance.concordance_lines(hits.withColumn("pos", F.col("startpos") + F.col("start")), tokens, context=5)
     segment = F.concat_ws(".", F.col("text_id").cast("string"), F.col("s_id").cast("string"))
     return lines.select("pos", segment.alias("segment"), "left_text", "match_text", "right_text")
@@ -817,12 +815,11 @@ def agg1_text_count(spark, folder):
 
 @query
 def agg2_speaker_count(spark, folder):
-    speakers = given.talk_speakers(given.talk_segments(spark, folder))
-    counted = stats.speaker_and_token_count(speakers, tables.parse_bounds(speakers)).withColumn("which", F.lit("all"))
-    users = speakers.where("role = 'user'")
-    return counted.unionByName(
-        stats.speaker_and_token_count(users, tables.parse_bounds(users)).withColumn("which", F.lit("user"))
-    )
+    segments = given.talk_segments(spark, folder)
+    speakers, ranges = given.talk_speakers(segments), tables.parse_bounds(given.talk_bounds(segments))
+    counted = stats.speaker_and_token_count(speakers, ranges).withColumn("which", F.lit("all"))
+    users = stats.speaker_and_token_count(speakers.where("role = 'user'"), ranges)
+    return counted.unionByName(users.withColumn("which", F.lit("user")))
 
 
 @query
@@ -862,6 +859,13 @@ def agg7_frequency_list(spark, folder):
     return stats.frequency_list(stats.match_part(hits, tokens, attributes), attributes)
 
 
+@query
+def agg7_sequence_list(spark, folder):
+    """Every token of the hit is restricted, so the list is counted from the matching tokens alone."""
+    pattern = [Tok(form_test("of")), Tok(form_test("t", where="start"))]
+    return stats.frequency_list(stats.match_part(docs_hits(spark, folder, pattern, match=("word",)), None, ["word"]))
+
+
 @query
 def agg7_one_token_list(spark, folder):
     hits = docs_hits(spark, folder, [Tok(set_test("feats", ["cap"]))], keep=("lemma", "phon"))
@@ -1070,9 +1074,9 @@ def fun_text_helpers(spark, folder):
 @query
 def snk1_concordance_export(spark, folder):
     ranges = given.docs_ranges(spark, folder)
-    tokens = given.docs_tokens(spark, folder)
+    tokens = given.docs_placed_tokens(spark, folder, ranges)
     hits = hit_ops.find_hits(tokens, [[word("from"), word("the")]])
-    placed = hits.join(ranges.select("text_id", "startpos"), "text_id").withColumn("pos", F.col("startpos") + F.col("start"))
+    placed = hits.withColumn("pos", F.col("startpos") + F.col("start"))
     lines = concordance.with_metadata(concordance.concordance_lines(placed, tokens), ranges, ["source", "quality"])
     segment = F.concat_ws(".", F.col("text_id").cast("string"), F.col("s_id").cast("string"))
     return exports.concordance_export(lines.withColumn("segment", segment), {"source": "Source", "quality": "Quality"})

@@ -80,16 +80,22 @@ def clean_ingest(word):
     return F.replace(word, F.lit("&nbsp;"), F.lit("_"))
 
 
-def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+def arranged(documents: DataFrame, text_id: str) -> DataFrame:
+    """Documents in range partitions sorted by id, for ``save_tokens(..., in_order=True)``.
+
+    Ordering whole documents before they are expanded moves far less than ordering their tokens afterwards.
+    """
+    return documents.repartitionByRange(F.col(text_id)).sortWithinPartitions(text_id)
+
+
+def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = (), in_order: bool = False) -> None:
     """Store a token table as Parquet with neighbouring tokens in the same file.
 
-    Rows are range-partitioned by (text, block) and sorted by position, so a very long text fills several files and
-    min/max statistics on ``text_id`` and ``tok_no`` let a scan skip the rest.
+    Min/max statistics on ``text_id`` and ``tok_no`` then let a scan skip what it does not need. Tokens expanded from
+    arranged documents are written as they are; any others are range-partitioned by (text, block) and sorted, so a very
+    long text fills several files.
     """
-    keys = [*partition_by, F.col("text_id"), block("tok_no")]
-    (
-        tokens.repartitionByRange(*keys)
-        .sortWithinPartitions(*partition_by, "text_id", "tok_no")
-        .write.partitionBy(*partition_by)
-        .parquet(path)
-    )
+    if not in_order:
+        keys = [F.col(c) for c in (*partition_by, "text_id")]
+        tokens = tokens.repartitionByRange(*keys, block("tok_no")).sortWithinPartitions(*keys, "tok_no")
+    tokens.write.partitionBy(*partition_by).parquet(path)
