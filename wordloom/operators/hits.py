@@ -37,11 +37,18 @@ def find_hits(
     """
     if "pos" in tokens.columns and "startpos" not in tokens.columns:
         tokens = tokens.withColumn("startpos", F.col("pos") - F.col("tok_no"))
-    alternatives = [steps for pattern in patterns for steps in normalise(pattern)]
+    alternatives = [normalise(pattern) for pattern in patterns]
     if not alternatives:
         raise ValueError("no pattern given")
-    carried = match if all(steps.contiguous for steps in alternatives) else ()
-    found = [_match(tokens, steps, within, texts, keep, carried) for steps in alternatives]
+    carried = match if all(steps.contiguous for forms in alternatives for steps in forms) else ()
+    found = []
+    for forms in alternatives:
+        parts = reduce(DataFrame.unionByName, [_match(tokens, steps, within, texts, keep, carried) for steps in forms])
+        if len(forms) > 1:
+            # two normal forms of one pattern: still one hit per start
+            same = [c for c in parts.columns if c != "end"]
+            parts = parts.groupBy(*same).agg(F.min("end").alias("end"))
+        found.append(parts)
     hits = reduce(DataFrame.unionByName, found)
     # PAT-16, SET-1: rows that agree on the keys agree on everything else
     hits = hits if len(found) == 1 else hits.distinct()

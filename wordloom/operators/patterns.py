@@ -14,7 +14,7 @@ REGEX_CHARACTERS = re.compile(r"[.*+?^${}()|\[\]\\]")
 
 
 @dataclass(frozen=True)
-class Test:
+class Condition:
     """One condition on a token attribute.
 
     ``kind`` is ``equals``, ``starts``, ``ends``, ``contains``, ``wildcard``, ``regex``, ``one_of`` or ``in_set``.
@@ -78,7 +78,7 @@ class AnyOf:
 class Tok:
     """One token of a pattern; without a condition it is any token."""
 
-    condition: Test | AllOf | AnyOf | None = None
+    condition: Condition | AllOf | AnyOf | None = None
     initial: bool = False
     final: bool = False
 
@@ -114,31 +114,31 @@ def form_test(
     is_lemma: bool = False,
     is_phonetic: bool = False,
     is_original: bool = False,
-) -> Test:
+) -> Condition:
     """PAT-1..4. A literal form, its place in the word, and the attribute it belongs to.
 
     Lemma goes before phonetic, phonetic before original, and word is the default; only phonetic forms keep case.
     """
     attr = "lemma" if is_lemma else "phon" if is_phonetic else "orig" if is_original else "word"
     kind = {"whole": "equals", "start": "starts", "end": "ends", "middle": "contains"}[where]
-    return Test(attr, kind, (form,), fold=attr != "phon")
+    return Condition(attr, kind, (form,), fold=attr != "phon")
 
 
-def value_test(attr: str, values: Iterable[str], negate: bool = False) -> Test:
+def value_test(attr: str, values: Iterable[str], negate: bool = False) -> Condition:
     """PAT-6, PAT-7. Full-value regular expressions as alternatives; plain values become a value list."""
     values = tuple(sorted(set(values)))
     kind = "regex" if any(REGEX_CHARACTERS.search(v) for v in values) else "one_of"
-    return Test(attr, kind, values, negate=negate)
+    return Condition(attr, kind, values, negate=negate)
 
 
-def set_test(attr: str, values: Iterable[str], negate: bool = False) -> Test:
+def set_test(attr: str, values: Iterable[str], negate: bool = False) -> Condition:
     """PAT-10. A multi-valued attribute contains, or does not contain, one of the values."""
-    return Test(attr, "in_set", tuple(values), negate=negate)
+    return Condition(attr, "in_set", tuple(values), negate=negate)
 
 
-def with_forms(main: Test | None, extra: Iterable[Test]) -> AllOf:
+def with_forms(main: Condition | None, extra: Iterable[Condition]) -> AllOf:
     """PAT-7. Extra forms AND-ed with the main form; repeated forms of one attribute are merged into one list."""
-    merged: dict[str, Test] = {}
+    merged: dict[str, Condition] = {}
     for test in extra:
         known = merged.get(test.attr)
         values = (*known.values, *test.values) if known else test.values
@@ -147,7 +147,7 @@ def with_forms(main: Test | None, extra: Iterable[Test]) -> AllOf:
     return AllOf(((main,) if main else ()) + tuple(merged.values()))
 
 
-def category(attr: str, value: str, subcategories: Iterable[Test] = (), negate: bool = False) -> AllOf:
+def category(attr: str, value: str, subcategories: Iterable[Condition] = (), negate: bool = False) -> AllOf:
     """PAT-8. A main category together with its subcategories, each a list of alternative values."""
     return AllOf((value_test(attr, (value,), negate), *subcategories))
 
@@ -175,7 +175,7 @@ def anything() -> Tok:
 def simple(text: str) -> list[Tok]:
     """PAT-5. Words of the simple search box: ``*`` is any run of characters, case does not matter."""
     return [
-        Tok(Test("word", "wildcard" if "*" in w else "equals", (w,), fold=True)) if w else Tok()
+        Tok(Condition("word", "wildcard" if "*" in w else "equals", (w,), fold=True)) if w else Tok()
         for w in re.split(r"\s+", text.strip())
     ]
 

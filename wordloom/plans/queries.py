@@ -11,7 +11,7 @@ from wordloom.operators import concordance, exports, geo, hits as hit_ops, order
 from wordloom.operators.patterns import (
     AllOf,
     Gap,
-    Test,
+    Condition,
     Tok,
     anything,
     category,
@@ -369,7 +369,7 @@ def joi6_aligned_search(spark, folder):
     _, tokens = talk_parts(spark, folder)
     common = value_test("lemma", ["the", "der", "la", "de"])
     source = hit_ops.find_hits(tokens.where("role = 'user'"), [[Tok(common)]], "seg")
-    target = hit_ops.find_hits(tokens.where("role = 'assistant'"), [[Tok(common), Tok(Test("word", "ends", ("n",), True))]], "seg")
+    target = hit_ops.find_hits(tokens.where("role = 'assistant'"), [[Tok(common), Tok(Condition("word", "ends", ("n",), True))]], "seg")
     return rows_of(hit_ops.aligned_hits(source, given.talk_alignment(spark, folder), {"assistant": target}, "seg"))
 
 
