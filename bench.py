@@ -60,8 +60,7 @@ def main() -> None:
         stats.text_and_token_count(chosen).collect()
 
     def sorted_page():
-        hits = corpus.search([of_t])
-        ordering.hit_page(ordering.sort_keys(hits, tokens, "right"), 100).collect()
+        corpus.page(hit_ops.settled(corpus.search([of_t])), 100, "right").collect()
 
     def sample_in_context():
         drawn = ordering.sample_hits(corpus.search([[word("the")]]), 1000, seed=1)

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wordloom.layout import BLOCK_BITS, block
 from wordloom.operators.patterns import Gap, Steps, Tok, normalise
 from wordloom.operators.selection import in_texts
+from wordloom.session import cut
 
 KEYS = ("text_id", "start", "end")
 OPEN_GAP_BITS = 16
+SMALL_RESULT = 100_000
 
 
 def find_hits(
@@ -256,13 +258,33 @@ def spans(
     return inside.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_token")).alias(name))
 
 
-def with_token(hits: DataFrame, tokens: DataFrame, position: Column, attributes: Mapping[str, str]) -> DataFrame:
+def with_token(
+    hits: DataFrame, tokens: DataFrame, position: Column, attributes: Mapping[str, str], present: bool = False
+) -> DataFrame:
     """WIN-1. Hits with attributes of the one token at ``position`` of their text, NULL where there is none.
 
-    ``attributes`` maps a token attribute to the name it gets.
+    ``attributes`` maps a token attribute to the name it gets. Every hit is also joined to its own last token, which
+    exists, so the join is an inner one: an outer join could never send few hits to the tokens. If the position is known
+    to be ``present`` (inside the hit) that is not needed.
     """
     wanted = tokens.select("text_id", F.col("tok_no").alias("_at"), *(F.col(a).alias(n) for a, n in attributes.items()))
-    return hits.withColumn("_at", position).join(wanted, ["text_id", "_at"], "left").drop("_at")
+    if present:
+        return hits.withColumn("_at", position).join(wanted, ["text_id", "_at"]).drop("_at")
+    asked = hits.withColumn("_asked", position)
+    own = F.col("end")
+    keyed = asked.withColumn("_at", F.explode(F.array_distinct(F.array(own, F.coalesce("_asked", own)))))
+    at_asked = lambda name: F.max(F.when(F.col("_at") == F.col("_asked"), F.col(name))).alias(name)
+    return keyed.join(wanted, ["text_id", "_at"]).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
+
+
+def settled(hits: DataFrame, few: int = SMALL_RESULT) -> DataFrame:
+    """A search result written to the checkpoint folder, for sorting and paging it repeatedly.
+
+    Its rows are counted, and only if they are ``few`` (a few megabytes) Spark is told to send them to the tokens instead
+    of shuffling the token table to them.
+    """
+    hits = cut(hits)
+    return F.broadcast(hits) if hits.limit(few + 1).count() <= few else hits
 
 
 def aligned_hits(hits: DataFrame, alignment: DataFrame, others: Mapping[str, DataFrame], within: str = "s") -> DataFrame:

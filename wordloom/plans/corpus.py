@@ -7,15 +7,22 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.operators import concordance, hits as hit_ops, ordering, stats
+from wordloom.operators import concordance, geo, hits as hit_ops, ordering, stats
 from wordloom.operators.patterns import Gap, Tok
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
 from wordloom.session import cut
+from wordloom.sources.tokens import corpus_sizes
+
+Patterns = Iterable[Iterable[Tok | Gap]]
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """``tokens`` and ``texts`` with what goes with them; ``within`` is the region a hit may not leave."""
+    """``tokens`` and ``texts`` with what goes with them; ``within`` is the region a hit may not leave.
+
+    In a written corpus a text has its tokens under the same ``text_id``. In a spoken one ``texts`` are speakers,
+    ``tokens.text_id`` is the recording, ``speaker`` the speaker of a token, and ``ranges`` their corpus positions.
+    """
 
     tokens: DataFrame
     texts: DataFrame
@@ -24,29 +31,98 @@ class Corpus:
     within: str = "s"
     spoken: bool = False
     ranges: DataFrame | None = None
+    coords: DataFrame | None = None
+
+    # ------------------------------------------------------------ texts
 
     def select(self, selection: Selection = Selection(), language: str | None = None) -> DataFrame:
         return select_texts(self.texts, selection, self.dimensions, language)
 
+    def sizes(self, by: str = "lang") -> DataFrame:
+        return corpus_sizes(self.tokens, by)
+
+    def text_count(self, selection: Selection = Selection()) -> DataFrame:
+        """Number of selected texts (or speakers) and of their tokens."""
+        chosen = self.select(selection)
+        return stats.speaker_and_token_count(chosen, self.ranges) if self.spoken else stats.text_and_token_count(chosen)
+
+    def category_values(self, category: str, selection: Selection = Selection()) -> DataFrame:
+        return stats.distinct_values(self.texts, category, selection, self.dimensions)
+
+    def category_range(self, category: str, selection: Selection = Selection()) -> DataFrame:
+        return stats.category_range(self.texts, category, selection, self.dimensions)
+
+    def metadata_page(
+        self,
+        columns: Iterable[str],
+        selection: Selection = Selection(),
+        page: int = 1,
+        by: str = "text_id",
+        descending: bool = False,
+    ) -> DataFrame:
+        """A page of the metadata table, sorted by a column of ``texts`` or a many-to-many one (``dimension.column``)."""
+        columns = list(columns)
+        shown = ["text_id", *(c.split(".")[-1] for c in columns)]
+        table = stats.metadata_table(self.texts, columns, selection, self.dimensions)
+        if "." in by:
+            name, column = by.split(".")
+            table = table.join(stats.sort_value(self.dimensions[name], column), "text_id", "left")
+            return ordering.text_page(table, page, "sort_value", descending).select(*shown)
+        key = f"{by}_key" if by in columns else by
+        if key not in table.columns:
+            table = table.join(self.texts.select("text_id", by), "text_id")
+        return ordering.text_page(table, page, key, descending).select(*shown)
+
+    def one_text(self, text_id, columns: list[str]) -> DataFrame:
+        return ordering.one_text(self.texts, text_id, columns)
+
+    # ------------------------------------------------------------ hits
+
     def search(
         self,
-        patterns: Iterable[Iterable[Tok | Gap]],
+        patterns: Patterns,
         selection: Selection = Selection(),
         language: str | None = None,
         keep: tuple[str, ...] = (),
+        match: tuple[str, ...] = (),
     ) -> DataFrame:
         """PAT-17. Hits in the selected texts; in speech only in the ranges of the selected (or all listed) speakers."""
         tokens = self.tokens
         if self.spoken:
             chosen = self.select(selection, language).select("text_id")
             tokens = in_ranges(tokens, self.ranges.join(chosen, "text_id", "left_semi"))
-            return hit_ops.find_hits(tokens, patterns, self.within, keep=keep)
+            return hit_ops.find_hits(tokens, patterns, self.within, keep=keep, match=match)
         everything = not selection.choices and language is None
         texts = None if everything else self.select(selection, language)
-        return hit_ops.find_hits(tokens, patterns, self.within, texts, keep)
+        return hit_ops.find_hits(tokens, patterns, self.within, texts, keep, match)
+
+    def frequency_list(
+        self,
+        hits: DataFrame,
+        attributes: tuple[str, ...] = ("word",),
+        case_sensitive: bool = False,
+        first: int | None = None,
+        last: int | None = None,
+    ) -> DataFrame:
+        """AGG-7..9 in the order of SRT-6."""
+        parts = stats.match_part(hits, self.tokens, attributes, first, last)
+        return stats.by_frequency(stats.frequency_list(parts, attributes, case_sensitive), attributes)
+
+    def _per_text(self, hits: DataFrame) -> DataFrame:
+        return hits.withColumn("text_id", F.col("speaker")) if self.spoken else hits
+
+    def geo_distribution(self, hits: DataFrame, place: str = "place") -> DataFrame:
+        """AGG-18. Hits have to carry the form (phonetic if there is one) and, in speech, the speaker."""
+        if self.coords is None:
+            raise ValueError("a corpus without coordinates has no map")
+        form = geo.form_attribute(self.attributes)
+        return geo.geo_distribution(self._per_text(hits), self.texts.withColumn("place", F.col(place)), form)
 
     def page(self, hits: DataFrame, page: int = 1, by: str = "position", context: int | None = None) -> DataFrame:
-        """One page of the concordance. The page is cut first; only its hits are joined with the tokens."""
+        """One page of the concordance. The page is cut first; only its hits are joined with the tokens.
+
+        To look at several pages of one search, or at one in several orders, pass ``hits.settled(...)``.
+        """
         within = self.within if self.spoken else None
         keyed = ordering.sort_keys(hits, self.tokens, by, within)
         lines = concordance.concordance_lines(ordering.hit_page(keyed, page), self.tokens, context=context)
@@ -65,9 +141,13 @@ class Corpus:
         The counts per text and the category totals are written to the checkpoint folder once: cells, margins and scores
         are then all taken from them, and the tokens are read a single time.
         """
-        by_text = cut(stats.without_values(stats.attribute_by_text(hits, attribute), excluded))
+        counted = stats.attribute_by_text(self._per_text(hits), attribute)
+        by_text = cut(stats.without_values(counted, excluded))
         values = stats.category_values(self.texts, category, selection, self.dimensions, facet=False)
-        totals = cut(stats.category_totals(values, self.texts))
+        sized = self.texts
+        if self.spoken:
+            sized = self.ranges.groupBy("text_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n_tokens"))
+        totals = cut(stats.category_totals(values, sized))
         return Distribution(by_text, stats.distribution_cells(by_text, values), totals)
 
 

@@ -146,6 +146,7 @@ def shop(spark: SparkSession, folder: str) -> Corpus:
         shop_texts(spark, folder),
         shop_dimensions(spark, folder),
         attributes=("pos_tag", "lemma"),
+        coords=coordinates(spark, folder),
     )
 
 

@@ -677,6 +677,22 @@ oracle(
     FROM lines JOIN (SELECT DISTINCT text_id, brand FROM op) USING (text_id) GROUP BY 1, 2""",
     SHOP,
 )
+oracle(
+    "agg12_spoken",
+    f"""SELECT attr, value, n, n_tokens, n_texts
+    FROM (SELECT lemma AS attr, role AS value, CAST(count(*) AS BIGINT) AS n FROM tt WHERE role <> 'system' AND lemma {COMMON} GROUP BY 1, 2)
+    JOIN (SELECT role AS value, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(count(DISTINCT speaker) AS BIGINT) AS n_texts FROM seg GROUP BY 1) USING (value)""",
+    TALK,
+)
+oracle(
+    "agg18_searched_forms",
+    """, li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+      l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem),
+    h AS (SELECT DISTINCT a.l_orderkey AS text_id, a.k, a.l_returnflag AS form FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey
+      AND ((a.l_returnflag = 'R' AND b.k = a.k + 1) OR (a.l_returnflag = 'A' AND b.k BETWEEN a.k + 1 AND a.k + 2)) WHERE b.l_returnflag = 'N')
+    SELECT form, place, CAST(count(*) AS BIGINT) AS n FROM h JOIN orders_t USING (text_id) WHERE status IN ('P', 'F') GROUP BY 1, 2""",
+    SHOP,
+)
 oracle(
     "agg13_totals",
     BY_SOURCE

@@ -74,7 +74,7 @@ def words_after_the(spark, folder):
     """Words right after ``the`` in English documents, the twenty most frequent."""
     corpus = given.docs(spark, folder)
     hits = corpus.search([[word("the"), anything()]], Selection({"lang": Choice(("en",))}))
-    after = hit_ops.with_token(hits, corpus.tokens, F.col("end"), {"word": "word"})
+    after = hit_ops.with_token(hits, corpus.tokens, F.col("end"), {"word": "word"}, present=True)
     return stats.by_frequency(stats.frequency_list(after)).limit(20)
 
 
@@ -692,8 +692,9 @@ def kwi11_links(spark, folder):
 
 def sorted_page(spark, folder, by: str, page: int = 2) -> DataFrame:
     tokens = given.docs_tokens(spark, folder)
-    hits = hit_ops.find_hits(tokens, [[word("of"), Tok(form_test("t", where="start"))]])
-    keyed = ordering.sort_keys(hits, tokens, by)
+    pattern = [word("of"), Tok(form_test("t", where="start"))]
+    hits = hit_ops.find_hits(tokens, [pattern], match=("word",) if by == "match" else ())
+    keyed = ordering.sort_keys(hit_ops.settled(hits), tokens, by)
     return ordering.hit_page(keyed, page).select("text_id", F.col("start").alias("hit_start"), F.coalesce("sort_key", F.lit("-")).alias("sort_key"))
 
 
@@ -928,6 +929,24 @@ def agg12_many_to_many(spark, folder):
     return stats.distribution_cells(by_text, values)
 
 
+@query
+def agg12_spoken(spark, folder):
+    """Words of listed speakers by role."""
+    corpus = given.talk(spark, folder)
+    hits = corpus.search([[Tok(value_test("lemma", ["the", "der", "la", "de"]))]], keep=("lemma", "speaker"))
+    shown = corpus.distribution(hits, "lemma", "role")
+    shares = shown.cells.join(shown.totals, "value")
+    return shares.select("attr", "value", "n", "n_tokens", "n_texts")
+
+
+@query
+def agg18_searched_forms(spark, folder):
+    """The map of a search over the tokens of one kind of order."""
+    corpus = given.shop(spark, folder)
+    hits = corpus.search([[word("R"), word("N")], [word("A"), Gap(0, 1), word("N")]], Selection({"status": Choice(("P", "F"))}), keep=("word",))
+    return corpus.geo_distribution(hits)
+
+
 @query
 def agg13_totals(spark, folder):
     margins = docs_distribution(spark, folder).margins()
@@ -965,7 +984,8 @@ def agg16_zero_columns(spark, folder):
 @query
 def agg17_number_order(spark, folder):
     """Columns of a number category: ordered as numbers, shown as text."""
-    totals = docs_distribution(spark, folder, "n_chars").totals
+    texts = given.docs_texts(spark, folder)
+    totals = stats.category_totals(stats.category_values(texts, "n_chars", facet=False), texts)
     numbered = ordering.number_rows(totals, ["value"], "column_no")
     return numbered.select("column_no", F.col("value").cast("string").alias("value"), "n_tokens")
 
