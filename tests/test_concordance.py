@@ -5,6 +5,7 @@ from wordloom.functions import text as text_functions
 from wordloom.operators import concordance, exports, treebank
 from wordloom.operators.hits import aligned_hits, find_hits
 from wordloom.operators.patterns import Gap, Tok, form_test, value_test, word
+from wordloom.plans.corpus import Corpus
 from wordloom.sources import tables
 
 
@@ -114,6 +115,11 @@ def test_alignment(spark, make_tokens):
     kept = aligned_hits(hits, alignment, {"de": find_hits(right, [[word("b")]])})
     assert [(r.text_id, r.start) for r in kept.collect()] == [(1, 0)]
     assert aligned_hits(hits, alignment, {}).count() == 3
+    both = left.withColumn("lang", F.lit("en")).unionByName(right.withColumn("lang", F.lit("de")))
+    texts = spark.createDataFrame([(1, "en", 4), (11, "de", 3)], "text_id long, lang string, n_tokens long")
+    asked = lambda **p: {r.start for r in Corpus(both, texts).aligned_search(p, alignment).collect()}
+    assert asked(en=[[word("a")]], de=[[word("d")]]) == {2}
+    assert asked(en=[[word("a")]], de=[[Tok()]]) == {0, 2, 3}
     shown = {r.start: r.aligned for r in concordance.aligned_text(hits, alignment, right, ["de"]).collect()}
     assert shown == {0: "b c", 2: "d"}
     assert concordance.shown_languages(["en", "de", "en", "fr"]) == ["de", "fr"]

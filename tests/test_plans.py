@@ -9,7 +9,6 @@ from wordloom.operators import concordance, ordering, stats
 from wordloom.operators.hits import find_hits
 from wordloom.operators.patterns import Gap, Tok, form_test, value_test, word
 from wordloom.plans import given
-from wordloom.plans.queries import QUERIES
 from wordloom.sources.tokens import save_tokens
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,12 +25,6 @@ def stored(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_joins(spark, name):
-    shown = plan(QUERIES[name](spark, FOLDER))
-    assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
-
-
 def test_one_word_search_has_no_shuffle(stored):
     shown = plan(find_hits(stored, [[word("the")]]))
     assert "Exchange" not in shown and "Window" not in shown

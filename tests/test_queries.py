@@ -25,5 +25,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, db, name):
     df, sql = entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert compare(df, sql, db) is None
     assert kinds(df, db.sql(sql)) == []

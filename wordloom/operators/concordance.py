@@ -27,8 +27,8 @@ def in_context(
 ) -> DataFrame:
     """KWI-1, KWI-2, WIN-2. Hits with ``left``, ``match`` and ``right``, arrays of token structs.
 
-    Made for a page or a sample of hits, which Spark then sends to the tokens. The text id is part of the join, so
-    context never runs into another text. With ``keep``-sized hit sets the hits are shuffled to blocks of tokens.
+    A page or a sample of hits is sent to the tokens; more hits than that meet the tokens in blocks. The text id is part
+    of the join, so context never runs into another text.
     """
     n = context_size(context)
     around = spans(hits, tokens, F.col("start") - n, F.col("end") + n, attributes, "_around")
@@ -64,8 +64,8 @@ def concordance_lines(
 def original_and_corrected(hits: DataFrame, tokens: DataFrame, context: int | None = None) -> DataFrame:
     """KWI-9. Two rows per hit: ``line = 1`` with the words, ``line = 2`` with the original forms."""
     lines = in_context(hits, tokens, ("word", "orig"), context)
-    forms = F.explode(F.array(F.struct(F.lit(1).alias("line"), *_texts("word")), F.struct(F.lit(2).alias("line"), *_texts("orig"))))
-    return lines.withColumn("_row", forms).select(*hits.columns, "_row.*")
+    rows = [F.struct(F.lit(k).alias("line"), *_texts(a)) for k, a in ((1, "word"), (2, "orig"))]
+    return lines.withColumn("_row", F.explode(F.array(*rows))).select(*hits.columns, "_row.*")
 
 
 def _texts(attribute: str) -> list[Column]:
@@ -148,19 +148,21 @@ def with_media(hits: DataFrame, segments: DataFrame, manifest: DataFrame) -> Dat
 def segments_around(hits: DataFrame, segments: DataFrame, context: int | None) -> DataFrame:
     """KWI-3, KWI-10. One row per hit and speech segment up to ``context`` segments away; None is the whole episode.
 
-    ``is_match`` marks the segment of the hit and ``line_no`` counts the shown segments from 0.
+    ``is_match`` marks the segment of the hit and ``line_no`` counts the shown segments from 0. A context is joined by
+    (text, segment); a whole episode is meant for one chosen hit.
     """
-    keys = hits.select("text_id", "start", "end", F.col("seg_id").alias("_hit_seg"))
-    lowest = F.col("_hit_seg") - context if context is not None else F.lit(0)
-    near = F.lit(True) if context is None else F.abs(F.col("seg_id") - F.col("_hit_seg")) <= context
-    shown = keys.join(segments, "text_id").where(near) if context is None else (
-        keys.withColumn("seg_id", F.explode(F.sequence(F.greatest(lowest, F.lit(0)), F.col("_hit_seg") + context)))
-        .join(segments, ["text_id", "seg_id"])
+    asked = hits.select("text_id", "start", "end", F.col("seg_id").alias("_hit_seg"))
+    if context is None:
+        shown = asked.join(segments, "text_id").withColumn("_first", F.lit(0))
+    else:
+        near = asked.withColumn("_first", F.greatest(F.col("_hit_seg") - context, F.lit(0)))
+        near = near.withColumn("seg_id", F.explode(F.sequence("_first", F.col("_hit_seg") + context)))
+        shown = near.join(segments, ["text_id", "seg_id"])
+    return (
+        shown.withColumn("is_match", F.col("seg_id") == F.col("_hit_seg"))
+        .withColumn("line_no", F.col("seg_id") - F.col("_first"))
+        .drop("_hit_seg", "_first")
     )
-    first = F.lit(0) if context is None else F.greatest(lowest, F.lit(0))
-    return shown.withColumn("is_match", F.col("seg_id") == F.col("_hit_seg")).withColumn(
-        "line_no", F.col("seg_id") - first
-    ).drop("_hit_seg")
 
 
 def media_object(
@@ -174,8 +176,10 @@ def media_object(
     shown = segments_around(hits, segments, context)
     wanted = tokens.select("text_id", "seg_id", F.struct("tok_no", *attributes).alias("_token"))
     keys = ["text_id", "start", "end"]
-    lines = shown.join(wanted, ["text_id", "seg_id"], "left").groupBy(*keys, *(c for c in shown.columns if c not in keys)).agg(
-        F.array_sort(F.collect_list("_token")).alias("tokens")
+    lines = (
+        shown.join(wanted, ["text_id", "seg_id"], "left")
+        .groupBy(*shown.columns)
+        .agg(F.array_sort(F.collect_list("_token")).alias("tokens"))
     )
     parts = F.array_sort(
         F.collect_list(F.struct("seg_id", "speaker", "from_s", "to_s", "is_match", "av_file", "tokens"))

@@ -203,13 +203,18 @@ class Steps:
         return 1 + sum(low for low, _ in self.gaps) + self.lead + self.trail
 
 
+def is_blank(items: Iterable[Tok | Gap]) -> bool:
+    """Nothing but unrestricted tokens and gaps."""
+    return not any(isinstance(i, Tok) and not i.unrestricted for i in items)
+
+
 def normalise(items: Iterable[Tok | Gap]) -> list[Steps]:
     """PAT-12, PAT-13. Sequence to normal form; unrestricted tokens inside become part of the distances.
 
     A gap before the first term that may be empty gives two alternatives, one without the gap.
     """
     items = list(items)
-    if not any(isinstance(i, Tok) and not i.unrestricted for i in items):
+    if is_blank(items):
         raise ValueError("a pattern needs at least one restricted token")
     if isinstance(items[0], Gap):
         gap, rest = items[0], items[1:]

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.operators import concordance, geo, hits as hit_ops, ordering, stats
-from wordloom.operators.patterns import Gap, Tok
+from wordloom.operators.patterns import Gap, Tok, is_blank
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
 from wordloom.session import cut
 from wordloom.sources.tokens import corpus_sizes
@@ -96,6 +96,20 @@ class Corpus:
         texts = None if everything else self.select(selection, language)
         return hit_ops.find_hits(tokens, patterns, self.within, texts, keep, match)
 
+    def aligned_search(
+        self, patterns: Mapping[str, list], alignment: DataFrame, selection: Selection = Selection()
+    ) -> DataFrame:
+        """JOI-6 over tokens with a ``lang`` column: language to its patterns, the language of the hits first.
+
+        Further languages with blank patterns are ignored.
+        """
+        (first, wanted), *others = patterns.items()
+        of = lambda language: self.tokens.where(F.col("lang") == language)
+        hits = hit_ops.find_hits(of(first), wanted, self.within, self.select(selection, first))
+        asked = {code: p for code, p in others if not all(is_blank(items) for items in p)}
+        found = {code: hit_ops.find_hits(of(code), p, self.within) for code, p in asked.items()}
+        return hit_ops.aligned_hits(hits, alignment, found, self.within)
+
     def frequency_list(
         self,
         hits: DataFrame,

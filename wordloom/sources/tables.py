@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Markers of a missing value in the input files.
@@ -97,10 +95,10 @@ def pivot_values(values: DataFrame, categories: list, order: list[str], texts: D
 
     Cells are stripped, and blank where a text has no value. ``max_by`` is combined before the shuffle.
     """
-    names = {c: re.sub(r"\W", "_", str(c)) for c in categories}
     last = F.max_by(F.trim(F.col("value").cast("string")), F.struct(*order))
     wide = values.groupBy("text_id").pivot("category", categories).agg(last)
-    wide = wide.select("text_id", *(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in names.items()))
-    if texts is None:
-        return wide
-    return texts.join(wide, "text_id", "left").na.fill("", list(names.values()))
+    rows = wide if texts is None else texts.join(wide, "text_id", "left")
+    named = {c: F.col("`" + str(c).replace("`", "``") + "`") for c in categories}
+    return rows.select(
+        *(c for c in rows.columns if c not in named), *(F.coalesce(col, F.lit("")).alias(str(c)) for c, col in named.items())
+    )
