@@ -131,3 +131,40 @@ def test_polygon(spark):
     points = spark.createDataFrame([(0.5, 0.5), (1.5, 0.5), (0.9, 0.05), (-0.1, 0.5)], "lat double, lng double")
     square = [(0, 0), (0, 1), (1, 1), (1, 0)]
     assert points.where(in_polygon("lat", "lng", square)).count() == 2
+
+
+def test_corpus_questions(spark, make_tokens, texts, dimensions):
+    tokens = make_tokens({1: [["a", "b"], ["a"]]}).withColumn("text_id", F.lit("t1"))
+    corpus = Corpus(tokens, texts, dimensions, attributes=("lemma",))
+    page = lambda **o: [tuple(r) for r in corpus.metadata_page(["genre", "author.name"], **o).collect()]
+    assert page()[:2] == [("t1", "news", "Ann; Bob"), ("t2", "", "Bob")]
+    assert [r[0] for r in page(by="year", descending=True)] == ["t4", "t2", "t5", "t1", "t3"]
+    assert [r[0] for r in page(by="genre")] == ["t2", "t1", "t4", "t3", "t5"]
+    assert [r[0] for r in page(by="author.name", descending=True)] == ["t3", "t2", "t1", "t5", "t4"]
+    assert page(page=2) == [] and len(page(page=0, selection=Selection({"lang": Choice(("de",))}))) == 2
+    assert [r.value for r in corpus.category_values("author.sex").collect()] == ["f", "m"]
+    assert tuple(corpus.category_range("year").first()) == (1990, 2001)
+    assert tuple(corpus.text_count(Selection({"lang": Choice(("en",))})).first()) == (3, 35)
+    hits = corpus.search([[word("a")]])
+    assert [tuple(r) for r in corpus.frequency_list(hits).collect()] == [("a", 2)]
+    lines = [(r.left_text, r.match_text, r.right_text) for r in corpus.page(hits, by="right", context=1).collect()]
+    assert lines == [("", "a", "b"), ("b", "a", "")]
+    with pytest.raises(ValueError):
+        corpus.geo_distribution(hits)
+
+
+def test_spoken_counts_and_map(spark):
+    tokens = spark.createDataFrame(
+        [(1, 0, 0, 0, 0, 0, "a", "s1"), (1, 1, 1, 1, 1, 1, "a", "s2")],
+        "text_id long, seg_id long, seg_first long, seg_last long, tok_no long, pos long, word string, speaker string",
+    )
+    speakers = spark.createDataFrame([("s1", "x", "Oslo"), ("s2", "y", None), ("s3", "y", "Bergen")], "text_id string, town string, place string")
+    ranges = spark.createDataFrame([("s1", 0, 0), ("s2", 1, 1)], "text_id string, start long, end long")
+    coords = spark.createDataFrame([("Oslo", 59.9, 10.7)], "place string, lat double, lng double")
+    corpus = Corpus(tokens, speakers, within="seg", spoken=True, ranges=ranges, coords=coords)
+    assert tuple(corpus.text_count().first()) == (3, 2)
+    hits = corpus.search([[word("a")]], keep=("word", "speaker"))
+    assert [tuple(r) for r in corpus.geo_distribution(hits).collect()] == [("a", "Oslo", 1)]
+    shown = corpus.distribution(hits, "word", "town")
+    assert {(r.value, r.n) for r in shown.cells.collect()} == {("x", 1), ("y", 1)}
+    assert {(r.value, r.n_tokens, r.n_texts) for r in shown.totals.collect()} == {("x", 1, 1), ("y", 1, 2)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.layout import number_rows
 from wordloom.operators.hits import with_match, with_token
+from wordloom.session import cut
 
 # Page sizes.
 HITS_PER_PAGE = 50
@@ -138,10 +139,9 @@ def _lowest(drawn: DataFrame, strata: list[str]) -> DataFrame:
     """The ``_quota`` rows of each stratum with the lowest draw, without sorting a stratum in one task.
 
     Rows are counted by the first four digits of the draw. Buckets that fit the quota as a whole are taken, and only
-    the one bucket that crosses it is ranked.
+    the one bucket that crosses it is ranked. The rows are checkpointed, so the search behind them runs once.
     """
-    bucket = F.substring("_draw", 1, 4)
-    drawn = drawn.withColumn("_bucket", bucket)
+    drawn = cut(drawn.withColumn("_bucket", F.substring("_draw", 1, 4)))
     counts = drawn.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_q"))
     before = W.partitionBy(*strata).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     placed = (

@@ -166,12 +166,13 @@ def without_values(counted: DataFrame, excluded: Iterable[str] | DataFrame) -> D
 def category_totals(values: DataFrame, texts: DataFrame) -> DataFrame:
     """AGG-11. Per category value the texts and tokens; a text with two values counts under both.
 
-    ``values`` are (text_id, value) pairs from ``category_values``, ``texts`` has ``n_tokens``.
+    ``values`` are (text_id, value) pairs from ``category_values``, ``texts`` has ``n_tokens``; a speaker without ranges
+    has none there and counts as a text without tokens.
     """
     return (
-        values.join(texts.select("text_id", "n_tokens"), "text_id")
+        values.join(texts.select("text_id", "n_tokens"), "text_id", "left")
         .groupBy("value")
-        .agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
+        .agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     )
 
 

@@ -20,6 +20,10 @@ Patterns = Iterable[Iterable[Tok | Gap]]
 class Corpus:
     """``tokens`` and ``texts`` with what goes with them; ``within`` is the region a hit may not leave.
 
+    ``tokens`` has ``text_id``, ``tok_no`` (from 0 in each text), ``<within>_id``, ``<within>_first``, ``<within>_last``,
+    ``word`` and the other attributes, and ``pos`` or ``startpos`` if corpus positions are wanted. ``texts`` has
+    ``text_id``, ``n_tokens`` and the categories.
+
     In a written corpus a text has its tokens under the same ``text_id``. In a spoken one ``texts`` are speakers,
     ``tokens.text_id`` is the recording, ``speaker`` the speaker of a token, and ``ranges`` their corpus positions.
     """
