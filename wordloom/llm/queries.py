@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import sharding
-from wordloom.llm.common import prepared, table
+from wordloom.llm import packing, pii, sharding
+from wordloom.llm.common import table
 
 SHARDS = 24
 
@@ -15,5 +16,15 @@ def op1_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(table(spark, folder, "documents"), SHARDS)
 
 
-QUERIES = {"op1_jump_shards": op1_jump_shards}
+def op6_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op6_sum_of_squares, op8_personal_data)}
 ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS)}
