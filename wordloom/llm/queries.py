@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import packing, pii, sharding
+from wordloom.llm import langid, packing, pii, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -16,6 +16,11 @@ def op1_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(table(spark, folder, "documents"), SHARDS)
 
 
+def op2_byte_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by byte context trees."""
+    return langid.digest(table(spark, folder, "documents"))
+
+
 def op6_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -26,5 +31,5 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op6_sum_of_squares, op8_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_byte_ppm, op6_sum_of_squares, op8_personal_data)}
 ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS)}
