@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, packing, pii, sharding
+from wordloom.llm import langid, neighbours, packing, pii, quality, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -26,10 +26,30 @@ def op6_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by attention over its passages."""
+    return quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.digest(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_byte_ppm, op6_sum_of_squares, op8_personal_data)}
+def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return neighbours.digest(table(spark, folder, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_jump_shards,
+        op2_byte_ppm,
+        op6_sum_of_squares,
+        op7_attention_quality,
+        op8_personal_data,
+        op10_multi_index,
+    )
+}
 ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS)}
