@@ -192,9 +192,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bits: i
     codes = learn(x, float(np.sqrt(size["m"])), bits)
     radius, _ = calibrated(rows, codes, k)
     asked = usable_queries(queries, codes.dimension)
-    found = _search(rows, asked, codes, radius, k, size["n"])
-    ranked = _top(found, k).select("query_id", "rank", "vec_id", "score")
-    return ranked
+    found = cut(_search(rows, asked, codes, radius, k, size["n"]))
+    counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("_n"))
+    short = asked.join(counts, "vec_id", "left").where(F.coalesce("_n", F.lit(0)) < min(k, size["n"] - 1)).drop("_n")
+    if not short.isEmpty():
+        # the whole code length as radius: every row is a candidate
+        again = _search(rows, short, codes, codes.rotations.shape[1], k, size["n"])
+        kept = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+        found = kept.unionByName(again)
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def usable_queries(queries: DataFrame, dimension: int) -> DataFrame:
@@ -226,11 +232,6 @@ def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: i
                 near = near[ids[near] != query_id]
                 scores = products(x[near], query)
                 top = best(ids[near], scores, k)
-                if len(top) < k:
-                    # too few within the radius here: the block's rest may hold some of the k, so it is compared too
-                    others = np.flatnonzero(ids != query_id)
-                    scores = products(x[others], query)
-                    near, top = others, best(ids[others], scores, k)
                 out.append(_packed(np.full(len(top), query_id), ids[near][top], scores[top]))
         return pa.Table.from_batches(out)
 
