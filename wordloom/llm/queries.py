@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, neighbours, packing, pii, quality, sharding
+from wordloom.llm import langid, neighbours, packing, pages, pii, quality, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -36,6 +36,11 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
 
+def op9_block_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page by a conditional random field over its blocks."""
+    return pages.digest(table(spark, folder, "pages"))
+
+
 def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
     return neighbours.digest(table(spark, folder, "embeddings"))
@@ -49,6 +54,7 @@ QUERIES = {
         op6_sum_of_squares,
         op7_attention_quality,
         op8_personal_data,
+        op9_block_crf,
         op10_multi_index,
     )
 }
