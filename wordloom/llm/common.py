@@ -144,7 +144,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[n
     out[whole] = made[start[whole]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         own = words[bounds[i] : bounds[i + 1]]
-        out[out_bounds[i]] = (own * _PLACE[: len(own)]).sum(dtype=U64) + U64(len(own)) * _PLACE[60]
+        out[out_bounds[i]] = np.append(own * _PLACE[: len(own)], _PLACE[60 - len(own)]).sum(dtype=U64)
     return mixed(out), out_bounds
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, neighbours, packing, pages, pii, quality, sharding
+from wordloom.llm import langid, neardup, neighbours, packing, pages, pii, quality, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -21,6 +21,11 @@ def op2_byte_ppm(spark: SparkSession, folder: str) -> DataFrame:
     return langid.digest(table(spark, folder, "documents"))
 
 
+def op3_hyper_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.85."""
+    return neardup.digest(table(spark, folder, "documents"))
+
+
 def op6_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -51,6 +56,7 @@ QUERIES = {
     for f in (
         op1_jump_shards,
         op2_byte_ppm,
+        op3_hyper_minhash,
         op6_sum_of_squares,
         op7_attention_quality,
         op8_personal_data,
