@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, neardup, neighbours, packing, pages, pii, quality, sharding
+from wordloom.llm import langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -26,6 +26,11 @@ def op3_hyper_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.digest(table(spark, folder, "documents"))
 
 
+def op5_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without passages that repeat."""
+    return linededup.digest(table(spark, folder, "documents"))
+
+
 def op6_sum_of_squares(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -57,6 +62,7 @@ QUERIES = {
         op1_jump_shards,
         op2_byte_ppm,
         op3_hyper_minhash,
+        op5_line_chunks,
         op6_sum_of_squares,
         op7_attention_quality,
         op8_personal_data,
@@ -64,4 +70,4 @@ QUERIES = {
         op10_multi_index,
     )
 }
-ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS)}
+ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS), "op5_line_chunks": linededup.DIGEST_SQL}
