@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.session import cut, tune
 
-__all__ = ["cut", "flat", "prepared", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
+__all__ = ["cut", "flat", "folded", "mixed", "prepared", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -60,6 +60,16 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def folded(raw: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of the two-byte Latin letters, byte by byte."""
+    out = raw.copy()
+    out[(raw >= 65) & (raw <= 90)] += 32
+    if len(raw) > 1:
+        accented = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        out[1:][accented] += 32
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every bit over the word."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import flat, rows_in, splits
+from wordloom.llm.common import flat, folded, rows_in
 
 #: Bytes of context at most, and the bound of training text a language in bytes.
 ORDER = 4
@@ -43,16 +43,6 @@ class Model(NamedTuple):
     escape: list[np.ndarray]
 
 
-def folded(raw: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the two-byte Latin letters, byte by byte."""
-    out = raw.copy()
-    out[(raw >= 65) & (raw <= 90)] += 32
-    if len(raw) > 1:
-        accented = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[1:][accented] += 32
-    return out
-
-
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     """A model from texts per language."""
     languages = sorted(samples)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding
+from wordloom.llm import decontaminate, langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -26,6 +26,11 @@ def op3_hyper_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.digest(table(spark, folder, "documents"))
 
 
+def op4_string_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without passages that repeat."""
     return linededup.digest(table(spark, folder, "documents"))
@@ -62,6 +67,7 @@ QUERIES = {
         op1_jump_shards,
         op2_byte_ppm,
         op3_hyper_minhash,
+        op4_string_tiles,
         op5_line_chunks,
         op6_sum_of_squares,
         op7_attention_quality,
