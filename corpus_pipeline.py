@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordloom.llm import decontaminate, linededup, neardup, packing, quality
-from wordloom.llm.common import prepared, table
+from wordloom.llm.common import prepared, quoted, table
 from wordloom.session import checkpoint_folder
 
 #: Similarity in per cent from which two documents are near duplicates.
@@ -22,7 +22,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     """Documents that the quality classifier, learned from their labels, does not reject."""
     prepared(spark)
     model = quality.fitted(docs, table(spark, folder, "labels"))
-    return quality.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score_documents(docs, model).where("predicted = 1").select(*quoted(docs.columns))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,21 +32,21 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     cleaned = cleaned.where((F.col("removed_lines") == 0) | F.col("text").isNull() | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*quoted(docs.columns))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the least id of each group of near duplicates."""
     prepared(spark)
     others = neardup.near_duplicates(docs, SIMILAR).where(~F.col("kept")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def unleaked_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     prepared(spark)
     marked = decontaminate.with_leaks(docs, table(spark, folder, "benchmark"))
-    return marked.where(F.size("leaks") == 0).select(*docs.columns)
+    return marked.where(F.size("leaks") == 0).select(*quoted(docs.columns))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from wordloom.session import cut, tune
 
-__all__ = ["cut", "flat", "folded", "mixed", "prepared", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
+__all__ = ["cut", "extended", "flat", "folded", "mixed", "prepared", "quoted", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -30,6 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def extended(frame: DataFrame, added: str) -> T.StructType:
+    """Schema of a frame and further columns (DDL)."""
+    return T.StructType([*frame.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names that may hold dots, for use in ``select``."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
 def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches that have rows."""
     return (b for b in batches if b.num_rows)
@@ -156,8 +166,3 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[n
         own = words[bounds[i] : bounds[i + 1]]
         out[out_bounds[i]] = np.append(own * _PLACE[: len(own)], _PLACE[60 - len(own)]).sum(dtype=U64)
     return mixed(out), out_bounds
-
-
-def utf8_size(text: Column) -> Column:
-    """Bytes of a text, 0 for null."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

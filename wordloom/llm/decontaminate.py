@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import flat, folded, rows_in, splits, word_hashes
+from wordloom.llm.common import extended, flat, folded, rows_in, splits, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bytes of benchmark text sent to all tasks at once, and bytes of documents handled at once.
@@ -150,7 +150,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, k:
     """
     out = docs.drop("leaks")
     columns, place = out.columns, out.columns.index("text")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in out.schema)
+    schema = extended(out, f"leaks {LEAK}")
     kind = pa.list_(
         pa.struct([
             ("item_id", pa.int64()), ("coverage", pa.float64()),
@@ -174,7 +174,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, k:
                         found[at + i] += [{"item_id": j, "coverage": c, "tiles": [t._asdict() for t in tiles]} for j, c, tiles in leaks]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, kind)], names=[*columns, "leaks"])
 
-        return frame.mapInArrow(work, f"{schema}, leaks {LEAK}")
+        return frame.mapInArrow(work, schema)
 
     for i, block in enumerate(item_blocks(items)):
         out = add(out, block, i == 0)

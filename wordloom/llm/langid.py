@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import flat, folded, rows_in
+from wordloom.llm.common import extended, flat, folded, rows_in
 
 #: Bytes of context at most, and the bound of training text a language in bytes.
 ORDER = 4
@@ -189,7 +189,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     replaced, all others kept.
     """
     kept = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
     place = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
@@ -215,7 +214,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return kept.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(work, extended(kept, "lang_pred string, score double"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.llm.common import cut
+from wordloom.llm.common import cut, quoted
 
 #: Characters of a screen line; a chunk counts from two screen lines on. One rolling hash in ``EVERY`` ends a chunk.
 WIDTH, EVERY = 80, 3
 #: Parts that the occurrences of one chunk are dealt to, so that a chunk which stands in a third of all rows is no hot key.
 SALTS = 8
+#: Names that no table has, for columns that live within one expression.
+GONE, DROP = "__repeated_chunks", "__repeated_lines"
 
 
 def _line_hash(line: Column) -> Column:
@@ -80,16 +82,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ``removed_lines`` is replaced, all others are kept.
     """
     own = docs.drop("removed_lines")
-    gone = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("_gone"))
+    gone = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(GONE))
     joined = own.join(gone, "doc_id", "left")
-    drop = F.flatten(F.transform("_gone", lambda g: F.sequence(g["first"], g["last"])))
+    drop = F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"])))
     lines = F.split("text", "\n")
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(numbers, "_drop"), lambda i: _at(lines, i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_drop", drop).withColumn("text", text)
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_drop")).cast("bigint")
-    return out.select(*own.columns, removed.alias("removed_lines"))
+    kept = F.transform(F.array_except(numbers, DROP), lambda i: _at(lines, i))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(DROP, drop).withColumn("text", text)
+    removed = F.when(F.col(GONE).isNull(), 0).otherwise(F.size(DROP)).cast("bigint")
+    return out.select(*quoted(own.columns), removed.alias("removed_lines"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -194,7 +194,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bits: i
     asked = usable_queries(queries, codes.dimension)
     found = cut(_search(rows, asked, codes, radius, k, size["n"]))
     counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("_n"))
-    short = asked.join(counts, "vec_id", "left").where(F.coalesce("_n", F.lit(0)) < min(k, size["n"] - 1)).drop("_n")
+    few = F.coalesce("_n", F.lit(0)) < min(k, size["n"] - 1)
+    short = cut(asked.join(counts, "vec_id", "left").where(few).select("vec_id", "vector"))
     if not short.isEmpty():
         # the whole code length as radius: every row is a candidate
         again = _search(rows, short, codes, codes.rotations.shape[1], k, size["n"])
@@ -212,13 +213,14 @@ def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: i
     query_blocks = max(1, -(-queries.count() // QUERIES))
     shared = rows.sparkSession.sparkContext.broadcast((codes, radius))
 
-    def deal(frame: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
+    def deal(frame: DataFrame, key: str, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
         """Rows with their own block, once for each block of the other side."""
-        block = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(own_blocks)).cast("int")
+        block = F.pmod(F.xxhash64(key, F.lit(own)), F.lit(own_blocks)).cast("int")
         return frame.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
-    left = deal(queries, "_q", query_blocks, "_r", row_blocks)
-    right = deal(rows, "_r", row_blocks, "_q", query_blocks)
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    left = deal(asked, "query_id", "_query_block", query_blocks, "_row_block", row_blocks)
+    right = deal(rows, "vec_id", "row_block", row_blocks, "query_block", query_blocks)
 
     def work(asked: pa.Table, block: pa.Table) -> pa.Table:
         codes, radius = shared.value
@@ -226,7 +228,7 @@ def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: i
         out = [_packed([], [], [])]
         if len(ids) and asked.num_rows:
             index = BlockIndex(encode(codes, x, False))
-            query_ids, queries = asked["vec_id"].to_numpy(), _matrix(asked["vector"])
+            query_ids, queries = asked["query_id"].to_numpy(), _matrix(asked["query"])
             for query_id, query, code in zip(query_ids, queries, encode(codes, queries, True)):
                 near = index.within(code, radius)
                 near = near[ids[near] != query_id]
@@ -235,7 +237,7 @@ def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: i
                 out.append(_packed(np.full(len(top), query_id), ids[near][top], scores[top]))
         return pa.Table.from_batches(out)
 
-    pairs = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r"))
+    pairs = left.groupBy("_query_block", "_row_block").cogroup(right.groupBy("query_block", "row_block"))
     return pairs.applyInArrow(work, FOUND)
 
 

@@ -17,7 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wordloom.llm.common import rows_in
+from wordloom.llm.common import extended, quoted, rows_in
 from wordloom.llm.training_pages import training_pages
 
 # Fixed values of the markup language: elements without an end, within a line, without page text, and what an opening
@@ -260,7 +260,8 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
     """
     kept = pages.drop(*({"text", "n_blocks", "n_chars"} - {html}))
     others = [c for c in kept.columns if c != html]
-    schema = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in kept.schema if f.name != html)
+    out = kept.select(*quoted(others))
+    schema = extended(out, "text string, n_blocks bigint, n_chars bigint")
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +277,7 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
                 names=[*others, "text", "n_blocks", "n_chars"],
             )
 
-    return kept.select(*others, html).mapInArrow(work, f"{schema}text string, n_blocks bigint, n_chars bigint")
+    return kept.select(*quoted([*others, html])).mapInArrow(work, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:

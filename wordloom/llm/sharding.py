@@ -66,14 +66,14 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], key: str, name: st
     neighbouring numbers.
     """
     bucket = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, SLOT_DIGITS)
-    keyed = rows.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = keyed.withColumn("_no", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, [shard, "_bucket"]).withColumn(name, F.col("_no") + F.col("_offset")).drop(
-        "_bucket", "_no", "_offset"
+    keyed = rows.withColumn("__bucket", bucket)
+    counts = keyed.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(shard).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(shard, "__bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("__offset"))
+    inside = W.partitionBy(shard, "__bucket").orderBy(*order)
+    numbered = keyed.withColumn("__no", F.row_number().over(inside) - 1)
+    return numbered.join(offsets, [shard, "__bucket"]).withColumn(name, F.col("__no") + F.col("__offset")).drop(
+        "__bucket", "__no", "__offset"
     )
 
 
