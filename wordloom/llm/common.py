@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from wordloom.session import cut, tune
 
-__all__ = ["cut", "extended", "flat", "folded", "mixed", "prepared", "quoted", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
+__all__ = ["cut", "flat", "folded", "mapped", "mixed", "prepared", "quoted", "rows_in", "shingle_hashes", "splits", "table", "word_hashes"]
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must fit a Python worker several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -30,9 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def extended(frame: DataFrame, added: str) -> T.StructType:
-    """Schema of a frame and further columns (DDL)."""
-    return T.StructType([*frame.schema.fields, *T.StructType.fromDDL(added).fields])
+def mapped(frame: DataFrame, work: Callable, added: str) -> DataFrame:
+    """``frame.mapInArrow(work)`` with further columns (DDL); ``work`` sees the columns as c0, c1, ...
+
+    Column names that hold dots would not be found by their names.
+    """
+    new = T.StructType.fromDDL(added).fields
+    own = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(frame.schema.fields)]
+    plain = frame.toDF(*(f.name for f in own))
+    return plain.mapInArrow(work, T.StructType([*own, *new])).toDF(*frame.columns, *(f.name for f in new))
 
 
 def quoted(names: list[str]) -> list[str]:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import extended, flat, folded, rows_in, splits, word_hashes
+from wordloom.llm.common import flat, folded, mapped, rows_in, splits, word_hashes
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Bytes of benchmark text sent to all tasks at once, and bytes of documents handled at once.
@@ -139,6 +139,8 @@ def item_blocks(items: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[lis
 
 
 LEAK = "array<struct<item_id: bigint, coverage: double, tiles: array<struct<document_word: int, item_word: int, length: int>>>>"
+#: A name that no table has.
+FOUND = "__found_leaks"
 _items: dict[str, Items] = {}
 
 
@@ -148,9 +150,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, k:
     Items of fewer than ``k`` words are too short to tell and are never found; null items, null and empty texts have no
     matches. Repeated items are found each, repeated rows alike. A column ``leaks`` is replaced, all others are kept.
     """
-    out = docs.drop("leaks")
-    columns, place = out.columns, out.columns.index("text")
-    schema = extended(out, f"leaks {LEAK}")
+    out = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAK))
+    place, last = out.columns.index("text"), len(out.columns) - 1
     kind = pa.list_(
         pa.struct([
             ("item_id", pa.int64()), ("coverage", pa.float64()),
@@ -158,7 +159,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, k:
         ])
     )
 
-    def add(frame: DataFrame, block: list[tuple[int, str]], first: bool) -> DataFrame:
+    def add(frame: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared, key = frame.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +168,18 @@ def with_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, k:
                 _items[key] = Items(shared.value, k)
             for batch in rows_in(batches):
                 raw, bounds = flat(batch.column(place))
-                found = [[] for _ in range(batch.num_rows)] if first else batch.column(len(columns)).to_pylist()
+                found = batch.column(last).to_pylist()
                 for at, to in splits(batch.num_rows, np.diff(bounds), SPAN):
                     own = bounds[at : to + 1]
                     for i, leaks in enumerate(_items[key].matches(raw[own[0] : own[-1]], own - own[0], coverage)):
                         found[at + i] += [{"item_id": j, "coverage": c, "tiles": [t._asdict() for t in tiles]} for j, c, tiles in leaks]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(found, kind)], names=[*columns, "leaks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, FOUND])
 
-        return frame.mapInArrow(work, schema)
+        return mapped(frame, work, f"{FOUND} {LEAK}").drop("leaks").withColumnRenamed(FOUND, "leaks")
 
-    for i, block in enumerate(item_blocks(items)):
-        out = add(out, block, i == 0)
-    return out if "leaks" in out.columns else out.withColumn("leaks", F.array().cast(LEAK))
+    for block in item_blocks(items):
+        out = add(out, block)
+    return out
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

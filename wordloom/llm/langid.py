@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import extended, flat, folded, rows_in
+from wordloom.llm.common import flat, folded, mapped, rows_in
 
 #: Bytes of context at most, and the bound of training text a language in bytes.
 ORDER = 4
@@ -46,6 +46,8 @@ class Model(NamedTuple):
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     """A model from texts per language."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], np.zeros(256, np.int64), [], [], [])
     texts = {l: folded(np.frombuffer("\n".join(samples[l]).encode(), np.uint8)) for l in languages}
     seen = np.zeros(256, bool)
     for raw in texts.values():
@@ -214,7 +216,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return kept.mapInArrow(work, extended(kept, "lang_pred string, score double"))
+    return mapped(kept, work, "lang_pred string, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

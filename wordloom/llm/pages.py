@@ -17,7 +17,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wordloom.llm.common import extended, quoted, rows_in
+from wordloom.llm.common import mapped, quoted, rows_in
 from wordloom.llm.training_pages import training_pages
 
 # Fixed values of the markup language: elements without an end, within a line, without page text, and what an opening
@@ -260,24 +260,20 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
     """
     kept = pages.drop(*({"text", "n_blocks", "n_chars"} - {html}))
     others = [c for c in kept.columns if c != html]
-    out = kept.select(*quoted(others))
-    schema = extended(out, "text string, n_blocks bigint, n_chars bigint")
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches):
             found = [main_text(shared.value, page) for page in batch.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(others)],
-                    pa.array([t for t, _ in found], pa.string()),
-                    pa.array([n for _, n in found], pa.int64()),
-                    pa.array([len(t) for t, _ in found], pa.int64()),
-                ],
-                names=[*others, "text", "n_blocks", "n_chars"],
+            made = (
+                pa.array([t for t, _ in found], pa.string()),
+                pa.array([n for _, n in found], pa.int64()),
+                pa.array([len(t) for t, _ in found], pa.int64()),
             )
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "__main", "n_blocks", "n_chars"])
 
-    return kept.select(*quoted([*others, html])).mapInArrow(work, schema)
+    found = mapped(kept.select(*quoted([*others, html])), work, "__main string, n_blocks bigint, n_chars bigint")
+    return found.withColumnRenamed("__main", "text").select(*quoted([*others, "text", "n_blocks", "n_chars"]))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.llm.common import SPACES, extended, flat, rows_in, splits, word_bounds, word_hashes
+from wordloom.llm.common import SPACES, flat, mapped, rows_in, splits, word_bounds, word_hashes
 
 #: Words of a passage; units of the encoder and of the attention; bytes of text handled at once.
 PASSAGE, UNITS, GATES, SPAN = 64, 24, 12, 1 << 19
@@ -210,7 +210,7 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text") ->
                 names=[*batch.schema.names, "score", "predicted"],
             )
 
-    return kept.mapInArrow(work, extended(kept, "score double, predicted int"))
+    return mapped(kept, work, "score double, predicted int")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
