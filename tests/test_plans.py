@@ -57,13 +57,23 @@ def test_context_is_keyed_by_block(stored):
     assert "BroadcastHashJoin" in plan(concordance.in_context(page, stored))
 
 
-def test_small_pages_and_samples_need_no_full_sort(stored):
+def test_context_joins_exact_positions(stored):
+    shown = plan(concordance.in_context(find_hits(stored, [[word("the")]]), stored))
+    assert re.search(r"Join \[text_id#\d+L, tok_no#\d+L\]", shown)
+
+
+def test_pages_and_samples_gather_no_more_than_they_return(stored):
+    """What is taken in order has passed a filter on the row number, or on the bucket and rank of the draw."""
     hits = find_hits(stored, [[word("the")]])
-    assert "TakeOrderedAndProject" in plan(ordering.sample_hits(hits, 100))
-    assert "TakeOrderedAndProject" in plan(ordering.hit_page(ordering.sort_keys(hits, stored), 2))
+    page = plan(ordering.hit_page(ordering.sort_keys(hits, stored), 2))
+    assert page.count("TakeOrderedAndProject") == 1 and "_offset" in page
+    for sample in (ordering.sample_hits(hits, 100), ordering.sample_hits(hits, 10_000_000)):
+        assert "TakeOrderedAndProject" not in plan(sample) and "SinglePartition" not in plan(sample).split("Window")[0]
+
 
+def test_numbering_moves_rows_once(stored):
+    from wordloom.layout import number_rows
 
-def test_parts_of_a_sample_are_cut_before_the_shuffle(spark, stored):
-    hits = find_hits(stored, [[word("the")]], keep=("lang",)).withColumnRenamed("lang", "part")
-    parts = stored.groupBy(F.col("lang").alias("part")).agg(F.count("*").alias("n_tokens"))
-    assert "WindowGroupLimit" in plan(ordering.sample_hits_by_part(hits, 50, parts))
+    shown = plan(number_rows(find_hits(stored, [[word("the")]]), ["text_id", "start", "end"]))
+    full = [line for line in shown.split("\n") if "Exchange" in line and "_n" not in line and "Broadcast" not in line]
+    assert not [line for line in full if "start" in line]

@@ -73,15 +73,26 @@ def test_number_columns_in_number_order(spark, counted):
 def test_distribution_export(counted, tables):
     values, texts = tables
     totals, cells = stats.category_totals(values, texts), stats.distribution_cells(counted, values)
-    wide = exports.distribution_export(cells, totals, counted, keep_zero=True)
+    wide = exports.distribution_export(cells, totals, ["A", "B", "C"], counted)
     assert wide.columns == [
         "Attribute value", "A (50 tokens)", "B (50 tokens)", "C (100 tokens)", "Total (200 tokens)", "Deviation of proportions",
     ]
     rows = [tuple(r) for r in wide.collect()]
     assert rows[-1][:5] == ("Total", 8, 5, 0, 13)
     assert ("x", 4, 4, 0, 8, "0.50") in rows
-    with pytest.raises(ValueError):
-        exports.distribution_export(cells, totals, counted, keep_zero=True, most_columns=2)
+    lines = [r.line.split("\t") for r in exports.distribution_lines(cells, totals, counted, keep_zero=True).collect()]
+    assert lines[0] == wide.columns and lines[1:] == [[str(v) for v in r] for r in rows]
+    assert "C (100 tokens)" not in exports.distribution_lines(cells, totals, counted).first().line
+
+
+def test_export_of_thousands_of_values(spark):
+    counted = spark.range(6000).select(F.lit("x").alias("attr"), F.col("id").alias("text_id"), F.lit(1).cast("bigint").alias("n"))
+    values = spark.range(6000).select(F.col("id").alias("text_id"), F.col("id").alias("value"))
+    texts = spark.range(6000).select(F.col("id").alias("text_id"), F.lit(5).cast("bigint").alias("n_tokens"))
+    totals, cells = stats.category_totals(values, texts), stats.distribution_cells(counted, values)
+    lines = [r.line.split("\t") for r in exports.distribution_lines(cells, totals, counted).collect()]
+    assert [len(line) for line in lines] == [6003] * 3 and lines[0][1:4] == ["0 (5 tokens)", "1 (5 tokens)", "2 (5 tokens)"]
+    assert lines[2][-2] == "6000"
 
 
 @pytest.fixture(scope="module")

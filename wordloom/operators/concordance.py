@@ -15,22 +15,29 @@ TREEBANK_CONTEXT = 25
 MAX_CONTEXT = 50
 
 
-def context_size(asked: int | None, treebank: bool = False) -> int:
-    """KWI-1. Words of context: the default if not asked or negative, else at most 50."""
+def context_size(asked: int | None, treebank: bool = False, most: int | None = MAX_CONTEXT) -> int:
+    """KWI-1. Words of context: the default if not asked or negative, else what is asked, at most ``most`` (None: all)."""
     if asked is None:
         return TREEBANK_CONTEXT if treebank else CONTEXT
-    return CONTEXT if asked < 0 else min(asked, MAX_CONTEXT)
+    if asked < 0:
+        return CONTEXT
+    return asked if most is None else min(asked, most)
 
 
 def in_context(
-    hits: DataFrame, tokens: DataFrame, attributes: Iterable[str] = ("word",), context: int | None = None
+    hits: DataFrame,
+    tokens: DataFrame,
+    attributes: Iterable[str] = ("word",),
+    context: int | None = None,
+    treebank: bool = False,
+    most: int | None = MAX_CONTEXT,
 ) -> DataFrame:
     """KWI-1, KWI-2, WIN-2. Hits with ``left``, ``match`` and ``right``, arrays of token structs.
 
-    A page or a sample of hits is sent to the tokens; more hits than that meet the tokens in blocks. The text id is part
-    of the join, so context never runs into another text.
+    A page or a sample of hits is sent to the tokens; more hits than that meet the tokens by exact position. The text id
+    is part of the join, so context never runs into another text. ``context`` beyond ``most`` words is cut to it.
     """
-    n = context_size(context)
+    n = context_size(context, treebank, most)
     around = spans(hits, tokens, F.col("start") - n, F.col("end") + n, attributes, "_around")
     before = F.col("start") - F.element_at("_around", 1)["tok_no"]
     length = F.col("end") - F.col("start") + 1
@@ -54,10 +61,12 @@ def concordance_lines(
     tokens: DataFrame,
     attributes: Iterable[str] = ("word",),
     context: int | None = None,
+    treebank: bool = False,
+    most: int | None = MAX_CONTEXT,
 ) -> DataFrame:
     """KWI-6. Hits with ``left_text``, ``match_text`` and ``right_text``."""
     attributes = tuple(attributes)
-    lines = in_context(hits, tokens, attributes, context)
+    lines = in_context(hits, tokens, attributes, context, treebank, most)
     return lines.select(*hits.columns, *(as_text(c, attributes).alias(f"{c}_text") for c in ("left", "match", "right")))
 
 

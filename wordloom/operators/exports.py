@@ -10,7 +10,7 @@ from wordloom.functions.text import two_decimals
 from wordloom.layout import block
 from wordloom.operators.concordance import in_context
 from wordloom.operators.ordering import CORPUS_ORDER
-from wordloom.operators.stats import category_columns, deviation_of_proportions, total_deviation
+from wordloom.operators.stats import deviation_of_proportions, total_deviation, typed_columns
 
 # Column titles of the exports.
 POSITION, SENTENCE_ID, SPEAKER_ID = "Corpus position", "Sentence ID", "Informant ID"
@@ -85,38 +85,71 @@ def frequency_export(ordered: DataFrame, attributes: Mapping[str, str]) -> DataF
 
 
 def distribution_export(
-    cells: DataFrame, totals: DataFrame, by_text: DataFrame | None = None, keep_zero: bool = False, most_columns: int = 2000
+    cells: DataFrame, totals: DataFrame, values: list[str], by_text: DataFrame | None = None
 ) -> DataFrame:
-    """SNK-4. Wide matrix: a column per category value, row total, score with two decimals, and a last row of totals.
+    """SNK-4. Wide matrix: a column for each of the ``values`` of the category, row total, score with two decimals, and
+    a last row of totals.
 
-    The titles are category values, so they have to be known to the driver: a category with more than
-    ``most_columns`` values is refused (use the cells in long form).
+    The caller names the columns, as for any table; ``distribution_lines`` writes a matrix of all values there are.
     """
-    columns = category_columns(cells, totals, keep_zero).limit(most_columns + 1).collect()
-    if len(columns) > most_columns:
-        raise ValueError(f"more than {most_columns} category values; export the cells in long form")
+    rendered = _rendered(cells, totals, by_text, True)
+    row = lambda v: F.coalesce(F.get(F.filter("cells", lambda c: c["value"] == v), 0)["n"], F.lit(0)).cast("bigint")
+    tokens = {str(r["value"]): r["n_tokens"] for r in totals.where(F.col("value").cast("string").isin(values)).collect()}
     whole = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    values = [c["value"] for c in columns]
-    titles = [f"{c['value']} ({c['n_tokens']} tokens)" for c in columns]
-    as_text = cells.withColumn("value", F.col("value").cast("string"))
-    scores = deviation_of_proportions(cells, totals, by_text)
-    matrix = as_text.groupBy("attr").pivot("value", values).agg(F.sum("n")).na.fill(0)
-    cell = lambda v: F.coalesce(F.col("`" + v.replace("`", "``") + "`"), F.lit(0)).cast("bigint")
-    rows = scores.join(matrix, "attr", "left").select(
-        F.lit(0).alias("_last"),
+    return rendered.orderBy("last", "attr").select(
         F.col("attr").alias(ATTRIBUTE_VALUE),
-        *(cell(v).alias(t) for v, t in zip(values, titles)),
+        *(row(v).alias(f"{v} ({tokens.get(v, 0)} tokens)") for v in values),
         F.col("total").cast("bigint").alias(f"{TOTAL} ({whole} tokens)"),
-        two_decimals("dp").alias(DP),
+        F.col("dp").alias(DP),
     )
+
+
+def _rendered(cells: DataFrame, totals: DataFrame, by_text: DataFrame | None, keep_zero: bool) -> DataFrame:
+    """(last, attr, cells, total, dp) of every line: its non-zero cells as an array of (value, n), score as text.
+
+    The last line holds the totals of the columns. An array has at most one entry per category value.
+    """
+    pair = F.struct(F.col("value").cast("string").alias("value"), F.col("n").cast("bigint").alias("n"))
+    own = cells.groupBy("attr").agg(F.collect_list(pair).alias("cells"))
+    lines = deviation_of_proportions(cells, totals, by_text).join(own, "attr", "left").select(
+        F.lit(0).alias("last"), "attr", "cells", F.col("total").cast("bigint").alias("total"), two_decimals("dp").alias("dp")
+    )
+    columns = typed_columns(cells, totals, keep_zero).select(F.col("value"), F.col("n_hits").alias("n"))
+    foot = columns.agg(F.collect_list(pair).alias("cells"))
     last = total_deviation(cells, totals).select(
-        F.lit(1).alias("_last"),
-        F.lit(TOTAL).alias(ATTRIBUTE_VALUE),
-        *(F.lit(c["n_hits"]).cast("bigint").alias(t) for c, t in zip(columns, titles)),
-        F.col("total").cast("bigint").alias(f"{TOTAL} ({whole} tokens)"),
-        two_decimals("dp").alias(DP),
+        F.lit(1).alias("last"), F.lit(TOTAL).alias("attr"), foot.scalar().alias("cells"), F.col("total").cast("bigint").alias("total"), two_decimals("dp").alias("dp")
+    )
+    return lines.unionByName(last)
+
+
+def distribution_lines(
+    cells: DataFrame, totals: DataFrame, by_text: DataFrame | None = None, keep_zero: bool = False, separator: str = "\t"
+) -> DataFrame:
+    """SNK-4. The export as lines of text (``line``), titles first and totals last, for any number of category values.
+
+    The ordered list of columns is a subquery of one row that every line uses; neither the values nor the matrix go to
+    the driver.
+    """
+    columns = typed_columns(cells, totals, keep_zero)
+    title = F.concat(F.col("value").cast("string"), F.lit(" ("), F.col("n_tokens").cast("string"), F.lit(" tokens)"))
+    column = F.struct("value", title.alias("title"))
+    listed = columns.agg(F.array_sort(F.collect_list(column)).alias("_columns"))
+    whole = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("string")).scalar()
+    total = F.concat(F.lit(f"{TOTAL} ("), whole, F.lit(" tokens)"))
+    joined = lambda first, middle, *rest: F.array_join(F.concat(F.array(first), middle, F.array(*rest)), separator)
+    head = listed.select(
+        F.lit(-1).alias("last"),
+        F.lit("").alias("attr"),
+        joined(F.lit(ATTRIBUTE_VALUE), F.transform("_columns", lambda c: c["title"]), total, F.lit(DP)).alias("line"),
+    )
+    counts = F.map_from_entries(F.coalesce("cells", F.array().cast("array<struct<value:string,n:bigint>>")))
+    shown = lambda c: F.coalesce(F.try_element_at("_map", c["value"].cast("string")), F.lit(0)).cast("string")
+    body = _rendered(cells, totals, by_text, keep_zero).withColumn("_map", counts).withColumn("_columns", listed.scalar())
+    dp = F.coalesce("dp", F.lit(""))
+    lines = body.select(
+        "last", "attr", joined(F.col("attr"), F.transform("_columns", shown), F.col("total").cast("string"), dp).alias("line")
     )
-    return rows.unionByName(last).orderBy("_last", ATTRIBUTE_VALUE).drop("_last")
+    return head.unionByName(lines).orderBy("last", "attr").select("line")
 
 
 def running_text(tokens: DataFrame, attribute: str, bits: int = 12) -> DataFrame:

@@ -19,7 +19,6 @@ from wordloom.session import cut
 
 KEYS = ("text_id", "start", "end")
 OPEN_GAP_BITS = 16
-SMALL_RESULT = 100_000
 
 
 def find_hits(
@@ -75,9 +74,9 @@ def _match(
     keep: tuple[str, ...],
     match: tuple[str, ...],
 ) -> DataFrame:
+    # the first token of a pattern that begins with free ones is looked up afterwards
+    later, keep = (keep, ()) if steps.lead else ((), keep)
     carried = _carried(tokens, within, keep)
-    if keep and steps.lead:
-        raise ValueError("attributes of the first token can be kept only if the pattern restricts it")
     tests = [t.column(within) for t in steps.terms]
     first, last = f"{within}_first", f"{within}_last"
     # only tokens that fit some term, in a region long enough, ever leave their scan task
@@ -101,7 +100,8 @@ def _match(
     if not steps.lead and not steps.trail:
         return begun
     moved = begun.withColumn("start", F.col("start") - steps.lead).withColumn("end", F.col("end") + steps.trail)
-    return moved.where((F.col("start") >= F.col(first)) & (F.col("end") <= F.col(last)))
+    inside = moved.where((F.col("start") >= F.col(first)) & (F.col("end") <= F.col(last)))
+    return with_token(inside, tokens, F.col("start"), {c: c for c in later}, present=True) if later else inside
 
 
 def _match_fixed(
@@ -237,24 +237,23 @@ def _step_open(rows: DataFrame, level: int, low: int, within: str) -> DataFrame:
 
 
 def with_match(hits: DataFrame, tokens: DataFrame, attributes: Iterable[str]) -> DataFrame:
-    """Hits with ``match``, the array of the hit's tokens as (tok_no, attributes) in order.
-
-    Both sides are keyed by (text, block), so a block's tokens and the hits in it meet in one small group.
-    """
+    """Hits with ``match``, the array of the hit's tokens as (tok_no, attributes) in order."""
     return spans(hits, tokens, F.col("start"), F.col("end"), attributes, "match")
 
 
 def spans(
     hits: DataFrame, tokens: DataFrame, first: Column, last: Column, attributes: Iterable[str], name: str
 ) -> DataFrame:
-    """Hits with the array ``name`` of the tokens numbered ``first`` to ``last`` in the hit's text."""
+    """Hits with the array ``name`` of the tokens numbered ``first`` to ``last`` in the hit's text.
+
+    A hit is unfolded to the token numbers it wants, so the join makes no row but those that are wanted.
+    """
     attributes = tuple(attributes)
     ranges = hits.withColumn("_first", F.greatest(first, F.lit(0))).withColumn("_last", last)
-    keyed = ranges.withColumn("_block", F.explode(F.sequence(block("_first"), block("_last"))))
-    wanted = tokens.select(
-        "text_id", block("tok_no").alias("_block"), "tok_no", F.struct("tok_no", *attributes).alias("_token")
-    )
-    inside = keyed.join(wanted, ["text_id", "_block"]).where(F.col("tok_no").between(F.col("_first"), F.col("_last")))
+    wanted = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
+    keyed = ranges.withColumn("tok_no", F.explode(wanted)).drop("_first", "_last")
+    asked = tokens.select("text_id", "tok_no", F.struct("tok_no", *attributes).alias("_token"))
+    inside = asked.join(keyed, ["text_id", "tok_no"])
     return inside.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_token")).alias(name))
 
 
@@ -277,14 +276,9 @@ def with_token(
     return keyed.join(wanted, ["text_id", "_at"]).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
 
 
-def settled(hits: DataFrame, few: int = SMALL_RESULT) -> DataFrame:
-    """A search result written to the checkpoint folder, for sorting and paging it repeatedly.
-
-    Its rows are counted, and only if they are ``few`` (a few megabytes) Spark is told to send them to the tokens instead
-    of shuffling the token table to them.
-    """
-    hits = cut(hits)
-    return F.broadcast(hits) if hits.limit(few + 1).count() <= few else hits
+def settled(hits: DataFrame) -> DataFrame:
+    """A search result written to the checkpoint folder, for sorting and paging it repeatedly."""
+    return cut(hits)
 
 
 def aligned_hits(hits: DataFrame, alignment: DataFrame, others: Mapping[str, DataFrame], within: str = "s") -> DataFrame:

@@ -12,11 +12,6 @@ from wordloom.session import cut
 HITS_PER_PAGE = 50
 FIRST_REQUEST = 100
 TEXTS_PER_PAGE = 50
-EXPORT_CAP = 1_000_001
-
-# From this many rows on, an ordered slice is taken by row number and a sample by hash bucket, because a top-n
-# brings its n rows together in one task.
-TOP_N_LIMIT = 100_000
 CORPUS_ORDER = ("text_id", "start", "end")
 
 
@@ -51,10 +46,13 @@ def sort_hits(hits: DataFrame, tokens: DataFrame, by: str = "position", within:
 
 
 def ordered_slice(rows: DataFrame, order: list, start: int, end: int) -> DataFrame:
-    """LIM-1. Rows number ``start`` to ``end`` (0-based, inclusive) in a unique order."""
-    if end < TOP_N_LIMIT:
-        return rows.orderBy(*order).offset(start).limit(max(end - start + 1, 0))
-    return number_rows(rows, order, "_no").where(F.col("_no").between(start, end)).drop("_no")
+    """LIM-1. Rows number ``start`` to ``end`` (0-based, inclusive) in a unique order.
+
+    Rows are numbered by range partition and offset, so no task gathers the rows before the slice, however deep it is.
+    """
+    inside = number_rows(rows, order, "_no").where(F.col("_no").between(start, end))
+    # the limit states the size of the result, and the order is that of the slice
+    return inside.orderBy("_no").limit(max(end - start + 1, 0)).drop("_no")
 
 
 def hit_page(keyed_hits: DataFrame, page: int, size: int = HITS_PER_PAGE) -> DataFrame:
@@ -106,17 +104,13 @@ def _draw(seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in CORPUS_ORDER)))
 
 
-def sample_hits(hits: DataFrame, n: int, seed: int | str = 0, top_n_limit: int = TOP_N_LIMIT) -> DataFrame:
+def sample_hits(hits: DataFrame, n: int, seed: int | str = 0) -> DataFrame:
     """SMP-1. Exactly ``n`` hits at random, or all if there are fewer; bring them into order with ``sort_hits``."""
-    drawn = hits.withColumn("_draw", _draw(seed))
-    if n <= top_n_limit:
-        return drawn.orderBy("_draw", *CORPUS_ORDER).limit(n).drop("_draw")
-    return _lowest(drawn.withColumn("_quota", F.lit(n)), []).drop("_draw", "_quota")
+    drawn = hits.withColumn("_draw", _draw(seed)).withColumn("_quota", F.lit(n))
+    return _lowest(drawn, []).drop("_draw", "_quota")
 
 
-def sample_hits_by_part(
-    hits: DataFrame, n: int, parts: DataFrame, seed: int | str = 0, top_n_limit: int = TOP_N_LIMIT
-) -> DataFrame:
+def sample_hits_by_part(hits: DataFrame, n: int, parts: DataFrame, seed: int | str = 0) -> DataFrame:
     """SMP-2. ``n`` hits spread over parts in proportion to their tokens.
 
     ``parts`` has (part, n_tokens) and ``hits`` has ``part``. Each part gets its share of ``n`` rounded up; what this
@@ -125,12 +119,6 @@ def sample_hits_by_part(
     total = parts.agg(F.sum("n_tokens")).scalar()
     quotas = parts.select("part", F.ceil(F.lit(n) * F.col("n_tokens") / total).alias("_quota"))
     drawn = hits.join(quotas, "part").withColumn("_draw", _draw(seed))
-    if n <= top_n_limit:
-        # the fixed limit lets every task drop all but its own first n rows of a part before the shuffle
-        rank = F.row_number().over(W.partitionBy("part").orderBy("_draw", *CORPUS_ORDER))
-        ranked = drawn.withColumn("_rank", rank).where(F.col("_rank") <= n)
-        picked = ranked.where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
-        return picked.orderBy("_draw", *CORPUS_ORDER).limit(n).drop("_draw")
     picked = _lowest(drawn, ["part"]).drop("_quota")
     return _lowest(picked.withColumn("_quota", F.lit(n)), []).drop("_draw", "_quota")
 

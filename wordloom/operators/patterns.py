@@ -153,12 +153,17 @@ def category(attr: str, value: str, subcategories: Iterable[Condition] = (), neg
 
 
 def sections(groups: Iterable[Iterable[AllOf]]) -> AllOf:
-    """PAT-9. Categories of a section are alternatives, or all required if the section excludes; sections are AND-ed."""
+    """PAT-9. Categories of a section are alternatives, or all required if the section excludes; sections are AND-ed.
+
+    A section excludes as a whole: categories that exclude and others in one section are refused.
+    """
     combined = []
     for group in groups:
         group = tuple(group)
         if group:
-            excluding = all(c.parts[0].negate for c in group)
+            excluding = group[0].parts[0].negate
+            if any(c.parts[0].negate != excluding for c in group):
+                raise ValueError("a section either excludes all its categories or none")
             combined.append(AllOf(group) if excluding else AnyOf(group))
     return AllOf(tuple(combined))
 
@@ -214,8 +219,12 @@ def normalise(items: Iterable[Tok | Gap]) -> list[Steps]:
     A gap before the first term that may be empty gives two alternatives, one without the gap.
     """
     items = list(items)
+    if not items:
+        raise ValueError("a pattern needs at least one token")
     if is_blank(items):
-        raise ValueError("a pattern needs at least one restricted token")
+        # PAT-11: any token starts a hit; of gaps the shortest end counts
+        length = sum(i.low if isinstance(i, Gap) else 1 for i in items)
+        return [Steps((Tok(),), (), 0, max(length - 1, 0))]
     if isinstance(items[0], Gap):
         gap, rest = items[0], items[1:]
         if gap.high == 0:

@@ -128,12 +128,12 @@ def in_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.join(texts.select("text_id"), "text_id", "left_semi")
 
 
-def in_span(texts: DataFrame, low: int, high: int) -> DataFrame:
+def in_span(texts: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
     """FLT-7. Texts that lie inside the corpus positions ``low`` to ``high``."""
     return texts.where((F.col("startpos") >= low) & (F.col("endpos") <= high))
 
 
-def in_ranges(tokens: DataFrame, ranges: DataFrame, position: str = "pos", bits: int = 16) -> DataFrame:
+def in_ranges(tokens: DataFrame, ranges: DataFrame, position: str = "pos", bits: int = 10) -> DataFrame:
     """FLT-8, JOI-5. Tokens whose position lies in one of the ranges (start, end), ends inclusive.
 
     Both sides get the block number of the position as join key. A long range is unfolded in two steps so that no

@@ -63,9 +63,9 @@ def distinct_values(texts: DataFrame, category: str, selection: Selection = Sele
 
 
 def listed_values(dimension: Dimension, column: str) -> DataFrame:
-    """AGG-5. One row per text with its many-to-many values, each once, in order, separated by ``'; '``."""
+    """AGG-5. One row per text with its many-to-many values in order, separated by ``'; '``; a repeated value repeats."""
     rows = dimension_rows(dimension, {}).select("text_id", F.col(column).alias("_value"))
-    listed = rows.where(F.col("_value").isNotNull()).distinct().groupBy("text_id")
+    listed = rows.where(F.col("_value").isNotNull()).groupBy("text_id")
     return listed.agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_value")), lambda v: v.cast("string")), "; ").alias(column)
     )
@@ -131,8 +131,9 @@ def frequency_list(rows: DataFrame, attributes: Iterable[str] = ("word",), case_
     """AGG-7, AGG-8. Count of every combination of attribute values, undefined values blank.
 
     ``rows`` are hits that carry the attributes: from ``find_hits(keep=...)`` for one-token matches, from
-    ``match_part`` for longer ones or a part of them.
+    ``match_part`` for longer ones or a part of them. Without attributes the words are counted.
     """
+    attributes = tuple(attributes) or ("word",)
     shown = lambda a: F.coalesce(F.col(a).cast("string"), F.lit(""))
     keys = [(shown(a) if case_sensitive else F.lower(shown(a))).alias(a) for a in attributes]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +141,7 @@ def frequency_list(rows: DataFrame, attributes: Iterable[str] = ("word",), case_
 
 def by_frequency(counted: DataFrame, attributes: Iterable[str] = ("word",)) -> DataFrame:
     """SRT-6. Highest count first, equal counts by value descending in byte order."""
-    return counted.orderBy(F.desc("n"), F.concat_ws("\t", *attributes).desc())
+    return counted.orderBy(F.desc("n"), F.concat_ws("\t", *(tuple(attributes) or ("word",))).desc())
 
 
 # ---------------------------------------------------------------- distributions
@@ -238,8 +239,12 @@ def category_columns(cells: DataFrame, totals: DataFrame, keep_zero: bool = True
 
     Without ``keep_zero`` values that have no hits are dropped; the token total of the corpus still counts them.
     """
+    typed = typed_columns(cells, totals, keep_zero)
+    return typed.orderBy("value").select(F.col("value").cast("string").alias("value"), "n_hits", "n_tokens", "n_texts")
+
+
+def typed_columns(cells: DataFrame, totals: DataFrame, keep_zero: bool = True) -> DataFrame:
+    """The same in no order, with values of their own type."""
     hits = cells.groupBy("value").agg(F.sum("n").alias("n_hits"))
     joined = totals.join(hits, "value", "left" if keep_zero else "inner")
-    return joined.orderBy("value").select(
-        F.col("value").cast("string").alias("value"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "n_tokens", "n_texts"
-    )
+    return joined.select("value", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "n_tokens", "n_texts")

@@ -34,6 +34,7 @@ class Corpus:
     attributes: tuple[str, ...] = ()
     within: str = "s"
     spoken: bool = False
+    treebank: bool = False
     ranges: DataFrame | None = None
     coords: DataFrame | None = None
 
@@ -143,7 +144,8 @@ class Corpus:
         """
         within = self.within if self.spoken else None
         keyed = ordering.sort_keys(hits, self.tokens, by, within)
-        lines = concordance.concordance_lines(ordering.hit_page(keyed, page), self.tokens, context=context)
+        found = ordering.hit_page(keyed, page)
+        lines = concordance.concordance_lines(found, self.tokens, context=context, treebank=self.treebank)
         return lines.orderBy(*ordering.hit_order())
 
     def distribution(
@@ -188,8 +190,3 @@ class Distribution:
 
     def margins(self) -> DataFrame:
         return stats.distribution_totals(self.cells)
-
-
-def prepared_texts(texts: DataFrame) -> DataFrame:
-    """Loaded metadata of written texts with ``n_tokens`` from their range."""
-    return texts.withColumn("n_tokens", F.col("endpos") - F.col("startpos") + 1)

@@ -308,12 +308,3 @@ def event_values(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("user_id").alias("text_id"), F.col("event_type").alias("category"), "value", "ts", "event_id"
     )
-
-
-def event_categories(spark: SparkSession, folder: str, most: int = 1000) -> list[str]:
-    """Category names; like the columns of a metadata table they have to be known to the driver."""
-    names = table(spark, folder, "events").select("event_type").distinct().orderBy("event_type").limit(most + 1)
-    found = [r[0] for r in names.collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} categories cannot become columns")
-    return found

@@ -76,8 +76,15 @@ files AS (
 
 ORACLES: dict[str, str] = {}
 
+# Self joins of the token table that the database plans badly under an outer row limit, unless they are ordered.
+ORDERED = (
+    "joi4_hit_metadata pat5_wildcards pat11_any_token pat12_sequence pat16_alternatives pat17_in_selection win3_match_offsets"
+).split()
+
 
 def oracle(name: str, sql: str, *parts: str) -> None:
+    if name in ORDERED:
+        sql += " ORDER BY ALL"
     ORACLES[name] = ("WITH " + ",".join(parts) + sql) if parts else sql
 
 
@@ -234,7 +241,7 @@ oracle(
     "joi4_hit_lists",
     """SELECT text_id, n, coalesce(brand, '') AS brand
     FROM (SELECT text_id, CAST(count(*) AS BIGINT) AS n FROM lines WHERE lemma = 'RF' GROUP BY 1)
-    LEFT JOIN (SELECT text_id, string_agg(DISTINCT brand, '; ' ORDER BY brand) AS brand FROM op GROUP BY 1) USING (text_id)""",
+    LEFT JOIN (SELECT text_id, string_agg(brand, '; ' ORDER BY brand) AS brand FROM op GROUP BY 1) USING (text_id)""",
     SHOP,
 )
 oracle("joi5_token_in_range", "SELECT text_id, CAST(count(*) AS BIGINT) AS n FROM t WHERE lang = 'es' GROUP BY 1", DOCS)
@@ -266,6 +273,12 @@ oracle(
     FROM tt JOIN files f ON f.av_file = 'rec' || tt.text_id WHERE lemma = 'the'""",
     TALK,
 )
+oracle(
+    "joi10_silent_player",
+    """SELECT 'nosound' AS audio, coalesce(has_video, false) AS has_video, CAST(count(*) AS BIGINT) AS n
+    FROM tt LEFT JOIN files f ON f.av_file = 'rec' || tt.text_id WHERE lemma = 'the' GROUP BY 1, 2""",
+    TALK,
+)
 TREE = "tree AS (SELECT text_id, s_id, word, pos_tag AS dep_fun, tok_no - s_first + 1 AS i, (tok_no - s_first + 1) // 2 AS h FROM t)"
 oracle(
     "joi11_dependency_edges",
@@ -310,6 +323,8 @@ oracle(
 )
 oracle("pat4_literal_characters", per_text(where("word IN ('|', '*') OR starts_with(word, '$')")), DOCS)
 oracle("pat5_wildcards", pair("a.lemma LIKE 'th%n'", "b.lemma = 'of'", "a.text_id, a.tok_no AS hit_start, b.tok_no AS hit_end"), DOCS)
+oracle("pat5_blank", per_text("SELECT text_id, tok_no AS s, tok_no AS e FROM t"), DOCS)
+oracle("pat11_everything", per_text("SELECT text_id, tok_no AS s, tok_no + 1 AS e FROM t WHERE tok_no < s_last"), DOCS)
 oracle("pat5_literal_wildcards", per_text(pair("a.word = '%'", "true")), DOCS)
 oracle("pat6_regex", per_text(where("regexp_full_match(word, 'Th.*|of|in|[0-9]+')")), DOCS)
 oracle("pat6_alternatives", per_text(where("word IN ('de', 'la', 'der')")), DOCS)
@@ -385,9 +400,9 @@ oracle(
 )
 oracle(
     "pat17_in_selection",
-    pair("a.lemma = 'of'", "b.lemma = 'the'", "a.text_id, a.tok_no AS hit_start, b.tok_no AS hit_end")
-    + """ AND a.lang = 'en' AND a.text_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
-    AND a.text_id IN (SELECT doc_id FROM documents WHERE n_chars >= 300)""",
+    """SELECT text_id, tok_no AS hit_start, tok_no AS hit_end FROM t WHERE lemma = 'the'
+    AND lang = 'en' AND text_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+    AND text_id IN (SELECT doc_id FROM documents WHERE n_chars >= 300)""",
     DOCS,
 )
 oracle(
@@ -422,7 +437,10 @@ OF_THE = pair("a.lemma = 'of'", "b.lemma = 'the'")
 FROM_THE = pair("a.lemma = 'from'", "b.lemma = 'the'")
 LINE = "left_text, match_text, right_text"
 oracle("kwi1_context", kwic(OF_THE, 15) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
-oracle("kwi2_text_edges", kwic(where("tok_no = 0 AND starts_with(lemma, 'th')"), 50) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
+oracle("kwi1_treebank", kwic(FROM_THE, 25) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
+oracle("kwi2_text_edges", kwic(
+    """SELECT text_id, tok_no AS s, tok_no AS e FROM (SELECT *, max(tok_no) OVER (PARTITION BY text_id) AS last FROM t)
+    WHERE starts_with(lemma, 'th') AND (tok_no = 0 OR tok_no >= last - 2)""", 50) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
 oracle(
     "kwi3_segment_context",
     """SELECT h.text_id, h.tok_no AS hit_start, seg.seg_id, seg.speaker, from_s, to_s, seg.seg_id = h.seg_id AS is_match
@@ -461,7 +479,7 @@ oracle(
     CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1, 2""",
     DOCS,
 )
-oracle("kwi8_markup", "SELECT page_id, md5(replace(html, '&nbsp;', '_')) AS cleaned FROM pages")
+oracle("kwi8_markup", "SELECT page_id, md5(replace(replace(html, ' ', '&nbsp;'), '&nbsp;', '_')) AS cleaned FROM pages")
 oracle(
     "kwi9_original_rows",
     kwic(pair("a.lemma = 'by'", "b.lemma = 'the'"), 4)
@@ -594,7 +612,7 @@ oracle(
     "SELECT DISTINCT type AS value FROM op JOIN orders_t USING (text_id) WHERE brand = 'Brand#2' AND status = 'O'",
     SHOP,
 )
-LISTED = "(SELECT text_id, string_agg(DISTINCT brand, '; ' ORDER BY brand) AS brand FROM op GROUP BY 1)"
+LISTED = "(SELECT text_id, string_agg(brand, '; ' ORDER BY brand) AS brand FROM op GROUP BY 1)"
 oracle("agg5_listed_values", f"SELECT * FROM {LISTED}", SHOP)
 oracle(
     "agg6_metadata_table",
@@ -622,6 +640,7 @@ oracle(
     "SELECT lemma, coalesce(phon, '') AS phon, CAST(count(*) AS BIGINT) AS n FROM t WHERE is_cap GROUP BY 1, 2",
     DOCS,
 )
+oracle("agg7_default_attribute", "SELECT lemma AS word, CAST(count(*) AS BIGINT) AS n FROM t WHERE starts_with(lemma, 'th') GROUP BY 1", DOCS)
 oracle("agg8_case_sensitive", "SELECT word, CAST(count(*) AS BIGINT) AS n FROM t WHERE starts_with(lemma, 'th') GROUP BY 1", DOCS)
 oracle(
     "agg9_match_part",
@@ -659,6 +678,7 @@ oracle(
     TEXTS,
 )
 oracle("agg10_attribute_by_text", f"SELECT lemma AS attr, text_id, CAST(count(*) AS BIGINT) AS n FROM t WHERE {COMMON_WORDS} GROUP BY 1, 2", DOCS)
+oracle("agg10_free_first_token", pair("true", "b.lemma = 'the'", "a.lemma AS attr, a.text_id, CAST(count(*) AS BIGINT) AS n") + " GROUP BY 1, 2", DOCS)
 oracle(
     "agg11_category_totals",
     "SELECT quality AS value, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_texts FROM texts WHERE quality IS NOT NULL GROUP BY 1",
@@ -693,6 +713,15 @@ oracle(
     SELECT form, place, CAST(count(*) AS BIGINT) AS n FROM h JOIN orders_t USING (text_id) WHERE status IN ('P', 'F') GROUP BY 1, 2""",
     SHOP,
 )
+oracle(
+    "agg18_free_first_token",
+    """, li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+      l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS k FROM lineitem),
+    h AS (SELECT a.l_orderkey AS text_id, a.l_returnflag AS form FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.k = a.k + 1
+      WHERE b.l_returnflag = 'N')
+    SELECT form, place, CAST(count(*) AS BIGINT) AS n FROM h JOIN orders_t USING (text_id) WHERE status IN ('P', 'F') GROUP BY 1, 2""",
+    SHOP,
+)
 oracle(
     "agg13_totals",
     BY_SOURCE
@@ -765,7 +794,7 @@ oracle("set1_union_of_patterns", per_text(where("starts_with(lemma, 'the') OR su
 oracle(
     "set3_difference",
     f""", bt AS (SELECT lemma AS attr, text_id, CAST(count(*) AS BIGINT) AS n FROM t WHERE {COMMON_WORDS} GROUP BY 1, 2)
-    SELECT * FROM bt WHERE attr NOT IN (SELECT attr FROM bt GROUP BY 1 HAVING sum(n) > 5000)""",
+    SELECT * FROM bt WHERE attr NOT IN (SELECT attr FROM bt GROUP BY 1 HAVING sum(n) > 0.2 * (SELECT sum(n) FROM bt))""",
     DOCS,
 )
 oracle("set4_distinct", "SELECT DISTINCT place AS value FROM orders_t WHERE place IS NOT NULL", SHOP)
@@ -817,6 +846,21 @@ oracle(
     DOCS,
     TEXTS,
 )
+oracle(
+    "snk4_distribution_lines",
+    BY_LANGUAGE
+    + """, cols AS (SELECT row_number() OVER (ORDER BY value) AS k, value, n_tokens FROM totals),
+    body AS (SELECT attr, string_agg(n::VARCHAR, chr(9) ORDER BY value) AS ns, any_value(total) AS total, any_value(dp) AS dp
+      FROM dense JOIN scores USING (attr) GROUP BY attr),
+    foot AS (SELECT string_agg(n, chr(9) ORDER BY value) AS ns FROM (SELECT value, sum(n)::BIGINT::VARCHAR AS n FROM dense GROUP BY value))
+    SELECT 'Attribute value' || chr(9) || (SELECT string_agg(value || ' (' || n_tokens || ' tokens)', chr(9) ORDER BY k) FROM cols)
+      || chr(9) || 'Total (' || (SELECT sum(n_tokens)::BIGINT FROM cols) || ' tokens)' || chr(9) || 'Deviation of proportions' AS line
+    UNION ALL SELECT attr || chr(9) || ns || chr(9) || total || chr(9) || printf('%.2f', dp) FROM body
+    UNION ALL SELECT 'Total' || chr(9) || ns || chr(9) || any_value(total) || chr(9) || printf('%.2f', any_value(score_all.dp))
+      FROM foot, colsum, score_all GROUP BY ns""",
+    DOCS,
+    TEXTS,
+)
 oracle("snk4_distribution_titles", BY_LANGUAGE + "SELECT value || ' (' || n_tokens || ' tokens)' AS title FROM totals", DOCS, TEXTS)
 oracle(
     "snk5_running_text",

@@ -173,7 +173,7 @@ def src8_media_manifest(spark, folder):
 @query
 def src9_pivot_values(spark, folder):
     values = given.event_values(spark, folder)
-    return tables.pivot_values(values, given.event_categories(spark, folder), ["ts", "event_id"])
+    return tables.pivot_values(values, ["click", "error", "purchase", "signup", "view"], ["ts", "event_id"])
 
 
 # ---------------------------------------------------------------- text selection
@@ -237,8 +237,8 @@ def flt7_tokens_of_texts(spark, folder):
 @query
 def flt7_texts_in_span(spark, folder):
     ranges = given.docs_ranges(spark, folder)
-    whole = ranges.agg(F.max("endpos").alias("m")).first()["m"]
-    return in_span(ranges, whole // 4, whole // 2).select("text_id", "startpos", "endpos")
+    whole = ranges.agg(F.max("endpos")).scalar()
+    return in_span(ranges, F.floor(whole / 4), F.floor(whole / 2)).select("text_id", "startpos", "endpos")
 
 
 @query
@@ -410,6 +410,16 @@ def joi10_media_flags(spark, folder):
     return flagged.select("text_id", F.col("start").alias("hit_start"), "av_file", F.coalesce("audio", F.lit("none")).alias("audio"), "has_video")
 
 
+@query
+def joi10_silent_player(spark, folder):
+    """One recording listed as silent makes the player silent for all."""
+    segments, tokens = talk_parts(spark, folder)
+    hits = hit_ops.find_hits(tokens, [[word("the")]], "seg")
+    manifest = tables.media_manifest(given.talk_files(spark, folder)).withColumn("silent_player", F.col("av_file") == "rec6")
+    flagged = concordance.with_media(hits, segments, manifest)
+    return flagged.groupBy("audio", "has_video").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def joi11_dependency_edges(spark, folder):
     edges = treebank.dependency_edges(given.treebank_tokens(spark, folder))
@@ -466,6 +476,12 @@ def pat5_wildcards(spark, folder):
     return rows_of(docs_hits(spark, folder, simple("  Th*n  of ")))
 
 
+@query
+def pat5_blank(spark, folder):
+    """A blank search box finds every token."""
+    return per_text(docs_hits(spark, folder, simple("  ")))
+
+
 @query
 def pat5_literal_wildcards(spark, folder):
     return per_text(docs_hits(spark, folder, simple("% *")))
@@ -512,6 +528,12 @@ def pat11_any_token(spark, folder):
     return rows_of(docs_hits(spark, folder, [anything(), word("the"), anything(), word("of"), anything()]))
 
 
+@query
+def pat11_everything(spark, folder):
+    """Two to four tokens of any kind: one hit at every token that has a neighbour in its sentence."""
+    return per_text(docs_hits(spark, folder, [anything(), Gap(0, 2), anything()]))
+
+
 @query
 def pat12_sequence(spark, folder):
     return rows_of(docs_hits(spark, folder, [word("of"), word("the")]))
@@ -564,7 +586,7 @@ def pat16_alternatives(spark, folder):
 @query
 def pat17_in_selection(spark, folder):
     selection = Selection({"quality": Choice((0,), exclude=True), "n_chars": Choice(low=300)})
-    return rows_of(given.docs(spark, folder).search([[word("of"), word("the")]], selection, language="en"))
+    return rows_of(given.docs(spark, folder).search([[word("the")]], selection, language="en"))
 
 
 @query
@@ -594,11 +616,21 @@ def kwi1_context(spark, folder):
     return shown(concordance.concordance_lines(hits, tokens))
 
 
+@query
+def kwi1_treebank(spark, folder):
+    """The wider default of a treebank."""
+    tokens = given.docs_tokens(spark, folder)
+    hits = hit_ops.find_hits(tokens, [[word("from"), word("the")]])
+    return shown(concordance.concordance_lines(hits, tokens, treebank=True))
+
+
 @query
 def kwi2_text_edges(spark, folder):
     tokens = given.docs_tokens(spark, folder)
-    hits = hit_ops.find_hits(tokens.where("s_id = 0"), [[Tok(form_test("th", where="start"), initial=True)]])
-    return shown(concordance.concordance_lines(hits, tokens, context=60))
+    hits = hit_ops.find_hits(tokens, [[Tok(form_test("th", where="start"))]])
+    sized = hits.join(given.docs_texts(spark, folder).select("text_id", "n_tokens"), "text_id")
+    at_edge = sized.where((F.col("start") == 0) | (F.col("start") >= F.col("n_tokens") - 3)).drop("n_tokens")
+    return shown(concordance.concordance_lines(at_edge, tokens, context=60))
 
 
 @query
@@ -642,7 +674,8 @@ def kwi7_hidden_values(spark, folder):
 @query
 def kwi8_markup(spark, folder):
     pages = given.table(spark, folder, "pages")
-    return pages.select("page_id", F.md5(token_source.clean_ingest(F.col("html"))).alias("cleaned"))
+    marked = F.replace("html", F.lit(" "), F.lit("&nbsp;"))
+    return pages.select("page_id", F.md5(token_source.clean_ingest(marked)).alias("cleaned"))
 
 
 @query
@@ -790,9 +823,9 @@ def smp1_random_hits(spark, folder):
 
 @query
 def smp1_large_sample(spark, folder):
-    """The same kind of sample by hash buckets, the way large ones are drawn."""
+    """A sample of most hits."""
     hits = docs_hits(spark, folder, [word("the")])
-    return rows_of(ordering.sample_hits(hits, 9000, seed=7, top_n_limit=1000))
+    return rows_of(ordering.sample_hits(hits, 9000, seed=7))
 
 
 @query
@@ -873,6 +906,13 @@ def agg7_one_token_list(spark, folder):
     return stats.frequency_list(hits, ["lemma", "phon"])
 
 
+@query
+def agg7_default_attribute(spark, folder):
+    """Without attributes the words are counted."""
+    hits = docs_hits(spark, folder, [Tok(form_test("th", where="start"))], keep=("word",))
+    return stats.frequency_list(hits, ())
+
+
 @query
 def agg8_case_sensitive(spark, folder):
     hits = docs_hits(spark, folder, [Tok(form_test("th", where="start"))], keep=("word",))
@@ -902,6 +942,13 @@ def agg10_attribute_by_text(spark, folder):
     return stats.attribute_by_text(common_words(spark, folder), "lemma")
 
 
+@query
+def agg10_free_first_token(spark, folder):
+    """What stands before ``the``: the first token of the pattern is free."""
+    hits = docs_hits(spark, folder, [anything(), word("the")], keep=("lemma",))
+    return stats.attribute_by_text(hits, "lemma")
+
+
 @query
 def agg11_category_totals(spark, folder):
     values = stats.category_values(given.docs_texts(spark, folder), "quality", facet=False)
@@ -947,6 +994,14 @@ def agg18_searched_forms(spark, folder):
     return corpus.geo_distribution(hits)
 
 
+@query
+def agg18_free_first_token(spark, folder):
+    """The map of what stands before a line of one kind."""
+    corpus = given.shop(spark, folder)
+    hits = corpus.search([[anything(), word("N")]], Selection({"status": Choice(("P", "F"))}), keep=("word",))
+    return corpus.geo_distribution(hits)
+
+
 @query
 def agg13_totals(spark, folder):
     margins = docs_distribution(spark, folder).margins()
@@ -1058,7 +1113,8 @@ def set1_union_of_patterns(spark, folder):
 @query
 def set3_difference(spark, folder):
     by_text = stats.attribute_by_text(common_words(spark, folder), "lemma")
-    removed = by_text.groupBy("attr").agg(F.sum("n").alias("_n")).where("_n > 5000").select("attr")
+    counts = by_text.groupBy("attr").agg(F.sum("n").alias("_n"))
+    removed = counts.where(F.col("_n") > 0.2 * counts.agg(F.sum("_n")).scalar()).select("attr")
     return stats.without_values(by_text, removed)
 
 
@@ -1120,11 +1176,18 @@ def snk3_frequency_export(spark, folder):
 @query
 def snk4_distribution_export(spark, folder):
     shown = docs_distribution(spark, folder, "lang")
-    wide = exports.distribution_export(shown.cells, shown.totals, shown.by_text)
+    wide = exports.distribution_export(shown.cells, shown.totals, ["de", "en", "es", "fr"], shown.by_text)
     # titles hold token counts; plain names let the result be compared
     return wide.toDF("attribute_value", *(t.split(" ")[0] for t in wide.columns[1:-2]), "total", "dp")
 
 
+@query
+def snk4_distribution_lines(spark, folder):
+    """The same export as lines of text, for any number of columns."""
+    shown = docs_distribution(spark, folder, "lang")
+    return exports.distribution_lines(shown.cells, shown.totals, shown.by_text)
+
+
 @query
 def snk4_distribution_titles(spark, folder):
     """The titles of the same export, one per row."""

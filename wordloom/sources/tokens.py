@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from wordloom.layout import block, running_total
 
-# The token and sentence patterns.
+# The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
-SENTENCE_PATTERN = r"[^.!?]*[.!?]|[^.!?]+"
 SENTENCE_ENDS = (".", "!", "?")
 
 
@@ -19,20 +18,17 @@ def tokenise(documents: DataFrame, text_id: str, text: str, carry: tuple[str, ..
     Everything is computed inside the document's own row and then expanded, so there is no shuffle and no grouping
     by text. A sentence ends after each ``.``, ``!`` or ``?`` token.
     """
-    tokens_of = lambda c: F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0))
     rows = documents.select(
-        F.col(text_id).alias("text_id"),
-        *carry,
-        tokens_of(text).alias("_tokens"),
-        F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0)).alias("_sentences"),
+        F.col(text_id).alias("text_id"), *carry, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("_tokens")
     )
     # last token number of every sentence; the text's last token always closes one
     is_end = lambda t, i: t.isin(*SENTENCE_ENDS) | (i == F.size("_tokens") - 1)
     ends = rows.withColumn("_ends", F.array_compact(F.transform("_tokens", lambda t, i: F.when(is_end(t, i), i))))
+    begin = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_ends", k - 1)) + 1
     bounds = lambda last, k: F.struct(
-        (F.when(k == 0, F.lit(-1)).otherwise(F.get("_ends", k - 1)) + 1).cast("bigint").alias("s_first"),
+        begin(k).cast("bigint").alias("s_first"),
         last.cast("bigint").alias("s_last"),
-        F.get("_sentences", k).alias("body"),
+        F.slice("_tokens", begin(k) + 1, last - begin(k) + 1).alias("body"),
     )
     sentences = ends.select("text_id", *carry, F.posexplode(F.transform("_ends", bounds)).alias("s_id", "_s"))
     return sentences.select(
@@ -41,7 +37,7 @@ def tokenise(documents: DataFrame, text_id: str, text: str, carry: tuple[str, ..
         F.col("s_id").cast("bigint").alias("s_id"),
         "_s.s_first",
         "_s.s_last",
-        F.posexplode(tokens_of("_s.body")).alias("_i", "word"),
+        F.posexplode("_s.body").alias("_i", "word"),
     ).select(
         "text_id", *carry, "s_id", "s_first", "s_last", (F.col("s_first") + F.col("_i")).alias("tok_no"), "word"
     )
@@ -58,12 +54,6 @@ def text_ranges(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.withColumn("endpos", F.col("startpos") + F.col("n_tokens") - 1)
 
 
-def with_positions(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Corpus position ``pos`` of every token from the start position of its text."""
-    starts = ranges.select("text_id", "startpos")
-    return tokens.join(starts, "text_id").withColumn("pos", F.col("startpos") + F.col("tok_no")).drop("startpos")
-
-
 def scan_tokens(tokens: DataFrame, attributes: list[str] | None = None, declared: tuple[str, ...] = ()) -> DataFrame:
     """SRC-2. Token keys plus the asked attributes (default: ``word`` and the declared ones), nothing else is read."""
     keys = [c for c in ("text_id", "tok_no", "s_id") if c in tokens.columns]
