@@ -197,6 +197,17 @@ def test_packing(lab, docs_of, group):
     assert len(sequences) <= least + (1 if group > 1000 else 3)
 
 
+def test_packing_ends_where_nothing_fits_together(lab, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_GROUP", 40)
+    columns = [c.split()[0] for c in packing.PIECES.split(", ")]
+    rows = lab.range(300).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"),
+        F.lit(2100).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("ids_crc32"), F.xxhash64("id").alias("deal"),
+    )
+    found = packing.pack(rows.select(*columns), 4096, 10).collect()
+    assert len(found) == len({r.sequence_id for r in found}) == 300
+
+
 def test_packing_of_odd_tables(lab, docs_of):
     docs = docs_of(["a b"])
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0

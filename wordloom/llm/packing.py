@@ -1,8 +1,8 @@
 """Best-fit packing by sum of squares: a piece goes where the squared counts of open bins per residual gap stay smallest.
 
 Token ids are made where the text is; only narrow rows (a piece's key and length) are shuffled. Pieces are packed in
-groups of ``GROUP`` rows, longest first. Sequences that a group leaves unfilled are opened again and packed in fewer
-groups, until one group holds what is left, so the whole input ends up as if few bins were open at any time.
+groups of ``GROUP`` rows, longest first. Sequences that a group leaves unfilled are opened again and packed in fewer,
+larger groups, as long as that saves sequences.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from wordloom.llm.tokens import tokenizer
 
 SIZE = 4096
 END_ID = 1
-#: Rows packed by one call, and the fill from which a sequence is left alone by the following levels.
-GROUP = 8192
+#: Rows packed by one call at first and at most, and the fill from which a sequence is left alone by the following levels.
+GROUP, MOST_GROUP = 8192, 65536
 FULL = 0.995
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, deal bigint"
 
@@ -118,9 +118,11 @@ def _pack_level(rows: DataFrame, groups: int, level: int, size: int) -> DataFram
 def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """Every row of ``pieces`` (columns of ``pieces_of``) with the sequence it goes to and its place there.
 
-    Written twice per level to the checkpoint folder, as narrow rows. An empty table stays empty.
+    Groups grow fourfold a level, up to ``MOST_GROUP`` rows. It ends with one group, or when a level of such groups saves
+    less than one sequence in 200 (pieces that just don't fit together). Narrow rows are written to the checkpoint folder
+    once per level. An empty table stays empty.
     """
-    left, done, level = cut(pieces), None, 0
+    left, done, level, open_before = cut(pieces), None, 0, None
     n = left.count()
     while True:
         groups = max(1, -(-n // group))
@@ -129,12 +131,14 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
             break
         packed = cut(packed)
         open_again = F.col("filled") < int(FULL * size)
+        begins = F.col("offset") == 0
+        made, made_open, n = packed.agg(F.count_if(begins), F.count_if(begins & open_again), F.count_if(open_again)).first()
+        if group >= MOST_GROUP and open_before is not None and made > 0.995 * open_before:
+            break
         kept = packed.where(~open_again)
         done = kept if done is None else done.unionByName(kept)
         left = packed.where(open_again).select(*(c.split()[0] for c in PIECES.split(", ")))
-        before, n, level = n, left.count(), level + 1
-        if n > before // 2:
-            group *= 4  # a table of few, bulky pieces fills no sequence: go on with larger groups
+        open_before, level, group = made_open, level + 1, min(4 * group, max(group, MOST_GROUP))
     packed = packed if done is None else done.unionByName(packed)
     return packed.drop("deal", "filled")
 
