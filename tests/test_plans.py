@@ -77,3 +77,24 @@ def test_numbering_moves_rows_once(stored):
     shown = plan(number_rows(find_hits(stored, [[word("the")]]), ["text_id", "start", "end"]))
     full = [line for line in shown.split("\n") if "Exchange" in line and "_n" not in line and "Broadcast" not in line]
     assert not [line for line in full if "start" in line]
+
+
+def test_a_page_reads_only_its_partitions(spark, monkeypatch, tmp_path):
+    from wordloom import layout
+    from wordloom.operators import hits as hit_ops
+    from wordloom.plans.corpus import Corpus
+
+    monkeypatch.setattr(layout, "BUCKET_BITS", 12)
+    given.docs_ranges(spark, FOLDER).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    placed = given.docs_placed_tokens(spark, FOLDER, texts)
+    save_tokens(placed, f"{tmp_path}/tokens")
+    corpus = Corpus(spark.read.parquet(f"{tmp_path}/tokens"), texts)
+    assert "bucket" in corpus.tokens.columns
+    for by in ("position", "left", "right"):
+        page = corpus.page(hit_ops.settled(corpus.search([[word("of"), word("the")]])), 1, by)
+        assert "dynamicpruning" in plan(page)
+        plain = Corpus(placed, texts)
+        want = plain.page(hit_ops.settled(plain.search([[word("of"), word("the")]])), 1, by)
+        shown = lambda p: [(r.text_id, r.start, r.left_text, r.match_text, r.right_text) for r in p.collect()]
+        assert shown(page) == shown(want)

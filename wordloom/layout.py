@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.session import cut
 
+# Stored token tables are partitioned by corpus position, so a page of hits reads only the partitions it lies in.
+BUCKET, BUCKET_BITS = "bucket", 20
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 
@@ -19,6 +21,11 @@ def block(position: Column | str, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(position, bits)
 
 
+def bucket(position: Column | str) -> Column:
+    """Storage partition of a corpus position."""
+    return F.shiftright(position, BUCKET_BITS).cast("int").alias(BUCKET)
+
+
 def blocks_between(first: Column | str, last: Column | str, bits: int = BLOCK_BITS) -> Column:
     """Array of the block numbers a range touches; empty for an empty range."""
     first, last = (F.col(c) if isinstance(c, str) else c for c in (first, last))

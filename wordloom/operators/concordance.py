@@ -119,11 +119,19 @@ def aligned_text(
         F.col(f"{within}_id").alias("tgt_region"),
         F.struct("tok_no", *attributes).alias("_token"),
     )
-    keys = ["text_id", "start", "end", "tgt_lang"]
-    found = pairs.join(wanted, ["tgt_text", "tgt_region"]).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("_token")).alias("_tokens")
+    # the text of a region is put together once, however many hits are aligned to it
+    regions = pairs.select("tgt_text", "tgt_region").distinct().join(wanted, ["tgt_text", "tgt_region"])
+    texts = (
+        regions.groupBy("tgt_text", "tgt_region")
+        .agg(F.array_sort(F.collect_list("_token")).alias("_tokens"))
+        .select(
+            "tgt_text", "tgt_region", F.element_at("_tokens", 1)["tok_no"].alias("_at"), as_text("_tokens", attributes).alias("_text")
+        )
     )
-    return found.select(*keys, as_text("_tokens", attributes).alias("aligned"))
+    keys = ["text_id", "start", "end", "tgt_lang"]
+    shown = F.array_sort(F.collect_list(F.struct("_at", "_text")))
+    found = pairs.join(texts, ["tgt_text", "tgt_region"]).groupBy(*keys).agg(shown.alias("_texts"))
+    return found.select(*keys, F.array_join(F.transform("_texts", lambda t: t["_text"]), " ").alias("aligned"))
 
 
 def shown_languages(queried: list[str]) -> list[str]:

@@ -12,7 +12,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.layout import BLOCK_BITS, block
+from wordloom.layout import BLOCK_BITS, BUCKET, block, bucket
 from wordloom.operators.patterns import Gap, Steps, Tok, normalise
 from wordloom.operators.selection import in_texts
 from wordloom.session import cut
@@ -252,11 +252,23 @@ def spans(
     ranges = hits.withColumn("_first", F.greatest(first, F.lit(0))).withColumn("_last", last)
     wanted = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
     keyed = ranges.withColumn("tok_no", F.explode(wanted)).drop("_first", "_last")
-    asked = tokens.select("text_id", "tok_no", F.struct("tok_no", *attributes).alias("_token"))
-    inside = asked.join(keyed, ["text_id", "tok_no"])
+    keyed, keys = _with_bucket(keyed, tokens, "tok_no")
+    inside = tokens.select(*keys, F.struct("tok_no", *attributes).alias("_token")).join(keyed, keys)
     return inside.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_token")).alias(name))
 
 
+def _with_bucket(keyed: DataFrame, tokens: DataFrame, at: str) -> tuple[DataFrame, list[str]]:
+    """Rows that ask for token ``at`` of their text, and the keys of their join with the tokens.
+
+    With stored tokens and known start positions the storage partition is a key, so that others are not read.
+    """
+    if BUCKET in tokens.columns and "startpos" in keyed.columns:
+        placed = keyed.withColumn(BUCKET, bucket(F.col("startpos") + F.col(at)))
+        # Spark prunes partitions by a joined table only if that table is filtered; every token number passes
+        return placed.where(F.col(at) >= 0), ["text_id", at, BUCKET]
+    return keyed, ["text_id", at]
+
+
 def with_token(
     hits: DataFrame, tokens: DataFrame, position: Column, attributes: Mapping[str, str], present: bool = False
 ) -> DataFrame:
@@ -266,14 +278,19 @@ def with_token(
     exists, so the join is an inner one: an outer join could never send few hits to the tokens. If the position is known
     to be ``present`` (inside the hit) that is not needed.
     """
-    wanted = tokens.select("text_id", F.col("tok_no").alias("_at"), *(F.col(a).alias(n) for a, n in attributes.items()))
+    place = [F.col(BUCKET)] if BUCKET in tokens.columns else []
+    values = (F.col(a).alias(n) for a, n in attributes.items())
+    wanted = tokens.select("text_id", F.col("tok_no").alias("_at"), *place, *values)
     if present:
-        return hits.withColumn("_at", position).join(wanted, ["text_id", "_at"]).drop("_at")
+        keyed, keys = _with_bucket(hits.withColumn("_at", position), tokens, "_at")
+        return keyed.join(wanted.drop(*(set([BUCKET]) - set(keys))), keys).select(*hits.columns, *attributes.values())
     asked = hits.withColumn("_asked", position)
     own = F.col("end")
-    keyed = asked.withColumn("_at", F.explode(F.array_distinct(F.array(own, F.coalesce("_asked", own)))))
+    keyed, keys = _with_bucket(
+        asked.withColumn("_at", F.explode(F.array_distinct(F.array(own, F.coalesce("_asked", own))))), tokens, "_at"
+    )
     at_asked = lambda name: F.max(F.when(F.col("_at") == F.col("_asked"), F.col(name))).alias(name)
-    return keyed.join(wanted, ["text_id", "_at"]).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
+    return keyed.join(wanted, keys).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
 
 
 def settled(hits: DataFrame) -> DataFrame:

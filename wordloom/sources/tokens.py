@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.layout import block, running_total
+from wordloom.layout import BUCKET, block, bucket, running_total
 
 # The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
@@ -83,8 +83,10 @@ def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = ()
 
     Min/max statistics on ``text_id`` and ``tok_no`` then let a scan skip what it does not need. Tokens expanded from
     arranged documents are written as they are; any others are range-partitioned by (text, block) and sorted, so a very
-    long text fills several files.
+    long text fills several files. Tokens with a corpus position ``pos`` are also partitioned by it (``BUCKET``).
     """
+    if "pos" in tokens.columns:
+        tokens, partition_by = tokens.withColumn(BUCKET, bucket(F.col("pos"))), (*partition_by, BUCKET)
     if not in_order:
         keys = [F.col(c) for c in (*partition_by, "text_id")]
         tokens = tokens.repartitionByRange(*keys, block("tok_no")).sortWithinPartitions(*keys, "tok_no")
