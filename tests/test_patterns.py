@@ -98,18 +98,22 @@ PATTERNS = [
     [Tok(initial=True), word("a")],
     [word("a"), Gap(0, 4), Tok(final=True)],
     [Tok(form_test("a"), initial=True, final=True)],
+    [word("a"), Gap(1, 100_000), word("b"), Gap(0, 20_000), word("c")],
+    [anything()],
+    [anything(), Gap(1, 2), anything()],
 ]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("bits", [12, 1])
-def test_against_brute_force(make_tokens, monkeypatch, seed, bits):
-    """With tiny blocks every region is cut many times."""
+@pytest.mark.parametrize("bits,long", [(12, 1 << 14), (1, 1 << 14), (2, 1)])
+def test_against_brute_force(make_tokens, monkeypatch, seed, bits, long):
+    """With tiny blocks every region is cut many times; distances beyond ``long`` are looked up like open ones."""
+    monkeypatch.setattr(hit_ops, "LONG_GAP", long)
     monkeypatch.setattr(hit_ops, "BLOCK_BITS", bits)
     monkeypatch.setattr(hit_ops, "OPEN_GAP_BITS", bits)
     texts = random_corpus(seed)
     rows, tokens = token_rows(texts), make_tokens(texts).cache()
-    for pattern in PATTERNS if bits == 1 else PATTERNS[::3]:
+    for pattern in PATTERNS if bits < 12 else PATTERNS[::3]:
         assert spark_hits(tokens, pattern) == brute_force(rows, pattern), pattern
     tokens.unpersist()
 

@@ -19,6 +19,8 @@ from wordloom.session import cut
 
 KEYS = ("text_id", "start", "end")
 OPEN_GAP_BITS = 16
+# Distances beyond this many tokens are looked up like open ones, so that no block grows with the pattern.
+LONG_GAP = 1 << 14
 
 
 def find_hits(
@@ -163,12 +165,12 @@ def _match_gaps(candidates: DataFrame, steps: Steps, tests: list[Column], carrie
     ).withColumn("_end", F.when(F.col(f"_t{terms - 1}"), F.col("tok_no")))
     level = terms - 2
     while level >= 0:
-        if steps.gaps[level][1] is None:
-            rows = _step_open(rows, level, steps.gaps[level][0], within)
+        if _is_long(steps.gaps[level]):
+            rows = _step_open(rows, level, *steps.gaps[level], within)
             level -= 1
         else:
             run = [level]
-            while run[-1] > 0 and steps.gaps[run[-1] - 1][1] is not None:
+            while run[-1] > 0 and not _is_long(steps.gaps[run[-1] - 1]):
                 run.append(run[-1] - 1)
             rows = _steps_bounded(rows, [(k, *steps.gaps[k]) for k in run], within)
             level = run[-1] - 1
@@ -177,6 +179,10 @@ def _match_gaps(candidates: DataFrame, steps: Steps, tests: list[Column], carrie
     )
 
 
+def _is_long(gap: tuple[int, int | None]) -> bool:
+    return gap[1] is None or gap[1] > LONG_GAP
+
+
 def _steps_bounded(rows: DataFrame, levels: list[tuple[int, int, int]], within: str) -> DataFrame:
     """Several bounded distances in one pass over blocks.
 
@@ -200,17 +206,19 @@ def _steps_bounded(rows: DataFrame, levels: list[tuple[int, int, int]], within:
     return rows.where(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
-def _step_open(rows: DataFrame, level: int, low: int, within: str) -> DataFrame:
-    """A distance without upper limit: the smallest end at or after a position, up to the end of the region.
+def _step_open(rows: DataFrame, level: int, low: int, high: int | None, within: str) -> DataFrame:
+    """A distance with a far limit or none: the nearest token of the next term, up to the end of the region.
 
-    Inside a block it is a running minimum from the right. A region of several blocks adds one row per block for the
-    minimum of the blocks further right.
+    The nearest such token has the smallest end, because ends never decrease from left to right; so a limit only has to
+    be tested on it. Inside a block it is a running minimum from the right. A region of several blocks adds one row per
+    block for the nearest token of the blocks further right.
     """
     region = ["text_id", f"{within}_first"]
     asked = F.struct(
         (F.col("tok_no") + low).alias("at"), F.lit(None).cast("bigint").alias("end"), F.lit(True).alias("ask")
     )
     given = F.struct(F.col("tok_no").alias("at"), F.col("_end").alias("end"), F.lit(False).alias("ask"))
+    nearest = F.when(~F.col("_e.ask"), F.struct("_e.at", "_e.end"))
     events = (
         rows.withColumn("_e", F.explode(F.array(asked, F.when(F.col("_end").isNotNull(), given))))
         .where(F.col("_e").isNotNull())
@@ -219,19 +227,21 @@ def _step_open(rows: DataFrame, level: int, low: int, within: str) -> DataFrame:
     from_right = (
         W.partitionBy(*region, "_block").orderBy(F.desc("_e.at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     )
-    here = events.withColumn("_here", F.min("_e.end").over(from_right)).where("_e.ask").drop("_e")
+    here = events.withColumn("_here", F.min(nearest).over(from_right)).where("_e.ask").drop("_e")
     further_right = W.partitionBy(*region).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     later = (
         events.where(block(f"{within}_first", OPEN_GAP_BITS) < block(f"{within}_last", OPEN_GAP_BITS))
         .groupBy(*region, "_block")
-        .agg(F.min("_e.end").alias("_min"))
+        .agg(F.min(nearest).alias("_min"))
         .withColumn("_later", F.min("_min").over(further_right))
         .where(F.col("_later").isNotNull())
         .drop("_min")
     )
+    found = F.coalesce("_here", "_later")
+    near = F.lit(True) if high is None else found["at"] <= F.col("tok_no") + high
     return (
         here.join(later, [*region, "_block"], "left")
-        .withColumn("_end", F.when(F.col(f"_t{level}"), F.least("_here", "_later")))
+        .withColumn("_end", F.when(F.col(f"_t{level}") & near, found["end"]))
         .drop("_block", "_here", "_later")
     )
 
