@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wordloom.llm.common import flat, folded, mapped, rows_in
 
-#: Bytes of context at most, and the bound of training text a language in bytes.
+#: Bytes of context at most, and the bounds of training text: languages (those with most text), and bytes of each.
 ORDER = 4
-MOST_BYTES = 1_500_000
+MOST_LANGUAGES, MOST_BYTES = 500, 1_500_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes scored at once.
@@ -168,14 +168,15 @@ def training_sample(rows: DataFrame, most_bytes: int = MOST_BYTES) -> dict[str,
     """Texts per language: whole rows drawn by a hash of the text, about ``most_bytes`` a language.
 
     ``rows`` has text and lang. Bytes are summed over all rows, so each row of a language has the same chance; rows
-    longer than a quarter of the bound are left to the others.
+    longer than a quarter of the bound are left to the others. The totals, one row for each of at most ``MOST_LANGUAGES``
+    languages, are sent to the texts, so no text is shuffled.
     """
     size = F.octet_length("text")
     usable = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= most_bytes // 4)).select("lang", "text")
-    totals = usable.groupBy("lang").agg(F.sum(size).alias("_bytes"))
+    totals = usable.groupBy("lang").agg(F.sum(size).alias("_bytes")).orderBy(F.desc("_bytes"), "lang").limit(MOST_LANGUAGES)
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(float(most_bytes)) / F.col("_bytes") * (1 << 30)
     samples: dict[str, list[str]] = {}
-    for row in usable.join(totals, "lang").where(drawn).select("lang", "text").toLocalIterator():
+    for row in usable.join(F.broadcast(totals), "lang").where(drawn).select("lang", "text").toLocalIterator():
         samples.setdefault(row.lang, []).append(row.text)
     return samples
 
