@@ -37,6 +37,12 @@ def test_scan_reads_only_what_is_asked(stored):
     assert "lemma" not in schema and "feats" not in schema
 
 
+def test_folded_words_reach_the_scan(stored):
+    shown = plan(find_hits(stored, [[word("The")]]))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(word_folded,the\)", shown)
+    assert find_hits(stored, [[word("The")]]).count() == find_hits(stored.drop("word_folded"), [[word("The")]]).count() > 0
+
+
 def test_searches_group_by_more_than_the_text(stored):
     for pattern in ([word("of"), word("the")], [word("of"), Gap(0, 2), word("the")], [word("of"), Gap(1), word("the")]):
         shown = plan(find_hits(stored, [pattern]))

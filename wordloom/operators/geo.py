@@ -34,8 +34,13 @@ def unknown_places(distribution: DataFrame, coords: DataFrame) -> DataFrame:
     return distribution.select("place").distinct().join(coords, "place", "left_anti")
 
 
-def places_with_forms(distribution: DataFrame, coords: DataFrame) -> DataFrame:
-    """AGG-19. One point per place with ``form: n; form: n``, forms in order."""
+def places_with_forms(distribution: DataFrame, coords: DataFrame, forms: list[str] | None = None) -> DataFrame:
+    """AGG-19. One point per place with ``form: n; form: n``, forms in order: the chosen ``forms``, or all.
+
+    A whole vocabulary is better read from the distribution itself, which has a row for each place and form.
+    """
+    if forms is not None:
+        distribution = distribution.where(F.col("form").isin(*forms))
     pairs = F.array_sort(F.collect_list(F.struct("form", "n")))
     label = F.array_join(F.transform("_pairs", lambda p: F.concat(p["form"], F.lit(": "), p["n"].cast("string"))), "; ")
     grouped = distribution.groupBy("place").agg(pairs.alias("_pairs"))

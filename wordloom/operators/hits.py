@@ -79,7 +79,7 @@ def _match(
     # the first token of a pattern that begins with free ones is looked up afterwards
     later, keep = (keep, ()) if steps.lead else ((), keep)
     carried = _carried(tokens, within, keep)
-    tests = [t.column(within) for t in steps.terms]
+    tests = [t.column(within, frozenset(tokens.columns)) for t in steps.terms]
     first, last = f"{within}_first", f"{within}_last"
     # only tokens that fit some term, in a region long enough, ever leave their scan task
     long_enough = F.col(last) - F.col(first) + 1 >= steps.min_length

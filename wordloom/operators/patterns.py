@@ -13,6 +13,10 @@ from pyspark.sql import Column, functions as F
 REGEX_CHARACTERS = re.compile(r"[.*+?^${}()|\[\]\\]")
 
 
+#: Suffix of a stored lower-case copy of an attribute.
+FOLDED = "_folded"
+
+
 @dataclass(frozen=True)
 class Condition:
     """One condition on a token attribute.
@@ -27,9 +31,11 @@ class Condition:
     fold: bool = False
     negate: bool = False
 
-    def column(self) -> Column:
-        value = F.lower(self.attr) if self.fold else F.col(self.attr)
-        wanted = [F.lower(F.lit(v)) if self.fold else F.lit(v) for v in self.values]
+    def column(self, stored: frozenset[str] = frozenset()) -> Column:
+        """``stored`` names the columns there are: a stored folded form is compared as it is, so it reaches the scan."""
+        ready = self.fold and f"{self.attr}{FOLDED}" in stored
+        value = F.col(f"{self.attr}{FOLDED}") if ready else F.lower(self.attr) if self.fold else F.col(self.attr)
+        wanted = [F.lit(v.lower()) if ready else F.lower(F.lit(v)) if self.fold else F.lit(v) for v in self.values]
         if self.kind == "equals":
             test = value == wanted[0]
         elif self.kind == "starts":
@@ -62,16 +68,16 @@ def _like(wildcards: str) -> str:
 class AllOf:
     parts: tuple
 
-    def column(self) -> Column:
-        return reduce(and_, [p.column() for p in self.parts], F.lit(True))
+    def column(self, stored: frozenset[str] = frozenset()) -> Column:
+        return reduce(and_, [p.column(stored) for p in self.parts], F.lit(True))
 
 
 @dataclass(frozen=True)
 class AnyOf:
     parts: tuple
 
-    def column(self) -> Column:
-        return reduce(or_, [p.column() for p in self.parts])
+    def column(self, stored: frozenset[str] = frozenset()) -> Column:
+        return reduce(or_, [p.column(stored) for p in self.parts])
 
 
 @dataclass(frozen=True)
@@ -86,9 +92,9 @@ class Tok:
     def unrestricted(self) -> bool:
         return self.condition is None and not self.initial and not self.final
 
-    def column(self, within: str) -> Column:
+    def column(self, within: str, stored: frozenset[str] = frozenset()) -> Column:
         """The condition; PAT-14 looks at the token's place in its region (initial wins if both are asked)."""
-        test = self.condition.column() if self.condition is not None else F.lit(True)
+        test = self.condition.column(stored) if self.condition is not None else F.lit(True)
         if self.initial:
             return test & (F.col("tok_no") == F.col(f"{within}_first"))
         if self.final:

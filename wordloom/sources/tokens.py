@@ -83,8 +83,11 @@ def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = ()
 
     Min/max statistics on ``text_id`` and ``tok_no`` then let a scan skip what it does not need. Tokens expanded from
     arranged documents are written as they are; any others are range-partitioned by (text, block) and sorted, so a very
-    long text fills several files. Tokens with a corpus position ``pos`` are also partitioned by it (``BUCKET``).
+    long text fills several files. Tokens with a corpus position ``pos`` are also partitioned by it (``BUCKET``), and
+    words are stored in lower case too, so that a search without regard to case skips row groups.
     """
+    if "word" in tokens.columns:
+        tokens = tokens.withColumn("word_folded", F.lower("word"))
     if "pos" in tokens.columns:
         tokens, partition_by = tokens.withColumn(BUCKET, bucket(F.col("pos"))), (*partition_by, BUCKET)
     if not in_order:
