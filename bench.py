@@ -83,6 +83,7 @@ def main() -> None:
     timed("b7_selection_counts", shop_counts)
     timed("b8_sorted_page_100", sorted_page)
     timed("b9_sample_in_context", sample_in_context)
+    timed("b10_context_of_all_hits", lambda: consume(concordance.concordance_lines(corpus.search([[word("the")]]), tokens)))
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": folder}))
 
