@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from wordloom.llm.common import flat, folded, mapped, rows_in
 
-#: Bytes of context at most, and the bounds of training text: languages (those with most text), and bytes of each.
+#: Bytes of context at most, and the bounds of training text: languages (those with most text), bytes of each, of all.
 ORDER = 4
-MOST_LANGUAGES, MOST_BYTES = 500, 1_500_000
+MOST_LANGUAGES, MOST_BYTES, MOST_TOTAL = 500, 1_000_000, 6_000_000
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes scored at once.
@@ -61,8 +61,8 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     nodes: list[np.ndarray] = []
     places: list[dict[str, np.ndarray]] = []
     for k in range(order + 1):
-        keys = {l: (_before(places[-1][l]) if k else 0) * width + s for l, s in symbols.items()}
-        known = np.unique(np.concatenate([*keys.values(), np.zeros(1, np.int64)]))
+        keys = {l: (_before(places[-1][l]).astype(np.int64) if k else 0) * width + s for l, s in symbols.items()}
+        known = np.unique(np.concatenate([*map(np.unique, keys.values()), np.zeros(1, np.int64)]))
         known = known[known >= width] if k else known[known > 0]
         nodes.append(known)
         places.append({l: _lookup(known, x) for l, x in keys.items()})
@@ -97,9 +97,9 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 def _lookup(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """1-based place of every key, 0 if it is not there."""
     if not len(known):
-        return np.zeros(len(keys), np.int64)
+        return np.zeros(len(keys), np.int32)
     place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[place] == keys, place + 1, 0)
+    return np.where(known[place] == keys, place + 1, 0).astype(np.int32)
 
 
 def _suffixes(nodes: list[np.ndarray], k: int, width: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def _suffixes(nodes: list[np.ndarray], k: int, width: int) -> np.ndarray:
     parent = np.concatenate([np.zeros(1, np.int64), nodes[k] // width])
     if k == 1:
         return _lookup(nodes[0], last)
-    return _lookup(nodes[k - 1], _suffixes(nodes, k - 1, width)[parent] * width + last)
+    return _lookup(nodes[k - 1], _suffixes(nodes, k - 1, width)[parent].astype(np.int64) * width + last)
 
 
 def _before(places: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ class Scorer:
 
 
 def training_sample(rows: DataFrame, most_bytes: int = MOST_BYTES) -> dict[str, list[str]]:
-    """Texts per language: whole rows drawn by a hash of the text, about ``most_bytes`` a language.
+    """Texts per language: whole rows drawn by a hash of the text, about ``most_bytes`` a language, less if there are many.
 
     ``rows`` has text and lang. Bytes are summed over all rows, so each row of a language has the same chance; rows
     longer than a quarter of the bound are left to the others. The totals, one row for each of at most ``MOST_LANGUAGES``
@@ -174,7 +174,8 @@ def training_sample(rows: DataFrame, most_bytes: int = MOST_BYTES) -> dict[str,
     size = F.octet_length("text")
     usable = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= most_bytes // 4)).select("lang", "text")
     totals = usable.groupBy("lang").agg(F.sum(size).alias("_bytes")).orderBy(F.desc("_bytes"), "lang").limit(MOST_LANGUAGES)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(float(most_bytes)) / F.col("_bytes") * (1 << 30)
+    each = float(min(most_bytes, MOST_TOTAL // max(totals.count(), 1)))
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(each) / F.col("_bytes") * (1 << 30)
     samples: dict[str, list[str]] = {}
     for row in usable.join(F.broadcast(totals), "lang").where(drawn).select("lang", "text").toLocalIterator():
         samples.setdefault(row.lang, []).append(row.text)
