@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordloom.llm.common import cut, quoted
+from wordloom.llm.common import quoted
 
 #: Characters of a screen line; a chunk counts from two screen lines on. One rolling hash in ``EVERY`` ends a chunk.
 WIDTH, EVERY = 80, 3
@@ -59,19 +59,27 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, first, last of every chunk occurrence that repeats an earlier one, confirmed byte by byte.
 
     Occurrences are ordered by (doc_id, first). Chunks are counted by hash and length as narrow rows, pre-aggregated
-    before the shuffle; bodies travel only once, to the hashes that occur more than once.
+    before the shuffle. Then texts meet the marks of their own repeated chunks, and only these chunks' bodies travel to be
+    compared; the shuffle of the texts is the one that ``without_repeats`` uses as well.
     """
-    found = occurrences(docs).select("*", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size"))
+    found = occurrences(docs).select("doc_id", "first", "last", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size"))
     earliest = F.min(F.struct("doc_id", "first"))
     counted = found.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), earliest.alias("origin")).where("n > 1")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    salted = counted.select("h", "size", "origin", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    again = cut(found.withColumn("salt", salt).join(salted, ["h", "size", "salt"]))
-    is_origin = F.struct("doc_id", "first") == F.col("origin")
-    originals = again.where(is_origin).select("h", "size", F.col("body").alias("original")).distinct()
-    originals = originals.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = again.where(~is_origin)
-    return others.join(originals, ["h", "size", "salt"]).where(F.col("body") == F.col("original")).select("doc_id", "first", "last")
+    # never null, so that no filter on it reaches the scan and the texts' shuffle stays the same in every branch
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = counted.select("h", "size", "origin", salts.alias("salt"))
+    again = found.withColumn("salt", salt).join(salted, ["h", "size", "salt"])
+    mark = F.struct("first", "last", "h", "size", (F.struct("doc_id", "first") == F.col("origin")).alias("is_origin"))
+    marked = again.groupBy("doc_id").agg(F.collect_set(mark).alias(GONE))
+    lined = docs.where(F.col("doc_id").isNotNull()).join(marked, "doc_id").select("doc_id", GONE, F.split("text", "\n").alias("lines"))
+    body = lambda m: F.array_join(F.slice("lines", m["first"] + 1, m["last"] - m["first"] + 1), "\n")
+    bodies = lined.select("doc_id", F.inline(F.transform(GONE, lambda m: F.struct(m.alias("m"), body(m).alias("body")))))
+    bodies = bodies.select("doc_id", "m.*", "body").withColumn("salt", salt)
+    originals = bodies.where("is_origin").select("h", "size", F.col("body").alias("original")).distinct()
+    originals = originals.select("*", salts.alias("salt"))
+    same = bodies.where("not is_origin").join(originals, ["h", "size", "salt"]).where(F.col("body") == F.col("original"))
+    return same.select("doc_id", "first", "last")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -83,7 +91,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     own = docs.drop("removed_lines")
     gone = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(GONE))
-    joined = own.join(gone, "doc_id", "left")
+    joined = own.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left")
     drop = F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"])))
     lines = F.split("text", "\n")
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
@@ -91,7 +99,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn(DROP, drop).withColumn("text", text)
     removed = F.when(F.col(GONE).isNull(), 0).otherwise(F.size(DROP)).cast("bigint")
-    return out.select(*quoted(own.columns), removed.alias("removed_lines"))
+    cleaned = out.select(*quoted(own.columns), removed.alias("removed_lines"))
+    nameless = own.where(F.col("doc_id").isNull())
+    return cleaned.unionByName(nameless.withColumn("removed_lines", F.lit(0).cast("bigint")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
