@@ -4,11 +4,15 @@ A rolling hash over the hashes of neighbouring lines chooses the chunk boundarie
 wherever they stand. A line of two screen lines or more (``WIDTH`` characters each) is a passage that was never wrapped:
 it is a chunk of its own. Chunks of several screen lines that occur more than once in the whole table are compared byte
 by byte with their first occurrence, which stays; the others go. Everything is column expressions.
+
+``without_repeats`` and its SQL leave those lines of a repeated passage that stand in chunks of less than two screen lines.
+``without_copied_lines`` leaves none: it compares, from every line forwards and to every line backwards, the least run of
+whole lines that fills two screen lines, so that every line of a repeated passage of that length is in a run inside it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.llm.common import quoted
 
@@ -18,6 +22,9 @@ WIDTH, EVERY = 80, 3
 SALTS = 8
 #: Names that no table has, for columns that live within one expression.
 GONE, DROP = "__repeated_chunks", "__repeated_lines"
+KEY = "__text_key"
+#: Characters of a run and the line end after it; 2 ** STEPS lines have as many.
+FULL, STEPS = 2 * WIDTH + 1, 8
 
 
 def _line_hash(line: Column) -> Column:
@@ -82,6 +89,23 @@ def repeated(docs: DataFrame) -> DataFrame:
     return same.select("doc_id", "first", "last")
 
 
+def _cleaned(joined: DataFrame, docs: DataFrame) -> DataFrame:
+    """Columns of ``docs`` and removed_lines; ``joined`` has the ranges of lines to drop, or null."""
+    drop = F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"])))
+    lines = F.split("text", "\n")
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    kept = F.transform(F.array_except(numbers, DROP), lambda i: _at(lines, i))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(DROP, drop).withColumn("text", text)
+    removed = F.when(F.col(GONE).isNull(), 0).otherwise(F.size(DROP)).cast("bigint")
+    return out.select(*quoted(docs.drop("removed_lines").columns), removed.alias("removed_lines"))
+
+
+def _with_nameless(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    nameless = docs.drop("removed_lines").where(F.col("doc_id").isNull())
+    return cleaned.unionByName(nameless.withColumn("removed_lines", F.lit(0).cast("bigint")))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All rows, ``text`` without its repeated chunks, and ``removed_lines``.
 
@@ -91,17 +115,90 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     own = docs.drop("removed_lines")
     gone = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(GONE))
-    joined = own.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left")
-    drop = F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"])))
-    lines = F.split("text", "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(numbers, DROP), lambda i: _at(lines, i))
-    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(DROP, drop).withColumn("text", text)
-    removed = F.when(F.col(GONE).isNull(), 0).otherwise(F.size(DROP)).cast("bigint")
-    cleaned = out.select(*quoted(own.columns), removed.alias("removed_lines"))
-    nameless = own.where(F.col("doc_id").isNull())
-    return cleaned.unionByName(nameless.withColumn("removed_lines", F.lit(0).cast("bigint")))
+    return _with_nameless(_cleaned(own.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left"), docs), docs)
+
+
+def _with_reaches(frame: DataFrame, sizes: str, reaches: str) -> DataFrame:
+    """``reaches``: for every line, how many more lines from it fill two screen lines (too many if the text ends before).
+
+    Sums over 1, 2, 4, ... lines are added up, longest first, as long as they stay below ``FULL``.
+    """
+    sums = [f"__sums_{j}" for j in range(STEPS)]
+    frame = frame.withColumn(sums[0], F.col(sizes))
+    for j in range(1, STEPS):
+        half = F.col(sums[j - 1])
+        more = lambda x, i: F.least(x + F.coalesce(F.get(half, i + 2 ** (j - 1)), F.lit(0)), F.lit(FULL))
+        frame = frame.withColumn(sums[j], F.transform(half, more))
+
+    def reach(_: Column, i: Column) -> Column:
+        # number of lines and their sum in one integer: sums are below 256
+        def add(state: Column, table: Column) -> Column:
+            taken = F.coalesce(F.get(table["sums"], i + F.shiftright(state, 8)), F.lit(0))
+            return F.when(state.bitwiseAND(255) + taken < FULL, state + table["lines"] * 256 + taken).otherwise(state)
+
+        return F.shiftright(F.aggregate("__tables", F.lit(0), add), 8)
+
+    tables = F.array(*(F.struct(F.lit(2**j).alias("lines"), F.col(sums[j]).alias("sums")) for j in reversed(range(STEPS))))
+    return frame.withColumn("__tables", tables).withColumn(reaches, F.transform(sizes, reach)).drop("__tables", *sums)
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """doc_id, key of the text, first, last, h of the least runs of two screen lines from and to every line."""
+    usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WIDTH))
+    lined = usable.select("doc_id", KEY, F.split("text", "\n").alias("lines"))
+    sized = lined.withColumn("sizes", F.transform("lines", lambda x: F.least(F.length(x) + 1, F.lit(FULL))))
+    sized = sized.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).drop("lines").withColumn("back", F.reverse("sizes"))
+    reached = _with_reaches(_with_reaches(sized, "sizes", "after"), "back", "before")
+    n = F.size("sizes")
+    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    forwards = F.filter(F.transform("after", lambda k, i: span(i, i + k)), lambda r: r["last"] < n)
+    backwards = F.transform("before", lambda k, i: span(n - 1 - i - k, n - 1 - i))
+    backwards = F.filter(backwards, lambda r: (r["first"] >= 0) & (r["first"] + F.get("after", r["first"]) != r["last"]))
+    found = reached.withColumn("spans", F.concat(forwards, backwards))
+    h = lambda r: F.xxhash64(F.slice("keys", r["first"] + 1, r["last"] - r["first"] + 1))
+    return found.select("doc_id", KEY, F.inline(F.transform("spans", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), h(r).alias("h")))))
+
+
+def copied(docs: DataFrame) -> DataFrame:
+    """doc_id, key, first, last: disjoint ranges of the lines in runs that repeat an earlier one, confirmed by SHA-256.
+
+    Runs are ordered by (doc_id, key, first). A run that overlaps its first occurrence leaves the lines of that. Shuffles
+    are those of ``repeated``; of a repeated run the digest travels instead of the body.
+    """
+    found = runs(docs)
+    place = F.struct("doc_id", KEY, "first")
+    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    again = found.withColumn("salt", salt).join(counted.select("h", "origin", salts.alias("salt")), ["h", "salt"])
+    same_text = (F.col("origin.doc_id") == F.col("doc_id")) & (F.col(f"origin.{KEY}") == F.col(KEY))
+    own = F.when(same_text, F.col("origin.first"))
+    mark = F.struct("first", "last", "h", (place == F.col("origin")).alias("is_origin"), own.alias("own"))
+    marked = again.groupBy("doc_id", KEY).agg(F.collect_set(mark).alias(GONE))
+    lined = docs.where(F.col("doc_id").isNotNull()).join(marked, ["doc_id", KEY]).select("doc_id", KEY, GONE, F.split("text", "\n").alias("lines"))
+    body = lambda m: F.array_join(F.slice("lines", m["first"] + 1, m["last"] - m["first"] + 1), "\n")
+    digests = F.transform(GONE, lambda m: F.struct(m.alias("m"), F.unhex(F.sha2(body(m), 256)).alias("digest")))
+    bodies = lined.select("doc_id", KEY, F.inline(digests)).select("doc_id", KEY, "m.*", "digest").withColumn("salt", salt)
+    originals = bodies.where("is_origin").select("h", F.col("digest").alias("original")).distinct()
+    same = bodies.where("not is_origin").join(originals.select("*", salts.alias("salt")), ["h", "salt"]).where(F.col("digest") == F.col("original"))
+    begin = F.coalesce(F.greatest("first", F.col("own") + F.col("last") - F.col("first") + 1), "first")
+    ranges = same.select("doc_id", KEY, begin.alias("first"), "last")
+    before = W.partitionBy("doc_id", KEY).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
+    fresh = ranges.withColumn("first", F.greatest("first", F.max("last").over(before) + 1))
+    return fresh.where("first <= last")
+
+
+def without_copied_lines(docs: DataFrame) -> DataFrame:
+    """All rows, ``text`` without the lines of passages that stand elsewhere already, and ``removed_lines``.
+
+    A passage is any run of whole lines of two screen lines or more, whatever the length of its lines. Its first occurrence
+    (least doc_id, then line) stays, but for what it repeats itself; every different line stays at least once. Rows are
+    treated as in ``without_repeats``; rows of one doc_id with different texts are different documents.
+    """
+    keyed = docs.drop("removed_lines").withColumn(KEY, F.xxhash64("text"))
+    gone = copied(keyed).groupBy("doc_id", KEY).agg(F.collect_list(F.struct("first", "last")).alias(GONE))
+    cleaned = _cleaned(keyed.where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", KEY], "left"), docs)
+    return _with_nameless(cleaned, docs)
 
 
 def digest(docs: DataFrame) -> DataFrame:
