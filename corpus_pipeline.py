@@ -28,7 +28,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 def fresh_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without passages that stand elsewhere already; those that held nothing else go."""
     prepared(spark)
-    cleaned = linededup.without_repeats(docs)
+    cleaned = linededup.without_copied_lines(docs)
     cleaned = cleaned.where((F.col("removed_lines") == 0) | F.col("text").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

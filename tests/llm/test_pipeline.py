@@ -53,6 +53,20 @@ def test_stages_in_order(lab, tmp_path):
     assert again.columns == packed.columns and again.count() == packed.count()
 
 
+def test_copies_of_short_lines_leave_nothing(lab, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
+    short = lambda n: "\n".join(" ".join(word() for _ in range(rng.randint(2, 9))) for _ in range(n))
+    first = [short(n) for n in (12, 20, 40, 80)]
+    body = short(15)
+    texts = [*first, *first, *first[:2], f"{word()}\n{body}\n{word()}", f"{word()}\n{body}"]
+    docs = lab.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    fresh = {r.doc_id: r for r in corpus_pipeline.fresh_lines(lab, docs, str(tmp_path)).collect()}
+    assert set(fresh) == {0, 1, 2, 3, 10, 11}
+    assert all(fresh[i].text == texts[i] for i in (0, 1, 2, 3, 10)) and fresh[11].text == texts[11].split("\n")[0]
+    assert all(r.n_chars == len(r.text) for r in fresh.values())
+
+
 def test_stages_on_empty_tables(lab, tmp_path):
     docs = lab.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     lab.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
