@@ -1,5 +1,6 @@
 """Sharding, near-duplicates, line chunks, packing and neighbours against plain versions."""
 
+import math
 import random
 import re
 import zlib
@@ -121,6 +122,26 @@ def test_estimates_are_near_the_truth():
     assert used[0] == neardup.BUCKETS and abs(found[0] - 1500 / 2500) < 0.2
 
 
+@pytest.mark.parametrize("limit", [0.8, 0.85])
+def test_registers_drop_no_probable_link(limit):
+    for used in (3, 13, 20, 60, 128):
+        tails = np.cumsum([math.comb(used, m) * limit**m * (1 - limit) ** (used - m) for m in range(used + 1)])
+        for matches in range(1, used + 1):
+            one, two = np.zeros(neardup.BUCKETS, np.uint16), np.zeros(neardup.BUCKETS, np.uint16)
+            one[:used], two[:used] = 7, 9
+            two[:matches] = 7
+            near = neardup._candidates(0, np.array([one, two]), np.zeros((2, neardup.BANDS), np.uint64), np.array([200, 200]), 0, limit)
+            assert near[1] == (tails[matches] > 1e-11)
+
+
+def test_outer_cells_are_bounded_by_shingles(lab, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_SHINGLES", 1000)
+    large = lab.createDataFrame([(1, 0, i, i, 200, 8) for i in range(40)], "key long, band int, doc_id long, f1 long, n long, _cells long")
+    found = lab.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
+    cells = neardup._beyond_cells(large, found).where("left").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    assert len(cells) > 8 and max(r.n for r in cells) < 30 * 200
+
+
 def plain_repeats(texts):
     """First occurrences stay; chunk boundaries by the same rule, in plain Python."""
     from hashlib import md5

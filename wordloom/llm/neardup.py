@@ -5,19 +5,22 @@
 2. A sketch has ``BUCKETS`` registers; each stores the leading zeros of its bucket's least hash and ``MANTISSA`` bits after
    them. Empty registers borrow from others for banding. ``BANDS`` bands of four registers give each document its keys.
 3. Documents that share a key meet in cells of bounded size. There the registers alone are compared first: a pair goes on
-   if its collision-corrected Jaccard estimate is within five standard errors of the limit, and only at the first band
-   that both share, so a pair is looked at once.
+   if a link at the limit has so few equal registers, or fewer, with a probability above ``MISSED`` (binomial; collisions
+   are subtracted), and only at the first band that both share, so a pair is looked at once.
 4. For documents with such a partner the full sets are made, and cells confirm links on them. Within a cell, documents
    already connected are not compared again, so a dense group costs few comparisons and gives few links.
 5. A key whose documents fill more than one cell is gone over again: what is not in the key's main component by then is
    compared with all other cells of the key.
 
-A link at similarity 0.8 shares no key with a probability of 5e-8, one at 0.85 with 6e-11.
+A link at similarity 0.8 shares no key with a probability of 5e-8, one at 0.85 with 6e-11; the registers miss one at the
+limit with a probability below 1e-11 more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ ROWS = BUCKETS // BANDS
 #: Documents and shingles of a cell.
 CELL_DOCS, CELL_SHINGLES = 2048, 2_000_000
 SPAN = 1 << 20
-ERRORS = 5.0
+#: Probability that the register test drops a link at the limit.
+MISSED = 1e-11
 U64 = np.uint64
 _BORROW = np.random.default_rng(20).integers(0, BUCKETS, (BUCKETS, 64))
 
@@ -88,10 +92,20 @@ def estimates(one: np.ndarray, others: np.ndarray, n_one: int, n_others: np.ndar
     return (matches - chance) / used, used
 
 
+@cache
+def _least_matches(limit: float) -> np.ndarray:
+    """For each number of used registers the most equal ones that a link at ``limit`` falls short of with at most ``MISSED``."""
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for used in range(1, BUCKETS + 1):
+        terms = [math.comb(used, m) * limit**m * (1 - limit) ** (used - m) for m in range(used + 1)]
+        out[used] = np.searchsorted(np.cumsum(terms), MISSED, "right")
+    return out
+
+
 def _candidates(i: int, sketches, full, sizes, band: int, limit: float) -> np.ndarray:
     """Whether each other document goes on as a partner of ``i`` in a cell of ``band``."""
     estimate, used = estimates(sketches[i], sketches, int(sizes[i]), sizes)
-    near = estimate >= limit - ERRORS * np.sqrt(limit * (1 - limit) / used)
+    near = estimate * used > _least_matches(limit)[used] - 0.5
     rows = np.flatnonzero(near)
     earlier = (full[rows, :band] == full[i, :band]).any(axis=1) if band else np.zeros(len(rows), bool)
     near[rows[earlier]] = False
@@ -289,9 +303,11 @@ def _beyond_cells(large: DataFrame, found: DataFrame) -> DataFrame:
     """Cells of what is outside the main component of a key against all other documents of that key."""
     placed = large.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("comp", F.coalesce("component", "doc_id"))
-    counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"))
-    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_main"), F.sum("_c").alias("_all"), F.max("_c").alias("_most"))
-    main = main.where("_all > _most").withColumn("_outer", F.ceil((F.col("_all") - F.col("_most")) / CELL_DOCS))
+    counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
+    most = F.max_by(F.struct("comp", "_s"), F.struct("_c", "comp"))
+    main = counts.groupBy("key").agg(most.alias("_first"), F.sum("_c").alias("_all"), F.max("_c").alias("_most"), F.sum("_s").alias("_sum"))
+    outer = F.greatest(F.ceil((F.col("_all") - F.col("_most")) / CELL_DOCS), F.ceil((F.col("_sum") - F.col("_first._s")) / CELL_SHINGLES))
+    main = main.where("_all > _most").select("key", F.col("_first.comp").alias("_main"), outer.alias("_outer"))
     placed = cut(placed.join(main, "key"))
     row, column = F.pmod(F.xxhash64("doc_id", "key"), F.col("_outer")), F.pmod(F.xxhash64("doc_id", "key"), F.col("_cells"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
