@@ -110,16 +110,21 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
+def _finite(vectors: DataFrame) -> DataFrame:
+    """vec_id and vector of rows with an id and a vector of finite components, not all zero."""
+    v = F.col("embedding").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = vectors.select("vec_id", v.alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return rows.where(F.exists("vector", lambda x: x != 0))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (double array) of rows that take part.
 
     Left out: rows without id, null, empty or zero vectors, vectors with null or non-finite components, and vectors of
     another dimension than most have (the larger one if equally many).
     """
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select("vec_id", v.alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    rows = rows.where(F.exists("vector", lambda x: x != 0))
+    rows = _finite(vectors)
     sizes = rows.groupBy(F.size("vector").alias("_d")).count().orderBy(F.desc("count"), F.desc("_d")).limit(1).select("_d")
     return rows.join(F.broadcast(sizes), F.size("vector") == F.col("_d")).drop("_d")
 
@@ -205,7 +210,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bits: i
 
 
 def usable_queries(queries: DataFrame, dimension: int) -> DataFrame:
-    return usable(queries).where(F.size("vector") == dimension)
+    """Queries of the table's dimension, however many have another."""
+    return _finite(queries).where(F.size("vector") == dimension)
 
 
 def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: int, n: int) -> DataFrame:
