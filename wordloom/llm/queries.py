@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding
+from wordloom.llm import decontaminate, langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding, trie
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -61,6 +61,11 @@ def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.digest(table(spark, folder, "embeddings"))
 
 
+def op11_centroid_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix trie of all conversations with sums over subtrees."""
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +79,7 @@ QUERIES = {
         op8_personal_data,
         op9_block_crf,
         op10_multi_index,
+        op11_centroid_trie,
     )
 }
-ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS), "op5_line_chunks": linededup.DIGEST_SQL}
+ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS), "op5_line_chunks": linededup.DIGEST_SQL, "op11_centroid_trie": trie.DIGEST_SQL}
