@@ -337,10 +337,11 @@ def conversation_trie(conversations: DataFrame, part: int = PART, task: int = TA
         .withColumn("n_children", F.coalesce("n_children", F.lit(0)))
         .withColumn("n_leaves", (F.col("n_children") == 0).cast("long"))
         .withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("bytes"))
+        .withColumn("top", F.lit(ROOT))
     )
-    sums = rollup(own.withColumn("top", F.lit(ROOT)), rows.drop("length", "bytes"), ["n_leaves", "saved_tokens"], part, task)
+    sums = rollup(own, rows.drop("length", "bytes"), ["n_leaves", "saved_tokens"], part, task)
     above = nodes.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    named = skew_join(own.drop("n_leaves", "saved_tokens", "weight", "bytes"), above, ["parent"], ["key"], "left")
+    named = skew_join(own.drop("n_leaves", "saved_tokens", "weight", "bytes", "top"), above, ["parent"], ["key"], "left")
     return (
         named.join(sums, "key")
         .join(digests_of_ends(rows), "key", "left")
