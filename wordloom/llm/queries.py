@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import decontaminate, langid, linededup, neardup, neighbours, packing, pages, pii, quality, sharding, trie
+from wordloom.llm import (
+    align,
+    decontaminate,
+    langid,
+    linededup,
+    neardup,
+    neighbours,
+    packing,
+    pages,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    trie,
+)
 from wordloom.llm.common import table
 
 SHARDS = 24
@@ -66,6 +80,17 @@ def op11_centroid_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.conversation_trie(table(spark, folder, "conversations"))
 
 
+def op12_secret_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document by fixed patterns and a conditional random field."""
+    return secrets.digest(table(spark, folder, "documents"))
+
+
+def op13_pointer_jumping(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of tokens of two tokenizers that cover the same bytes, in every document."""
+    names = "byte_bpe_50k.json", "piece_bpe_32k.model"
+    return align.digest(table(spark, folder, "documents"), *map(public_tokenizers.path, names))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +105,8 @@ QUERIES = {
         op9_block_crf,
         op10_multi_index,
         op11_centroid_trie,
+        op12_secret_crf,
+        op13_pointer_jumping,
     )
 }
 ORACLES = {"op1_jump_shards": sharding.digest_sql(SHARDS), "op5_line_chunks": linededup.DIGEST_SQL, "op11_centroid_trie": trie.DIGEST_SQL}
