@@ -261,3 +261,13 @@ def test_leaks(lab, docs_of, monkeypatch):
     assert {(r.doc_id, l.item_id) for r in out.collect() for l in r.leaks} == wanted
     monkeypatch.undo()
     assert decontaminate.digest(docs, table.limit(0)).count() == 0 and decontaminate.digest(docs.limit(0), table).count() == 0
+
+
+def test_long_digit_groups_and_scores(lab, docs_of):
+    """Parts of dotted numbers, cards and phones of any length; scores follow the words around a span."""
+    zeros = "0" * 5000
+    texts = [f"1.2.3.{zeros}9", f"{zeros}1.{zeros}2.3.4", f"1.2.3.{'9' * 6000}", f"+{zeros}", "1" * 6000, "server 10.0.0.1", "version 10.0.0.1", "10.0.0.1"]
+    found = {r.doc_id: r for r in pii.digest(docs_of(texts)).collect()}
+    assert [found[i].n_ip for i in range(8)] == [1, 1, 0, 0, 0, 1, 1, 1]
+    assert found[0].spans == f"ip:0:{len(texts[0])}" and found[2].scores == ""
+    assert [found[i].scores for i in (5, 6, 7)] == ["0.75", "0.45", "0.60"]

@@ -78,7 +78,7 @@ def _addresses(text: str) -> Iterator[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in four)):
                 yield Span("ip", at, end)
             at = end + 1
 
@@ -180,19 +180,24 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the four base kinds, digest of the base spans and all spans, from ``find_spans``."""
+    """doc_id, counts of the four base kinds, digest of the base spans, all spans, and their scores in the same order.
+
+    Spans come from ``find_spans``; ``scores`` has the confidence of each after looking at the words around it.
+    """
     base = KINDS[:4]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches):
-            found = [find_spans(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [find_spans(t) for t in texts]
+            scores = [",".join(f"{score(t, s):.2f}" for s in spans) for t, spans in zip(texts, found)]
             own = [[s for s in spans if s.kind in base] for spans in found]
             counts = [pa.array([sum(s.kind == k for s in spans) for spans in own], pa.int64()) for k in base]
             digests = [hashlib.sha256(joined(spans).encode()).hexdigest() for spans in own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(joined, found), pa.string())],
-                names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"],
+                [batch.column(0), *counts, pa.array(digests, pa.string()), pa.array(map(joined, found), pa.string()), pa.array(scores, pa.string())],
+                names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans", "scores"],
             )
 
     names = ", ".join(f"n_{k} bigint" for k in base)
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id bigint, {names}, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id bigint, {names}, base_sha256 string, spans string, scores string")
