@@ -26,12 +26,16 @@ def bucket(position: Column | str) -> Column:
     return F.shiftright(position, BUCKET_BITS).cast("int").alias(BUCKET)
 
 
-def blocks_between(first: Column | str, last: Column | str, bits: int = BLOCK_BITS) -> Column:
-    """Array of the block numbers a range touches; empty for an empty range."""
-    first, last = (F.col(c) if isinstance(c, str) else c for c in (first, last))
-    return F.when(first <= last, F.sequence(block(first, bits), block(last, bits))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def unfolded(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """One row for every whole number from ``first`` to ``last``, as column ``name``; none for an empty range.
+
+    It is done in two steps of at most 1024 numbers where the range is that short, so a long range is no long array of one row.
+    """
+    coarse = df.withColumn("_low", first).withColumn("_high", last).where(F.col("_low") <= F.col("_high"))
+    coarse = coarse.withColumn("_step", F.explode(F.sequence(F.shiftright("_low", 10), F.shiftright("_high", 10))))
+    lower, upper = F.shiftleft("_step", 10), F.shiftleft("_step", 10) + 1023
+    numbers = F.sequence(F.greatest("_low", lower), F.least("_high", upper))
+    return coarse.withColumn(name, F.explode(numbers)).drop("_low", "_high", "_step")
 
 
 def running_total(df: DataFrame, order: list, weight: Column, name: str, partitions: int | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions.text import rendered_token, text_id_of
+from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, block, bucket, unfolded
 from wordloom.operators.hits import spans
+from wordloom.sources.tokens import HALO
 
 # Context sizes in words.
 CONTEXT = 15
@@ -31,13 +33,22 @@ def in_context(
     context: int | None = None,
     treebank: bool = False,
     most: int | None = MAX_CONTEXT,
+    longest: int | None = None,
 ) -> DataFrame:
     """KWI-1, KWI-2, WIN-2. Hits with ``left``, ``match`` and ``right``, arrays of token structs.
 
-    A page or a sample of hits is sent to the tokens; more hits than that meet the tokens by exact position. The text id
-    is part of the join, so context never runs into another text. ``context`` beyond ``most`` words is cut to it.
+    ``tokens`` may be a token table or context blocks (``sources.tokens.context_blocks``). Blocks are best for many hits:
+    a hit meets the one row its context lies in, and nothing is grouped by hit. Hits that reach beyond their block (longer
+    than ``HALO`` tokens with their context) meet all blocks they touch; ``longest``, the most tokens a hit can have
+    (``hits.longest_hit``), says that there are none, else the search is run for both kinds.
+
+    With a token table a page or a sample of hits is sent to the tokens; more hits than that meet the tokens by exact
+    position. The text id is part of the join, so context never runs into another text. ``context`` beyond ``most`` words is
+    cut to it.
     """
     n = context_size(context, treebank, most)
+    if "block" in tokens.columns:
+        return _in_blocks(hits, tokens, tuple(attributes), n, longest)
     around = spans(hits, tokens, F.col("start") - n, F.col("end") + n, attributes, "_around")
     before = F.col("start") - F.element_at("_around", 1)["tok_no"]
     length = F.col("end") - F.col("start") + 1
@@ -50,6 +61,62 @@ def in_context(
     )
 
 
+def _in_blocks(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...], n: int, longest: int | None) -> DataFrame:
+    own = block("start")
+    fits = (F.col("end") + n < F.shiftleft(own, BLOCK_BITS) + BLOCK + HALO) & F.lit(n <= HALO)
+    found = _framed(_beside(hits.withColumn("_block", own), blocks, attributes).where(fits), hits, attributes, n)
+    if longest is not None and longest - 1 + n <= HALO:
+        return found
+    # every block such a hit touches, without what it holds of its neighbours, put together again
+    wanted = F.greatest(F.col("start") - n, F.lit(0))
+    far = unfolded(hits.where(~fits), block(wanted), block(F.col("end") + n), "_block")
+    low = F.shiftleft("_block", BLOCK_BITS)
+    from_, to = F.greatest(wanted, low), F.least(F.col("end") + n, low + (BLOCK - 1))
+    parts = [F.slice(f"_{a}", (from_ - F.col("first") + 1).cast("int"), F.greatest(to - from_ + 1, F.lit(0)).cast("int")).alias(f"_{a}") for a in attributes]
+    cut = _beside(far, blocks, attributes).select(*hits.columns, F.struct("_block", from_.alias("first"), *parts).alias("_part"))
+    joined = cut.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    whole = joined.select(
+        *hits.columns, F.col("_parts")[0]["first"].alias("first"), *(F.flatten(f"_parts._{a}").alias(f"_{a}") for a in attributes)
+    )
+    return found.unionByName(_framed(whole, hits, attributes, n))
+
+
+def _beside(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
+    """Hits with ``_block`` and the arrays of that block, as ``first`` and ``_<attribute>``.
+
+    With stored blocks and known start positions the storage partition is a key, so that others are not read.
+    """
+    keys = ["text_id", "_block"]
+    if BUCKET in blocks.columns and "startpos" in hits.columns:
+        placed = bucket(F.col("startpos") + F.shiftleft("_block", BLOCK_BITS))
+        # Spark prunes partitions by a joined table only if that table is filtered; every block passes
+        hits, keys = hits.withColumn(BUCKET, placed).where(F.col("_block") >= 0), [*keys, BUCKET]
+    wanted = blocks.withColumnRenamed("block", "_block").select(*keys, "first", *(F.col(a).alias(f"_{a}") for a in attributes))
+    return hits.join(wanted, keys)
+
+
+def _framed(rows: DataFrame, hits: DataFrame, attributes: tuple[str, ...], n: int) -> DataFrame:
+    """``left``, ``match`` and ``right`` as slices of the arrays ``_<attribute>``, whose first token has the number ``first``."""
+    last = F.col("first") + F.size(f"_{attributes[0]}") - 1
+    start, end = F.col("start"), F.col("end")
+    bounds = {"left": (F.greatest(start - n, F.col("first")), start - 1), "match": (start, end), "right": (end + 1, F.least(end + n, last))}
+    slices = [
+        F.slice(f"_{a}", (low - F.col("first") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int")).alias(f"_{side}_{a}")
+        for side, (low, high) in bounds.items()
+        for a in attributes
+    ]
+    cut = rows.select(*hits.columns, F.col("first").alias("_first"), *slices)
+
+    def tokens_of(side: str, low: Column) -> Column:
+        values = lambda t: [t[f"_{side}_{a}"].alias(a) for a in attributes]
+        zipped = F.arrays_zip(*(f"_{side}_{a}" for a in attributes))
+        return F.transform(zipped, lambda t, i: F.struct((low + i).alias("tok_no"), *values(t))).alias(side)
+
+    return cut.select(
+        *hits.columns, tokens_of("left", F.greatest(start - n, F.col("_first"))), tokens_of("match", start), tokens_of("right", end + 1)
+    )
+
+
 def as_text(array: Column | str, attributes: Iterable[str] = ("word",)) -> Column:
     """KWI-4, KWI-5, KWI-6. Token array to text: ``word/attr/attr`` per token, tokens separated by a space."""
     attributes = tuple(attributes)
@@ -63,10 +130,11 @@ def concordance_lines(
     context: int | None = None,
     treebank: bool = False,
     most: int | None = MAX_CONTEXT,
+    longest: int | None = None,
 ) -> DataFrame:
     """KWI-6. Hits with ``left_text``, ``match_text`` and ``right_text``."""
     attributes = tuple(attributes)
-    lines = in_context(hits, tokens, attributes, context, treebank, most)
+    lines = in_context(hits, tokens, attributes, context, treebank, most, longest)
     return lines.select(*hits.columns, *(as_text(c, attributes).alias(f"{c}_text") for c in ("left", "match", "right")))
 
 
@@ -81,16 +149,28 @@ def _texts(attribute: str) -> list[Column]:
     return [as_text(c, (attribute,)).alias(f"{c}_text") for c in ("left", "match", "right")]
 
 
+#: Tokens of a text that share a key when lines meet their metadata.
+METADATA_BITS = 20
+
+
 def with_metadata(lines: DataFrame, texts: DataFrame, categories: Iterable[str], segment: str | None = None) -> DataFrame:
     """JOI-4. Lines with metadata of their text, blank where missing.
 
     ``segment`` names a column of segment ids whose part before the first dot is the text id. Many-to-many values must
-    have been joined to lists before (``stats.listed_values``).
+    have been joined to lists before (``stats.listed_values``). Lines that start at a token of a text whose ``n_tokens`` is
+    known meet a copy of the metadata per 2 ** METADATA_BITS tokens, so the lines of a very long text are many keys.
     """
     categories = list(categories)
-    values = texts.select("text_id", *(F.col(c).cast("string").alias(c) for c in categories))
+    values = [F.col(c).cast("string").alias(c) for c in categories]
     keyed = lines if segment is None else lines.withColumn("text_id", text_id_of(segment))
-    return keyed.join(values, "text_id", "left").na.fill("", categories)
+    if "start" in lines.columns and "n_tokens" in texts.columns:
+        own = texts.select("text_id", *values, F.col("n_tokens").cast("long").alias("_n"))
+        last = block(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)) - 1, METADATA_BITS)
+        copies = unfolded(own, F.lit(0).cast("long"), last, "_part").drop("_n")
+        joined = keyed.withColumn("_part", block("start", METADATA_BITS)).join(copies, ["text_id", "_part"], "left").drop("_part")
+    else:
+        joined = keyed.join(texts.select("text_id", *values), "text_id", "left")
+    return joined.na.fill("", categories)
 
 
 def aligned_text(

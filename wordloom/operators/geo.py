@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from wordloom.functions.geo import Point, in_any_polygon
+from wordloom.layout import unfolded
 
 
 def geo_distribution(hits: DataFrame, speakers: DataFrame, form: str) -> DataFrame:
@@ -73,6 +74,49 @@ def places_in(coords: DataFrame, polygons: list[list[Point]]) -> DataFrame:
     return coords.where(in_any_polygon("lat", "lng", polygons))
 
 
+#: Height in degrees of the bands of latitude by which points meet the edges of polygons.
+BAND = 0.25
+
+
+def polygon_edges(polygons: DataFrame) -> DataFrame:
+    """Corners (polygon, corner, lat, lng), numbered from 0 in each polygon, to edges (polygon, wraps, a_lat, …, b_lng).
+
+    A polygon with an edge of more than 180 degrees of longitude crosses the 180th meridian: ``wraps`` is true, and its
+    longitudes run on beyond 180.
+    """
+    sizes = polygons.groupBy("polygon").agg(F.count(F.lit(1)).alias("_n"))
+    ends = polygons.select("polygon", F.col("corner").alias("_next"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    edges = (
+        polygons.join(sizes, "polygon")
+        .select("polygon", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), ((F.col("corner") + 1) % F.col("_n")).alias("_next"))
+        .join(ends, ["polygon", "_next"])
+    )
+    wide = edges.groupBy("polygon").agg(F.max(F.abs(F.col("a_lng") - F.col("b_lng")) > 180).alias("wraps"))
+    on = lambda c: F.when(F.col("wraps") & (F.col(c) < 0), F.col(c) + 360).otherwise(F.col(c)).alias(c)
+    return edges.join(wide, "polygon").select("polygon", "wraps", "a_lat", on("a_lng"), "b_lat", on("b_lng"))
+
+
+def places_in_polygons(coords: DataFrame, polygons: DataFrame, band: float = BAND) -> DataFrame:
+    """FLT-11. Places inside at least one polygon of a table (polygon, corner, lat, lng); without polygons all places.
+
+    Edges are listed by the bands of latitude they cross and points meet those of their own band, so neither the number of
+    polygons nor that of their corners is part of the plan. A point is inside a polygon if it has an odd number of the
+    polygon's edges to its east.
+    """
+    if polygons.isEmpty():
+        return coords
+    of_band = lambda c: F.floor(c / band)
+    edges = polygon_edges(polygons).where(F.col("a_lat") != F.col("b_lat"))
+    listed = unfolded(edges, of_band(F.least("a_lat", "b_lat")), of_band(F.greatest("a_lat", "b_lat")), "_band")
+    points = coords.select("lat", "lng").distinct().withColumn("_band", of_band(F.col("lat")))
+    lng = F.when(F.col("wraps") & (F.col("lng") < 0), F.col("lng") + 360).otherwise(F.col("lng"))
+    spans = (F.col("a_lat") > F.col("lat")) != (F.col("b_lat") > F.col("lat"))
+    at = (F.col("b_lng") - F.col("a_lng")) * (F.col("lat") - F.col("a_lat")) / (F.col("b_lat") - F.col("a_lat")) + F.col("a_lng")
+    crossed = points.join(listed, "_band").where(spans & (lng < at))
+    inside = crossed.groupBy("lat", "lng", "polygon").agg((F.count(F.lit(1)) % 2).alias("_odd")).where(F.col("_odd") == 1)
+    return coords.join(inside.select("lat", "lng").distinct(), ["lat", "lng"], "left_semi")
+
+
 def colour_table(distribution: DataFrame, colours: Mapping[str, list[str]]) -> DataFrame:
     """(form, colour) rows of a colour choice, one row for each colour a form was given."""
     by_form: dict[str, list[str]] = {}

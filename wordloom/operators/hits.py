@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,7 +18,11 @@ from wordloom.operators.selection import in_texts
 from wordloom.session import cut
 
 KEYS = ("text_id", "start", "end")
+#: What attributes of a hit's last token are called: ``last_<attribute>``.
+LAST = "last_"
 OPEN_GAP_BITS = 16
+#: Terms whose votes fit one number.
+VOTE_BITS = 62
 # Distances beyond this many tokens are looked up like open ones, so that no block grows with the pattern.
 LONG_GAP = 1 << 14
 
@@ -30,12 +34,13 @@ def find_hits(
     texts: DataFrame | None = None,
     keep: tuple[str, ...] = (),
     match: tuple[str, ...] = (),
+    keep_last: tuple[str, ...] = (),
 ) -> DataFrame:
     """Hits of any of the patterns: ``text_id, start, end, <within>_id, _first, _last`` (and ``startpos`` if known).
 
     ``within`` names the region (columns ``<within>_id``, ``<within>_first``, ``<within>_last`` of the token table).
-    ``texts`` limits the search to those texts. ``keep`` asks for attributes of the hit's first token, ``match`` for the
-    array of all its tokens with these attributes. Where the pattern restricts every token of the hit they come from the
+    ``texts`` limits the search to those texts. ``keep`` asks for attributes of the hit's first token, ``keep_last`` for
+    those of its last one (as ``last_<attribute>``), ``match`` for the array of all its tokens with these attributes. Where the pattern restricts every token of the hit they come from the
     matching tokens themselves, so counting them needs no second read of the token table.
     """
     if "pos" in tokens.columns and "startpos" not in tokens.columns:
@@ -46,11 +51,13 @@ def find_hits(
     carried = match if all(steps.contiguous for forms in alternatives for steps in forms) else ()
     found = []
     for forms in alternatives:
-        parts = reduce(DataFrame.unionByName, [_match(tokens, steps, within, texts, keep, carried) for steps in forms])
+        matched = [_match(tokens, steps, within, texts, keep, carried, keep_last) for steps in forms]
+        parts = reduce(DataFrame.unionByName, matched)
         if len(forms) > 1:
             # two normal forms of one pattern: still one hit per start
-            same = [c for c in parts.columns if c != "end"]
-            parts = parts.groupBy(*same).agg(F.min("end").alias("end"))
+            lasts = [f"{LAST}{c}" for c in keep_last]
+            same = [c for c in parts.columns if c != "end" and c not in lasts]
+            parts = parts.groupBy(*same).agg(F.min("end").alias("end"), *(F.min_by(c, "end").alias(c) for c in lasts))
         found.append(parts)
     hits = reduce(DataFrame.unionByName, found)
     # PAT-16, SET-1: rows that agree on the keys agree on everything else
@@ -75,9 +82,11 @@ def _match(
     texts: DataFrame | None,
     keep: tuple[str, ...],
     match: tuple[str, ...],
+    keep_last: tuple[str, ...],
 ) -> DataFrame:
-    # the first token of a pattern that begins with free ones is looked up afterwards
+    # the first or last token of a pattern that begins or ends with free ones is looked up afterwards
     later, keep = (keep, ()) if steps.lead else ((), keep)
+    later_last, keep_last = (keep_last, ()) if steps.trail else ((), keep_last)
     carried = _carried(tokens, within, keep)
     tests = [t.column(within, frozenset(tokens.columns)) for t in steps.terms]
     first, last = f"{within}_first", f"{within}_last"
@@ -94,16 +103,19 @@ def _match(
             F.col("tok_no").alias("end"),
             *carried,
             *([F.array(F.struct("tok_no", *match)).alias("match")] if match else []),
+            *(F.col(c).alias(f"{LAST}{c}") for c in keep_last),
         )
     elif steps.fixed:
-        begun = _match_fixed(candidates, steps, tests, carried, within, match)
+        begun = _match_fixed(candidates, steps, tests, carried, within, match, keep_last)
     else:
-        begun = _match_gaps(candidates, steps, tests, carried, within)
+        begun = _match_gaps(candidates, steps, tests, carried, within, keep_last)
     if not steps.lead and not steps.trail:
         return begun
     moved = begun.withColumn("start", F.col("start") - steps.lead).withColumn("end", F.col("end") + steps.trail)
     inside = moved.where((F.col("start") >= F.col(first)) & (F.col("end") <= F.col(last)))
-    return with_token(inside, tokens, F.col("start"), {c: c for c in later}, present=True) if later else inside
+    inside = with_token(inside, tokens, F.col("start"), {c: c for c in later}, present=True) if later else inside
+    lasts = {c: f"{LAST}{c}" for c in later_last}
+    return with_token(inside, tokens, F.col("end"), lasts, present=True) if lasts else inside
 
 
 def _match_fixed(
@@ -113,26 +125,33 @@ def _match_fixed(
     carried: list[str],
     within: str,
     match: tuple[str, ...],
+    keep_last: tuple[str, ...],
 ) -> DataFrame:
     """Terms at fixed distances: every token votes for the start it would belong to.
 
-    One bit per term; a start with all bits is a hit. Groups have at most one row per term, whatever the skew, and
-    the votes are combined before the shuffle.
+    One bit per term, in as many numbers as the terms need; a start with all bits is a hit. Groups have at most one row per
+    term, whatever the skew, and the votes are combined before the shuffle.
     """
     offsets = [0]
     for low, _ in steps.gaps:
         offsets.append(offsets[-1] + low)
+    terms = len(tests)
     votes = F.array(
         *(
-            F.when(test, F.struct((F.col("tok_no") - offset).alias("start"), F.lit(1 << k).alias("bit")))
+            F.when(test, F.struct((F.col("tok_no") - offset).alias("start"), F.lit(k).alias("term")))
             for k, (test, offset) in enumerate(zip(tests, offsets))
         )
     )
-    # attributes are those of the first term's token
-    value = {c: F.when(F.col("_v.bit") == 1, F.col(c)) for c in carried}
+    # attributes are those of the first or last term's token
+    first = {c: F.when(F.col("_v.term") == 0, F.col(c)) for c in carried}
+    last = {f"{LAST}{c}": F.when(F.col("_v.term") == terms - 1, F.col(c)) for c in keep_last}
     region = [f"{within}_id", f"{within}_first", f"{within}_last"]
     # one token per term at most, so the array is as short as the pattern
     gathered = [F.array_sort(F.collect_list(F.struct("tok_no", *match))).alias("match")] if match else []
+    words = range(0, terms, VOTE_BITS)
+    bit = F.expr(f"shiftleft(1L, _v.term % {VOTE_BITS})")
+    in_word = lambda low: bit if terms <= VOTE_BITS else F.when(F.floor(F.col("_v.term") / VOTE_BITS) == low // VOTE_BITS, bit)
+    full = [F.col(f"_bits{low}") == (1 << min(VOTE_BITS, terms - low)) - 1 for low in words]
     return (
         candidates.withColumn("_v", F.explode(votes))
         .where(
@@ -142,27 +161,32 @@ def _match_fixed(
         )
         .groupBy("text_id", F.col("_v.start").alias("start"))
         .agg(
-            F.bit_or("_v.bit").alias("_bits"),
-            *(F.max(F.col(c) if c in region else value[c]).alias(c) for c in carried),
+            *(F.bit_or(in_word(low)).alias(f"_bits{low}") for low in words),
+            *(F.max(F.col(c) if c in region else first[c]).alias(c) for c in carried),
+            *(F.max(value).alias(c) for c, value in last.items()),
             *gathered,
         )
-        .where(F.col("_bits") == (1 << len(tests)) - 1)
+        .where(reduce(and_, full))
         .select(
-            "text_id", "start", (F.col("start") + offsets[-1]).alias("end"), *carried, *(["match"] if match else [])
+            "text_id", "start", (F.col("start") + offsets[-1]).alias("end"), *carried, *(["match"] if match else []), *last
         )
     )
 
 
-def _match_gaps(candidates: DataFrame, steps: Steps, tests: list[Column], carried: list[str], within: str) -> DataFrame:
+def _match_gaps(
+    candidates: DataFrame, steps: Steps, tests: list[Column], carried: list[str], within: str, keep_last: tuple[str, ...]
+) -> DataFrame:
     """Variable distances: from the last term back to the first, the nearest end reachable from every token.
 
     For a token that fits term k the nearest end is the smallest one among the tokens that fit term k+1 at an allowed
     distance: a sliding minimum in token order. Only candidate tokens take part.
     """
     terms = len(tests)
+    # attributes of the last token travel with its number, by which alone ends are compared: no two tokens share one
+    closed = F.struct(F.col("tok_no").alias("at"), *(F.col(c).alias(f"{LAST}{c}") for c in keep_last))
     rows = candidates.select(
-        "text_id", "tok_no", *carried, *(t.alias(f"_t{k}") for k, t in enumerate(tests))
-    ).withColumn("_end", F.when(F.col(f"_t{terms - 1}"), F.col("tok_no")))
+        "text_id", "tok_no", *carried, *(t.alias(f"_t{k}") for k, t in enumerate(tests)), closed.alias("_closed")
+    ).withColumn("_end", F.when(F.col(f"_t{terms - 1}"), F.col("_closed"))).drop("_closed")
     level = terms - 2
     while level >= 0:
         if _is_long(steps.gaps[level]):
@@ -175,7 +199,7 @@ def _match_gaps(candidates: DataFrame, steps: Steps, tests: list[Column], carrie
             rows = _steps_bounded(rows, [(k, *steps.gaps[k]) for k in run], within)
             level = run[-1] - 1
     return rows.where(F.col("_end").isNotNull()).select(
-        "text_id", F.col("tok_no").alias("start"), F.col("_end").alias("end"), *carried
+        "text_id", F.col("tok_no").alias("start"), F.col("_end.at").alias("end"), *carried, *(f"_end.{LAST}{c}" for c in keep_last)
     )
 
 
@@ -215,7 +239,7 @@ def _step_open(rows: DataFrame, level: int, low: int, high: int | None, within:
     """
     region = ["text_id", f"{within}_first"]
     asked = F.struct(
-        (F.col("tok_no") + low).alias("at"), F.lit(None).cast("bigint").alias("end"), F.lit(True).alias("ask")
+        (F.col("tok_no") + low).alias("at"), F.lit(None).cast(rows.schema["_end"].dataType).alias("end"), F.lit(True).alias("ask")
     )
     given = F.struct(F.col("tok_no").alias("at"), F.col("_end").alias("end"), F.lit(False).alias("ask"))
     nearest = F.when(~F.col("_e.ask"), F.struct("_e.at", "_e.end"))
@@ -303,6 +327,17 @@ def with_token(
     return keyed.join(wanted, keys).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
 
 
+def longest_hit(patterns: Iterable[Iterable[Tok | Gap]]) -> int | None:
+    """Most tokens a hit of any of the patterns can have; None if a pattern has an open gap."""
+    most = 0
+    for pattern in patterns:
+        for steps in normalise(pattern):
+            if any(high is None for _, high in steps.gaps):
+                return None
+            most = max(most, 1 + sum(high for _, high in steps.gaps) + steps.lead + steps.trail)
+    return most
+
+
 def settled(hits: DataFrame) -> DataFrame:
     """A search result written to the checkpoint folder, for sorting and paging it repeatedly."""
     return cut(hits)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.layout import number_rows
-from wordloom.operators.hits import with_match, with_token
+from wordloom.layout import block, running_total
+from wordloom.operators.hits import LAST, with_match, with_token
 from wordloom.session import cut
 
 # Page sizes.
@@ -13,12 +13,15 @@ HITS_PER_PAGE = 50
 FIRST_REQUEST = 100
 TEXTS_PER_PAGE = 50
 CORPUS_ORDER = ("text_id", "start", "end")
+#: Rows of a cell that are ordered by one task; larger cells are divided by the next column first.
+CELL = 1 << 17
 
 
 def sort_keys(hits: DataFrame, tokens: DataFrame, by: str = "position", within: str | None = None) -> DataFrame:
     """SRT-1..5. Hits with ``sort_key``: the folded match, or the folded word before or after it.
 
-    With ``within`` (speech) a neighbour outside the hit's region does not count. Hits without a neighbour have NULL.
+    With ``within`` (speech) a neighbour outside the hit's region does not count. Hits without a neighbour have NULL. Hits
+    that carry the words stored beside their first and last token (``before``, ``last_after``) are not joined with tokens.
     """
     if by == "position":
         return hits.withColumn("sort_key", F.lit(None).cast("string"))
@@ -29,9 +32,13 @@ def sort_keys(hits: DataFrame, tokens: DataFrame, by: str = "position", within:
     if by not in ("left", "right"):
         raise ValueError(f"unknown sort key: {by}")
     at = F.col("start") - 1 if by == "left" else F.col("end") + 1
+    inside = F.lit(True)
     if within is not None:
-        edge = F.col("start") == F.col(f"{within}_first") if by == "left" else F.col("end") == F.col(f"{within}_last")
-        at = F.when(~edge, at)
+        inside = F.col("start") > F.col(f"{within}_first") if by == "left" else F.col("end") < F.col(f"{within}_last")
+        at = F.when(inside, at)
+    stored = "before" if by == "left" else f"{LAST}after"
+    if stored in hits.columns:
+        return hits.withColumn("sort_key", F.when(inside, F.lower(stored)))
     return with_token(hits, tokens, at, {"word": "sort_key"}).withColumn("sort_key", F.lower("sort_key"))
 
 
@@ -45,24 +52,62 @@ def sort_hits(hits: DataFrame, tokens: DataFrame, by: str = "position", within:
     return sort_keys(hits, tokens, by, within).orderBy(*hit_order())
 
 
-def ordered_slice(rows: DataFrame, order: list, start: int, end: int) -> DataFrame:
-    """LIM-1. Rows number ``start`` to ``end`` (0-based, inclusive) in a unique order.
+def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tuple) -> DataFrame:
+    """LIM-1. Rows number ``start`` to ``end`` (0-based, inclusive) in a unique order, by order statistics.
 
-    Rows are numbered by range partition and offset, so no task gathers the rows before the slice, however deep it is.
+    ``cells`` are columns that divide the rows in the same order, coarse ones first, each as (name, value, order). Rows are
+    counted per cell; only cells the slice lies in are kept, at most as many as the slice has rows, and divided by the next
+    column while one of them has more than ``CELL`` rows. What is left is sorted cell by cell. Neither the rows before the
+    slice nor those behind it are ever sorted, moved or written, however deep it is; they are read once per level.
     """
-    inside = number_rows(rows, order, "_no").where(F.col("_no").between(start, end))
+    kept, before, keys, wanted = rows, 0, [], None
+    for name, value, _ in cells:
+        kept = kept if wanted is None else _in_cells(kept, wanted.select(*keys), keys)
+        kept = kept.withColumn(name, value)
+        keys.append(name)
+        sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_total(sizes, [o for _, _, o in cells[: len(keys)]], F.col("_n"), "_passed")
+        # the cells kept follow one another, so a level counts on from the first of them
+        placed = placed.withColumn("_offset", F.col("_passed") + before).drop("_passed")
+        wanted = cut(placed.where((F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start)))
+        before, most = wanted.agg(F.min("_offset"), F.max("_n")).first()
+        if most is None or most <= CELL:
+            break
+    number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1 + F.col("_offset")
+    numbered = _in_cells(kept, wanted.drop("_n"), keys).withColumn("_no", number)
+    inside = numbered.where(F.col("_no").between(start, end))
     # the limit states the size of the result, and the order is that of the slice
-    return inside.orderBy("_no").limit(max(end - start + 1, 0)).drop("_no")
+    return inside.orderBy("_no").limit(max(end - start + 1, 0)).select(*rows.columns)
+
+
+def _in_cells(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the given cells, with what these carry; NULL is a cell of its own."""
+    other = cells.select(*(F.col(k).alias(f"{k}_cell") for k in keys), *(c for c in cells.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_cell")) for k in keys]
+    return rows.join(other, same).drop(*(f"{k}_cell" for k in keys))
+
+
+def position_cells() -> tuple:
+    """Cells of hits in corpus order: the text, then blocks of its tokens."""
+    return (
+        ("_text", F.col("text_id"), F.col("_text").asc()),
+        ("_block", block("start"), F.col("_block").asc()),
+    )
+
+
+def hit_cells() -> tuple:
+    """Cells of ``hit_order``."""
+    return (("_key", F.col("sort_key"), F.col("_key").asc_nulls_last()), *position_cells())
 
 
 def hit_page(keyed_hits: DataFrame, page: int, size: int = HITS_PER_PAGE) -> DataFrame:
     """LIM-1. One page (1-based) of hits that carry ``sort_key``."""
-    return ordered_slice(keyed_hits, hit_order(), (page - 1) * size, page * size - 1)
+    return ordered_slice(keyed_hits, hit_order(), (page - 1) * size, page * size - 1, hit_cells())
 
 
 def first_pages(keyed_hits: DataFrame) -> DataFrame:
     """LIM-1. The two pages of a first request, with their page number."""
-    top = ordered_slice(keyed_hits, hit_order(), 0, FIRST_REQUEST - 1)
+    top = ordered_slice(keyed_hits, hit_order(), 0, FIRST_REQUEST - 1, hit_cells())
     place = F.row_number().over(W.orderBy(*hit_order())) - 1
     return top.withColumn("page", F.floor(place / HITS_PER_PAGE) + 1)
 
@@ -83,7 +128,10 @@ def text_page(texts: DataFrame, page: int, column: str = "text_id", descending:
     order = text_order(column, descending)
     if page == 0:
         return texts.orderBy(*order)
-    return ordered_slice(texts, order, (page - 1) * TEXTS_PER_PAGE, page * TEXTS_PER_PAGE - 1)
+    by_id = ("_text", F.col("text_id"), F.col("_text").desc() if descending and column == "text_id" else F.col("_text").asc())
+    key = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_first()
+    cells = (by_id,) if column == "text_id" else (("_key", F.col(column), key), by_id)
+    return ordered_slice(texts, order, (page - 1) * TEXTS_PER_PAGE, page * TEXTS_PER_PAGE - 1, cells)
 
 
 def one_text(texts: DataFrame, text_id, columns: list[str]) -> DataFrame:
@@ -96,7 +144,7 @@ def capped(hits: DataFrame, cap: int | None = None) -> DataFrame:
     """LIM-3. Hits up to an explicit cap in corpus order; without one all hits."""
     if cap is None:
         return hits
-    return ordered_slice(hits, [F.col(c) for c in CORPUS_ORDER], 0, cap - 1)
+    return ordered_slice(hits, [F.col(c) for c in CORPUS_ORDER], 0, cap - 1, position_cells())
 
 
 def _draw(seed: int | str) -> Column:
@@ -124,22 +172,24 @@ def sample_hits_by_part(hits: DataFrame, n: int, parts: DataFrame, seed: int | s
 
 
 def _lowest(drawn: DataFrame, strata: list[str]) -> DataFrame:
-    """The ``_quota`` rows of each stratum with the lowest draw, without sorting a stratum in one task.
+    """The ``_quota`` rows of each stratum with the lowest draw, by threshold: nothing near all rows is moved or written.
 
     Rows are counted by the first four digits of the draw. Buckets that fit the quota as a whole are taken, and only
-    the one bucket that crosses it is ranked. The rows are checkpointed, so the search behind them runs once.
+    the one bucket that crosses it is ranked; all other rows stop at the scan. The rows are read twice, their counts (at
+    most 65536 a stratum) are written once.
     """
-    drawn = cut(drawn.withColumn("_bucket", F.substring("_draw", 1, 4)))
+    drawn = drawn.withColumn("_bucket", F.substring("_draw", 1, 4))
     counts = drawn.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_q"))
     before = W.partitionBy(*strata).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
+    placed = cut(
         counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .where(F.col("_before") < F.col("_q"))
         .select(*strata, "_bucket", "_before", (F.col("_before") + F.col("_n") <= F.col("_q")).alias("_whole"))
     )
-    kept = drawn.join(placed, [*strata, "_bucket"])
-    rank = F.row_number().over(W.partitionBy(*strata, "_bucket").orderBy("_draw", *CORPUS_ORDER))
-    whole = kept.where("_whole")
-    crossing = kept.where("not _whole").withColumn("_rank", rank)
-    crossing = crossing.where(F.col("_before") + F.col("_rank") <= F.col("_quota")).drop("_rank")
-    return whole.unionByName(crossing).drop("_bucket", "_before", "_whole")
+    kept = drawn.join(placed if strata else F.broadcast(placed), [*strata, "_bucket"])
+    # a row of a bucket that is taken whole is never ranked behind another one: it is a group of its own
+    group = [*strata, "_bucket", F.when(F.col("_whole"), F.col("_draw"))]
+    rank = F.row_number().over(W.partitionBy(*group).orderBy("_draw", *CORPUS_ORDER))
+    ranked = kept.withColumn("_rank", rank)
+    fits = F.col("_whole") | (F.col("_before") + F.col("_rank") <= F.col("_quota"))
+    return ranked.where(fits).drop("_bucket", "_before", "_whole", "_rank")

@@ -7,9 +7,14 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.layout import blocks_between, block
+from wordloom import layout
+from wordloom.layout import BUCKET, block, unfolded
+from wordloom.session import cut
+
+#: Ranges that are sent to the tokens; more of them meet the tokens in a shuffle by block.
+SENT_RANGES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -124,8 +129,20 @@ def select_texts(
 
 
 def in_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """FLT-7. Rows (tokens or hits) of the given texts."""
-    return rows.join(texts.select("text_id"), "text_id", "left_semi")
+    """FLT-7. Rows (tokens or hits) of the given texts.
+
+    Tokens with corpus positions are found by the ranges of the texts (``startpos``, ``endpos``), so a stored table is read
+    only where they lie. Without positions the key is (text, block of tokens), from ``n_tokens`` of the texts, which must
+    then be known; a text alone is the key only where the rows have no token number.
+    """
+    at = next((c for c in ("tok_no", "start") if c in rows.columns), None)
+    if "pos" in rows.columns and {"startpos", "endpos"} <= set(texts.columns):
+        return in_ranges(rows, texts.select(F.col("startpos").alias("start"), F.col("endpos").alias("end")))
+    if at is None or "n_tokens" not in texts.columns:
+        return rows.join(texts.select("text_id"), "text_id", "left_semi")
+    last = block(F.col("n_tokens").cast("long") - 1)
+    blocks = unfolded(texts.select("text_id", "n_tokens"), F.lit(0).cast("long"), last, "_block").drop("n_tokens")
+    return rows.withColumn("_block", block(F.col(at))).join(blocks, ["text_id", "_block"], "left_semi").drop("_block")
 
 
 def in_span(texts: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
@@ -133,24 +150,47 @@ def in_span(texts: DataFrame, low: int | Column, high: int | Column) -> DataFram
     return texts.where((F.col("startpos") >= low) & (F.col("endpos") <= high))
 
 
+def merged_ranges(ranges: DataFrame, bits: int | None = None) -> DataFrame:
+    """The union of ranges (start, end), ends inclusive, as disjoint ones (cell, start, end) that do not touch in a cell.
+
+    Ranges are cut at cells of ``2 ** bits`` positions (default: those of the storage partitions) and put together within
+    each: of all that start at one place only the longest counts, so a cell never has more rows than places.
+    """
+    bits = layout.BUCKET_BITS if bits is None else bits
+    cells = unfolded(ranges.select("start", "end"), block("start", bits), block("end", bits), "cell")
+    low = F.shiftleft("cell", bits)
+    pieces = cells.where(F.col("start") <= F.col("end")).select(
+        "cell", F.greatest("start", low).alias("start"), F.least(F.col("end"), low + ((1 << bits) - 1)).alias("end")
+    )
+    longest = pieces.groupBy("cell", "start").agg(F.max("end").alias("end"))
+    in_order = W.partitionBy("cell").orderBy("start")
+    reach = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
+    islands = longest.withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(in_order))
+    return islands.groupBy("cell", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
 def in_ranges(tokens: DataFrame, ranges: DataFrame, position: str = "pos", bits: int = 10) -> DataFrame:
     """FLT-8, JOI-5. Tokens whose position lies in one of the ranges (start, end), ends inclusive.
 
-    Both sides get the block number of the position as join key. A long range is unfolded in two steps so that no
-    single array grows with its length.
+    Overlapping ranges are merged first, and what is left is listed by blocks of ``2 ** bits`` positions, so a token meets
+    one row at most, whatever the number and the length of the ranges. The list is written once, as its size decides:
+    up to ``SENT_RANGES`` ranges are sent to the tokens, and of a stored table only the partitions they lie in are read;
+    more than that are shuffled with the tokens by block.
     """
-    coarse = bits + 10
-    lower, upper = F.shiftleft("_coarse", 10), F.shiftleft("_coarse", 10) + 1023
-    unfolded = (
-        ranges.select(F.col("start").alias("_start"), F.col("end").alias("_end"))
-        .withColumn("_coarse", F.explode(blocks_between("_start", "_end", coarse)))
-        .withColumn("_first", F.greatest(lower, block("_start", bits)))
-        .withColumn("_last", F.least(upper, block("_end", bits)))
-        .select("_start", "_end", F.explode(F.sequence("_first", "_last")).alias("_block"))
-    )
-    keyed = tokens.withColumn("_block", block(position, bits))
-    inside = (keyed["_block"] == unfolded["_block"]) & keyed[position].between(unfolded["_start"], unfolded["_end"])
-    return keyed.join(unfolded, inside, "left_semi").drop("_block")
+    merged = merged_ranges(ranges, max(bits, layout.BUCKET_BITS))
+    pieces = unfolded(merged, block("start", bits), block("end", bits), "_block")
+    low = F.shiftleft("_block", bits)
+    span = F.struct(F.greatest("start", low).alias("start"), F.least(F.col("end"), low + ((1 << bits) - 1)).alias("end"))
+    listed = cut(pieces.groupBy(F.col("cell").cast("int").alias(BUCKET), "_block").agg(F.collect_list(span).alias("_spans")))
+    n_spans = listed.agg(F.sum(F.size("_spans"))).first()[0] or 0
+    stored = BUCKET in tokens.columns and position == "pos" and bits <= layout.BUCKET_BITS
+    keys = [BUCKET, "_block"] if stored else ["_block"]
+    # Spark prunes partitions by a joined table only if that table is filtered; every list passes
+    wanted = listed.select(*keys, "_spans").where(F.size("_spans") > 0)
+    wanted = F.broadcast(wanted) if n_spans <= SENT_RANGES else wanted
+    inside = F.exists("_spans", lambda s: F.col(position).between(s["start"], s["end"]))
+    return tokens.withColumn("_block", block(position, bits)).join(wanted, keys).where(inside).select(*tokens.columns)
 
 
 def with_value(rows: DataFrame, column: str) -> DataFrame:

@@ -62,8 +62,13 @@ def distinct_values(texts: DataFrame, category: str, selection: Selection = Sele
     return category_values(texts, category, selection, dimensions).select("value").distinct().orderBy("value")
 
 
-def listed_values(dimension: Dimension, column: str) -> DataFrame:
-    """AGG-5. One row per text with its many-to-many values in order, separated by ``'; '``; a repeated value repeats."""
+def listed_values(dimension: Dimension, column: str, ids: DataFrame | None = None) -> DataFrame:
+    """AGG-5. One row per text with its many-to-many values in order, separated by ``'; '``; a repeated value repeats.
+
+    ``ids`` (text_id) limits the lists to these texts, before the values are looked up.
+    """
+    if ids is not None:
+        dimension = Dimension(dimension.table, dimension.bridge.join(ids, "text_id", "left_semi"))
     rows = dimension_rows(dimension, {}).select("text_id", F.col(column).alias("_value"))
     listed = rows.where(F.col("_value").isNotNull()).groupBy("text_id")
     return listed.agg(
@@ -96,6 +101,21 @@ def metadata_table(
     return table.na.fill("", lists)
 
 
+def with_lists(
+    page: DataFrame, columns: Iterable[str], dimensions: Mapping[str, Dimension], few: bool = True
+) -> DataFrame:
+    """AGG-6. Rows of texts with the lists of the asked many-to-many columns (``dimension.column``), blank where missing.
+
+    Lists are made for the given texts only; ``few`` says that there are no more of them than a page has.
+    """
+    ids = page.select("text_id")
+    ids = F.broadcast(ids) if few else ids
+    lists = [key.split(".") for key in columns if "." in key]
+    for name, column in lists:
+        page = page.join(listed_values(dimensions[name], column, ids), "text_id", "left")
+    return page.na.fill("", [column for _, column in lists])
+
+
 def sort_value(dimension: Dimension, column: str) -> DataFrame:
     """SRT-7. The value by which texts are sorted on a many-to-many column: the smallest one."""
     rows = dimension_rows(dimension, {})

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.operators import concordance, geo, hits as hit_ops, ordering, stats
+from wordloom.layout import BUCKET
+from wordloom.operators import concordance, geo, hits as hit_ops, lexicon, ordering, stats
 from wordloom.operators.patterns import Gap, Tok, is_blank
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
 from wordloom.session import cut
-from wordloom.sources.tokens import corpus_sizes
+from wordloom.sources.tokens import NEIGHBOURS, corpus_sizes, save_blocks, save_tokens, vocabulary
 
 Patterns = Iterable[Iterable[Tok | Gap]]
 
@@ -26,6 +27,8 @@ class Corpus:
 
     In a written corpus a text has its tokens under the same ``text_id``. In a spoken one ``texts`` are speakers,
     ``tokens.text_id`` is the recording, ``speaker`` the speaker of a token, and ``ranges`` their corpus positions.
+
+    ``blocks`` (``context_blocks``) serve contexts of words, ``words`` (``vocabulary``) tests on words; ``stored`` makes both.
     """
 
     tokens: DataFrame
@@ -37,6 +40,28 @@ class Corpus:
     treebank: bool = False
     ranges: DataFrame | None = None
     coords: DataFrame | None = None
+    blocks: DataFrame | None = None
+    words: DataFrame | None = None
+
+    @staticmethod
+    def stored(tokens: DataFrame, texts: DataFrame, path: str, in_order: bool = False, **options) -> "Corpus":
+        """Write the tables of a corpus to ``path`` and read them: tokens with their neighbours, context blocks, vocabulary.
+
+        ``in_order`` says that tokens come from documents arranged by id (``sources.tokens.arranged``).
+        """
+        spark = tokens.sparkSession
+        texts.write.parquet(f"{path}/texts")
+        save_tokens(tokens, f"{path}/tokens", in_order=in_order)
+        kept = spark.read.parquet(f"{path}/tokens")
+        save_blocks(kept, f"{path}/blocks")
+        vocabulary(kept).write.parquet(f"{path}/words")
+        return Corpus.opened(spark, path, **options)
+
+    @staticmethod
+    def opened(spark, path: str, **options) -> "Corpus":
+        """A corpus that ``stored`` has written."""
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Corpus(read("tokens"), read("texts"), blocks=read("blocks"), words=read("words"), **options)
 
     # ------------------------------------------------------------ texts
 
@@ -65,18 +90,27 @@ class Corpus:
         by: str = "text_id",
         descending: bool = False,
     ) -> DataFrame:
-        """A page of the metadata table, sorted by a column of ``texts`` or a many-to-many one (``dimension.column``)."""
+        """AGG-6. A page of the metadata table, sorted by a column of ``texts`` or a many-to-many one (``dimension.column``).
+
+        The page is cut first, from texts with their sort key alone; values and lists are then looked up for its texts.
+        """
         columns = list(columns)
-        shown = ["text_id", *(c.split(".")[-1] for c in columns)]
-        table = stats.metadata_table(self.texts, columns, selection, self.dimensions)
+        chosen = self.select(selection)
         if "." in by:
             name, column = by.split(".")
-            table = table.join(stats.sort_value(self.dimensions[name], column), "text_id", "left")
-            return ordering.text_page(table, page, "sort_value", descending).select(*shown)
-        key = f"{by}_key" if by in columns else by
-        if key not in table.columns:
-            table = table.join(self.texts.select("text_id", by), "text_id")
-        return ordering.text_page(table, page, key, descending).select(*shown)
+            keyed = chosen.select("text_id").join(stats.sort_value(self.dimensions[name], column), "text_id", "left")
+            key = "sort_value"
+        else:
+            key = by
+            keyed = chosen.select("text_id", *([] if by == "text_id" else [by]))
+        cut_page = ordering.text_page(keyed, page, key, descending)
+        place = [] if key == "text_id" else [F.col(key).alias("_key")]
+        own = [c for c in columns if "." not in c]
+        values = self.texts.select("text_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in own))
+        rows = cut_page.select("text_id", *place).join(values, "text_id")
+        listed = stats.with_lists(rows, columns, self.dimensions, few=page > 0)
+        order = ordering.text_order("text_id" if key == "text_id" else "_key", descending)
+        return listed.orderBy(*order).select("text_id", *(c.split(".")[-1] for c in columns))
 
     def one_text(self, text_id, columns: list[str]) -> DataFrame:
         return ordering.one_text(self.texts, text_id, columns)
@@ -90,16 +124,32 @@ class Corpus:
         language: str | None = None,
         keep: tuple[str, ...] = (),
         match: tuple[str, ...] = (),
+        sortable: bool = False,
     ) -> DataFrame:
-        """PAT-17. Hits in the selected texts; in speech only in the ranges of the selected (or all listed) speakers."""
-        tokens = self.tokens
+        """PAT-17. Hits in the selected texts; in speech only in the ranges of the selected (or all listed) speakers.
+
+        Of a stored corpus with positions only the partitions are read that the selection and the words of the patterns lie
+        in. ``sortable`` lets hits carry the words beside them, if they are stored, for sorting without a join.
+        """
+        tokens, patterns = self.tokens, [list(p) for p in patterns]
+        keep_last: tuple[str, ...] = ()
+        if sortable and set(NEIGHBOURS) <= set(tokens.columns):
+            keep, keep_last = (*keep, "before"), ("after",)
+        if self.words is not None:
+            patterns, buckets = lexicon.resolved(patterns, self.words)
+            tokens = tokens if buckets is None else tokens.where(F.col(BUCKET).isin(buckets))
         if self.spoken:
             chosen = self.select(selection, language).select("text_id")
             tokens = in_ranges(tokens, self.ranges.join(chosen, "text_id", "left_semi"))
-            return hit_ops.find_hits(tokens, patterns, self.within, keep=keep, match=match)
+            return hit_ops.find_hits(tokens, patterns, self.within, keep=keep, match=match, keep_last=keep_last)
         everything = not selection.choices and language is None
         texts = None if everything else self.select(selection, language)
-        return hit_ops.find_hits(tokens, patterns, self.within, texts, keep, match)
+        return hit_ops.find_hits(tokens, patterns, self.within, texts, keep, match, keep_last)
+
+    def lines(self, hits: DataFrame, context: int | None = None, longest: int | None = None) -> DataFrame:
+        """KWI-1. Hits with their context as text, from the context blocks if there are any; see ``in_context``."""
+        source = self.tokens if self.blocks is None else self.blocks
+        return concordance.concordance_lines(hits, source, context=context, treebank=self.treebank, longest=longest)
 
     def aligned_search(
         self, patterns: Mapping[str, list], alignment: DataFrame, selection: Selection = Selection()
@@ -140,13 +190,13 @@ class Corpus:
     def page(self, hits: DataFrame, page: int = 1, by: str = "position", context: int | None = None) -> DataFrame:
         """One page of the concordance. The page is cut first; only its hits are joined with the tokens.
 
-        To look at several pages of one search, or at one in several orders, pass ``hits.settled(...)``.
+        The hits are read a few times, so pass ``hits.settled(...)`` where a search is dear, or to look at several pages.
         """
         within = self.within if self.spoken else None
         keyed = ordering.sort_keys(hits, self.tokens, by, within)
-        found = ordering.hit_page(keyed, page)
-        lines = concordance.concordance_lines(found, self.tokens, context=context, treebank=self.treebank)
-        return lines.orderBy(*ordering.hit_order())
+        # the rows of one page, written once: short and long hits are looked up apart
+        found = cut(ordering.hit_page(keyed, page))
+        return self.lines(found, context).orderBy(*ordering.hit_order())
 
     def distribution(
         self,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.layout import number_rows, running_total
 from wordloom.operators.selection import Dimension
 from wordloom.plans.corpus import Corpus
-from wordloom.session import spread, tune
+from wordloom.session import checkpoint_folder, spread, tune
 from wordloom.sources.tokens import TOKEN_PATTERN, arranged, tokenise
 
 UNLISTED_ROLE = "system"
+#: Stored corpora this process has written.
+_written: set[str] = set()
 PLACES_WITHOUT_COORDINATES = (3, 7, 11)
 
 
@@ -46,8 +50,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
 
 
-def docs_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return annotated(tokenise(documents(spark, folder), "doc_id", "text", ("lang",)))
+def docs_tokens(spark: SparkSession, folder: str, neighbours: bool = False) -> DataFrame:
+    return annotated(tokenise(documents(spark, folder), "doc_id", "text", ("lang",), neighbours))
 
 
 def docs_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,7 +75,9 @@ def docs_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return placed.withColumn("endpos", F.col("startpos") + F.col("n_tokens") - 1)
 
 
-def docs_placed_tokens(spark: SparkSession, folder: str, ranges: DataFrame, in_order: bool = False) -> DataFrame:
+def docs_placed_tokens(
+    spark: SparkSession, folder: str, ranges: DataFrame, in_order: bool = False, neighbours: bool = False
+) -> DataFrame:
     """Tokens with ``startpos`` and ``pos``. The start is joined to the documents, one row each, before they are expanded:
     joined to the tokens, a long text would be one hot key."""
     placed = documents(spark, folder).join(
@@ -79,10 +85,23 @@ def docs_placed_tokens(spark: SparkSession, folder: str, ranges: DataFrame, in_o
     )
     if in_order:
         placed = arranged(placed, "doc_id")
-    tokens = tokenise(placed, "doc_id", "text", ("lang", "startpos"))
+    tokens = tokenise(placed, "doc_id", "text", ("lang", "startpos"), neighbours)
     return annotated(tokens.withColumn("pos", F.col("startpos") + F.col("tok_no")))
 
 
+def docs_stored(spark: SparkSession, folder: str) -> Corpus:
+    """The same corpus as stored tables, in the shared folder of the session; written at the first call for a folder."""
+    path = f"{checkpoint_folder(tune(spark))}/docs-{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}-{spark.sparkContext.applicationId}"
+    options = {"attributes": ("lemma", "pos_tag", "phon", "orig", "feats")}
+    if path in _written:
+        return Corpus.opened(spark, path, **options)
+    ranges = docs_ranges(spark, folder)
+    placed = docs_placed_tokens(spark, folder, ranges, in_order=True, neighbours=True)
+    corpus = Corpus.stored(placed, ranges, path, in_order=True, **options)
+    _written.add(path)
+    return corpus
+
+
 def docs(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(
         docs_tokens(spark, folder), docs_texts(spark, folder), attributes=("lemma", "pos_tag", "phon", "orig", "feats")
@@ -169,6 +188,27 @@ def coordinates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def supplier_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers spread over the globe by their number."""
+    key = F.col("s_suppkey")
+    return table(spark, folder, "supplier").select(
+        key.cast("string").alias("place"),
+        ((key * 37 % 1700) / 10.0 - 85).alias("lat"),
+        ((key * 73 % 3600) / 10.0 - 180).alias("lng"),
+    )
+
+
+def nation_polygons(spark: SparkSession, folder: str) -> DataFrame:
+    """A hexagon around a point for every nation; some lie on the 180th meridian, where longitudes jump."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    corners = [(1.0, 0.0), (0.5, 1.0), (-0.5, 1.0), (-1.0, 0.0), (-0.5, -1.0), (0.5, -1.0)]
+    lat = lambda c: key * 6 - 70 + F.lit(c[0]) * (5 + region)
+    lng = lambda c: key * 15 - 180 + F.lit(c[1]) * (8 + region)
+    on_globe = lambda x: F.when(x < -180, x + 360).when(x >= 180, x - 360).otherwise(x)
+    rows = [F.struct(F.lit(i).cast("long").alias("corner"), lat(c).alias("lat"), on_globe(lng(c)).alias("lng")) for i, c in enumerate(corners)]
+    return table(spark, folder, "nation").select(key.cast("long").alias("polygon"), F.explode(F.array(*rows)).alias("c")).select("polygon", "c.*")
+
+
 # ---------------------------------------------------------------- talk
 
 

@@ -162,6 +162,15 @@ oracle(
       row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY 1""",
 )
 
+LATEST = """(SELECT user_id AS text_id, event_type AS category, CAST(value AS VARCHAR) AS value,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type IS NOT NULL)"""
+oracle("src9_value_map", f"SELECT text_id, category, coalesce(trim(value), '') AS value FROM {LATEST} WHERE k = 1")
+oracle(
+    "src9_map_columns",
+    f"""SELECT text_id, coalesce(max(CASE WHEN category = 'purchase' THEN value END), '') AS purchase,
+    coalesce(max(CASE WHEN category = 'view' THEN value END), '') AS view, '' AS "never seen" FROM {LATEST} WHERE k = 1 GROUP BY 1""",
+)
+
 # ---------------------------------------------------------------- text selection
 
 ID_TOKENS = "SELECT text_id, n_tokens FROM texts WHERE "
@@ -206,6 +215,28 @@ POLYGONS = """(lat >= 31 AND lat < 51 AND lng >= -19 AND lng < 12)
    + CASE WHEN (80 > lat) <> (60 > lat) AND lng < (60 - 20) * (lat - 80) / (60.0 - 80) + 20 THEN 1 ELSE 0 END
    + CASE WHEN (60 > lat) <> (50 > lat) AND lng < (0 - 60) * (lat - 60) / (50.0 - 60) + 60 THEN 1 ELSE 0 END) % 2 = 1"""
 oracle("flt11_in_polygons", f"SELECT * FROM coords WHERE {POLYGONS}", SHOP)
+oracle(
+    "flt11_polygon_table",
+    """WITH places AS (
+      SELECT CAST(s_suppkey AS VARCHAR) AS place, CAST(s_suppkey * 37 % 1700 AS DOUBLE) / 10.0::DOUBLE - 85 AS lat,
+        CAST(s_suppkey * 73 % 3600 AS DOUBLE) / 10.0::DOUBLE - 180 AS lng FROM supplier),
+    around(corner, up, aside) AS (VALUES (0, 1.0, 0.0), (1, 0.5, 1.0), (2, -0.5, 1.0), (3, -1.0, 0.0), (4, -0.5, -1.0), (5, 0.5, -1.0)),
+    corners AS (
+      SELECT n_nationkey AS polygon, corner, n_nationkey * 6 - 70 + up::DOUBLE * (5 + n_regionkey) AS lat,
+        n_nationkey * 15 - 180 + aside::DOUBLE * (8 + n_regionkey) AS lng FROM nation, around),
+    globe AS (
+      SELECT polygon, corner, lat, CASE WHEN lng < -180 THEN lng + 360 WHEN lng >= 180 THEN lng - 360 ELSE lng END AS lng FROM corners),
+    jumps AS (SELECT polygon, max(lng) - min(lng) > 180 AS wraps FROM globe GROUP BY 1),
+    flat AS (SELECT polygon, corner, wraps, lat, CASE WHEN wraps AND lng < 0 THEN lng + 360 ELSE lng END AS lng FROM globe JOIN jumps USING (polygon)),
+    edges AS (
+      SELECT a.polygon, a.wraps, a.lat AS a_lat, a.lng AS a_lng, b.lat AS b_lat, b.lng AS b_lng
+      FROM flat a JOIN flat b ON b.polygon = a.polygon AND b.corner = (a.corner + 1) % 6),
+    crossed AS (
+      SELECT place, polygon FROM places, edges WHERE (a_lat > lat) <> (b_lat > lat)
+        AND CASE WHEN wraps AND lng < 0 THEN lng + 360 ELSE lng END < (b_lng - a_lng) * (lat - a_lat) / (b_lat - a_lat) + a_lng),
+    inside AS (SELECT DISTINCT place FROM (SELECT place, polygon FROM crossed GROUP BY 1, 2 HAVING count(*) % 2 = 1))
+    SELECT place, round(lat, 6) AS lat, round(lng, 6) AS lng FROM places JOIN inside USING (place)""",
+)
 oracle("flt11_no_polygon", "SELECT * FROM coords", SHOP)
 oracle(
     "flt12_facets",
@@ -327,6 +358,7 @@ oracle("pat5_blank", per_text("SELECT text_id, tok_no AS s, tok_no AS e FROM t")
 oracle("pat11_everything", per_text("SELECT text_id, tok_no AS s, tok_no + 1 AS e FROM t WHERE tok_no < s_last"), DOCS)
 oracle("pat5_literal_wildcards", per_text(pair("a.word = '%'", "true")), DOCS)
 oracle("pat6_regex", per_text(where("regexp_full_match(word, 'Th.*|of|in|[0-9]+')")), DOCS)
+oracle("pat6_vocabulary", per_text(where("regexp_full_match(word, 'Th.*|of|in|[0-9]+')")), DOCS)
 oracle("pat6_alternatives", per_text(where("word IN ('de', 'la', 'der')")), DOCS)
 oracle("pat7_extra_forms", per_text(where("starts_with(lemma, 'th') AND pos_tag IN ('CAP', 'NUM') AND lemma NOT IN ('the', 'that')")), DOCS)
 oracle("pat8_category", per_text(where("pos_tag = 'CAP' AND phon IN ('the', 'tha') AND lemma <> 'the'")), DOCS)
@@ -348,6 +380,15 @@ oracle(
     DOCS,
 )
 SAME = "{1}.text_id = {0}.text_id AND {1}.s_id = {0}.s_id"
+oracle(
+    "pat3_vocabulary",
+    per_text(
+        f"""SELECT a.text_id, a.tok_no AS s, min(b.tok_no) AS e FROM t a
+        JOIN t b ON {SAME.format("a", "b")} AND b.tok_no BETWEEN a.tok_no + 1 AND a.tok_no + 3 AND contains(b.lemma, 'er')
+        WHERE suffix(a.lemma, 'ing') GROUP BY 1, 2"""
+    ),
+    DOCS,
+)
 GAPPED = f"""SELECT a.text_id, a.tok_no AS hit_start, min(c.tok_no) AS hit_end FROM t a
     JOIN t b ON {SAME.format("a", "b")} AND b.tok_no BETWEEN a.tok_no + 1 AND a.tok_no + 3 AND b.lemma = 'of'
     JOIN t c ON {SAME.format("b", "c")} AND c.tok_no BETWEEN b.tok_no + 2 AND b.tok_no + 4 AND c.lemma = 'and'
@@ -405,6 +446,7 @@ oracle(
     AND text_id IN (SELECT doc_id FROM documents WHERE n_chars >= 300)""",
     DOCS,
 )
+ORACLES["pat17_stored_selection"] = ORACLES["pat17_in_selection"]
 oracle(
     "pat17_in_speakers",
     """SELECT a.text_id, a.tok_no AS hit_start, b.tok_no AS hit_end FROM tt a
@@ -437,6 +479,17 @@ OF_THE = pair("a.lemma = 'of'", "b.lemma = 'the'")
 FROM_THE = pair("a.lemma = 'from'", "b.lemma = 'the'")
 LINE = "left_text, match_text, right_text"
 oracle("kwi1_context", kwic(OF_THE, 15) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
+oracle(
+    "kwi1_stored_context",
+    kwic(
+        f"""SELECT a.text_id, a.tok_no AS s, min(b.tok_no) AS e FROM t a
+        JOIN t b ON {SAME.format("a", "b")} AND b.tok_no > a.tok_no AND b.lemma = 'that' WHERE a.lemma = 'from' GROUP BY 1, 2""",
+        50,
+    )
+    + f"SELECT {HIT}, {LINE} FROM k",
+    DOCS,
+)
+oracle("kwi1_by_position", kwic(FROM_THE, 15) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
 oracle("kwi1_treebank", kwic(FROM_THE, 25) + f"SELECT {HIT}, {LINE} FROM k", DOCS)
 oracle("kwi2_text_edges", kwic(
     """SELECT text_id, tok_no AS s, tok_no AS e FROM (SELECT *, max(tok_no) OVER (PARTITION BY text_id) AS last FROM t)
@@ -523,6 +576,7 @@ for number, key in ((2, "match"), (3, "left"), (4, "right")):
         ORDER BY by_{key} NULLS LAST, text_id, s LIMIT 50 OFFSET 50""",
         DOCS,
     )
+ORACLES["srt4_without_neighbours"] = ORACLES["srt4_by_right"]
 oracle(
     "srt5_edge_hits_last",
     """, h AS (SELECT u.text_id, u.tok_no, p.lemma AS k FROM tt u
@@ -557,6 +611,13 @@ oracle(
     WHERE hit_no BETWEEN 12000 AND 12049""",
     DOCS,
 )
+oracle(
+    "lim1_deep_page",
+    """, w AS (SELECT text_id, tok_no, lemma, lead(lemma) OVER (PARTITION BY text_id ORDER BY tok_no) AS k FROM t)
+    SELECT text_id, tok_no AS hit_start, coalesce(k, '-') AS sort_key FROM w WHERE starts_with(lemma, 't')
+    ORDER BY k NULLS LAST, text_id, tok_no LIMIT 50 OFFSET 6950""",
+    DOCS,
+)
 oracle("lim2_metadata_page", "SELECT text_id, source FROM texts ORDER BY text_id LIMIT 50 OFFSET 150", TEXTS)
 oracle(
     "lim3_export_cap",
@@ -620,6 +681,7 @@ oracle(
     WHERE status = 'P' AND text_id NOT IN (SELECT text_id FROM op WHERE type = 'SMALL') ORDER BY o.price DESC NULLS LAST, text_id LIMIT 50 OFFSET 50""",
     SHOP,
 )
+ORACLES["agg6_metadata_page"] = ORACLES["agg6_metadata_table"]
 oracle(
     "agg7_frequency_list",
     f""", h AS (SELECT a.text_id, a.tok_no AS s, min(b.tok_no) AS e FROM t a

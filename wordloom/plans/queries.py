@@ -35,7 +35,9 @@ from wordloom.operators.selection import (
     select_by_facets,
     with_value,
 )
+from wordloom.layout import number_rows
 from wordloom.plans import given
+from wordloom.plans.corpus import Corpus
 from wordloom.sources import tables, tokens as token_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +178,20 @@ def src9_pivot_values(spark, folder):
     return tables.pivot_values(values, ["click", "error", "purchase", "signup", "view"], ["ts", "event_id"])
 
 
+@query
+def src9_value_map(spark, folder):
+    """Every event type there is, from a map per text."""
+    maps = tables.value_map(given.event_values(spark, folder), ["ts", "event_id"])
+    return maps.select("text_id", F.explode("values").alias("category", "value"))
+
+
+@query
+def src9_map_columns(spark, folder):
+    """Columns taken from the maps."""
+    maps = tables.value_map(given.event_values(spark, folder), ["ts", "event_id"])
+    return tables.map_columns(maps, ["purchase", "view", "never seen"])
+
+
 # ---------------------------------------------------------------- text selection
 
 
@@ -277,6 +293,13 @@ def flt11_in_polygons(spark, folder):
     return geo.places_in(given.coordinates(spark, folder), [RECTANGLE, TRIANGLE])
 
 
+@query
+def flt11_polygon_table(spark, folder):
+    """Polygons as a table, some across the 180th meridian."""
+    inside = geo.places_in_polygons(given.supplier_places(spark, folder), given.nation_polygons(spark, folder))
+    return inside.select("place", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
 @query
 def flt11_no_polygon(spark, folder):
     return geo.places_in(given.coordinates(spark, folder), [])
@@ -492,6 +515,19 @@ def pat6_regex(spark, folder):
     return per_text(docs_hits(spark, folder, [Tok(value_test("word", ["Th.*", "of|in", "[0-9]+"]))]))
 
 
+@query
+def pat6_vocabulary(spark, folder):
+    """The regular expressions run on the distinct words of a stored corpus."""
+    return per_text(given.docs_stored(spark, folder).search([[Tok(value_test("word", ["Th.*", "of|in", "[0-9]+"]))]]))
+
+
+@query
+def pat3_vocabulary(spark, folder):
+    """Ends and middles of words, as parts of a sequence, from the vocabulary."""
+    pattern = [Tok(form_test("ing", where="end")), Gap(0, 2), Tok(form_test("er", where="middle"))]
+    return per_text(given.docs_stored(spark, folder).search([pattern]))
+
+
 @query
 def pat6_alternatives(spark, folder):
     return per_text(docs_hits(spark, folder, [Tok(value_test("word", ["de", "la", "der"]))]))
@@ -589,6 +625,13 @@ def pat17_in_selection(spark, folder):
     return rows_of(given.docs(spark, folder).search([[word("the")]], selection, language="en"))
 
 
+@query
+def pat17_stored_selection(spark, folder):
+    """The same search on a stored corpus, which is read only where the selected texts lie."""
+    selection = Selection({"quality": Choice((0,), exclude=True), "n_chars": Choice(low=300)})
+    return rows_of(given.docs_stored(spark, folder).search([[word("the")]], selection, language="en"))
+
+
 @query
 def pat17_in_speakers(spark, folder):
     corpus = given.talk(spark, folder)
@@ -613,6 +656,22 @@ def shown(lines: DataFrame) -> DataFrame:
 def kwi1_context(spark, folder):
     tokens = given.docs_tokens(spark, folder)
     hits = hit_ops.find_hits(tokens, [[word("of"), word("the")]])
+    return shown(concordance.concordance_lines(hits, token_source.context_blocks(tokens), longest=2))
+
+
+@query
+def kwi1_stored_context(spark, folder):
+    """Hits of any length with their context, from the stored blocks of a corpus."""
+    corpus = given.docs_stored(spark, folder)
+    hits = corpus.search([[word("from"), Gap(0), word("that")]])
+    return shown(corpus.lines(hits, context=50))
+
+
+@query
+def kwi1_by_position(spark, folder):
+    """Contexts from a token table without blocks."""
+    tokens = given.docs_tokens(spark, folder)
+    hits = hit_ops.find_hits(tokens, [[word("from"), word("the")]])
     return shown(concordance.concordance_lines(hits, tokens))
 
 
@@ -707,7 +766,7 @@ def kwi10_whole_episode(spark, folder):
     segments, tokens = talk_parts(spark, folder)
     hits = hit_ops.find_hits(tokens, [[word("the")]], "seg")
     n = concordance.chosen_hit(2, 9)
-    one = ordering.ordered_slice(hits, list(ordering.CORPUS_ORDER), n, n)
+    one = ordering.ordered_slice(hits, list(ordering.CORPUS_ORDER), n, n, ordering.position_cells())
     return concordance.segments_around(one, segments, None).select("text_id", "seg_id", "line_no", "speaker", "is_match")
 
 
@@ -724,9 +783,10 @@ def kwi11_links(spark, folder):
 
 
 def sorted_page(spark, folder, by: str, page: int = 2) -> DataFrame:
-    tokens = given.docs_tokens(spark, folder)
+    tokens = given.docs_tokens(spark, folder, neighbours=True)
     pattern = [word("of"), Tok(form_test("t", where="start"))]
-    hits = hit_ops.find_hits(tokens, [pattern], match=("word",) if by == "match" else ())
+    asked = {"match": {"match": ("word",)}, "left": {"keep": ("before",)}, "right": {"keep_last": ("after",)}}
+    hits = hit_ops.find_hits(tokens, [pattern], **asked.get(by, {}))
     keyed = ordering.sort_keys(hit_ops.settled(hits), tokens, by)
     return ordering.hit_page(keyed, page).select("text_id", F.col("start").alias("hit_start"), F.coalesce("sort_key", F.lit("-")).alias("sort_key"))
 
@@ -762,6 +822,15 @@ def srt5_edge_hits_last(spark, folder):
     return last.select("text_id", F.col("start").alias("hit_start"), F.coalesce("sort_key", F.lit("-")).alias("sort_key"))
 
 
+@query
+def srt4_without_neighbours(spark, folder):
+    """The same order where the words beside a token are not stored with it."""
+    tokens = given.docs_tokens(spark, folder)
+    hits = hit_ops.settled(hit_ops.find_hits(tokens, [[word("of"), Tok(form_test("t", where="start"))]]))
+    page = ordering.hit_page(ordering.sort_keys(hits, tokens, "right"), 2)
+    return page.select("text_id", F.col("start").alias("hit_start"), F.coalesce("sort_key", F.lit("-")).alias("sort_key"))
+
+
 @query
 def srt6_by_frequency(spark, folder):
     hits = docs_hits(spark, folder, [Tok(form_test("th", where="start"))], keep=("word",))
@@ -794,10 +863,19 @@ def lim1_page_count(spark, folder):
 def lim1_deep_slice(spark, folder):
     """A page by row number, the way pages far down are taken."""
     hits = docs_hits(spark, folder, [word("the")])
-    numbered = ordering.number_rows(hits, list(ordering.CORPUS_ORDER), "hit_no")
+    numbered = number_rows(hits, list(ordering.CORPUS_ORDER), "hit_no")
     return numbered.where(F.col("hit_no").between(12000, 12049)).select("hit_no", "text_id", F.col("start").alias("hit_start"))
 
 
+@query
+def lim1_deep_page(spark, folder):
+    """A page far down a result sorted by the next word, by order statistics on a stored corpus."""
+    corpus = given.docs_stored(spark, folder)
+    hits = corpus.search([[Tok(form_test("t", where="start"))]], sortable=True)
+    page = ordering.hit_page(ordering.sort_keys(hits, corpus.tokens, "right"), 140)
+    return page.select("text_id", F.col("start").alias("hit_start"), F.coalesce("sort_key", F.lit("-")).alias("sort_key"))
+
+
 @query
 def lim2_metadata_page(spark, folder):
     return ordering.text_page(given.docs_texts(spark, folder), 4).select("text_id", "source")
@@ -885,6 +963,14 @@ def agg6_metadata_table(spark, folder):
     return page.select("text_id", "status", "price", "brand")
 
 
+@query
+def agg6_metadata_page(spark, folder):
+    """The same page, cut before the lists are made."""
+    corpus = Corpus(given.shop_line_hits(spark, folder), given.shop_texts(spark, folder), given.shop_dimensions(spark, folder))
+    selection = Selection({"status": Choice(("P",)), "part.type": Choice(("SMALL",), exclude=True)})
+    return corpus.metadata_page(["status", "price", "part.brand"], selection, 2, "price", descending=True)
+
+
 @query
 def agg7_frequency_list(spark, folder):
     tokens = given.docs_tokens(spark, folder)

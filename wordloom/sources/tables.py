@@ -102,3 +102,21 @@ def pivot_values(values: DataFrame, categories: list, order: list[str], texts: D
     return rows.select(
         *(c for c in rows.columns if c not in named), *(F.coalesce(col, F.lit("")).alias(str(c)) for c, col in named.items())
     )
+
+
+def value_map(values: DataFrame, order: list[str]) -> DataFrame:
+    """SRC-9. Rows (text_id, category, value) to one map per text over all categories there are; the last in ``order`` wins.
+
+    No category has to be known beforehand. Values are stripped strings, NULL ones blank; rows without a category are left
+    out. The last value of a category is combined before the shuffle, so a map has one entry per category and text.
+    """
+    last = F.max_by(F.trim(F.col("value").cast("string")), F.struct(*order))
+    cells = values.where(F.col("category").isNotNull()).groupBy("text_id", "category").agg(F.coalesce(last, F.lit("")).alias("value"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "value"))))
+    return cells.groupBy("text_id").agg(entries.alias("values"))
+
+
+def map_columns(maps: DataFrame, categories: list) -> DataFrame:
+    """SRC-9. The asked categories of ``value_map`` as columns, blank where a text has no value."""
+    columns = [F.coalesce(F.try_element_at("values", F.lit(c)), F.lit("")).alias(str(c)) for c in categories]
+    return maps.select(*(c for c in maps.columns if c != "values"), *columns)

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wordloom.layout import BUCKET, block, bucket, running_total
+from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, block, bucket, running_total
 
 # The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
 SENTENCE_ENDS = (".", "!", "?")
+#: Words next to a token in its text, stored with it so that sorting hits by them needs no look at other tokens.
+NEIGHBOURS = ("before", "after")
+#: Tokens of the neighbouring blocks that a context block holds on both sides: the largest context in use.
+HALO = 50
 
 
-def tokenise(documents: DataFrame, text_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def tokenise(
+    documents: DataFrame, text_id: str, text: str, carry: tuple[str, ...] = (), neighbours: bool = False
+) -> DataFrame:
     """SRC-4. One row per token: ``text_id, <carry>, s_id, s_first, s_last, tok_no, word``.
 
     ``tok_no`` counts from 0 in each text; ``s_first`` and ``s_last`` are the first and last token of the sentence.
     Everything is computed inside the document's own row and then expanded, so there is no shuffle and no grouping
-    by text. A sentence ends after each ``.``, ``!`` or ``?`` token.
+    by text. A sentence ends after each ``.``, ``!`` or ``?`` token. ``neighbours`` adds the words ``before`` and ``after``
+    in the text, NULL at its ends.
     """
     rows = documents.select(
         F.col(text_id).alias("text_id"), *carry, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("_tokens")
@@ -24,23 +31,32 @@ def tokenise(documents: DataFrame, text_id: str, text: str, carry: tuple[str, ..
     # last token number of every sentence; the text's last token always closes one
     is_end = lambda t, i: t.isin(*SENTENCE_ENDS) | (i == F.size("_tokens") - 1)
     ends = rows.withColumn("_ends", F.array_compact(F.transform("_tokens", lambda t, i: F.when(is_end(t, i), i))))
+    # from the token before a sentence to the one after it, once
+    edge = F.array(F.lit(None).cast("string"))
+    ends = ends.withColumn("_framed", F.concat(edge, "_tokens", edge)) if neighbours else ends
     begin = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_ends", k - 1)) + 1
     bounds = lambda last, k: F.struct(
         begin(k).cast("bigint").alias("s_first"),
         last.cast("bigint").alias("s_last"),
-        F.slice("_tokens", begin(k) + 1, last - begin(k) + 1).alias("body"),
+        *(
+            F.slice(array, begin(k) + 1 + shift, last - begin(k) + 1).alias(name)
+            for array, shift, name in (
+                (("_framed", 1, "word"), ("_framed", 0, "before"), ("_framed", 2, "after")) if neighbours else (("_tokens", 0, "word"),)
+            )
+        ),
     )
     sentences = ends.select("text_id", *carry, F.posexplode(F.transform("_ends", bounds)).alias("s_id", "_s"))
+    words = ("word", *NEIGHBOURS) if neighbours else ("word",)
+    body = F.arrays_zip(*(f"_s.{w}" for w in words)) if neighbours else F.col("_s.word")
+    taken = [F.col(f"_w.{w}").alias(w) for w in words] if neighbours else [F.col("_w").alias("word")]
     return sentences.select(
         "text_id",
         *carry,
         F.col("s_id").cast("bigint").alias("s_id"),
         "_s.s_first",
         "_s.s_last",
-        F.posexplode("_s.body").alias("_i", "word"),
-    ).select(
-        "text_id", *carry, "s_id", "s_first", "s_last", (F.col("s_first") + F.col("_i")).alias("tok_no"), "word"
-    )
+        F.posexplode(body).alias("_i", "_w"),
+    ).select("text_id", *carry, "s_id", "s_first", "s_last", (F.col("s_first") + F.col("_i")).alias("tok_no"), *taken)
 
 
 def text_ranges(tokens: DataFrame, texts: DataFrame) -> DataFrame:
@@ -78,6 +94,66 @@ def arranged(documents: DataFrame, text_id: str) -> DataFrame:
     return documents.repartitionByRange(F.col(text_id)).sortWithinPartitions(text_id)
 
 
+def with_neighbours(tokens: DataFrame) -> DataFrame:
+    """Any token table with the words ``before`` and ``after`` in the text, NULL at its ends.
+
+    Windows run over blocks of a text; the first and last token of a block are also given to the block beside it, so a text
+    of any length is many groups.
+    """
+    own = block("tok_no")
+    at = F.col("tok_no") - F.shiftleft(own, BLOCK_BITS)
+    sides = F.array_compact(F.array(own, F.when((at == 0) & (own > 0), own - 1), F.when(at == BLOCK - 1, own + 1)))
+    order = W.partitionBy("text_id", "_block").orderBy("tok_no")
+    framed = (
+        tokens.withColumn("_block", F.explode(sides))
+        .withColumn("before", F.lag("word").over(order))
+        .withColumn("after", F.lead("word").over(order))
+    )
+    return framed.where(F.col("_block") == block("tok_no")).drop("_block")
+
+
+def context_blocks(tokens: DataFrame, attributes: tuple[str, ...] = ("word",)) -> DataFrame:
+    """KWI-1. One row per 4096 tokens of a text: ``text_id, block, first`` and an array per attribute.
+
+    The arrays also hold ``HALO`` tokens of the blocks on either side; ``first`` is the number of their first token. A hit
+    with its context is then a slice of one row. Token numbers have no gaps in a text.
+    """
+    own = block("tok_no")
+    at = F.col("tok_no") - F.shiftleft(own, BLOCK_BITS)
+    sides = F.array_compact(F.array(own, F.when((at < HALO) & (own > 0), own - 1), F.when(at >= BLOCK - HALO, own + 1)))
+    start = [F.min(F.col("pos") - F.col("tok_no")).alias("_start")] if "pos" in tokens.columns else []
+    blocks = (
+        tokens.withColumn("_own", own)
+        .withColumn("block", F.explode(sides))
+        .groupBy("text_id", "block")
+        .agg(
+            F.max(F.col("_own") == F.col("block")).alias("_real"),
+            F.array_sort(F.collect_list(F.struct("tok_no", *attributes))).alias("_t"),
+            *start,
+        )
+        .where("_real")
+    )
+    place = [bucket(F.col("_start") + F.shiftleft("block", BLOCK_BITS))] if start else []
+    return blocks.select(
+        "text_id", "block", F.col("_t")[0]["tok_no"].alias("first"), *(F.col(f"_t.{a}").alias(a) for a in attributes), *place
+    )
+
+
+def save_blocks(tokens: DataFrame, path: str, attributes: tuple[str, ...] = ("word",)) -> None:
+    """Store the context blocks of a token table, partitioned by corpus position if it has positions."""
+    blocks = context_blocks(tokens, attributes)
+    blocks.write.partitionBy(*([BUCKET] if BUCKET in blocks.columns else [])).parquet(path)
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """PAT-3, PAT-6. Distinct words with their number of tokens, per storage partition if the table has them.
+
+    Patterns are run on these few rows instead of on every token; counts are combined before the shuffle.
+    """
+    place = [BUCKET] if BUCKET in tokens.columns else []
+    return tokens.where(F.col("word").isNotNull()).groupBy("word", *place).agg(F.count(F.lit(1)).alias("n"))
+
+
 def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = (), in_order: bool = False) -> None:
     """Store a token table as Parquet with neighbouring tokens in the same file.
 
