@@ -16,24 +16,24 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from wordloom.llm.common import mapped, quoted, rows_in
+from wordloom.llm.common import mapped, quoted, rows_in, splits
 from wordloom.session import checkpoint_folder
 
 #: Characters of which both tokenizers make the same bytes whatever stands around; other texts are encoded whole.
 PLAIN = re.compile(r"[\t\n\x20-\x7e\xa1-ſ‐-‧‰-⁞€]*+")
 UNIT = re.compile(r"[ \t\n]*+[^ \t\n]++|[ \t\n]++")
 #: Characters of words remembered per worker: half of them are forgotten at a time, those not met lately.
-MEMORY = 6_000_000
-#: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+MEMORY = 4_000_000
+#: Bytes of text of a chunk, and those aligned at once; a longer text is taken by itself.
+CHUNK_BYTES, SLICE_BYTES = 6 << 20, 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,13 +61,23 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
         succ = ahead
 
 
-class Aligned(NamedTuple):
-    """Groups as ``a1,a2|b1;a3|b2,b3``, linked id pairs as packed int64 (A id above 32 bits), numbers of tokens."""
+#: Groups as ``a1,a2|b1;a3|b2,b3``, linked id pairs as packed int64 (A id above 32 bits), numbers of A and B tokens.
+Aligned = tuple[str, bytes, int, int]
+#: Words encoded by one call.
+RUN = 16
 
-    groups: str
-    links: bytes
-    n_a: int
-    n_b: int
+
+def _packed(found: Aligned | None) -> tuple[str, bytes, int] | None:
+    """What is remembered of a word: both numbers of tokens in one."""
+    return found and (found[0], found[1], (found[2] << 32) + found[3])
+
+
+def _table(n: int, ends: str) -> np.ndarray:
+    """Decimal numbers below ``n`` with each of the ends."""
+    out = np.empty((len(ends) + 1, n), object)
+    for row, end in zip(out, ("", *ends)):
+        row[:] = [f"{i}{end}" for i in range(n)]
+    return out
 
 
 class Aligner:
@@ -83,42 +93,46 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         of_piece = lambda i, p: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
         self.bytes_b = [of_piece(i, p) for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        self.shown_a, self.shown_b = _table(len(self.bytes_a), ",|"), _table(len(pieces), ",;")
         crossing = any(re.search(r"[^\s▁][▁ \t\n]", p) for p in pieces)
         self.mark = self.b.piece_to_id("▁x")
         self.by_words = not crossing and self.mark != self.b.unk_id()
-        self.young: dict[str, Aligned | None] = {}
-        self.old: dict[str, Aligned | None] = {}
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
         self.held = 0
 
-    def aligned(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Aligned | None]:
-        """Alignment of every pair of encodings, all at once; None where either side's bytes are not those of ``raw``."""
-        same = [
-            b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y))
-            for r, x, y in zip(raw, ids_a, ids_b)
-        ]
-        at = [i for i, fits in enumerate(same) if fits and raw[i]]
-        out: list[Aligned | None] = [Aligned("", b"", 0, 0) if fits else None for fits in same]
-        if not at:
-            return out
-        flat_a, flat_b = [t for i in at for t in ids_a[i]], [t for i in at for t in ids_b[i]]
-        ends_a = np.cumsum([len(self.bytes_a[t]) for t in flat_a])
-        ends_b = np.cumsum([len(self.bytes_b[t]) for t in flat_b])
+    def aligned(self, raw: bytes, ids_a: list[int], ids_b: list[int], ends: np.ndarray) -> list[Aligned] | None:
+        """Alignment of every part of ``raw``, all at once; None if either side has other bytes or spans a part's end."""
+        if not raw:
+            return None
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join(map(known.__getitem__, ids)) != raw:
+                return None
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        to_a, to_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        if (ends_a[to_a] != ends).any() or (ends_b[to_b] != ends).any():
+            return None
         of_a, of_b = terminals(ends_a, ends_b)
-        last_a = np.flatnonzero(np.diff(of_a, append=-1))
-        last_b = np.flatnonzero(np.diff(of_b, append=-1))
-        codes = (np.array(flat_a, np.int64)[last_a] << 32) | np.array(flat_b, np.int64)[last_b]
-        shown_a, shown_b = list(map(str, flat_a)), list(map(str, flat_b))
-        to_a, to_b = (last_a + 1).tolist(), (last_b + 1).tolist()
-        groups = [
-            ",".join(shown_a[p:q]) + "|" + ",".join(shown_b[u:v])
-            for p, q, u, v in zip([0, *to_a], to_a, [0, *to_b], to_b)
-        ]
-        # a pair of encodings is a run of whole groups
-        bounds = np.searchsorted(last_a + 1, np.cumsum([len(ids_a[i]) for i in at])) + 1
-        first = 0
-        for i, to in zip(at, bounds.tolist()):
-            out[i] = Aligned(";".join(groups[first:to]), codes[first:to].tobytes(), len(ids_a[i]), len(ids_b[i]))
-            first = to
+        is_last_a, is_last_b = np.diff(of_a, append=-1) != 0, np.diff(of_b, append=-1) != 0
+        last_a, last_b = np.flatnonzero(is_last_a), np.flatnonzero(is_last_b)
+        links = ((a[last_a] << 32) | b[last_b]).tobytes()
+        # groups side by side: first a group's A tokens, then its B tokens, each with the sign that follows it
+        shown = np.empty(len(a) + len(b), object)
+        group_a = np.cumsum(is_last_a) - is_last_a
+        group_b = np.cumsum(is_last_b) - is_last_b
+        sign_b = is_last_b + 1
+        sign_b[to_b] = 0
+        shown[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = self.shown_a[is_last_a + 1, a]
+        shown[np.arange(len(b)) + (last_a + 1)[group_b]] = self.shown_b[sign_b, b]
+        parts = shown.tolist()
+        to_group = (8 * (group_b[to_b] + 1)).tolist()
+        to_a, to_b = (to_a + 1).tolist(), (to_b + 1).tolist()
+        out, g0, a0, b0 = [], 0, 0, 0
+        for g1, a1, b1 in zip(to_group, to_a, to_b):
+            out.append(("".join(parts[a0 + b0 : a1 + b1]), links[g0:g1], a1 - a0, b1 - b0))
+            g0, a0, b0 = g1, a1, b1
         return out
 
     def learn(self, words: Iterable[str]) -> None:
@@ -127,34 +141,55 @@ class Aligner:
         for word in wanted & self.old.keys():
             self.young[word] = self.old[word]
         new = list(wanted.difference(self.young))
-        if new:
-            ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-            # a word follows another one here, or the piece tokenizer would put a blank before it
-            ids_b = [ids[1:] for ids in self.b.encode(["x" + w for w in new], num_threads=1)]
-            self.young.update(zip(new, self.aligned([w.encode() for w in new], ids_a, ids_b)))
+        full, blank = [], []
+        for word in new:
+            (blank if word.isspace() else full).append(word)
+        if full:
+            # words follow one another here as they do in a text; a first one keeps the piece tokenizer from adding a blank
+            runs = ["".join(full[i : i + RUN]) for i in range(0, len(full), RUN)]
+            ids_a = [i for e in self.a.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids]
+            ids_b = [i for ids in self.b.encode(["x" + r for r in runs], num_threads=1) for i in ids[1:]]
+            sizes = pc.binary_length(pa.array(full, pa.string())).to_numpy()
+            found = self.aligned("".join(runs).encode(), ids_a, ids_b, np.cumsum(sizes))
+            self.young.update(zip(full, map(_packed, found or map(self._one, full))))
+        self.young.update((w, _packed(self._one(w))) for w in blank)
         self.held += sum(map(len, wanted))
 
+    def _one(self, word: str) -> Aligned | None:
+        ids_a = self.a.encode(word, add_special_tokens=False).ids
+        raw = word.encode()
+        found = self.aligned(raw, ids_a, self.b.encode("x" + word, num_threads=1)[1:], np.array([len(raw)]))
+        return found[0] if found else None
+
     def forget(self) -> None:
         if self.held > MEMORY // 2:
             self.old, self.young, self.held = self.young, {}, 0
 
-    def texts(self, texts: list[str | None]) -> list[Aligned | None]:
+    def texts(self, texts: pa.Array) -> Iterator[Aligned | None]:
         """Alignment of space + text for every text; None for null and empty ones and where the bytes differ."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        for a, b in splits(len(texts), sizes, SLICE_BYTES):
+            yield from self._slice(texts[a:b].to_pylist())
+
+    def _slice(self, texts: list[str | None]) -> Iterator[Aligned | None]:
         words = [UNIT.findall(" " + t) if t and self.by_words and PLAIN.fullmatch(t) else None for t in texts]
         self.forget()
         self.learn(w for own in words if own for w in own)
-        return [self._joined(own) if own else self._whole(t) if t else None for t, own in zip(texts, words)]
+        for text, own in zip(texts, words):
+            yield self._joined(own) if own else self._whole(text) if text else None
 
     def _joined(self, words: list[str]) -> Aligned | None:
         found = list(map(self.young.__getitem__, words))
         if None in found:
             return None
-        groups, links, n_a, n_b = zip(*found)
-        return Aligned(";".join(groups), b"".join(links), sum(n_a), sum(n_b))
+        # both numbers of tokens are summed at once
+        n_a, n_b = divmod(sum([f[2] for f in found]), 1 << 32)
+        return ";".join([f[0] for f in found]), b"".join([f[1] for f in found]), n_a, n_b
 
     def _whole(self, text: str) -> Aligned | None:
-        ids_a = self.a.encode(" " + text, add_special_tokens=False).ids
-        return self.aligned([(" " + text).encode()], [ids_a], [self.b.encode(text, num_threads=1)])[0]
+        raw, ids_a = (" " + text).encode(), self.a.encode(" " + text, add_special_tokens=False).ids
+        found = self.aligned(raw, ids_a, self.b.encode(text, num_threads=1), np.array([len(raw)]))
+        return found[0] if found else None
 
 
 @lru_cache(maxsize=2)
@@ -175,11 +210,11 @@ def with_alignment(docs: DataFrame, byte_path: str, piece_path: str, text: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = aligner(byte_path, piece_path)
         for batch in rows_in(batches):
-            found = made.texts(batch.column(place).to_pylist())
+            found = list(made.texts(batch.column(place)))
             columns = (
-                pa.array([f.groups if f else "" for f in found], pa.string()),
-                pa.array([f.n_a if f else 0 for f in found], pa.int64()),
-                pa.array([f.n_b if f else 0 for f in found], pa.int64()),
+                pa.array([f[0] if f else "" for f in found], pa.string()),
+                pa.array([f[2] if f else 0 for f in found], pa.int64()),
+                pa.array([f[3] if f else 0 for f in found], pa.int64()),
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "alignment", "n_a", "n_b"])
 
@@ -194,22 +229,23 @@ CHUNK = (
 )
 
 
-def _chunk_of(ids: list, found: list[Aligned | None]) -> pa.RecordBatch:
-    """One row for some documents: their digests, the distinct pairs of all, and per document pair numbers and counts."""
-    links = [np.frombuffer(f.links, np.int64) if f else np.zeros(0, np.int64) for f in found]
+def _chunk_of(docs: list[tuple]) -> pa.RecordBatch:
+    """One row for documents (id, n_a, n_b, digest, links): the distinct pairs of all, and per document pair numbers and counts."""
+    ids, n_a, n_b, shas, links = zip(*docs)
     distinct, pair, n = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
+    pair = pair.astype(np.int32)
     ends = np.cumsum([len(x) for x in links])
     own = [np.unique(pair[e - len(x) : e], return_counts=True) for x, e in zip(links, ends)]
     number = lambda values, kind: pa.array([np.asarray(values)], pa.list_(kind))
     columns = [
         pa.array([uuid.uuid4().hex]),
         pa.array([ids], pa.list_(pa.int64())),
-        number([f.n_a if f else 0 for f in found], pa.int64()),
-        number([f.n_b if f else 0 for f in found], pa.int64()),
+        number(n_a, pa.int64()),
+        number(n_b, pa.int64()),
         number([len(x) for x in links], pa.int64()),
-        pa.array([[hashlib.sha256(f.groups.encode()).hexdigest() if f else "" for f in found]], pa.list_(pa.string())),
+        pa.array([shas], pa.list_(pa.string())),
         number(np.cumsum([len(p) for p, _ in own]), pa.int64()),
-        number(np.concatenate([p for p, _ in own]).astype(np.int32), pa.int32()),
+        number(np.concatenate([p for p, _ in own]), pa.int32()),
         number(np.concatenate([t for _, t in own]).astype(np.int32), pa.int32()),
         number((distinct >> 32).astype(np.int32), pa.int32()),
         number((distinct & 0xFFFFFFFF).astype(np.int32), pa.int32()),
@@ -218,21 +254,28 @@ def _chunk_of(ids: list, found: list[Aligned | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CHUNK.split(", ")])
 
 
+NO_TOKENS = (0, 0, "", np.zeros(0, np.int64))
+
+
 def chunks_of(docs: DataFrame, byte_path: str, piece_path: str, size: int = CHUNK_BYTES) -> DataFrame:
     """Aligned documents in chunks of neighbouring rows, as rows of ``CHUNK``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, ids, found, held = aligner(byte_path, piece_path), [], [], 0
+        made, docs_held, held = aligner(byte_path, piece_path), [], 0
         for batch in rows_in(batches):
-            own = batch.column(1).nbytes
-            if ids and held + own > size:
-                yield _chunk_of(ids, found)
-                ids, found, held = [], [], 0
-            ids += batch.column(0).to_pylist()
-            found += made.texts(batch.column(1).to_pylist())
-            held += own
-        if ids:
-            yield _chunk_of(ids, found)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for doc_id, own, found in zip(batch.column(0).to_pylist(), sizes, made.texts(batch.column(1))):
+                if docs_held and held + own > size:
+                    yield _chunk_of(docs_held)
+                    docs_held, held = [], 0
+                told = NO_TOKENS
+                if found:
+                    groups, links, n_a, n_b = found
+                    told = (n_a, n_b, hashlib.sha256(groups.encode()).hexdigest(), np.frombuffer(links, np.int64))
+                docs_held.append((doc_id, *told))
+                held += own
+        if docs_held:
+            yield _chunk_of(docs_held)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, CHUNK)
 
