@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,7 +48,7 @@ def in_context(
     """
     n = context_size(context, treebank, most)
     if "block" in tokens.columns:
-        return _in_blocks(hits, tokens, tuple(attributes), n, longest)
+        return _in_blocks(hits, tokens, tuple(attributes), n, longest, _token_arrays)
     around = spans(hits, tokens, F.col("start") - n, F.col("end") + n, attributes, "_around")
     before = F.col("start") - F.element_at("_around", 1)["tok_no"]
     length = F.col("end") - F.col("start") + 1
@@ -61,10 +61,13 @@ def in_context(
     )
 
 
-def _in_blocks(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...], n: int, longest: int | None) -> DataFrame:
+def _in_blocks(
+    hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...], n: int, longest: int | None, shown: Callable
+) -> DataFrame:
+    """``shown`` makes a column of each side from the slices of its arrays and the number of its first token."""
     own = block("start")
     fits = (F.col("end") + n < F.shiftleft(own, BLOCK_BITS) + BLOCK + HALO) & F.lit(n <= HALO)
-    found = _framed(_beside(hits.withColumn("_block", own), blocks, attributes).where(fits), hits, attributes, n)
+    found = _framed(_beside(hits.withColumn("_block", own), blocks, attributes).where(fits), hits, attributes, n, shown)
     if longest is not None and longest - 1 + n <= HALO:
         return found
     # every block such a hit touches, without what it holds of its neighbours, put together again
@@ -78,7 +81,7 @@ def _in_blocks(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...],
     whole = joined.select(
         *hits.columns, F.col("_parts")[0]["first"].alias("first"), *(F.flatten(f"_parts._{a}").alias(f"_{a}") for a in attributes)
     )
-    return found.unionByName(_framed(whole, hits, attributes, n))
+    return found.unionByName(_framed(whole, hits, attributes, n, shown))
 
 
 def _beside(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...]) -> DataFrame:
@@ -95,26 +98,32 @@ def _beside(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...]) ->
     return hits.join(wanted, keys)
 
 
-def _framed(rows: DataFrame, hits: DataFrame, attributes: tuple[str, ...], n: int) -> DataFrame:
-    """``left``, ``match`` and ``right`` as slices of the arrays ``_<attribute>``, whose first token has the number ``first``."""
+def _framed(rows: DataFrame, hits: DataFrame, attributes: tuple[str, ...], n: int, shown: Callable) -> DataFrame:
+    """Left, match and right as slices of the arrays ``_<attribute>``, whose first token has the number ``first``."""
     last = F.col("first") + F.size(f"_{attributes[0]}") - 1
     start, end = F.col("start"), F.col("end")
     bounds = {"left": (F.greatest(start - n, F.col("first")), start - 1), "match": (start, end), "right": (end + 1, F.least(end + n, last))}
-    slices = [
-        F.slice(f"_{a}", (low - F.col("first") + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int")).alias(f"_{side}_{a}")
-        for side, (low, high) in bounds.items()
-        for a in attributes
-    ]
-    cut = rows.select(*hits.columns, F.col("first").alias("_first"), *slices)
-
-    def tokens_of(side: str, low: Column) -> Column:
-        values = lambda t: [t[f"_{side}_{a}"].alias(a) for a in attributes]
-        zipped = F.arrays_zip(*(f"_{side}_{a}" for a in attributes))
-        return F.transform(zipped, lambda t, i: F.struct((low + i).alias("tok_no"), *values(t))).alias(side)
-
-    return cut.select(
-        *hits.columns, tokens_of("left", F.greatest(start - n, F.col("_first"))), tokens_of("match", start), tokens_of("right", end + 1)
-    )
+    sides = []
+    for side, (low, high) in bounds.items():
+        size = F.greatest(high - low + 1, F.lit(0)).cast("int")
+        sides.append(shown(side, low, {a: F.slice(f"_{a}", (low - F.col("first") + 1).cast("int"), size) for a in attributes}))
+    return rows.select(*hits.columns, *sides)
+
+
+def _token_arrays(side: str, low: Column, slices: dict[str, Column]) -> Column:
+    """Array of (tok_no, attributes)."""
+    zipped = F.arrays_zip(*(c.alias(a) for a, c in slices.items()))
+    return F.transform(zipped, lambda t, i: F.struct((low + i).alias("tok_no"), *(t[a].alias(a) for a in slices))).alias(side)
+
+
+def _token_text(side: str, low: Column, slices: dict[str, Column]) -> Column:
+    """The same as text, as ``as_text`` writes it."""
+    if len(slices) == 1:
+        rendered = F.transform(next(iter(slices.values())), lambda t: rendered_token([t]))
+    else:
+        zipped = F.arrays_zip(*(c.alias(a) for a, c in slices.items()))
+        rendered = F.transform(zipped, lambda t: rendered_token([t[a] for a in slices]))
+    return F.array_join(rendered, " ").alias(f"{side}_text")
 
 
 def as_text(array: Column | str, attributes: Iterable[str] = ("word",)) -> Column:
@@ -134,7 +143,9 @@ def concordance_lines(
 ) -> DataFrame:
     """KWI-6. Hits with ``left_text``, ``match_text`` and ``right_text``."""
     attributes = tuple(attributes)
-    lines = in_context(hits, tokens, attributes, context, treebank, most, longest)
+    if "block" in tokens.columns:
+        return _in_blocks(hits, tokens, attributes, context_size(context, treebank, most), longest, _token_text)
+    lines = in_context(hits, tokens, attributes, context, treebank, most)
     return lines.select(*hits.columns, *(as_text(c, attributes).alias(f"{c}_text") for c in ("left", "match", "right")))
 
 

@@ -69,7 +69,7 @@ def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tup
         placed = running_total(sizes, [o for _, _, o in cells[: len(keys)]], F.col("_n"), "_passed")
         # the cells kept follow one another, so a level counts on from the first of them
         placed = placed.withColumn("_offset", F.col("_passed") + before).drop("_passed")
-        wanted = cut(placed.where((F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start)))
+        wanted = placed.where((F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start))
         before, most = wanted.agg(F.min("_offset"), F.max("_n")).first()
         if most is None or most <= CELL:
             break

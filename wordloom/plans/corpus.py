@@ -146,9 +146,13 @@ class Corpus:
         texts = None if everything else self.select(selection, language)
         return hit_ops.find_hits(tokens, patterns, self.within, texts, keep, match, keep_last)
 
-    def lines(self, hits: DataFrame, context: int | None = None, longest: int | None = None) -> DataFrame:
-        """KWI-1. Hits with their context as text, from the context blocks if there are any; see ``in_context``."""
+    def lines(self, hits: DataFrame, context: int | None = None, longest: int | None = None, few: bool = False) -> DataFrame:
+        """KWI-1. Hits with their context as text, from the context blocks if there are any; see ``in_context``.
+
+        ``few`` says that there are no more hits than a page or a sample of some thousands has: they are sent to the blocks.
+        """
         source = self.tokens if self.blocks is None else self.blocks
+        hits = F.broadcast(hits) if few and self.blocks is not None else hits
         return concordance.concordance_lines(hits, source, context=context, treebank=self.treebank, longest=longest)
 
     def aligned_search(
@@ -196,7 +200,7 @@ class Corpus:
         keyed = ordering.sort_keys(hits, self.tokens, by, within)
         # the rows of one page, written once: short and long hits are looked up apart
         found = cut(ordering.hit_page(keyed, page))
-        return self.lines(found, context).orderBy(*ordering.hit_order())
+        return self.lines(found, context, few=True).orderBy(*ordering.hit_order())
 
     def distribution(
         self,
