@@ -14,7 +14,7 @@ from .conftest import ODD
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_in_order(lab, tmp_path):

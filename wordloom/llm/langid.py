@@ -167,19 +167,20 @@ class Scorer:
 def training_sample(rows: DataFrame, most_bytes: int = MOST_BYTES) -> dict[str, list[str]]:
     """Texts per language: whole rows drawn by a hash of the text, about ``most_bytes`` a language, less if there are many.
 
-    ``rows`` has text and lang. Bytes are summed over all rows, so each row of a language has the same chance; rows
-    longer than a quarter of the bound are left to the others. The totals, one row for each of at most ``MOST_LANGUAGES``
-    languages, are sent to the texts, so no text is shuffled.
+    ``rows`` has text and lang. Bytes are summed over all rows, so each text of a language has the same chance; the one with
+    the least hash is always drawn, so no language is without a text. Equal texts are drawn once, however many copies there
+    are, and so what comes to the driver is bounded. Rows longer than a quarter of the bound are left to the others. The
+    totals, one row for each of at most ``MOST_LANGUAGES`` languages, are sent to the texts; only drawn texts are shuffled.
     """
-    size = F.octet_length("text")
+    size, place = F.octet_length("text"), F.xxhash64("text")
     usable = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= most_bytes // 4)).select("lang", "text")
-    totals = usable.groupBy("lang").agg(F.sum(size).alias("_bytes")).orderBy(F.desc("_bytes"), "lang").limit(MOST_LANGUAGES)
+    totals = usable.groupBy("lang").agg(F.sum(size).alias("_bytes"), F.min(place).alias("_least")).orderBy(F.desc("_bytes"), "lang").limit(MOST_LANGUAGES)
     each = float(min(most_bytes, MOST_TOTAL // max(totals.count(), 1)))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(each) / F.col("_bytes") * (1 << 30)
+    drawn = (F.pmod(place, F.lit(1 << 30)) < F.lit(each) / F.col("_bytes") * (1 << 30)) | (place == F.col("_least"))
     samples: dict[str, list[str]] = {}
-    for row in usable.join(F.broadcast(totals), "lang").where(drawn).select("lang", "text").toLocalIterator():
+    for row in usable.join(F.broadcast(totals), "lang").where(drawn).select("lang", "text").distinct().toLocalIterator():
         samples.setdefault(row.lang, []).append(row.text)
-    return samples
+    return {lang: sorted(texts) for lang, texts in samples.items()}
 
 
 _scorers: dict[str, Scorer] = {}

@@ -166,9 +166,11 @@ def exact(rows: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -
 
 def calibrated(rows: DataFrame, codes: Codes, k: int, share: float = SHARE, n: int = CALIBRATION) -> tuple[int, float]:
     """Radius that holds ``share`` of the true neighbours of ``n`` queries drawn from all rows, and the recall there."""
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit("radius")), "vec_id").limit(n).toArrow()
+    once = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    drawn = once.orderBy(F.xxhash64("vec_id", F.lit("radius")), "vec_id").limit(n).toArrow()
     query_ids, queries = drawn["vec_id"].to_numpy(), _matrix(drawn["vector"])
-    near = exact(rows, query_ids, queries, k).join(rows, "vec_id").select("query_id", "vector").toArrow()
+    # at most n * k rows: of repeated ids one vector stands for all
+    near = exact(rows, query_ids, queries, k).select("query_id", "vec_id").distinct().join(once, "vec_id").select("query_id", "vector").toArrow()
     if not near.num_rows:
         return 0, 1.0
     place = {q: i for i, q in enumerate(query_ids.tolist())}
@@ -184,14 +186,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bits: i
 
     A row is never its own neighbour. Queries with fewer than ``k`` candidates within the radius are searched again over
     all rows, so every query has ``k`` results if there are as many rows. Rows that ``usable`` leaves out take no part.
-    Repeated ids are separate rows; other columns are not read.
+    Repeated ids are separate rows; queries with one id are one query, the least of their vectors. Other columns are not
+    read. The rotations are learned on about ``SAMPLE`` different vectors, at most four times as many.
     """
     rows = cut(usable(vectors))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
     if not size["n"]:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("codes")), F.lit(1 << 30)) <= F.lit(SAMPLE / size["n"] * (1 << 30)))
-    x = _matrix(sample.select("vector").toArrow()["vector"])
+    sample = rows.where(F.pmod(F.xxhash64("vector", F.lit("codes")), F.lit(1 << 30)) <= F.lit(SAMPLE / size["n"] * (1 << 30)))
+    x = _matrix(sample.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(4 * SAMPLE).toArrow()["vector"])
     if not len(x):
         x = _matrix(rows.limit(1).select("vector").toArrow()["vector"])
     codes = learn(x, float(np.sqrt(size["m"])), bits)
@@ -211,7 +214,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, bits: i
 
 def usable_queries(queries: DataFrame, dimension: int) -> DataFrame:
     """Queries of the table's dimension, however many have another."""
-    return _finite(queries).where(F.size("vector") == dimension)
+    own = _finite(queries).where(F.size("vector") == dimension)
+    return own.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def _search(rows: DataFrame, queries: DataFrame, codes: Codes, radius: int, k: int, n: int) -> DataFrame:

@@ -11,7 +11,7 @@ import html as references
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,9 +25,12 @@ from wordloom.llm.training_pages import training_pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr"
+    # formulas and embedded things with text of their own
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded menclose mfenced msub msup msubsup munder mover"
+    " munderover mtable mtr mtd semantics object audio video canvas".split()
 )
-NO_TEXT = frozenset("script style template svg math textarea select option noscript iframe object canvas audio video".split())
+NO_TEXT = frozenset("script style template svg textarea select option noscript iframe annotation annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main"
     " menu nav ol p pre section table ul".split()
@@ -44,12 +47,37 @@ _NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+class Path(Sequence):
+    """Ancestors from the body down, as (tag, names), and the features they give together.
+
+    A path shares all but its last element with the path above it, and its features too where it adds none.
+    """
+
+    def __init__(self, above: Path | None, tag: str, names: tuple[str, ...], known: Container[str] | None) -> None:
+        self.above, self.own, self.depth = above, (tag, names), above.depth + 1 if above else 1
+        found = {f"tag={tag}", *(f"name={n}" for n in names), *(f"begin={n[:5]}" for n in names if len(n) > 5)}
+        if known is not None:
+            found = {f for f in found if f in known}
+        before = above.found if above else frozenset()
+        self.found: frozenset[str] = before if found <= before else before | found
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __getitem__(self, place):
+        out, at = [], self
+        while at is not None:
+            out.append(at.own)
+            at = at.above
+        return tuple(out[::-1])[place]
+
+
 class Block(NamedTuple):
-    """Text of a leaf block, share of it in links, and its ancestors from the body down: (tag, names)."""
+    """Text of a leaf block, share of it in links, and its ancestors; an empty tuple if it has none."""
 
     text: str
     linked: float
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    path: Path | tuple
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -61,11 +89,18 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """All blocks with text in page order; script, style and the like have none. Broken nesting is closed as it comes."""
+def leaf_blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """All blocks with text in page order; script, style and the like have none. Broken nesting is closed as it comes.
+
+    ``known`` limits the features of ancestors to these. Time is linear in the page: what is known to be absent (an open
+    element, an end tag, the end of any further tag) is not looked for again.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
+    last = page.rfind(">") + 1
     texts: list[str] = []
     links: list[str] = []
     in_link, at = False, 0
@@ -75,20 +110,24 @@ def leaf_blocks(page: str | None) -> list[Block]:
             text = " ".join(references.unescape("".join(texts)).split())
             if text:
                 linked = len(" ".join(references.unescape("".join(links)).split()))
-                out.append(Block(text, min(1.0, linked / len(text)), tuple(stack)))
+                out.append(Block(text, min(1.0, linked / len(text)), stack[-1] if stack else ()))
             texts.clear()
             links.clear()
 
     def close(names: tuple[str, ...] | frozenset, scope: frozenset = frozenset()) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            tag = stack[i].own[0]
+            if tag in names:
+                opened.subtract(x.own[0] for x in stack[i:])
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if tag in scope:
                 return
 
     while True:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         piece = page[at : m.start()] if m else page[at:]
         if piece:
             texts.append(piece)
@@ -102,7 +141,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag in NO_TEXT:
             if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                if not end:
+                    endless.add(tag)
                 at = end.end() if end else (len(page) if tag in ("script", "style", "template") else at)
             continue
         if tag in INLINE:
@@ -121,7 +162,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in SAME:
             close(SAME[tag], SCOPE - {"div", "section"})
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _names(m[3])))
+            stack.append(Path(stack[-1] if stack else None, tag, _names(m[3]), known))
+            opened[tag] += 1
     flush()
     return out
 
@@ -131,17 +173,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, block in enumerate(blocks):
         text, words = block.text, block.text.split()
-        found = {"bias"}
-        for depth, (tag, names) in enumerate(reversed(block.path)):
-            if depth == 0:
-                found.add(f"leaf={tag}")
-            found.add(f"tag={tag}")
-            for name in names:
-                found.add(f"name={name}")
-                if len(name) > 5:
-                    found.add(f"begin={name[:5]}")
-        if not block.path:
-            found.add("leaf=")
+        found = {"bias", f"leaf={block.path.own[0]}", *block.path.found} if block.path else {"bias", "leaf="}
         found.add(f"words={min(int(math.log2(len(words) + 1)), 6)}")
         found.add(f"linked={int(block.linked * 3.99)}")
         if "©" in text or "copyright" in text.lower():
@@ -238,7 +270,7 @@ def viterbi(model: Model, found: list[list[str]]) -> list[int]:
 
 def main_text(model: Model, page: str | None) -> tuple[str, int]:
     """Main blocks joined by empty lines, and their number; a null or empty page has none."""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.weights)
     kept = [b.text for b, label in zip(blocks, viterbi(model, features(blocks))) if label]
     return "\n\n".join(kept), len(kept)
 

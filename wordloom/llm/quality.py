@@ -22,6 +22,8 @@ from wordloom.llm.common import SPACES, flat, mapped, rows_in, splits, word_boun
 PASSAGE, UNITS, GATES, SPAN = 64, 24, 12, 1 << 19
 #: Bound of labelled documents that a model is fitted on.
 MOST_LABELLED = 5000
+#: Bound of their text in bytes, each row with its overhead.
+MOST_BYTES, ROW_BYTES = 64 << 20, 400
 THRESHOLD = 0.3
 #: Byte classes counted by themselves: printable ASCII one by one, then line ends, other control bytes, high bytes in three.
 _CLASS = np.full(256, 96, np.int64)
@@ -161,13 +163,18 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     """Passage features, bounds and labels of at most about ``most`` labelled documents, drawn by a hash of the id.
 
     Of several labels of a document the highest counts; rows without id or label are left out. The drawn labels are
-    bounded by ``most`` and so sent to the documents; features are made where the text is.
+    bounded by ``most`` and so sent to the documents; features are made where the text is. Where the drawn documents, all
+    rows of an id together, have more than ``MOST_BYTES`` of text, fewer of them are drawn, so that about as much comes to
+    the driver; documents are never cut.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("bags")), F.lit(1 << 30)) < F.lit(min(1.0, most / max(n, 1)) * (1 << 30)))
     drawn = drawn.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "text")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    if size > MOST_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fewer")), F.lit(1 << 30)) < F.lit(MOST_BYTES / size * (1 << 30)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_in(batches):
