@@ -142,105 +142,6 @@ def test_outer_cells_are_bounded_by_shingles(lab, monkeypatch):
     assert len(cells) > 8 and max(r.n for r in cells) < 30 * 200
 
 
-def plain_repeats(texts):
-    """First occurrences stay; chunk boundaries by the same rule, in plain Python."""
-    from hashlib import md5
-
-    h = lambda line: int(md5(line.encode()).hexdigest()[:8], 16)
-    seen, out = set(), []
-    for text in texts:
-        if text is None:
-            out.append((None, 0))
-            continue
-        lines, kept, chunk, gone = text.split("\n"), [], [], 0
-        for i, line in enumerate(lines):
-            chunk.append(line)
-            wide = 2 * linededup.WIDTH
-            rolled = (h(lines[max(i - 1, 0)]) * 31 + h(line)) % 2**32 % linededup.EVERY == 0
-            if i + 1 == len(lines) or len(line) >= wide or len(lines[i + 1]) >= wide or rolled:
-                body = "\n".join(chunk)
-                if len(body) >= wide and body in seen:
-                    gone += len(chunk)
-                else:
-                    kept += chunk
-                    seen |= {body}
-                chunk = []
-        out.append(("\n".join(kept), gone))
-    return out
-
-
-def test_repeated_passages_go(lab, docs_of):
-    rng = random.Random(6)
-    line = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(n))
-    passages = [line(60), line(55), "\n".join(line(8) for _ in range(12))]
-    texts = [*ODD]
-    for _ in range(40):
-        parts = [line(rng.randint(1, 30)) for _ in range(rng.randint(1, 5))] + [rng.choice(passages)] * rng.randint(0, 2)
-        rng.shuffle(parts)
-        texts.append("\n".join(parts))
-    docs = docs_of(texts)
-    out = linededup.without_repeats(docs)
-    assert out.columns == [c for c in docs.columns if c != "removed_lines"] + ["removed_lines"]
-    found = {r.doc_id: (r.text, r.removed_lines) for r in out.collect()}
-    assert [found[i] for i in range(len(texts))] == plain_repeats(texts)
-    for wide in passages[:2]:
-        assert sum(wide in (t or "") for t, _ in found.values()) == 1
-    # repeated rows are one document, rows without an id stay
-    once = docs_of([passages[0]])
-    both = once.union(once).union(once.withColumn("doc_id", F.lit(None).cast("long")))
-    assert [r.removed_lines for r in linededup.without_repeats(both).collect()] == [0, 0, 0]
-    assert linededup.without_repeats(docs.limit(0)).count() == 0
-
-
-def plain_copies(texts):
-    """Runs of two screen lines or more that stand earlier go line by line; all runs are looked at, in plain Python."""
-    seen, out = {}, []
-    for d, text in enumerate(texts):
-        lines = [] if text is None else text.split("\n")
-        gone = set()
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                body = "\n".join(lines[a : b + 1])
-                if len(body) < 2 * linededup.WIDTH:
-                    continue
-                doc, first = seen.setdefault(body, (d, a))
-                if (doc, first) != (d, a):
-                    gone |= set(range(max(a, first + b - a + 1) if doc == d else a, b + 1))
-        out.append((None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
-    return out
-
-
-def test_copied_passages_of_short_lines_go(lab, docs_of):
-    rng = random.Random(7)
-    line = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 999)) for _ in range(n))
-    passages = ["\n".join(line(n) for _ in range(64 // n)) for n in (1, 2, 4, 8, 16, 32) for _ in range(3)]
-    texts = [t for t in ODD if (t or "").count("\n") < 100]
-    firsts = [f"{line(3)}\n{p}\n{line(4)}" for p in passages]
-    mixed = ["\n".join(rng.choice(passages).split("\n")[rng.randint(0, 3) :] + [line(rng.randint(1, 40))]) for _ in range(20)]
-    texts += firsts + [f"{line(5)}\n{p}\n{line(2)}" for p in passages] + firsts[:6] + mixed + ["\n".join([line(30), "tail"])] * 2
-    docs = docs_of(texts)
-    out = linededup.without_copied_lines(docs)
-    assert out.columns == [c for c in docs.columns if c != "removed_lines"] + ["removed_lines"]
-    assert not re.search("Python|Arrow|Pandas|MapPartitions", out._jdf.queryExecution().executedPlan().toString())
-    found = {r.doc_id: (r.text, r.removed_lines) for r in out.collect()}
-    assert [found[i] for i in range(len(texts))] == plain_copies(texts)
-    at = texts.index(firsts[0])
-    for i, p in enumerate(passages):
-        assert found[at + i] == (firsts[i], 0)
-        text, removed = found[at + len(passages) + i]
-        assert removed == p.count("\n") + 1 and text.count("\n") == 1
-    assert all(found[at + 2 * len(passages) + i] == ("", firsts[i].count("\n") + 1) for i in range(6))
-    # a first occurrence that overlaps its copies stays; repeated rows are one document, rows without an id stay
-    (many,) = linededup.without_copied_lines(docs_of(["\n".join(["line"] * 5000)])).collect()
-    assert (many.text, many.removed_lines) == ("\n".join(["line"] * 33), 4967)
-    once = docs_of([passages[0]])
-    both = once.union(once).union(once.withColumn("doc_id", F.lit(None).cast("long")))
-    assert [r.removed_lines for r in linededup.without_copied_lines(both).collect()] == [0, 0, 0]
-    other = once.union(once.withColumn("text", F.concat(F.lit("more\n"), "text")))
-    assert sorted(r.removed_lines for r in linededup.without_copied_lines(other).collect()) == [0, 64]
-    assert linededup.without_copied_lines(docs.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("group", [8192, 8])
 def test_packing(lab, docs_of, group):
     rng = random.Random(8)

@@ -2,203 +2,228 @@
 
 A rolling hash over the hashes of neighbouring lines chooses the chunk boundaries, so the same lines give the same chunks
 wherever they stand. A line of two screen lines or more (``WIDTH`` characters each) is a passage that was never wrapped:
-it is a chunk of its own. Chunks of several screen lines that occur more than once in the whole table are compared byte
-by byte with their first occurrence, which stays; the others go. Everything is column expressions.
+it is a chunk of its own. Chunks that occur more than once in the whole table are compared byte by byte with their first
+occurrence. A passage is a run of chunks that stand side by side, two and two, somewhere earlier, or a single chunk that
+does; it goes on at both ends over the lines of the next chunks as far as those beside its first occurrence are the same. A
+passage of two screen lines or more goes. Its first occurrence stays, so of equal lines the first is always kept.
 
-``without_repeats`` and its SQL leave those lines of a repeated passage that stand in chunks of less than two screen lines.
-``without_copied_lines`` leaves none: it compares, from every line forwards and to every line backwards, the least run of
-whole lines that fills two screen lines, so that every line of a repeated passage of that length is in a run inside it.
+Everything is column expressions, linear in the lines of a text. Arrays that are looked into line by line are made by a
+generator of one row first (``_fixed``): a plain column would be put into the expression that looks and made anew for each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.llm.common import quoted
+from wordloom.llm.common import cut, quoted
+from wordloom.llm.skew import TOGETHER, skew_join
 
-#: Characters of a screen line; a chunk counts from two screen lines on. One rolling hash in ``EVERY`` ends a chunk.
-WIDTH, EVERY = 80, 3
-#: Parts that the occurrences of one chunk are dealt to, so that a chunk which stands in a third of all rows is no hot key.
-SALTS = 8
+#: Characters of a screen line; a passage has at least two. One rolling hash in ``EVERY`` ends a chunk.
+WIDTH, EVERY = 80, 2
+#: Chunks on either side over which a passage may go on. A passage that stands after other lines may have one more boundary
+#: after its first line there, so the lines before the first common boundary are two chunks at most.
+BESIDE = 2
+#: Low bits of a line's key that hold its length, and bits of the sieve of documents.
+SIZE_MASK, SIEVE_BITS = 255, 22
 #: Names that no table has, for columns that live within one expression.
-GONE, DROP = "__repeated_chunks", "__repeated_lines"
-KEY = "__text_key"
-#: Characters of a run and the line end after it; 2 ** STEPS lines have as many.
-FULL, STEPS = 2 * WIDTH + 1, 8
+GONE, KEY = "__repeated_ranges", "__text_key"
+DOC = ["doc_id", KEY]
+
+
+def _fixed(frame: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the given columns, each made once per row."""
+    return frame.select(*quoted(keep), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def _at(lines: Column, i: Column) -> Column:
-    return F.element_at(lines, (i + 1).cast("int"))
+def _part(array: str, first: Column, last: Column) -> Column:
+    return F.slice(array, first + 1, last - first + 1)
 
 
-def chunk_ends(lines: Column) -> Column:
-    """Numbers of the lines that end a chunk."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with an id, and the key that tells texts of one id apart."""
+    return docs.where(F.col("doc_id").isNotNull()).withColumn(KEY, F.xxhash64("text"))
 
-    def ends(i: Column) -> Column:
-        last = i == F.size(lines) - 1
-        wide = F.length(_at(lines, i)) >= 2 * WIDTH
-        before_wide = F.length(_at(lines, F.least(i + 1, F.size(lines) - 1))) >= 2 * WIDTH
-        rolled = _line_hash(_at(lines, F.greatest(i - 1, F.lit(0)))) * 31 + _line_hash(_at(lines, i))
-        return last | wide | before_wide | ((rolled % 4294967296) % EVERY == 0)
 
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), ends)
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, key, first, last, size, h of every chunk, and the lines of ``BESIDE`` chunks on both sides of it.
 
+    ``before`` begins with the line right before the chunk, ``after`` with the one right after it; a line is 56 bits of its
+    hash and its length up to 255. ``size`` is in characters. Rows without a text have none.
+    """
+    lined = _fixed(docs.where(F.col("text").isNotNull()), DOC, lines=F.split("text", "\n"))
+    line_key = lambda x: F.xxhash64(x).bitwiseAND(F.lit(~SIZE_MASK)).bitwiseOR(F.least(F.length(x), F.lit(SIZE_MASK)).cast("long"))
+    hashed = _fixed(
+        lined,
+        DOC,
+        rolled=F.transform("lines", _line_hash),
+        sizes=F.transform("lines", lambda x: F.length(x)),
+        keys=F.transform("lines", line_key),
+    )
 
-def chunks(lines: Column, ends: Column) -> Column:
-    """(first, last, body) of every chunk."""
-    begins = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda i: i + 1))
-    body = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a + 1), "\n")
-    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last"), body(a, b).alias("body")))
+    def ends(i: Column) -> Column:
+        wide = (F.get("sizes", i) >= 2 * WIDTH) | (F.get("sizes", i + 1) >= 2 * WIDTH)
+        roll = (F.get("rolled", F.greatest(i - 1, F.lit(0))) * 31 + F.get("rolled", i)) % 4294967296
+        return (i == F.size("sizes") - 1) | F.coalesce(wide, F.lit(False)) | (roll % EVERY == 0)
 
+    arrays = [*DOC, "sizes", "keys"]
+    ended = _fixed(hashed, arrays, ends=F.filter(F.sequence(F.lit(0), F.size("sizes") - 1), ends))
+    begins = F.concat(F.array(F.lit(0)), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda i: i + 1))
+    bounded = _fixed(ended, [*arrays, "ends"], begins=begins)
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last, body of every chunk that is long enough to count; rows without id or text have none."""
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))
-    ended = usable.withColumn("ends", chunk_ends(F.col("lines")))
-    return ended.select("doc_id", F.inline(chunks(F.col("lines"), F.col("ends")))).where(F.length("body") >= 2 * WIDTH)
+    def chunk(k: Column) -> Column:
+        first, last = F.get("begins", k), F.get("ends", k)
+        own = F.aggregate(_part("sizes", first, last), F.lit(0), lambda a, x: a + x) + last - first
+        before = F.when(k > 0, F.reverse(_part("keys", F.get("begins", F.greatest(k - BESIDE, F.lit(0))), first - 1)))
+        after = F.when(last < F.size("sizes") - 1, _part("keys", last + 1, F.get("ends", F.least(k + BESIDE, F.size("ends") - 1))))
+        names = (first, "first"), (last, "last"), (own, "size"), (F.xxhash64(_part("keys", first, last)), "h"), (before, "before"), (after, "after")
+        return F.struct(*(c.alias(n) for c, n in names))
 
+    return bounded.select(*DOC, F.inline(F.transform(F.sequence(F.lit(0), F.size("begins") - 1), chunk)))
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last of every chunk occurrence that repeats an earlier one, confirmed byte by byte.
 
-    Occurrences are ordered by (doc_id, first). Chunks are counted by hash and length as narrow rows, pre-aggregated
-    before the shuffle. Then texts meet the marks of their own repeated chunks, and only these chunks' bodies travel to be
-    compared; the shuffle of the texts is the one that ``without_repeats`` uses as well.
-    """
-    found = occurrences(docs).select("doc_id", "first", "last", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size"))
-    earliest = F.min(F.struct("doc_id", "first"))
-    counted = found.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), earliest.alias("origin")).where("n > 1")
-    # never null, so that no filter on it reaches the scan and the texts' shuffle stays the same in every branch
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = counted.select("h", "size", "origin", salts.alias("salt"))
-    again = found.withColumn("salt", salt).join(salted, ["h", "size", "salt"])
-    mark = F.struct("first", "last", "h", "size", (F.struct("doc_id", "first") == F.col("origin")).alias("is_origin"))
-    marked = again.groupBy("doc_id").agg(F.collect_set(mark).alias(GONE))
-    lined = docs.where(F.col("doc_id").isNotNull()).join(marked, "doc_id").select("doc_id", GONE, F.split("text", "\n").alias("lines"))
-    body = lambda m: F.array_join(F.slice("lines", m["first"] + 1, m["last"] - m["first"] + 1), "\n")
-    bodies = lined.select("doc_id", F.inline(F.transform(GONE, lambda m: F.struct(m.alias("m"), body(m).alias("body")))))
-    bodies = bodies.select("doc_id", "m.*", "body").withColumn("salt", salt)
-    originals = bodies.where("is_origin").select("h", "size", F.col("body").alias("original")).distinct()
-    originals = originals.select("*", salts.alias("salt"))
-    same = bodies.where("not is_origin").join(originals, ["h", "size", "salt"]).where(F.col("body") == F.col("original"))
-    return same.select("doc_id", "first", "last")
-
-
-def _cleaned(joined: DataFrame, docs: DataFrame) -> DataFrame:
-    """Columns of ``docs`` and removed_lines; ``joined`` has the ranges of lines to drop, or null."""
-    drop = F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"])))
-    lines = F.split("text", "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.transform(F.array_except(numbers, DROP), lambda i: _at(lines, i))
-    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(DROP, drop).withColumn("text", text)
-    removed = F.when(F.col(GONE).isNull(), 0).otherwise(F.size(DROP)).cast("bigint")
-    return out.select(*quoted(docs.drop("removed_lines").columns), removed.alias("removed_lines"))
-
-
-def _with_nameless(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
-    nameless = docs.drop("removed_lines").where(F.col("doc_id").isNull())
-    return cleaned.unionByName(nameless.withColumn("removed_lines", F.lit(0).cast("bigint")))
+def _place() -> Column:
+    return F.struct(*DOC, "first")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All rows, ``text`` without its repeated chunks, and ``removed_lines``.
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """Every occurrence of chunks that occur more than once by hash and size, with their number and ``origin``, the first.
 
-    The first occurrence of a passage (least doc_id, then line) stays. Null texts and rows without doc_id stay as they
-    are. Rows that repeat a doc_id and text are one document. A text of repeats alone becomes empty. A column
-    ``removed_lines`` is replaced, all others are kept.
+    Occurrences are ordered by (doc_id, key, first); rows that repeat a document's id and text are one document.
     """
-    own = docs.drop("removed_lines")
-    gone = repeated(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias(GONE))
-    return _with_nameless(_cleaned(own.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left"), docs), docs)
+    found = cut(chunks(docs))
+    counted = found.groupBy("h", "size").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("origin")).where("n > 1")
+    return cut(skew_join(found, counted, ["h", "size"], ["doc_id", "first"]).dropDuplicates([*DOC, "first"]))
+
+
+def _shared(a: str, b: str) -> Column:
+    """How many values two arrays begin with alike."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.coalesce(F.when(differ == 0, F.size(a)).otherwise(differ - 1), F.lit(0)).cast("int")
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """Chunks that stand somewhere earlier, with the number ``run`` of their passage and where it begins and ends there."""
+    in_text = W.partitionBy(*DOC).orderBy("first")
+    following = F.lead(F.struct("first", "h", "size")).over(in_text)
+    pairs = found.select(*DOC, "first", "last", "h", "size", following.alias("f")).where(F.col("f.first") == F.col("last") + 1)
+    pairs = pairs.select(*DOC, "first", "h", "size", F.col("f.h").alias("h2"), F.col("f.size").alias("size2"))
+    kinds = ["h", "size", "h2", "size2"]
+    earliest = pairs.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n2"), F.min(_place()).alias("pair_origin")).where("n2 > 1")
+    links = skew_join(pairs, earliest, kinds, ["doc_id", "first"]).where(_place() != F.col("pair_origin"))
+    linked = found.join(links.select(*DOC, "first", "pair_origin"), [*DOC, "first"], "left")
+    told = linked.withColumn("p", F.lag(F.struct("last", "first", "pair_origin")).over(in_text))
+    follows = (F.col("p.last") == F.col("first") - 1) & F.col("p.pair_origin").isNotNull()
+    told = told.withColumn("goes_on", F.coalesce(follows, F.lit(False)))
+    told = told.where(F.col("pair_origin").isNotNull() | F.col("goes_on") | (_place() != F.col("origin")))
+    # where the chunks at the begin and the end of a passage stand where it stood first
+    second = F.struct(*(F.col(f"p.pair_origin.{c}") for c in DOC), (F.col("p.pair_origin.first") + F.col("first") - F.col("p.first")).alias("first"))
+    return told.select(
+        *DOC, "first", "last", "size", "h", "n", "origin", "before", "after",
+        F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(in_text).alias("run"),
+        F.coalesce("pair_origin", "origin").alias("at_begin"),
+        F.when(F.col("goes_on"), second).otherwise(F.col("origin")).alias("at_end"),
+    )
+
+
+def _extended(told: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, key, run, first, last of every passage that fills two screen lines, with the lines it goes on over."""
+    runs = told.groupBy(*DOC, "run").agg(
+        F.min_by(F.struct("at_begin", "before"), "first").alias("b"),
+        F.max_by(F.struct("at_end", "after"), "first").alias("e"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        (F.sum(F.col("size") + 1) - 1).alias("size"),
+    )
+    place = [*DOC, "first"]
+    runs = runs.select(
+        *DOC, "run", "first", "last", "size", *(F.col(f"b.at_begin.{c}").alias(f"b_{c}") for c in place), "b.before",
+        *(F.col(f"e.at_end.{c}").alias(f"e_{c}") for c in place), "e.after",
+    )
+    at = lambda side, lines: found.select(*(F.col(c).alias(f"{side}_{c}") for c in place), F.col(lines).alias(f"{side}_lines"))
+    sides = skew_join(cut(runs), at("b", "before"), [f"b_{c}" for c in place], ["doc_id", "first"], "left")
+    sides = skew_join(cut(sides), at("e", "after"), [f"e_{c}" for c in place], ["doc_id", "first"], "left")
+    sides = sides.withColumn("more_before", _shared("before", "b_lines")).withColumn("more_after", _shared("after", "e_lines"))
+    size = lambda x: x.bitwiseAND(F.lit(SIZE_MASK)) + 1
+    length = lambda lines, n: F.coalesce(F.aggregate(F.slice(lines, F.lit(1), F.col(n)), F.lit(0).cast("long"), lambda a, x: a + size(x)), F.lit(0))
+    whole = F.col("size") + length("before", "more_before") + length("after", "more_after")
+    ranges = (F.col("first") - F.col("more_before")).alias("first"), (F.col("last") + F.col("more_after")).alias("last")
+    return cut(sides.where(whole >= 2 * WIDTH).select(*DOC, "run", *ranges))
+
+
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``__maybe``: false for most documents that are not among ``ids``, true for all that are.
+
+    One bit of 2 ** SIEVE_BITS for a hash of each id; the bits, of that size whatever there is, are sent to the documents.
+    """
+    h = F.pmod(F.xxhash64(*DOC), F.lit(1 << SIEVE_BITS))
+    marked = ids.select(*DOC).withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
+    words = marked.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    placed = docs.withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
+    seen = placed.join(F.broadcast(words), "__word", "left")
+    return seen.withColumn("__maybe", F.expr("coalesce(shiftright(__bits, __bit) & 1L, 0L) = 1L")).drop("__word", "__bit", "__bits")
 
 
-def _with_reaches(frame: DataFrame, sizes: str, reaches: str) -> DataFrame:
-    """``reaches``: for every line, how many more lines from it fill two screen lines (too many if the text ends before).
+def _unequal(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, key, run of passages with a chunk whose bytes are not those of the chunk's first occurrence.
 
-    Sums over 1, 2, 4, ... lines are added up, longest first, as long as they stay below ``FULL``.
+    Only texts that hold such chunks are moved, to the marks of their chunks; only the chunks' bodies travel on to be
+    compared. A frequent chunk is dealt over as many parts as it needs.
     """
-    sums = [f"__sums_{j}" for j in range(STEPS)]
-    frame = frame.withColumn(sums[0], F.col(sizes))
-    for j in range(1, STEPS):
-        half = F.col(sums[j - 1])
-        more = lambda x, i: F.least(x + F.coalesce(F.get(half, i + 2 ** (j - 1)), F.lit(0)), F.lit(FULL))
-        frame = frame.withColumn(sums[j], F.transform(half, more))
-
-    def reach(_: Column, i: Column) -> Column:
-        # number of lines and their sum in one integer: sums are below 256
-        def add(state: Column, table: Column) -> Column:
-            taken = F.coalesce(F.get(table["sums"], i + F.shiftright(state, 8)), F.lit(0))
-            return F.when(state.bitwiseAND(255) + taken < FULL, state + table["lines"] * 256 + taken).otherwise(state)
-
-        return F.shiftright(F.aggregate("__tables", F.lit(0), add), 8)
-
-    tables = F.array(*(F.struct(F.lit(2**j).alias("lines"), F.col(sums[j]).alias("sums")) for j in reversed(range(STEPS))))
-    return frame.withColumn("__tables", tables).withColumn(reaches, F.transform(sizes, reach)).drop("__tables", *sums)
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, first, last, h of the least runs of two screen lines from and to every line."""
-    usable = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= 2 * WIDTH))
-    lined = usable.select("doc_id", KEY, F.split("text", "\n").alias("lines"))
-    sized = lined.withColumn("sizes", F.transform("lines", lambda x: F.least(F.length(x) + 1, F.lit(FULL))))
-    sized = sized.withColumn("keys", F.transform("lines", lambda x: F.xxhash64(x))).drop("lines").withColumn("back", F.reverse("sizes"))
-    reached = _with_reaches(_with_reaches(sized, "sizes", "after"), "back", "before")
-    n = F.size("sizes")
-    span = lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
-    forwards = F.filter(F.transform("after", lambda k, i: span(i, i + k)), lambda r: r["last"] < n)
-    backwards = F.transform("before", lambda k, i: span(n - 1 - i - k, n - 1 - i))
-    backwards = F.filter(backwards, lambda r: (r["first"] >= 0) & (r["first"] + F.get("after", r["first"]) != r["last"]))
-    found = reached.withColumn("spans", F.concat(forwards, backwards))
-    h = lambda r: F.xxhash64(F.slice("keys", r["first"] + 1, r["last"] - r["first"] + 1))
-    return found.select("doc_id", KEY, F.inline(F.transform("spans", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), h(r).alias("h")))))
-
-
-def copied(docs: DataFrame) -> DataFrame:
-    """doc_id, key, first, last: disjoint ranges of the lines in runs that repeat an earlier one, confirmed by SHA-256.
-
-    Runs are ordered by (doc_id, key, first). A run that overlaps its first occurrence leaves the lines of that. Shuffles
-    are those of ``repeated``; of a repeated run the digest travels instead of the body.
+    own = told.select(*DOC, "first", "last", "h", "size", "n", F.lit(False).alias("is_origin"))
+    origin_last = (F.col("origin.first") + F.col("last") - F.col("first")).alias("last")
+    origins = told.select("origin.*", origin_last, "h", "size", "n", F.lit(True).alias("is_origin")).distinct()
+    marks = cut(own.unionByName(origins).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last", "h", "size", "n", "is_origin")).alias("marks")))
+    holding = _sieved(docs, marks).where("__maybe").drop("__maybe")
+    lined = _fixed(holding.join(marks, DOC), [*DOC, "marks"], lines=F.split("text", "\n"))
+    body = lambda m: F.array_join(_part("lines", m["first"], m["last"]), "\n")
+    bodies = lined.select(*DOC, F.inline(F.transform("marks", lambda m: F.struct(m.alias("m"), body(m).alias("body")))))
+    bodies = bodies.select(*DOC, "m.*", "body")
+    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+    others = bodies.where("not is_origin").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), parts).cast("int"))
+    originals = bodies.where("is_origin").select("h", "size", F.col("body").alias("original"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).distinct()
+    same = others.join(originals, ["h", "size", "part"]).where(F.col("body") == F.col("original")).select(*DOC, "first").distinct()
+    return told.join(same, [*DOC, "first"], "left_anti").select(*DOC, "run").distinct()
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, key, first, last of every passage that stands earlier already and fills two screen lines. ``docs``: ``keyed``.
+
+    Narrow rows of chunks find the passages by hashes; what they found is then compared byte by byte.
     """
-    found = runs(docs)
-    place = F.struct("doc_id", KEY, "first")
-    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1")
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"), F.lit(0))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    again = found.withColumn("salt", salt).join(counted.select("h", "origin", salts.alias("salt")), ["h", "salt"])
-    same_text = (F.col("origin.doc_id") == F.col("doc_id")) & (F.col(f"origin.{KEY}") == F.col(KEY))
-    own = F.when(same_text, F.col("origin.first"))
-    mark = F.struct("first", "last", "h", (place == F.col("origin")).alias("is_origin"), own.alias("own"))
-    marked = again.groupBy("doc_id", KEY).agg(F.collect_set(mark).alias(GONE))
-    lined = docs.where(F.col("doc_id").isNotNull()).join(marked, ["doc_id", KEY]).select("doc_id", KEY, GONE, F.split("text", "\n").alias("lines"))
-    body = lambda m: F.array_join(F.slice("lines", m["first"] + 1, m["last"] - m["first"] + 1), "\n")
-    digests = F.transform(GONE, lambda m: F.struct(m.alias("m"), F.unhex(F.sha2(body(m), 256)).alias("digest")))
-    bodies = lined.select("doc_id", KEY, F.inline(digests)).select("doc_id", KEY, "m.*", "digest").withColumn("salt", salt)
-    originals = bodies.where("is_origin").select("h", F.col("digest").alias("original")).distinct()
-    same = bodies.where("not is_origin").join(originals.select("*", salts.alias("salt")), ["h", "salt"]).where(F.col("digest") == F.col("original"))
-    begin = F.coalesce(F.greatest("first", F.col("own") + F.col("last") - F.col("first") + 1), "first")
-    ranges = same.select("doc_id", KEY, begin.alias("first"), "last")
-    before = W.partitionBy("doc_id", KEY).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
-    fresh = ranges.withColumn("first", F.greatest("first", F.max("last").over(before) + 1))
-    return fresh.where("first <= last")
-
-
-def without_copied_lines(docs: DataFrame) -> DataFrame:
-    """All rows, ``text`` without the lines of passages that stand elsewhere already, and ``removed_lines``.
-
-    A passage is any run of whole lines of two screen lines or more, whatever the length of its lines. Its first occurrence
-    (least doc_id, then line) stays, but for what it repeats itself; every different line stays at least once. Rows are
-    treated as in ``without_repeats``; rows of one doc_id with different texts are different documents.
+    found = repeated_chunks(docs)
+    told = cut(_runs(found))
+    whole = _extended(told, found)
+    kept = cut(told.select(*DOC, "run", "first", "last", "size", "h", "n", "origin").join(whole.select(*DOC, "run"), [*DOC, "run"], "left_semi"))
+    return whole.join(_unequal(docs, kept), [*DOC, "run"], "left_anti").select(*DOC, "first", "last")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """All rows, ``text`` without the passages that stand earlier already, and ``removed_lines``.
+
+    The first occurrence of a passage (least doc_id, then key of the text, then line) stays. Null texts and rows without
+    doc_id stay as they are. Rows that repeat a doc_id and text are one document, rows of one doc_id with other texts are
+    others. A text of repeats alone becomes empty. A column ``removed_lines`` is replaced, all others are kept. Only
+    documents that lose lines are moved.
     """
-    keyed = docs.drop("removed_lines").withColumn(KEY, F.xxhash64("text"))
-    gone = copied(keyed).groupBy("doc_id", KEY).agg(F.collect_list(F.struct("first", "last")).alias(GONE))
-    cleaned = _cleaned(keyed.where(F.col("doc_id").isNotNull()).join(gone, ["doc_id", KEY], "left"), docs)
-    return _with_nameless(cleaned, docs)
+    own = docs.select(*quoted([c for c in docs.columns if c != "removed_lines"]))
+    named = keyed(own)
+    gone = cut(passages(named.select("doc_id", "text", KEY)).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias(GONE)))
+    sieved = _sieved(named, gone)
+    joined = sieved.where("__maybe").drop("__maybe").join(gone, DOC, "left")
+    numbers = F.array_distinct(F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"]))))
+    looked = _fixed(joined, named.columns, __lines=F.when(F.col(GONE).isNotNull(), F.split("text", "\n")), __drop=numbers)
+    every = F.sequence(F.lit(0), F.size("__lines") - 1)
+    kept = F.transform(F.array_except(every, "__drop"), lambda i: F.get("__lines", i))
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    removed = F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("bigint").alias("removed_lines")
+    cleaned = looked.select(*(text.alias("text") if c == "text" else quoted([c])[0] for c in own.columns), removed)
+    none = F.lit(0).cast("bigint").alias("removed_lines")
+    untouched = sieved.where("not __maybe").select(*quoted(own.columns), none)
+    return cleaned.unionByName(untouched).unionByName(own.where(F.col("doc_id").isNull()).withColumn("removed_lines", none))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -206,31 +231,63 @@ def digest(docs: DataFrame) -> DataFrame:
     return without_repeats(docs.select("doc_id", "text"))
 
 
+_ALIKE = (
+    "coalesce(list_position(list_transform(range(1, greatest(len({0}), len({1})) + 1), lambda k: coalesce({0}[k] = {1}[k], false)),"
+    " false) - 1, len({0}), 0)"
+)
+_SUM = "coalesce(list_sum(list_transform({0}[1:{1}], lambda x: length(x) + 1)), 0)"
 DIGEST_SQL = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines
 ), ended AS (
   SELECT *, lead(line) OVER w IS NULL OR length(line) >= {2 * WIDTH} OR length(lead(line) OVER w) >= {2 * WIDTH}
             OR ((coalesce(lag(h) OVER w, h) * 31 + h) % 4294967296) % {EVERY} = 0 AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  FROM hashed WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
 ), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
   FROM ended
 ), chunk AS (
-  SELECT doc_id, c, min(i) AS a, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, c
+  SELECT doc_id, text, c, min(i) AS a, max(i) AS z, list(line ORDER BY i) AS body FROM numbered GROUP BY doc_id, text, c
+), placed AS (
+  SELECT *, lead(body) OVER w AS next_body, list_reverse(list_concat(coalesce(lag(body, 2) OVER w, []), lag(body) OVER w)) AS before,
+         list_concat(lead(body) OVER w, coalesce(lead(body, 2) OVER w, [])) AS after
+  FROM chunk WINDOW w AS (PARTITION BY doc_id, text ORDER BY c)
+), numbers AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, text, c) AS no FROM placed
+), told AS (
+  SELECT *, min(no) OVER (PARTITION BY body) AS origin, min(no) OVER (PARTITION BY body, next_body) AS pair_origin,
+         next_body IS NOT NULL AS has_next
+  FROM numbers
+), linked AS (
+  SELECT *, has_next AND pair_origin < no AS link,
+         coalesce(lag(has_next AND pair_origin < no) OVER (PARTITION BY doc_id, text ORDER BY c), false) AS goes_on,
+         lag(pair_origin) OVER (PARTITION BY doc_id, text ORDER BY c) + 1 AS second
+  FROM told
+), runs AS (
+  SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id, text ORDER BY c) AS run
+  FROM linked WHERE link OR goes_on OR origin < no
+), passage AS (
+  SELECT doc_id, text, run, min(a) AS a, max(z) AS z, sum(length(array_to_string(body, chr(10))) + 1) - 1 AS size,
+         arg_min(CASE WHEN link THEN pair_origin ELSE origin END, c) AS b_no, arg_max(CASE WHEN goes_on THEN second ELSE origin END, c) AS e_no,
+         arg_min(no, c) AS first_no, arg_max(no, c) AS last_no
+  FROM runs GROUP BY doc_id, text, run
+), sides AS (
+  SELECT p.*, f.before, l.after, {_ALIKE.format("f.before", "b.before")} AS more_before, {_ALIKE.format("l.after", "e.after")} AS more_after
+  FROM passage p JOIN numbers f ON f.no = first_no JOIN numbers l ON l.no = last_no
+  JOIN numbers b ON b.no = b_no JOIN numbers e ON e.no = e_no
 ), gone AS (
-  SELECT doc_id, c FROM chunk WHERE length(body) >= {2 * WIDTH}
-  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1
+  SELECT DISTINCT doc_id, text, unnest(range(a - more_before, z + more_after + 1)) AS i FROM sides
+  WHERE size + {_SUM.format("before", "more_before")} + {_SUM.format("after", "more_after")} >= {2 * WIDTH}
 ), kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY i) FILTER (g.c IS NULL) AS text, count(g.c) AS removed
-  FROM numbered l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.c = g.c GROUP BY l.doc_id
+  SELECT l.doc_id, l.text AS whole, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(g.i) AS removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.i = g.i GROUP BY l.doc_id, l.text
 )
 SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
        coalesce(k.removed, 0)::BIGINT AS removed_lines
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.whole
 ORDER BY doc_id
 """
