@@ -7,7 +7,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from wordloom.llm import langid, neighbours, pages, quality
+from wordloom.llm import decontaminate, langid, neighbours, pages, quality
+
+from .conftest import ODD
 
 
 def test_copies_of_a_text_are_learned_once(lab):
@@ -107,3 +109,22 @@ def test_repeated_ids_are_one_query(lab):
     assert set(by_query) == set(range(0, 300, 20))
     assert all(sorted(k for k, _ in v) == list(range(1, 11)) for v in by_query.values())
     assert all(q not in [i for _, i in v] for q, v in by_query.items())
+
+
+def test_a_large_benchmark_is_joined(lab, docs_of, monkeypatch):
+    """The same leaks as with the benchmark in all tasks: moved parts, repeated items, common passages, odd texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    common = " ".join(word() for _ in range(9))
+    items = [" ".join(word() for _ in range(rng.choice([8, 20, 60]))) for _ in range(40)]
+    items += [f"{common} {' '.join(word() for _ in range(12))}" for _ in range(5)] + ["a b a b a b a b a b a b"]
+    cutting = lambda t: " ".join(t.split()[rng.randint(0, 6) : rng.randint(7, 60)])
+    texts = [f"{word()} {rng.choice(items)} {common} {cutting(rng.choice(items))}" for _ in range(60)] + [common, *ODD] + [items[3]] * 3
+    table = lab.createDataFrame([*enumerate(items), (7, items[7]), (7, items[7]), (90, None), (None, items[3]), (91, "a b"), (92, "")], "item_id long, text string")
+    docs = docs_of(texts, clashes=("leaks", "t1", "t2", "gram", "item_id"))
+    shown = lambda frame: sorted((r.doc_id, [(l.item_id, round(l.coverage, 9), len(l.tiles)) for l in r.leaks]) for r in frame.collect())
+    want = decontaminate.with_leaks(docs, table)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    found = decontaminate.with_leaks(docs, table)
+    assert found.columns == want.columns and shown(found) == shown(want)
+    assert sum(bool(leaks) for _, leaks in shown(want)) > 30

@@ -16,15 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.llm.common import cut, quoted
-from wordloom.llm.skew import TOGETHER, skew_join
+from wordloom.llm.skew import TOGETHER, sieved, skew_join
 
 #: Characters of a screen line; a passage has at least two. One rolling hash in ``EVERY`` ends a chunk.
 WIDTH, EVERY = 80, 2
 #: Chunks on either side over which a passage may go on. A passage that stands after other lines may have one more boundary
 #: after its first line there, so the lines before the first common boundary are two chunks at most.
 BESIDE = 2
-#: Low bits of a line's key that hold its length, and bits of the sieve of documents.
-SIZE_MASK, SIEVE_BITS = 255, 22
+#: Low bits of a line's key that hold its length.
+SIZE_MASK = 255
 #: Names that no table has, for columns that live within one expression.
 GONE, KEY = "__repeated_ranges", "__text_key"
 DOC = ["doc_id", KEY]
@@ -154,19 +154,6 @@ def _extended(told: DataFrame, found: DataFrame) -> DataFrame:
     return cut(sides.where(whole >= 2 * WIDTH).select(*DOC, "run", *ranges))
 
 
-def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``__maybe``: false for most documents that are not among ``ids``, true for all that are.
-
-    One bit of 2 ** SIEVE_BITS for a hash of each id; the bits, of that size whatever there is, are sent to the documents.
-    """
-    h = F.pmod(F.xxhash64(*DOC), F.lit(1 << SIEVE_BITS))
-    marked = ids.select(*DOC).withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
-    words = marked.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    placed = docs.withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
-    seen = placed.join(F.broadcast(words), "__word", "left")
-    return seen.withColumn("__maybe", F.expr("coalesce(shiftright(__bits, __bit) & 1L, 0L) = 1L")).drop("__word", "__bit", "__bits")
-
-
 def _unequal(docs: DataFrame, told: DataFrame) -> DataFrame:
     """doc_id, key, run of passages with a chunk whose bytes are not those of the chunk's first occurrence.
 
@@ -177,7 +164,7 @@ def _unequal(docs: DataFrame, told: DataFrame) -> DataFrame:
     origin_last = (F.col("origin.first") + F.col("last") - F.col("first")).alias("last")
     origins = told.select("origin.*", origin_last, "h", "size", "n", F.lit(True).alias("is_origin")).distinct()
     marks = cut(own.unionByName(origins).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last", "h", "size", "n", "is_origin")).alias("marks")))
-    holding = _sieved(docs, marks).where("__maybe").drop("__maybe")
+    holding = sieved(docs, marks, DOC).where("__maybe").drop("__maybe")
     lined = _fixed(holding.join(marks, DOC), [*DOC, "marks"], lines=F.split("text", "\n"))
     body = lambda m: F.array_join(_part("lines", m["first"], m["last"]), "\n")
     bodies = lined.select(*DOC, F.inline(F.transform("marks", lambda m: F.struct(m.alias("m"), body(m).alias("body")))))
@@ -212,7 +199,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(*quoted([c for c in docs.columns if c != "removed_lines"]))
     named = keyed(own)
     gone = cut(passages(named.select("doc_id", "text", KEY)).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias(GONE)))
-    sieved = _sieved(named, gone)
+    sieved = sieved(named, gone, DOC)
     joined = sieved.where("__maybe").drop("__maybe").join(gone, DOC, "left")
     numbers = F.array_distinct(F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"]))))
     looked = _fixed(joined, named.columns, __lines=F.when(F.col(GONE).isNotNull(), F.split("text", "\n")), __drop=numbers)

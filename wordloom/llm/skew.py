@@ -1,4 +1,4 @@
-"""Joins on keys that may hold a third of all rows."""
+"""Joins on keys that may hold a third of all rows, and on few keys of many."""
 
 from __future__ import annotations
 
@@ -23,3 +23,16 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[s
     dealt = left.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
     copied = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.drop("__salts").join(copied.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
+
+
+def sieved(frame: DataFrame, ids: DataFrame, keys: list[str], bits: int = 22) -> DataFrame:
+    """``frame`` with ``__maybe``: false for most rows whose ``keys`` are not among ``ids``, true for all whose are.
+
+    One bit of 2 ** ``bits`` for a hash of each id; the bits, of that size whatever there is, are sent to the rows.
+    """
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    marked = ids.select(*keys).withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
+    words = marked.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    placed = frame.withColumn("__word", F.shiftright(h, 6)).withColumn("__bit", (h % 64).cast("int"))
+    seen = placed.join(F.broadcast(words), "__word", "left")
+    return seen.withColumn("__maybe", F.expr("coalesce(shiftright(__bits, __bit) & 1L, 0L) = 1L")).drop("__word", "__bit", "__bits")
