@@ -281,3 +281,20 @@ def test_sequences_of_any_length(make_tokens, terms):
     assert {r.last_word for r in hits.collect()} == {f"w{(terms - 1) % 7}"}
     gapped = [*pattern[: terms // 2], Gap(0, 0), anything(), *pattern[terms // 2 + 1 :]]
     assert rows(find_hits(tokens, [gapped])) == rows(hits)
+
+
+def test_the_width_of_partitions_follows_the_corpus(spark, corpus, plain, tmp_path, monkeypatch):
+    """Few partitions allowed: they are wider, and what is read still knows their width."""
+    assert layout.bits_for(1) == layout.BUCKET_BITS and layout.bits_of(corpus.tokens) == layout.BUCKET_BITS
+    monkeypatch.setattr(layout, "MOST_BUCKETS", 4)
+    wide = Corpus.stored(plain.tokens, plain.texts, str(tmp_path))
+    total = plain.tokens.count()
+    assert wide.tokens.select("bucket").distinct().count() == -(-total // (1 << layout.bits_of(wide.tokens))) <= 4
+    assert layout.bits_of(wide.tokens) == layout.bits_of(wide.blocks) > layout.BUCKET_BITS
+    selection, pattern = Selection({"source": Choice(("src3", "src5"))}), [word("of"), Gap(0, 2), word("the")]
+    hits = wide.search([pattern], selection)
+    assert "dynamicpruning" in plan(hits) and rows(hits) == rows(plain.search([pattern], selection))
+    assert lines(wide.lines(hits)) == lines(plain.lines(plain.search([pattern], selection)))
+    page = wide.page(wide.search([pattern]), 2, "right")
+    shown = lambda p: [(r.text_id, r.start, r.left_text, r.right_text) for r in p.collect()]
+    assert shown(page) == shown(plain.page(plain.search([pattern]), 2, "right"))

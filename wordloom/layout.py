@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wordloom.session import cut
 
 # Stored token tables are partitioned by corpus position, so a page of hits reads only the partitions it lies in.
-BUCKET, BUCKET_BITS = "bucket", 20
+# A partition has 2 ** BUCKET_BITS positions, more where a corpus would fill more than MOST_BUCKETS of them; how many stands
+# in the metadata of the stored columns.
+BUCKET, BUCKET_BITS, MOST_BUCKETS, BITS_KEY = "bucket", 20, 1 << 14, "bucket_bits"
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 
@@ -21,9 +23,20 @@ def block(position: Column | str, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(position, bits)
 
 
-def bucket(position: Column | str) -> Column:
+def bucket(position: Column | str, bits: int | None = None) -> Column:
     """Storage partition of a corpus position."""
-    return F.shiftright(position, BUCKET_BITS).cast("int").alias(BUCKET)
+    return F.shiftright(position, BUCKET_BITS if bits is None else bits).cast("int").alias(BUCKET)
+
+
+def bits_for(positions: int) -> int:
+    """Bits of a partition of a corpus of so many positions."""
+    return max(BUCKET_BITS, ((positions - 1) // MOST_BUCKETS).bit_length())
+
+
+def bits_of(stored: DataFrame) -> int:
+    """Bits of the partitions of a stored table."""
+    found = (field.metadata.get(BITS_KEY) for field in stored.schema.fields if field.metadata)
+    return next((bits for bits in found if bits is not None), BUCKET_BITS)
 
 
 def unfolded(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions.text import rendered_token, text_id_of
-from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, block, bucket, unfolded
+from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, bits_of, block, bucket, unfolded
 from wordloom.operators.hits import spans
 from wordloom.sources.tokens import HALO
 
@@ -91,7 +91,7 @@ def _beside(hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...]) ->
     """
     keys = ["text_id", "_block"]
     if BUCKET in blocks.columns and "startpos" in hits.columns:
-        placed = bucket(F.col("startpos") + F.shiftleft("_block", BLOCK_BITS))
+        placed = bucket(F.col("startpos") + F.shiftleft("_block", BLOCK_BITS), bits_of(blocks))
         # Spark prunes partitions by a joined table only if that table is filtered; every block passes
         hits, keys = hits.withColumn(BUCKET, placed).where(F.col("_block") >= 0), [*keys, BUCKET]
     wanted = blocks.withColumnRenamed("block", "_block").select(*keys, "first", *(F.col(a).alias(f"_{a}") for a in attributes))

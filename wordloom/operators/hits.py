@@ -12,7 +12,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.layout import BLOCK_BITS, BUCKET, block, bucket
+from wordloom.layout import BLOCK_BITS, BUCKET, bits_of, block, bucket
 from wordloom.operators.patterns import Gap, Steps, Tok, normalise
 from wordloom.operators.selection import in_texts
 from wordloom.session import cut
@@ -297,7 +297,7 @@ def _with_bucket(keyed: DataFrame, tokens: DataFrame, at: str) -> tuple[DataFram
     With stored tokens and known start positions the storage partition is a key, so that others are not read.
     """
     if BUCKET in tokens.columns and "startpos" in keyed.columns:
-        placed = keyed.withColumn(BUCKET, bucket(F.col("startpos") + F.col(at)))
+        placed = keyed.withColumn(BUCKET, bucket(F.col("startpos") + F.col(at), bits_of(tokens)))
         # Spark prunes partitions by a joined table only if that table is filtered; every token number passes
         return placed.where(F.col(at) >= 0), ["text_id", at, BUCKET]
     return keyed, ["text_id", at]

@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom import layout
-from wordloom.layout import BUCKET, block, unfolded
+from wordloom.layout import BUCKET, bits_of, block, bucket, unfolded
 from wordloom.session import cut
 
 #: Ranges that are sent to the tokens; more of them meet the tokens in a shuffle by block.
@@ -182,9 +182,10 @@ def in_ranges(tokens: DataFrame, ranges: DataFrame, position: str = "pos", bits:
     pieces = unfolded(merged, block("start", bits), block("end", bits), "_block")
     low = F.shiftleft("_block", bits)
     span = F.struct(F.greatest("start", low).alias("start"), F.least(F.col("end"), low + ((1 << bits) - 1)).alias("end"))
-    listed = cut(pieces.groupBy(F.col("cell").cast("int").alias(BUCKET), "_block").agg(F.collect_list(span).alias("_spans")))
+    place = bucket(F.shiftleft("_block", bits), bits_of(tokens))
+    listed = cut(pieces.groupBy(place, "_block").agg(F.collect_list(span).alias("_spans")))
     n_spans = listed.agg(F.sum(F.size("_spans"))).first()[0] or 0
-    stored = BUCKET in tokens.columns and position == "pos" and bits <= layout.BUCKET_BITS
+    stored = BUCKET in tokens.columns and position == "pos" and bits <= bits_of(tokens)
     keys = [BUCKET, "_block"] if stored else ["_block"]
     # Spark prunes partitions by a joined table only if that table is filtered; every list passes
     wanted = listed.select(*keys, "_spans").where(F.size("_spans") > 0)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.layout import BUCKET
+from wordloom.layout import BUCKET, bits_for
 from wordloom.operators import concordance, geo, hits as hit_ops, lexicon, ordering, stats
 from wordloom.operators.patterns import Gap, Tok, is_blank
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
@@ -51,7 +51,8 @@ class Corpus:
         """
         spark = tokens.sparkSession
         texts.write.parquet(f"{path}/texts")
-        save_tokens(tokens, f"{path}/tokens", in_order=in_order)
+        last = spark.read.parquet(f"{path}/texts").agg(F.max("endpos")).first()[0] if "endpos" in texts.columns else None
+        save_tokens(tokens, f"{path}/tokens", in_order=in_order, bits=None if last is None else bits_for(last + 1))
         kept = spark.read.parquet(f"{path}/tokens")
         save_blocks(kept, f"{path}/blocks")
         vocabulary(kept).write.parquet(f"{path}/words")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, block, bucket, running_total
+from wordloom.layout import BITS_KEY, BLOCK, BLOCK_BITS, BUCKET, bits_of, block, bucket, running_total
 
 # The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
@@ -133,10 +133,10 @@ def context_blocks(tokens: DataFrame, attributes: tuple[str, ...] = ("word",)) -
         )
         .where("_real")
     )
-    place = [bucket(F.col("_start") + F.shiftleft("block", BLOCK_BITS))] if start else []
-    return blocks.select(
-        "text_id", "block", F.col("_t")[0]["tok_no"].alias("first"), *(F.col(f"_t.{a}").alias(a) for a in attributes), *place
-    )
+    bits = bits_of(tokens)
+    place = [bucket(F.col("_start") + F.shiftleft("block", BLOCK_BITS), bits)] if start else []
+    first = F.col("_t")[0]["tok_no"].alias("first", metadata={BITS_KEY: bits})
+    return blocks.select("text_id", "block", first, *(F.col(f"_t.{a}").alias(a) for a in attributes), *place)
 
 
 def save_blocks(tokens: DataFrame, path: str, attributes: tuple[str, ...] = ("word",)) -> None:
@@ -154,18 +154,23 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("word").isNotNull()).groupBy("word", *place).agg(F.count(F.lit(1)).alias("n"))
 
 
-def save_tokens(tokens: DataFrame, path: str, partition_by: tuple[str, ...] = (), in_order: bool = False) -> None:
+def save_tokens(
+    tokens: DataFrame, path: str, partition_by: tuple[str, ...] = (), in_order: bool = False, bits: int | None = None
+) -> None:
     """Store a token table as Parquet with neighbouring tokens in the same file.
 
     Min/max statistics on ``text_id`` and ``tok_no`` then let a scan skip what it does not need. Tokens expanded from
     arranged documents are written as they are; any others are range-partitioned by (text, block) and sorted, so a very
     long text fills several files. Tokens with a corpus position ``pos`` are also partitioned by it (``BUCKET``), and
-    words are stored in lower case too, so that a search without regard to case skips row groups.
+    words are stored in lower case too, so that a search without regard to case skips row groups. ``bits`` is the width of
+    a partition of positions (``layout.bits_for``).
     """
     if "word" in tokens.columns:
         tokens = tokens.withColumn("word_folded", F.lower("word"))
     if "pos" in tokens.columns:
-        tokens, partition_by = tokens.withColumn(BUCKET, bucket(F.col("pos"))), (*partition_by, BUCKET)
+        bits = bits_of(tokens) if bits is None else bits
+        tokens = tokens.withColumn("pos", F.col("pos").alias("pos", metadata={BITS_KEY: bits})).withColumn(BUCKET, bucket(F.col("pos"), bits))
+        partition_by = (*partition_by, BUCKET)
     if not in_order:
         keys = [F.col(c) for c in (*partition_by, "text_id")]
         tokens = tokens.repartitionByRange(*keys, block("tok_no")).sortWithinPartitions(*keys, "tok_no")
