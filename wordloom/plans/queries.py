@@ -1127,7 +1127,7 @@ def agg17_number_order(spark, folder):
     """Columns of a number category: ordered as numbers, shown as text."""
     texts = given.docs_texts(spark, folder)
     totals = stats.category_totals(stats.category_values(texts, "n_chars", facet=False), texts)
-    numbered = ordering.number_rows(totals, ["value"], "column_no")
+    numbered = number_rows(totals, ["value"], "column_no")
     return numbered.select("column_no", F.col("value").cast("string").alias("value"), "n_tokens")
 
 
@@ -1213,7 +1213,7 @@ def set4_distinct(spark, folder):
 def set5_whole_order(spark, folder):
     """All hits numbered in corpus order."""
     hits = docs_hits(spark, folder, [word("is")])
-    return ordering.number_rows(hits, list(ordering.CORPUS_ORDER), "hit_no").select("hit_no", "text_id", F.col("start").alias("hit_start"))
+    return number_rows(hits, list(ordering.CORPUS_ORDER), "hit_no").select("hit_no", "text_id", F.col("start").alias("hit_start"))
 
 
 # ---------------------------------------------------------------- scalar functions
