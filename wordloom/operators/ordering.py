@@ -60,28 +60,36 @@ def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tup
     column while one of them has more than ``CELL`` rows. What is left is sorted cell by cell. Neither the rows before the
     slice nor those behind it are ever sorted, moved or written, however deep it is; they are read once per level.
     """
-    kept, before, keys, wanted = rows, 0, [], None
-    for name, value, _ in cells:
-        kept = kept if wanted is None else _in_cells(kept, wanted.select(*keys), keys)
-        kept = kept.withColumn(name, value)
-        keys.append(name)
-        sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_total(sizes, [o for _, _, o in cells[: len(keys)]], F.col("_n"), "_passed")
+    kept, before, levels, wanted = rows, 0, [], None
+    for level in cells:
+        name, value, _ = level
         # the cells kept follow one another, so a level counts on from the first of them
+        divided = (kept if wanted is None else _in_cells(kept, wanted.drop("_offset", "_n"))).withColumn(name, value)
+        keys = [*(n for n, _, _ in levels), name]
+        sizes = divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_total(sizes, [o for _, _, o in (*levels, level)], F.col("_n"), "_passed")
         placed = placed.withColumn("_offset", F.col("_passed") + before).drop("_passed")
-        wanted = placed.where((F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start))
-        before, most = wanted.agg(F.min("_offset"), F.max("_n")).first()
+        inside = (F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start)
+        n_cells, first, most = placed.agg(F.count(F.lit(1)), F.min(F.when(inside, F.col("_offset"))), F.max(F.when(inside, F.col("_n")))).first()
+        if n_cells == 1:
+            # a column that divides nothing, such as the key of hits in corpus order
+            continue
+        kept, before, wanted, levels = divided, first, placed.where(inside), [*levels, level]
         if most is None or most <= CELL:
             break
-    number = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1 + F.col("_offset")
-    numbered = _in_cells(kept, wanted.drop("_n"), keys).withColumn("_no", number)
-    inside = numbered.where(F.col("_no").between(start, end))
+    if wanted is None:
+        numbered = kept.withColumn("_no", F.row_number().over(W.orderBy(*order)) - 1)
+    else:
+        in_cell = F.row_number().over(W.partitionBy(*(n for n, _, _ in levels)).orderBy(*order))
+        numbered = _in_cells(kept, wanted.drop("_n")).withColumn("_no", in_cell - 1 + F.col("_offset"))
+    found = numbered.where(F.col("_no").between(start, end))
     # the limit states the size of the result, and the order is that of the slice
-    return inside.orderBy("_no").limit(max(end - start + 1, 0)).select(*rows.columns)
+    return found.orderBy("_no").limit(max(end - start + 1, 0)).select(*rows.columns)
 
 
-def _in_cells(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows of the given cells, with what these carry; NULL is a cell of its own."""
+    keys = [c for c in cells.columns if c != "_offset"]
     other = cells.select(*(F.col(k).alias(f"{k}_cell") for k in keys), *(c for c in cells.columns if c not in keys))
     same = [F.col(k).eqNullSafe(F.col(f"{k}_cell")) for k in keys]
     return rows.join(other, same).drop(*(f"{k}_cell" for k in keys))
