@@ -199,8 +199,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     own = docs.select(*quoted([c for c in docs.columns if c != "removed_lines"]))
     named = keyed(own)
     gone = cut(passages(named.select("doc_id", "text", KEY)).groupBy(*DOC).agg(F.collect_list(F.struct("first", "last")).alias(GONE)))
-    sieved = sieved(named, gone, DOC)
-    joined = sieved.where("__maybe").drop("__maybe").join(gone, DOC, "left")
+    seen = sieved(named, gone, DOC)
+    joined = seen.where("__maybe").drop("__maybe").join(gone, DOC, "left")
     numbers = F.array_distinct(F.flatten(F.transform(GONE, lambda g: F.sequence(g["first"], g["last"]))))
     looked = _fixed(joined, named.columns, __lines=F.when(F.col(GONE).isNotNull(), F.split("text", "\n")), __drop=numbers)
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
@@ -209,7 +209,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     removed = F.coalesce(F.when(F.col("__drop").isNotNull(), F.size("__drop")), F.lit(0)).cast("bigint").alias("removed_lines")
     cleaned = looked.select(*(text.alias("text") if c == "text" else quoted([c])[0] for c in own.columns), removed)
     none = F.lit(0).cast("bigint").alias("removed_lines")
-    untouched = sieved.where("not __maybe").select(*quoted(own.columns), none)
+    untouched = seen.where("not __maybe").select(*quoted(own.columns), none)
     return cleaned.unionByName(untouched).unionByName(own.where(F.col("doc_id").isNull()).withColumn("removed_lines", none))
 
 
