@@ -17,7 +17,7 @@ END, END_CHARACTER = "</w>", "\x01"
 #: Only texts of these characters are cut into words here: on them normal form, lower case and blanks are beyond doubt.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ]*+")
 #: Characters between blanks remembered per worker: half of them are forgotten at a time, those not met lately.
-MEMORY = 8_000_000
+MEMORY = 2_400_000
 
 
 def _alphabet() -> dict[str, int]:
