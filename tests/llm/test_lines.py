@@ -90,7 +90,7 @@ def mixed_texts(seed):
 @pytest.mark.parametrize("seed", range(2))
 def test_passages_are_those_of_the_plain_version(docs_of, seed, monkeypatch):
     monkeypatch.setattr("wordloom.llm.skew.TOGETHER", 16)
-    monkeypatch.setattr(linededup, "TOGETHER", 16)
+    monkeypatch.setattr(linededup, "PART_BYTES", 2000)
     texts = mixed_texts(seed)
     docs = docs_of(texts)
     out = linededup.without_repeats(docs)

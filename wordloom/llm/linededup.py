@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wordloom.llm.common import cut, quoted
-from wordloom.llm.skew import TOGETHER, sieved, skew_join
+from wordloom.llm.skew import sieved, skew_join
 
 #: Characters of a screen line; a passage has at least two. One rolling hash in ``EVERY`` ends a chunk.
 WIDTH, EVERY = 80, 2
 #: Chunks on either side over which a passage may go on. A passage that stands after other lines may have one more boundary
 #: after its first line there, so the lines before the first common boundary are two chunks at most.
 BESIDE = 2
+#: About how many bytes of the copies of one chunk are compared by one task.
+PART_BYTES = 8 << 20
 #: Low bits of a line's key that hold its length.
 SIZE_MASK = 255
 #: Names that no table has, for columns that live within one expression.
@@ -158,7 +160,7 @@ def _unequal(docs: DataFrame, told: DataFrame) -> DataFrame:
     """doc_id, key, run of passages with a chunk whose bytes are not those of the chunk's first occurrence.
 
     Only texts that hold such chunks are moved, to the marks of their chunks; only the chunks' bodies travel on to be
-    compared. A frequent chunk is dealt over as many parts as it needs.
+    compared. The copies of a frequent or long chunk are dealt over as many parts as they need.
     """
     own = told.select(*DOC, "first", "last", "h", "size", "n", F.lit(False).alias("is_origin"))
     origin_last = (F.col("origin.first") + F.col("last") - F.col("first")).alias("last")
@@ -169,7 +171,7 @@ def _unequal(docs: DataFrame, told: DataFrame) -> DataFrame:
     body = lambda m: F.array_join(_part("lines", m["first"], m["last"]), "\n")
     bodies = lined.select(*DOC, F.inline(F.transform("marks", lambda m: F.struct(m.alias("m"), body(m).alias("body")))))
     bodies = bodies.select(*DOC, "m.*", "body")
-    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+    parts = F.ceil(F.col("n") * (F.col("size") + 64) / PART_BYTES).cast("int")
     others = bodies.where("not is_origin").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), parts).cast("int"))
     originals = bodies.where("is_origin").select("h", "size", F.col("body").alias("original"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).distinct()
     same = others.join(originals, ["h", "size", "part"]).where(F.col("body") == F.col("original")).select(*DOC, "first").distinct()
