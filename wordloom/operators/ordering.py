@@ -66,8 +66,14 @@ def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tup
         # the cells kept follow one another, so a level counts on from the first of them
         divided = (kept if wanted is None else _in_cells(kept, wanted.drop("_offset", "_n"))).withColumn(name, value)
         keys = [*(n for n, _, _ in levels), name]
-        sizes = divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_total(sizes, [o for _, _, o in (*levels, level)], F.col("_n"), "_passed")
+        sizes = cut(divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+        cell_order = [o for _, _, o in (*levels, level)]
+        if sizes.count() <= CELL:
+            # so few counts are added up by one task
+            earlier = F.sum("_n").over(W.orderBy(*cell_order).rowsBetween(W.unboundedPreceding, -1))
+            placed = sizes.withColumn("_passed", F.coalesce(earlier, F.lit(0)))
+        else:
+            placed = running_total(sizes, cell_order, F.col("_n"), "_passed")
         placed = placed.withColumn("_offset", F.col("_passed") + before).drop("_passed")
         inside = (F.col("_offset") <= end) & (F.col("_offset") + F.col("_n") > start)
         n_cells, first, most = placed.agg(F.count(F.lit(1)), F.min(F.when(inside, F.col("_offset"))), F.max(F.when(inside, F.col("_n")))).first()
@@ -183,21 +189,35 @@ def _lowest(drawn: DataFrame, strata: list[str]) -> DataFrame:
     """The ``_quota`` rows of each stratum with the lowest draw, by threshold: nothing near all rows is moved or written.
 
     Rows are counted by the first four digits of the draw. Buckets that fit the quota as a whole are taken, and only
-    the one bucket that crosses it is ranked; all other rows stop at the scan. The rows are read twice, their counts (at
-    most 65536 a stratum) are written once.
+    the one bucket that crosses it is ranked; all other rows stop at the scan. The rows are read twice. The counts of one
+    stratum (at most 65536) come to the driver, those of several are written once.
     """
     drawn = drawn.withColumn("_bucket", F.substring("_draw", 1, 4))
     counts = drawn.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_q"))
-    before = W.partitionBy(*strata).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = cut(
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_before") < F.col("_q"))
-        .select(*strata, "_bucket", "_before", (F.col("_before") + F.col("_n") <= F.col("_q")).alias("_whole"))
-    )
-    kept = drawn.join(placed if strata else F.broadcast(placed), [*strata, "_bucket"])
+    if strata:
+        before = W.partitionBy(*strata).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        placed = cut(
+            counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .where(F.col("_before") < F.col("_q"))
+            .select(*strata, "_bucket", "_before", (F.col("_before") + F.col("_n") <= F.col("_q")).alias("_whole"))
+        )
+        kept = drawn.join(placed, [*strata, "_bucket"])
+    else:
+        passed, last, fits = 0, None, True
+        for bucket, n, quota in sorted(tuple(r) for r in counts.collect()):
+            if passed >= quota:
+                break
+            last, fits = bucket, passed + n <= quota
+            passed += n if fits else 0
+            if not fits:
+                break
+        crossing = F.col("_bucket") == F.lit(last)
+        kept = drawn.where(F.col("_bucket") <= F.lit(last)).withColumns(
+            {"_before": F.lit(passed), "_whole": F.lit(True) if fits else ~crossing}
+        )
     # a row of a bucket that is taken whole is never ranked behind another one: it is a group of its own
     group = [*strata, "_bucket", F.when(F.col("_whole"), F.col("_draw"))]
     rank = F.row_number().over(W.partitionBy(*group).orderBy("_draw", *CORPUS_ORDER))
     ranked = kept.withColumn("_rank", rank)
-    fits = F.col("_whole") | (F.col("_before") + F.col("_rank") <= F.col("_quota"))
-    return ranked.where(fits).drop("_bucket", "_before", "_whole", "_rank")
+    fitting = F.col("_whole") | (F.col("_before") + F.col("_rank") <= F.col("_quota"))
+    return ranked.where(fitting).drop("_bucket", "_before", "_whole", "_rank")

@@ -199,9 +199,10 @@ class Corpus:
         """
         within = self.within if self.spoken else None
         keyed = ordering.sort_keys(hits, self.tokens, by, within)
-        # the rows of one page, written once: short and long hits are looked up apart
+        # the rows of one page, written once, tell how long its hits are
         found = cut(ordering.hit_page(keyed, page))
-        return self.lines(found, context, few=True).orderBy(*ordering.hit_order())
+        longest = found.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0]
+        return self.lines(found, context, longest, few=True).orderBy(*ordering.hit_order())
 
     def distribution(
         self,
