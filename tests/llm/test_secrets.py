@@ -112,6 +112,36 @@ def test_stretches_decode_like_whole_lines(model, monkeypatch):
     assert len(other) <= len(texts) // 100
 
 
+def test_every_token_of_every_line_is_decoded(model):
+    rng = random.Random(5)
+    parts = ["pass", "word", " ", " ", "KEY", "Key", "ſecret", "://", "tok", "en", "=", ":", "aB3x9Zq8", "\n", "İ", "prıvate", "of", "%%%", "a\tb", "x" * 70 + "1Z"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(400)]
+    texts += [" ".join(line for line, _, _ in training_lines(40, seed)) for seed in range(4)] + ["", "\n\n", "plain words of no kind " * 400]
+
+    def plainly(text):
+        found, at, file = [], 0, secrets.file_traits(text)
+        for line in text.split("\n"):
+            places = [(at + m.start(), at + m.end()) for m in secrets.TOKEN.finditer(line)]
+            tokens = [text[p:q] for p, q in places]
+            weights = [[model.weights.get(f, (0.0, 0.0)) for f in secrets.features(tokens, i, file)] for i in range(len(tokens))]
+            for (p, q), tag in zip(places, secrets.viterbi(model, [(sum(w[0] for w in own), sum(w[1] for w in own)) for own in weights])):
+                if tag == secrets.BEGIN:
+                    found.append((secrets.ADDED, p, q))
+                elif tag == secrets.INSIDE:
+                    found[-1] = (secrets.ADDED, found[-1][1], q)
+            at += len(line) + 1
+        return found
+
+    want = list(map(plainly, texts))
+    scorer = secrets.Scorer(model)
+    assert sum(map(len, want)) > 100
+    assert [[tuple(s) for s in found] for found in secrets.tagged_in(scorer, texts)] == want
+    assert [[tuple(s) for s in secrets.tagged_spans(model, t)] for t in texts[::20]] == want[::20]
+    for text in texts:
+        covered = "".join(text[a:b] for a, b in secrets.stretches(text))
+        assert covered == text.replace("\n", "")
+
+
 def test_long_texts_take_linear_time(model):
     seconds = []
     for n in (20_000, 80_000):

@@ -2,8 +2,8 @@
 
 Tokens of a line are tagged as begin, inside or outside of a secret from their shape, the words beside them and traits of
 the whole text; weights are learned on labelled lines (``training_secrets``) by maximum likelihood, and Viterbi finds the
-best tags. Only stretches around tokens that could be part of a secret are decoded: words without digits or inner
-capitals and away from any such token or telling word are outside.
+best tags. Every token of every line is scored and decoded: the weights of a distinct token are added up once, those of a
+token in its line are sums of array lookups, and lines are decoded side by side.
 """
 
 from __future__ import annotations
@@ -38,12 +38,18 @@ OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 NEVER = -1e4
 #: A dot or equals sign belongs to a token only inside or at the end of an encoded value.
 TOKEN = re.compile(r"[\w+/~-]+(?:\.[\w+/~-]+)*(?:==?(?![\w+/~=-]))?|[^\s\w+/~-]")
-_LONG = re.compile(r"[\w+/~-]{8,}")
-#: Words that make the tokens around them worth a look.
+#: Words that make the tokens after them more likely secrets.
 TELLING = ("passw", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "passphrase", "private", "://")
 _TELLING = re.compile("|".join(map(re.escape, TELLING)), re.IGNORECASE)
-#: Characters around such a token or word that are decoded with it.
-AROUND = 120
+_TELLING_AT = re.compile(f"(?=({_TELLING.pattern}))", re.IGNORECASE)
+#: Letters that equal one of a to z without regard to case, but not by their small letter.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f]")
+#: Tokens scored at once (more where a line has more), distinct tokens whose weights are remembered, and length of those.
+TOKENS_AT_ONCE, REMEMBERED, REMEMBERED_LENGTH = 200_000, 1 << 18, 64
+#: Kinds of tokens with the same features of their own whose weights are remembered.
+ALIKE = 1 << 14
+#: Fewer lines than this are decoded one by one.
+SIDE_BY_SIDE = 24
 
 
 class Span(NamedTuple):
@@ -102,6 +108,12 @@ def _own(token: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+@lru_cache(maxsize=None)
+def _own_of_word(shape: str) -> tuple[str, ...]:
+    """The same of a word of less than eight ASCII letters, which are told apart by case alone."""
+    return _own(shape)
+
+
 def features(tokens: list[str], i: int, file: str) -> list[str]:
     """All features of token ``i`` of a stretch in a text with the traits ``file``."""
     own = _own(tokens[i])
@@ -256,75 +268,201 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-_JOINERS = str.maketrans("", "", "_+/~-")
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that are decoded, each by itself: all of its lines."""
+    out, at = [], 0
+    while (end := text.find("\n", at)) >= 0:
+        if end > at:
+            out.append((at, end))
+        at = end + 1
+    if at < len(text):
+        out.append((at, len(text)))
+    return out
 
 
-def _worth(token: str) -> bool:
-    """Digits beside letters, or capitals inside a word of small letters."""
-    core = token if token.isalnum() else token.translate(_JOINERS)
-    if core.isalpha():
-        return not (core[1:].islower() or core.isupper())
-    return not core.isdigit()
+class Scorer:
+    """Scores of tokens by sums of lookups; the weights of a distinct token in each place are added up once.
 
+    Row 0 stands for what is beyond the ends of a line. Rows are forgotten when there are too many.
+    """
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of lines around tokens and words that could belong to a secret, in order and apart from each other."""
-    marks = [(m.start(), m.end()) for m in _LONG.finditer(text) if _worth(m[0])]
-    lower = text.lower()
-    if any(w in lower for w in TELLING):
-        marks = sorted(marks + [(m.start(), m.end()) for m in _TELLING.finditer(text)])
-    out: list[tuple[int, int]] = []
-    for start, end in marks:
-        held = out[-1][1] if out else 0
-        if end + AROUND > held or not out:
-            first = max(held, start - AROUND, text.rfind("\n", held, start) + 1)
-            while first > held and not text[first - 1].isspace():
-                first -= 1
-            to = min(len(text), end + AROUND)
-            while to < len(text) and not text[to].isspace():
-                to += 1
-            line = text.find("\n", end, to)
-            to = to if line < 0 else line
-            if out and first <= held and "\n" not in text[held:start]:
-                out[-1] = (out[-1][0], max(held, to))
-            elif to > held:
-                out.append((first, to))
-    return out
+    #: Columns: the token itself in a text of each trait, behind a telling word, and one, two, three before and one after.
+    OWN, NEAR, BEFORE, AFTER, WIDTH = 0, 3, 3, 7, 8
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.alike: dict[tuple[str, ...], np.ndarray] = {}
+        self.rows = np.zeros((1024, self.WIDTH, 2))
+        self.rows[0] = self._added([[], [], [], [], ["-1=^", "-1^"], ["-2=^"], ["-3=^"], ["+1=$"]])
+        self.n = 1
+
+    def _added(self, names: list[list[str]]) -> list[tuple[float, float]]:
+        none, weights = (0.0, 0.0), self.model.weights
+        found = [[weights.get(name, none) for name in place] for place in names]
+        return [(sum(w[0] for w in place), sum(w[1] for w in place)) for place in found]
+
+    def row(self, token: str) -> int:
+        """Number of the row of a token that has none; ``features`` says what its weights are."""
+        own = _own_of_word(token.translate(_CLASS)) if len(token) < 8 and token.isascii() and token.isalpha() else _own(token)
+        shared = self.alike.get(own)
+        if shared is None:
+            # what tokens with the same features of their own have in common
+            names = [["bias", *own, f"file={file}&{own[1]}"] for file in "012"]
+            names += [["near", f"near&{own[1]}", f"near&{own[0]}"], [f"-1{own[1]}"], [], [], [f"+1={own[1]}"]]
+            if len(self.alike) >= ALIKE:
+                self.alike.clear()
+            shared = self.alike[own] = np.array(self._added(names))
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = shared
+        beside = token.lower() if len(token) < 24 else "long"
+        for step in (1, 2, 3):
+            weight = self.model.weights.get(f"{-step}={beside}")
+            if weight is not None:
+                self.rows[self.n, self.BEFORE + step] += weight
+        if len(token) == 1:
+            self.rows[self.n, self.AFTER] = self.model.weights.get(f"+1={token}", (0.0, 0.0))
+        self.n += 1
+        if len(token) <= REMEMBERED_LENGTH:
+            self.number[token] = self.n - 1
+        return self.n - 1
+
+    def scores(self, lines: list[list[str]], files: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of begin and inside of the tokens of all lines, which are not empty, and the place of each line's first."""
+        if self.n > REMEMBERED:
+            self.forget()
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        starts = 3 + np.cumsum(sizes + 3) - (sizes + 3)
+        total = int((sizes + 3).sum()) + 3
+        rows, own, near = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, bool)
+        known = self.number
+        for tokens, file, at in zip(lines, files, starts.tolist()):
+            rows[at : at + len(tokens)] = [known.get(t) or self.row(t) for t in tokens]
+            own[at : at + len(tokens)] = int(file)
+            for first, last in _behind_telling(tokens):
+                near[at + first : at + last + 1] = True
+        table = self.rows
+        scores = table[rows, self.OWN + own]
+        for step in (1, 2, 3):
+            scores[step:] += table[rows[:-step], self.BEFORE + step]
+        scores[:-1] += table[rows[1:], self.AFTER]
+        scores[near] += table[rows[near], self.NEAR]
+        return scores, starts
+
+
+def _behind_telling(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of tokens that have a telling word among the four before them."""
+    joined = "".join(tokens)
+    lower = joined.lower()
+    if any(w in lower for w in TELLING) or not joined.isascii() and _ODD_CASE.search(joined):
+        ends = np.cumsum([len(t) for t in tokens])
+        for m in _TELLING_AT.finditer(joined):
+            first, last = np.searchsorted(ends, (m.start(1), m.end(1) - 1), "right").tolist()
+            if last < first + 4:
+                yield last + 1, min(first + 4, len(tokens) - 1)
+
+
+def best_tags(model: Model, scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Best tags of all places by ``viterbi`` of each line, many lines at a time; places outside of lines have 0.
+
+    A few lines that are longer than all others are decoded one by one. Both ways add and compare the same numbers.
+    """
+    tags = np.zeros(len(scores), np.int8)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    alone = int(np.searchsorted(-sizes, -sizes[SIDE_BY_SIDE - 1])) if len(sizes) >= SIDE_BY_SIDE else len(sizes)
+    for at, n in zip(starts[:alone].tolist(), sizes[:alone].tolist()):
+        tags[at : at + n] = viterbi(model, list(map(tuple, scores[at : at + n].tolist())))
+    starts, sizes = starts[alone:], sizes[alone:]
+    if not len(sizes):
+        return tags
+    (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = model.steps
+    own = scores[starts]
+    o, b, i = np.full(len(starts), model.begin[0]), own[:, 0] + model.begin[1], own[:, 1] + model.begin[2]
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # lines with a place t
+    back = np.zeros((len(scores), 3), np.int8)
+    best = lambda x, y, z: np.where((x >= y) & (x >= z), 0, np.where(y >= z, 1, 2))
+    for t in range(1, int(sizes[0])):
+        k = active[t]
+        at = starts[:k] + t
+        was_o, was_b, was_i, to = o[:k], b[:k], i[:k], scores[at]
+        a, c, d = ((was_o + oo, was_b + bo, was_i + io), (was_o + ob, was_b + bb, was_i + ib), (was_o + oi, was_b + bi, was_i + ii))
+        back[at, 0], back[at, 1], back[at, 2] = best(*a), best(*c), best(*d)
+        o[:k], b[:k], i[:k] = (np.maximum(np.maximum(x, y), z) for x, y, z in (a, c, d))
+        b[:k] += to[:, 0]
+        i[:k] += to[:, 1]
+    tag = best(o, b, i)
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        k = active[t]
+        at = starts[:k] + t
+        tags[at] = tag[:k]
+        tag[:k] = back[at, tag[:k]]
+    return tags
+
+
+def tagged_in(scorer: Scorer, texts: list[str]) -> list[list[Span]]:
+    """Spans that the field tags as secrets in each text."""
+    found: list[list[Span]] = [[] for _ in texts]
+    lines: list[tuple[int, int, int]] = []
+    tokens: list[list[str]] = []
+    files: list[str] = []
+    waiting = 0
+
+    def decode() -> None:
+        scores, starts = scorer.scores(tokens, files)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        tags = best_tags(scorer.model, scores, starts, sizes)
+        some = np.add.reduceat(tags != OUTSIDE, starts) if len(starts) else []
+        for k in np.flatnonzero(some).tolist():
+            text, a, b = lines[k]
+            for m, tag in zip(TOKEN.finditer(texts[text], a, b), tags[starts[k] : starts[k] + sizes[k]].tolist()):
+                if tag == BEGIN:
+                    found[text].append(Span(ADDED, m.start(), m.end()))
+                elif tag == INSIDE:
+                    found[text][-1] = Span(ADDED, found[text][-1].start, m.end())
+        lines.clear(), tokens.clear(), files.clear()
+
+    for k, text in enumerate(texts):
+        file = file_traits(text)
+        for a, b in stretches(text):
+            own = TOKEN.findall(text, a, b)
+            if own:
+                lines.append((k, a, b))
+                tokens.append(own)
+                files.append(file)
+                waiting += len(own)
+            if waiting >= TOKENS_AT_ONCE:
+                decode()
+                waiting = 0
+    if tokens:
+        decode()
+    return found
 
 
 def tagged_spans(model: Model, text: str) -> list[Span]:
     """Spans that the field tags as secrets."""
-    found: list[Span] = []
-    parts = stretches(text)
-    if not parts:
-        return found
-    file, weights, none = file_traits(text), model.weights, (0.0, 0.0)
-    for a, b in parts:
-        places = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-        tokens = [text[p:q] for p, q in places]
-        scores = []
-        for i in range(len(tokens)):
-            begin = inside = 0.0
-            for name in features(tokens, i, file):
-                w = weights.get(name, none)
-                begin += w[0]
-                inside += w[1]
-            scores.append((begin, inside))
-        for (p, q), tag in zip(places, viterbi(model, scores)):
-            if tag == BEGIN:
-                found.append(Span(ADDED, p, q))
-            elif tag == INSIDE:
-                found[-1] = Span(ADDED, found[-1].start, q)
-    return found
+    return tagged_in(Scorer(model), [text])[0]
 
 
 def find_secrets(model: Model, text: str | None) -> list[Span]:
     """Base spans and the tagged spans that touch none of them, by start, then kind; null and empty texts have none."""
-    if not text:
-        return []
-    base = base_spans(text)
+    return secrets_in(Scorer(model), [text])[0]
+
+
+def secrets_in(scorer: Scorer, texts: list[str | None]) -> list[list[Span]]:
+    """``find_secrets`` of each text."""
+    plain = [text or "" for text in texts]
+    return [with_tagged(base_spans(text), tagged) for text, tagged in zip(plain, tagged_in(scorer, plain))]
+
+
+def with_tagged(base: list[Span], tagged: list[Span]) -> list[Span]:
+    """Base spans and the tagged ones that touch none of them, both in order."""
     added, at, reach = [], 0, 0
-    for span in tagged_spans(model, text):
+    for span in tagged:
         while at < len(base) and base[at].start < span.end:
             reach, at = max(reach, base[at].end), at + 1
         if reach <= span.start:
@@ -358,9 +496,10 @@ def secrets(docs: DataFrame, model: Model | None = None, text: str = "text") ->
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in rows_in(batches):
             texts = batch.column(place).to_pylist()
-            found = [find_secrets(shared.value, t) for t in texts]
+            found = secrets_in(scorer, texts)
             values = [[(s.kind, s.start, s.end, t[s.start : s.end]) for s in spans] for t, spans in zip(texts, found)]
             rows = [[dict(zip(("kind", "start", "end", "value"), v)) for v in own] for own in values]
             clean = [redact(t, spans) if spans else t for t, spans in zip(texts, found)]
@@ -376,8 +515,9 @@ def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for batch in rows_in(batches):
-            found = [find_secrets(shared.value, t) for t in batch.column(1).to_pylist()]
+            found = secrets_in(scorer, batch.column(1).to_pylist())
             own = [[s for s in spans if s.kind in KINDS] for spans in found]
             counts = [pa.array([sum(s.kind == k for s in spans) for spans in own], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(joined(spans).encode()).hexdigest() for spans in own]
