@@ -80,6 +80,12 @@ _CLASS = str.maketrans(
 )
 
 
+@lru_cache(maxsize=None)
+def _terms(n: int) -> list[float]:
+    """Parts of the entropy of ``n`` characters, at most 256, by how often one occurs."""
+    return [0.0, *(c / n * math.log2(c / n) for c in range(1, n + 1))]
+
+
 @lru_cache(maxsize=20_000)
 def _own(token: str) -> tuple[str, ...]:
     """Features of a token by itself."""
@@ -99,8 +105,8 @@ def _own(token: str) -> tuple[str, ...]:
         kind = "alnum" if head.isalnum() else "other"
     found = [f"size={size}", f"kind={kind}", f"kind={kind}&size={size}", f"shape={shape if len(shape) <= 5 else 'long'}"]
     if n >= 8:
-        counts = Counter(head)
-        spread = -sum(c / len(head) * math.log2(c / len(head)) for c in counts.values())
+        terms = _terms(len(head))
+        spread = -sum([terms[head.count(c)] for c in dict.fromkeys(head)])
         found += [f"spread={int(2 * spread)}", f"turns={min(9, 10 * len(shape) // len(head))}&kind={kind}"]
         found += [f"dots={min(3, head.count('.'))}", f"slashes={min(3, head.count('/'))}"]
         if kind not in ("lower", "title", "digits"):
@@ -291,6 +297,12 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        #: Columns and weights of the neighbours that have any.
+        self.beside: dict[str, list[tuple[int, tuple[float, float]]]] = {}
+        for name, weight in model.weights.items():
+            for step in (1, 2, 3):
+                if name.startswith(f"{-step}="):
+                    self.beside.setdefault(name[3:], []).append((self.BEFORE + step, weight))
         self.forget()
 
     def forget(self) -> None:
@@ -319,11 +331,8 @@ class Scorer:
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[self.n] = shared
-        beside = token.lower() if len(token) < 24 else "long"
-        for step in (1, 2, 3):
-            weight = self.model.weights.get(f"{-step}={beside}")
-            if weight is not None:
-                self.rows[self.n, self.BEFORE + step] += weight
+        for column, weight in self.beside.get(token.lower() if len(token) < 24 else "long", ()):
+            self.rows[self.n, column] += weight
         if len(token) == 1:
             self.rows[self.n, self.AFTER] = self.model.weights.get(f"+1={token}", (0.0, 0.0))
         self.n += 1
