@@ -16,6 +16,8 @@ from wordloom.session import cut
 BUCKET, BUCKET_BITS, MOST_BUCKETS, BITS_KEY = "bucket", 20, 1 << 14, "bucket_bits"
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
+#: Bits of the filter that keeps rows nobody asks for from being moved.
+FILTER_BITS = 26
 
 
 def block(position: Column | str, bits: int = BLOCK_BITS) -> Column:
@@ -51,6 +53,22 @@ def unfolded(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame
     return coarse.withColumn(name, F.explode(numbers)).drop("_low", "_high", "_step")
 
 
+def asked_for(rows: DataFrame, keys: tuple[str, str], asked: DataFrame, asked_keys: tuple[str, str]) -> DataFrame:
+    """Rows whose keys (text, number) some row of ``asked`` may have: what passes a filter of fixed size, before a shuffle.
+
+    The filter has ``2 ** FILTER_BITS`` bits, one per hash of the keys, in numbers of 64; so many numbers at most are sent
+    to the rows. It never drops a row that is asked for, but may pass others, so a join has to follow.
+    """
+    # one hash whatever the types of both sides
+    place = lambda columns: F.xxhash64(F.col(columns[0]).cast("string"), F.col(columns[1]).cast("bigint")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(_hash & 63 as int))")
+    number = F.shiftright("_hash", 6).alias("_number")
+    bits = asked.select(place(asked_keys).alias("_hash")).groupBy(number).agg(F.bit_or(bit).alias("_bits"))
+    hashed = rows.withColumn("_hash", place(keys)).withColumn("_number", number)
+    passed = hashed.join(F.broadcast(bits), "_number").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return passed.select(*rows.columns)
+
+
 def running_total(df: DataFrame, order: list, weight: Column, name: str, partitions: int | None = None) -> DataFrame:
     """Sum of ``weight`` over all rows before a row in the total order ``order``, as column ``name``.
 

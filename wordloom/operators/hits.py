@@ -12,7 +12,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from wordloom.layout import BLOCK_BITS, BUCKET, bits_of, block, bucket
+from wordloom.layout import BLOCK_BITS, BUCKET, asked_for, bits_of, block, bucket
 from wordloom.operators.patterns import Gap, Steps, Tok, normalise
 from wordloom.operators.selection import in_texts
 from wordloom.session import cut
@@ -280,17 +280,29 @@ def spans(
 ) -> DataFrame:
     """Hits with the array ``name`` of the tokens numbered ``first`` to ``last`` in the hit's text.
 
-    A hit is unfolded to the token numbers it wants, so the join makes no row but those that are wanted.
+    A hit is unfolded to the token numbers it wants, so the join makes no row but those that are wanted. Of a table
+    without storage partitions only tokens that pass a filter made of these numbers are moved; the hits are written for it.
     """
-    attributes = tuple(attributes)
+    attributes, hits = tuple(attributes), _kept(hits, tokens)
     ranges = hits.withColumn("_first", F.greatest(first, F.lit(0))).withColumn("_last", last)
     wanted = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
     keyed = ranges.withColumn("tok_no", F.explode(wanted)).drop("_first", "_last")
     keyed, keys = _with_bucket(keyed, tokens, "tok_no")
+    tokens = _wanted(tokens, keyed, "tok_no", keys)
     inside = tokens.select(*keys, F.struct("tok_no", *attributes).alias("_token")).join(keyed, keys)
     return inside.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_token")).alias(name))
 
 
+def _kept(hits: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Hits that are looked at twice, for the filter of ``_wanted`` and for the join, and so written once before."""
+    return hits if BUCKET in tokens.columns and "startpos" in hits.columns else cut(hits)
+
+
+def _wanted(tokens: DataFrame, keyed: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """Tokens that some row may ask for; with a storage partition among the keys Spark prunes the scan instead."""
+    return tokens if BUCKET in keys else asked_for(tokens, ("text_id", "tok_no"), keyed, ("text_id", at))
+
+
 def _with_bucket(keyed: DataFrame, tokens: DataFrame, at: str) -> tuple[DataFrame, list[str]]:
     """Rows that ask for token ``at`` of their text, and the keys of their join with the tokens.
 
@@ -310,21 +322,23 @@ def with_token(
 
     ``attributes`` maps a token attribute to the name it gets. Every hit is also joined to its own last token, which
     exists, so the join is an inner one: an outer join could never send few hits to the tokens. If the position is known
-    to be ``present`` (inside the hit) that is not needed.
+    to be ``present`` (inside the hit) that is not needed. Hits are written and tokens filtered as ``spans`` does it.
     """
+    hits = _kept(hits, tokens)
     place = [F.col(BUCKET)] if BUCKET in tokens.columns else []
-    values = (F.col(a).alias(n) for a, n in attributes.items())
-    wanted = tokens.select("text_id", F.col("tok_no").alias("_at"), *place, *values)
+    values = [F.col(a).alias(n) for a, n in attributes.items()]
+    narrowed = lambda keyed, keys: _wanted(tokens, keyed, "_at", keys).select("text_id", F.col("tok_no").alias("_at"), *place, *values)
     if present:
         keyed, keys = _with_bucket(hits.withColumn("_at", position), tokens, "_at")
-        return keyed.join(wanted.drop(*(set([BUCKET]) - set(keys))), keys).select(*hits.columns, *attributes.values())
+        wanted = narrowed(keyed, keys).drop(*(set([BUCKET]) - set(keys)))
+        return keyed.join(wanted, keys).select(*hits.columns, *attributes.values())
     asked = hits.withColumn("_asked", position)
     own = F.col("end")
     keyed, keys = _with_bucket(
         asked.withColumn("_at", F.explode(F.array_distinct(F.array(own, F.coalesce("_asked", own))))), tokens, "_at"
     )
     at_asked = lambda name: F.max(F.when(F.col("_at") == F.col("_asked"), F.col(name))).alias(name)
-    return keyed.join(wanted, keys).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
+    return keyed.join(narrowed(keyed, keys), keys).groupBy(*hits.columns).agg(*map(at_asked, attributes.values()))
 
 
 def longest_hit(patterns: Iterable[Iterable[Tok | Gap]]) -> int | None:
