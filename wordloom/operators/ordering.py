@@ -61,10 +61,12 @@ def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tup
     slice nor those behind it are ever sorted, moved or written, however deep it is; they are read once per level.
     """
     kept, before, levels, wanted = rows, 0, [], None
+    # every cell kept holds a row of the slice
+    few = end - start < CELL
     for level in cells:
         name, value, _ = level
         # the cells kept follow one another, so a level counts on from the first of them
-        divided = (kept if wanted is None else _in_cells(kept, wanted.drop("_offset", "_n"))).withColumn(name, value)
+        divided = (kept if wanted is None else _in_cells(kept, wanted.drop("_offset", "_n"), few)).withColumn(name, value)
         keys = [*(n for n, _, _ in levels), name]
         sizes = cut(divided.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
         cell_order = [o for _, _, o in (*levels, level)]
@@ -87,18 +89,18 @@ def ordered_slice(rows: DataFrame, order: list, start: int, end: int, cells: tup
         numbered = kept.withColumn("_no", F.row_number().over(W.orderBy(*order)) - 1)
     else:
         in_cell = F.row_number().over(W.partitionBy(*(n for n, _, _ in levels)).orderBy(*order))
-        numbered = _in_cells(kept, wanted.drop("_n")).withColumn("_no", in_cell - 1 + F.col("_offset"))
+        numbered = _in_cells(kept, wanted.drop("_n"), few).withColumn("_no", in_cell - 1 + F.col("_offset"))
     found = numbered.where(F.col("_no").between(start, end))
     # the limit states the size of the result, and the order is that of the slice
     return found.orderBy("_no").limit(max(end - start + 1, 0)).select(*rows.columns)
 
 
-def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows of the given cells, with what these carry; NULL is a cell of its own."""
+def _in_cells(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    """Rows of the given cells, with what these carry; NULL is a cell of its own. ``few`` cells are sent to the rows."""
     keys = [c for c in cells.columns if c != "_offset"]
     other = cells.select(*(F.col(k).alias(f"{k}_cell") for k in keys), *(c for c in cells.columns if c not in keys))
     same = [F.col(k).eqNullSafe(F.col(f"{k}_cell")) for k in keys]
-    return rows.join(other, same).drop(*(f"{k}_cell" for k in keys))
+    return rows.join(F.broadcast(other) if few else other, same).drop(*(f"{k}_cell" for k in keys))
 
 
 def position_cells() -> tuple:
@@ -178,10 +180,12 @@ def sample_hits_by_part(hits: DataFrame, n: int, parts: DataFrame, seed: int | s
     ``parts`` has (part, n_tokens) and ``hits`` has ``part``. Each part gets its share of ``n`` rounded up; what this
     gives beyond ``n`` is trimmed at random.
     """
+    # the parts are counted once, and what each gives (its share and no more) is written for the trimming
+    parts = cut(parts.select("part", "n_tokens"))
     total = parts.agg(F.sum("n_tokens")).scalar()
     quotas = parts.select("part", F.ceil(F.lit(n) * F.col("n_tokens") / total).alias("_quota"))
     drawn = hits.join(quotas, "part").withColumn("_draw", _draw(seed))
-    picked = _lowest(drawn, ["part"]).drop("_quota")
+    picked = cut(_lowest(drawn, ["part"]).drop("_quota"))
     return _lowest(picked.withColumn("_quota", F.lit(n)), []).drop("_draw", "_quota")
 
 
