@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from wordloom.layout import BUCKET, bits_for
+from wordloom.layout import BUCKET, bits_for, bits_of
 from wordloom.operators import concordance, geo, hits as hit_ops, lexicon, ordering, stats
 from wordloom.operators.patterns import Gap, Tok, is_blank
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
@@ -44,17 +44,18 @@ class Corpus:
     words: DataFrame | None = None
 
     @staticmethod
-    def stored(tokens: DataFrame, texts: DataFrame, path: str, in_order: bool = False, **options) -> "Corpus":
+    def stored(tokens: DataFrame, texts: DataFrame, path: str, in_order: bool = False, blocks: Callable[[int], DataFrame] | None = None, **options) -> "Corpus":
         """Write the tables of a corpus to ``path`` and read them: tokens with their neighbours, context blocks, vocabulary.
 
-        ``in_order`` says that tokens come from documents arranged by id (``sources.tokens.arranged``).
+        ``in_order`` says that tokens come from documents arranged by id (``sources.tokens.arranged``). ``blocks`` makes the
+        context blocks for a width of storage partitions; without it they are put together from the stored tokens.
         """
         spark = tokens.sparkSession
         texts.write.parquet(f"{path}/texts")
         last = spark.read.parquet(f"{path}/texts").agg(F.max("endpos")).first()[0] if "endpos" in texts.columns else None
         save_tokens(tokens, f"{path}/tokens", in_order=in_order, bits=None if last is None else bits_for(last + 1))
         kept = spark.read.parquet(f"{path}/tokens")
-        save_blocks(kept, f"{path}/blocks")
+        save_blocks(kept, f"{path}/blocks", blocks=None if blocks is None else blocks(bits_of(kept)))
         vocabulary(kept).write.parquet(f"{path}/words")
         return Corpus.opened(spark, path, **options)
 

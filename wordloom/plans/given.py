@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wordloom.layout import number_rows, running_total
 from wordloom.operators.selection import Dimension
 from wordloom.plans.corpus import Corpus
-from wordloom.session import checkpoint_folder, spread, tune
-from wordloom.sources.tokens import TOKEN_PATTERN, arranged, tokenise
+from wordloom.session import checkpoint_folder, cut, spread, tune
+from wordloom.sources.tokens import TOKEN_PATTERN, TOKENS_PER_TASK, arranged, document_blocks, tokenise
 
 UNLISTED_ROLE = "system"
 #: Stored corpora this process has written.
@@ -75,14 +76,16 @@ def docs_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return placed.withColumn("endpos", F.col("startpos") + F.col("n_tokens") - 1)
 
 
+def placed_documents(spark: SparkSession, folder: str, ranges: DataFrame) -> DataFrame:
+    return documents(spark, folder).join(ranges.select(F.col("text_id").alias("doc_id"), "startpos"), "doc_id")
+
+
 def docs_placed_tokens(
     spark: SparkSession, folder: str, ranges: DataFrame, in_order: bool = False, neighbours: bool = False
 ) -> DataFrame:
     """Tokens with ``startpos`` and ``pos``. The start is joined to the documents, one row each, before they are expanded:
     joined to the tokens, a long text would be one hot key."""
-    placed = documents(spark, folder).join(
-        ranges.select(F.col("text_id").alias("doc_id"), "startpos"), "doc_id"
-    )
+    placed = placed_documents(spark, folder, ranges)
     if in_order:
         placed = arranged(placed, "doc_id")
     tokens = tokenise(placed, "doc_id", "text", ("lang", "startpos"), neighbours)
@@ -90,16 +93,27 @@ def docs_placed_tokens(
 
 
 def docs_stored(spark: SparkSession, folder: str) -> Corpus:
-    """The same corpus as stored tables, in the shared folder of the session; written at the first call for a folder."""
+    """The same corpus as stored tables, in the shared folder of the session; written at the first call for a folder.
+
+    Documents are put in order once; tokens and blocks are both expanded from what is kept of that. Attributes that follow
+    from the word are not stored but computed when they are asked for.
+    """
     path = f"{checkpoint_folder(tune(spark))}/docs-{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}-{spark.sparkContext.applicationId}"
     options = {"attributes": ("lemma", "pos_tag", "phon", "orig", "feats")}
     if path in _written:
-        return Corpus.opened(spark, path, **options)
+        corpus = Corpus.opened(spark, path, **options)
+        return replace(corpus, tokens=annotated(corpus.tokens))
     ranges = docs_ranges(spark, folder)
-    placed = docs_placed_tokens(spark, folder, ranges, in_order=True, neighbours=True)
-    corpus = Corpus.stored(placed, ranges, path, in_order=True, **options)
+    total = ranges.agg(F.sum("n_tokens")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_TASK))
+    ordered = cut(arranged(placed_documents(spark, folder, ranges), "doc_id", tasks))
+    tokens = tokenise(ordered, "doc_id", "text", ("lang", "startpos"), neighbours=True)
+    tokens = tokens.withColumn("pos", F.col("startpos") + F.col("tok_no"))
+    unique = not ranges.groupBy("text_id").count().where("count > 1").limit(1).count()
+    blocks = lambda bits: document_blocks(ordered, "doc_id", "text", bits, unique)
+    corpus = Corpus.stored(tokens, ranges, path, in_order=True, blocks=blocks, **options)
     _written.add(path)
-    return corpus
+    return replace(corpus, tokens=annotated(corpus.tokens))
 
 
 def docs(spark: SparkSession, folder: str) -> Corpus:

@@ -656,7 +656,7 @@ def shown(lines: DataFrame) -> DataFrame:
 def kwi1_context(spark, folder):
     tokens = given.docs_tokens(spark, folder)
     hits = hit_ops.find_hits(tokens, [[word("of"), word("the")]])
-    return shown(concordance.concordance_lines(hits, token_source.context_blocks(tokens), longest=2))
+    return shown(concordance.concordance_lines(hits, token_source.context_blocks(tokens, near=hits), longest=2))
 
 
 @query

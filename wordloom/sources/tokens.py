@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wordloom.layout import BITS_KEY, BLOCK, BLOCK_BITS, BUCKET, bits_of, block, bucket, running_total
+from wordloom.layout import BITS_KEY, BLOCK, BLOCK_BITS, BUCKET, asked_for, bits_of, block, bucket, running_total
 
 # The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
@@ -13,6 +13,11 @@ SENTENCE_ENDS = (".", "!", "?")
 NEIGHBOURS = ("before", "after")
 #: Tokens of the neighbouring blocks that a context block holds on both sides: the largest context in use.
 HALO = 50
+#: Compression of stored tables, and files a task may have open at once when it writes tokens in order.
+CODEC = "zstd"
+WRITERS_KEY, WRITERS = "spark.sql.maxConcurrentOutputFileWriters", 16
+#: Tokens of a task that writes a stored corpus, on average: some partitions of positions.
+TOKENS_PER_TASK = 1 << 21
 
 
 def tokenise(
@@ -86,12 +91,13 @@ def clean_ingest(word):
     return F.replace(word, F.lit("&nbsp;"), F.lit("_"))
 
 
-def arranged(documents: DataFrame, text_id: str) -> DataFrame:
+def arranged(documents: DataFrame, text_id: str, partitions: int | None = None) -> DataFrame:
     """Documents in range partitions sorted by id, for ``save_tokens(..., in_order=True)``.
 
     Ordering whole documents before they are expanded moves far less than ordering their tokens afterwards.
     """
-    return documents.repartitionByRange(F.col(text_id)).sortWithinPartitions(text_id)
+    dealt = [] if partitions is None else [partitions]
+    return documents.repartitionByRange(*dealt, F.col(text_id)).sortWithinPartitions(text_id)
 
 
 def with_neighbours(tokens: DataFrame) -> DataFrame:
@@ -112,20 +118,23 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
     return framed.where(F.col("_block") == block("tok_no")).drop("_block")
 
 
-def context_blocks(tokens: DataFrame, attributes: tuple[str, ...] = ("word",)) -> DataFrame:
+def context_blocks(tokens: DataFrame, attributes: tuple[str, ...] = ("word",), near: DataFrame | None = None) -> DataFrame:
     """KWI-1. One row per 4096 tokens of a text: ``text_id, block, first`` and an array per attribute.
 
     The arrays also hold ``HALO`` tokens of the blocks on either side; ``first`` is the number of their first token. A hit
-    with its context is then a slice of one row. Token numbers have no gaps in a text.
+    with its context is then a slice of one row. Token numbers have no gaps in a text. For contexts of the hits ``near`` alone
+    the blocks these start in are made (and some others): tokens of the rest are not moved. It serves hits that fit their
+    block (``in_context`` with ``longest``).
     """
     own = block("tok_no")
     at = F.col("tok_no") - F.shiftleft(own, BLOCK_BITS)
     sides = F.array_compact(F.array(own, F.when((at < HALO) & (own > 0), own - 1), F.when(at >= BLOCK - HALO, own + 1)))
     start = [F.min(F.col("pos") - F.col("tok_no")).alias("_start")] if "pos" in tokens.columns else []
+    dealt = tokens.withColumn("_own", own).withColumn("block", F.explode(sides))
+    if near is not None:
+        dealt = asked_for(dealt, ("text_id", "block"), near.withColumn("_block", block("start")), ("text_id", "_block"))
     blocks = (
-        tokens.withColumn("_own", own)
-        .withColumn("block", F.explode(sides))
-        .groupBy("text_id", "block")
+        dealt.groupBy("text_id", "block")
         .agg(
             F.max(F.col("_own") == F.col("block")).alias("_real"),
             F.array_sort(F.collect_list(F.struct("tok_no", *attributes))).alias("_t"),
@@ -139,10 +148,45 @@ def context_blocks(tokens: DataFrame, attributes: tuple[str, ...] = ("word",)) -
     return blocks.select("text_id", "block", first, *(F.col(f"_t.{a}").alias(a) for a in attributes), *place)
 
 
-def save_blocks(tokens: DataFrame, path: str, attributes: tuple[str, ...] = ("word",)) -> None:
-    """Store the context blocks of a token table, partitioned by corpus position if it has positions."""
-    blocks = context_blocks(tokens, attributes)
-    blocks.write.partitionBy(*([BUCKET] if BUCKET in blocks.columns else [])).parquet(path)
+def document_blocks(documents: DataFrame, text_id: str, text: str, bits: int, unique: bool = False) -> DataFrame:
+    """The ``context_blocks`` of the words of documents that have a ``startpos``, cut from their rows: no token is moved.
+
+    ``bits`` is the width of a partition of positions. Documents of one id share their blocks, as their tokens would;
+    ``unique`` says that there are none, and then blocks are not moved either.
+    """
+    rows = documents.select(
+        F.col(text_id).alias("text_id"), F.col("startpos").alias("_start"), F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("_tokens")
+    ).where(F.size("_tokens") > 0)
+    low = lambda b: F.greatest(F.shiftleft(b, BLOCK_BITS) - HALO, F.lit(0))
+    high = lambda b: F.least(F.shiftleft(b, BLOCK_BITS) + (BLOCK + HALO), F.size("_tokens"))
+    part = lambda b: F.struct(
+        b.cast("bigint").alias("block"), low(b).cast("bigint").alias("first"), F.slice("_tokens", low(b) + 1, high(b) - low(b)).alias("word")
+    )
+    numbers = F.sequence(F.lit(0), F.shiftright(F.size("_tokens") - 1, BLOCK_BITS))
+    parts = rows.select("text_id", "_start", F.explode(F.transform(numbers, part)).alias("_p")).select("text_id", "_start", "_p.*")
+    place = bucket(F.col("_start") + F.shiftleft("block", BLOCK_BITS), bits)
+    if unique:
+        return parts.select("text_id", "block", F.col("first").alias("first", metadata={BITS_KEY: bits}), "word", place)
+    gathered = parts.groupBy("text_id", "block").agg(F.min("_start").alias("_start"), F.collect_list(F.struct("first", "word")).alias("_parts"))
+    numbered = lambda p: F.transform(p["word"], lambda w, i: F.struct((p["first"] + i).alias("tok_no"), w.alias("word")))
+    shared = F.array_sort(F.flatten(F.transform("_parts", numbered)))
+    words = F.when(F.size("_parts") == 1, F.col("_parts")[0]["word"]).otherwise(F.transform(shared, lambda t: t["word"]))
+    return gathered.select(
+        "text_id",
+        "block",
+        F.array_min(F.col("_parts.first")).alias("first", metadata={BITS_KEY: bits}),
+        words.alias("word"),
+        place,
+    )
+
+
+def save_blocks(tokens: DataFrame, path: str, attributes: tuple[str, ...] = ("word",), blocks: DataFrame | None = None) -> None:
+    """Store the context blocks of a token table, partitioned by corpus position if it has positions.
+
+    ``blocks`` are these blocks where they have been made otherwise (``document_blocks``).
+    """
+    blocks = context_blocks(tokens, attributes) if blocks is None else blocks
+    blocks.write.partitionBy(*([BUCKET] if BUCKET in blocks.columns else [])).option("compression", CODEC).parquet(path)
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -174,4 +218,11 @@ def save_tokens(
     if not in_order:
         keys = [F.col(c) for c in (*partition_by, "text_id")]
         tokens = tokens.repartitionByRange(*keys, block("tok_no")).sortWithinPartitions(*keys, "tok_no")
-    tokens.write.partitionBy(*partition_by).parquet(path)
+    spark = tokens.sparkSession
+    before = spark.conf.get(WRITERS_KEY)
+    try:
+        # tokens in order fill one partition after the other, so a task keeps a few files open instead of sorting its tokens
+        spark.conf.set(WRITERS_KEY, str(WRITERS) if in_order else before)
+        tokens.write.partitionBy(*partition_by).option("compression", CODEC).parquet(path)
+    finally:
+        spark.conf.set(WRITERS_KEY, before)
