@@ -6,6 +6,7 @@ from wordloom.operators.hits import find_hits
 from wordloom.operators.patterns import Gap, Tok, form_test, value_test, word
 from wordloom.operators.selection import Choice, Selection
 from wordloom.plans.corpus import Corpus
+from wordloom.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,22 @@ def tables(spark):
     return values, texts
 
 
+def test_values_per_text(spark, monkeypatch):
+    """Distinct values of short, long, repeated and empty texts; values are not gathered before they are moved."""
+    monkeypatch.setattr(stats, "PART_BITS", 3)
+    rows = [(1, i, i // 4, f"w{i % 11}", f"l{i % 5}") for i in range(40)] + [(2, i, 0, "a", None) for i in range(8)] + [(3, i, i, None, None) for i in range(9)]
+    rows += [(4, i, i // 2, f"W{i}", "l") for i in range(3)] * 2 + [(4, i, i, f"V{i % 9}", f"m{i}") for i in range(17)] + [(None, 0, 7, "x", "y")]
+    tokens = spark.createDataFrame(rows, "text_id long, tok_no long, s_id long, word string, lemma string").repartition(3)
+    found = stats.values_per_text(tokens, {"n_words": "word", "n_lemmas": "lemma"}, {"last_s": "s_id"})
+    plain = tokens.groupBy("text_id").agg(
+        F.count_distinct("word").alias("n_words"), F.count_distinct("lemma").alias("n_lemmas"), F.max("s_id").alias("last_s")
+    )
+    assert found.dtypes == plain.dtypes
+    assert sorted(found.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    shown = QUERIES["src2_scan_default"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in shown[shown.index("REPARTITION_BY_COL") :]
+
+
 def test_deviation(counted, tables):
     values, texts = tables
     totals = stats.category_totals(values, texts)

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wordloom.operators.hits import with_match
 from wordloom.operators.selection import Dimension, Selection, dimension_rows, select_texts
 
+#: Bits of the neighbouring tokens whose distinct values are found in one group.
+PART_BITS = 16
+
 # ---------------------------------------------------------------- texts and categories
 
 
@@ -28,6 +31,40 @@ def speaker_and_token_count(speakers: DataFrame, ranges: DataFrame) -> DataFrame
     )
 
 
+def values_per_text(tokens: DataFrame, counts: Mapping[str, str], largest: Mapping[str, str]) -> DataFrame:
+    """Per text the number of distinct values of token attributes, and the largest value of others: ``{name: attribute}``.
+
+    Tokens are moved once, by (text, 2^16 neighbouring tokens), and are not gathered before: a task would have to hold the
+    values of all its texts. A text of up to 2^16 tokens is then one group and only numbers are left of it; the values of a
+    longer one meet by themselves. Token numbers have no gaps, so a text is longer if it has the token that begins the second
+    part, which therefore also goes to the first.
+    """
+    part = F.shiftright("tok_no", PART_BITS)
+    own = F.struct(part.alias("_part"), (part > 0).alias("_long"))
+    first = F.struct((part - part).alias("_part"), F.lit(True).alias("_long"))
+    places = F.when(F.col("tok_no") == 1 << PART_BITS, F.array(own, first)).otherwise(F.array(own))
+    used = [c for c in dict.fromkeys([*largest.values(), *counts.values()])]
+    moved = tokens.select("text_id", F.explode(places).alias("_place"), *(F.col(c).alias(f"_{c}") for c in used))
+    moved = moved.select("text_id", "_place.*", *(f"_{c}" for c in used)).repartition("text_id", "_part")
+    parts = moved.groupBy("text_id", "_part").agg(
+        F.bool_or("_long").alias("_long"),
+        *(F.collect_set(f"_{c}").alias(f"_set_{name}") for name, c in counts.items()),
+        *(F.max(f"_{c}").alias(name) for name, c in largest.items()),
+    )
+    number = {name: F.lit(k) for k, name in enumerate(counts)}
+    size = lambda name: F.struct(number[name].alias("which"), F.lit(None).cast("string").alias("value"), F.size(f"_set_{name}").cast("bigint").alias("n"))
+    each = lambda name: F.transform(f"_set_{name}", lambda v: F.struct(number[name].alias("which"), v.cast("string").alias("value"), F.lit(1).cast("bigint").alias("n")))
+    sizes = F.array(*map(size, counts))
+    # one row at least, as a long text without values is a text too
+    found = F.when(F.col("_long"), F.concat(*map(each, counts), F.array(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("n"))))).otherwise(sizes)
+    items = parts.select("text_id", *largest, F.explode(found).alias("_f")).select("text_id", "_f.*", *largest)
+    once = items.groupBy("text_id", "which", "value").agg(F.max("n").alias("n"), *(F.max(c).alias(c) for c in largest))
+    return once.groupBy("text_id").agg(
+        *(F.coalesce(F.sum(F.when(F.col("which") == number[name], F.col("n"))), F.lit(0)).alias(name) for name in counts),
+        *(F.max(c).alias(c) for c in largest),
+    )
+
+
 def category_values(
     texts: DataFrame,
     category: str,

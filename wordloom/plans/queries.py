@@ -107,9 +107,7 @@ def src2_scan_attributes(spark, folder):
 @query
 def src2_scan_default(spark, folder):
     scanned = token_source.scan_tokens(given.docs_tokens(spark, folder), declared=("lemma",))
-    return scanned.groupBy("text_id").agg(
-        F.count_distinct("word").alias("n_words"), F.count_distinct("lemma").alias("n_lemmas"), F.max("s_id").alias("last_s")
-    )
+    return stats.values_per_text(scanned, {"n_words": "word", "n_lemmas": "lemma"}, {"last_s": "s_id"})
 
 
 @query
