@@ -134,6 +134,24 @@ def test_dependencies(spark):
     assert {r.dep_head: r.sides for r in treebank.child_sides(tokens).collect()} == {2: "L", 3: "LR"}
 
 
+def test_dependencies_of_long_and_repeated_regions(spark):
+    """All pairs that a join gives, from one shuffle of the tokens."""
+    rows = [(1, 0, f"w {i}", i, (i * 37) % 151, "a b" if i % 3 else None) for i in range(1, 151) if i % 10]
+    rows += [(2, 0, w, i, i - 1, "f=") for i in (1, 2, 3) for w in ("", "= x", None)] + [(2, 0, "x", None, 2, ""), (2, 0, "y", 3, None, "f")]
+    rows += [(None, 0, "a", 1, 0, "f"), (None, 0, "b", 2, 1, "f"), (3, None, "a", 1, 0, "f"), (3, None, "b", 2, 1, "f"), (4, 0, "a", -1, 2, "f"), (4, 0, "b", 2, -1, "f")]
+    for number in ("long", "int"):
+        tokens = spark.createDataFrame(rows, f"text_id long, s_id long, word string, dep_index {number}, dep_head {number}, dep_fun string").repartition(3)
+        edges = treebank.dependency_edges(tokens)
+        heads = tokens.select("text_id", "s_id", F.col("dep_index").alias("dep_head"), F.col("word").alias("head_word"))
+        joined = tokens.where("dep_head <> 0").join(heads, ["text_id", "s_id", "dep_head"]).withColumn("distance", F.abs(F.col("dep_index") - F.col("dep_head")))
+        asked = joined.select("text_id", "s_id", "dep_index", "word", "dep_fun", "dep_head", "head_word", "distance")
+        assert edges.dtypes == asked.dtypes
+        assert sorted(edges.collect(), key=repr) == sorted(asked.collect(), key=repr)
+        shown = treebank.dependency_edges(tokens)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in shown and shown.count("Exchange hashpartitioning") == 1
+        assert "Aggregate" not in shown[shown.index("Exchange hashpartitioning") :]
+
+
 def test_text_functions(spark):
     row = lambda *columns: tuple(spark.range(1).select(*columns).first())
     f, lit = text_functions, F.lit
