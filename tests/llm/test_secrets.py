@@ -142,6 +142,23 @@ def test_every_token_of_every_line_is_decoded(model):
         assert covered == text.replace("\n", "")
 
 
+def test_alike_tokens_share_a_row(model):
+    """The table grows with the kinds of tokens, not with the words; a shared row has the weights of every token of it."""
+    letters = "etaoinshrdlu"
+    words = ["".join(p) + "ing" * (i % 4) for i, p in enumerate(itertools.product(letters, repeat=4))]
+    odd = ["password", "Password", "passwordé", "PassWord", "a", "A", "é", "7", "=", "tokenize", "Tokenizer", "x" * 70, "Xy" * 40, "b" * 24, "B" + "b" * 23, "AKIAQQQQQQQQ"]
+    texts = [" ".join(part) for part in (odd, words, [w.title() for w in words], odd[::-1])]
+    scorer = secrets.Scorer(model)
+    lines = [secrets.TOKEN.findall(t) for t in texts]
+    scores, starts = scorer.scores(lines, ["1"] * len(lines))
+    assert scorer.n < 1000 < len({t for line in lines for t in line})
+    for tokens, at in zip(lines, starts.tolist()):
+        for i in (*range(20), *range(0, len(tokens), 97)):
+            if i < len(tokens):
+                weights = [model.weights.get(f, (0.0, 0.0)) for f in secrets.features(tokens, i, "1")]
+                assert scores[at + i].tolist() == pytest.approx([sum(w[0] for w in weights), sum(w[1] for w in weights)])
+
+
 def test_long_texts_take_linear_time(model):
     seconds = []
     for n in (20_000, 80_000):

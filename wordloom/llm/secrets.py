@@ -12,7 +12,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -44,9 +44,9 @@ _TELLING = re.compile("|".join(map(re.escape, TELLING)), re.IGNORECASE)
 _TELLING_AT = re.compile(f"(?=({_TELLING.pattern}))", re.IGNORECASE)
 #: Letters that equal one of a to z without regard to case, but not by their small letter.
 _ODD_CASE = re.compile("[\u0130\u0131\u017f]")
-#: Tokens scored at once (more where a line has more), distinct tokens whose weights are remembered, and length of those.
-TOKENS_AT_ONCE, REMEMBERED, REMEMBERED_LENGTH = 200_000, 1 << 18, 64
-#: Kinds of tokens with the same features of their own whose weights are remembered.
+#: Tokens scored at once (more where a line has more), distinct tokens whose rows are remembered, and length of those.
+TOKENS_AT_ONCE, REMEMBERED, REMEMBERED_LENGTH = 200_000, 1 << 19, 64
+#: Kinds of tokens with the same weights whose rows are remembered.
 ALIKE = 1 << 14
 #: Fewer lines than this are decoded one by one.
 SIDE_BY_SIDE = 24
@@ -86,6 +86,15 @@ def _terms(n: int) -> list[float]:
     return [0.0, *(c / n * math.log2(c / n) for c in range(1, n + 1))]
 
 
+def _spread(head: str) -> int:
+    """Twice the entropy of the characters."""
+    terms = _terms(len(head))
+    return int(2 * -sum([terms[head.count(c)] for c in dict.fromkeys(head)]))
+
+
+_RUN = re.compile(r"(.)\1+")
+
+
 @lru_cache(maxsize=20_000)
 def _own(token: str) -> tuple[str, ...]:
     """Features of a token by itself."""
@@ -93,7 +102,7 @@ def _own(token: str) -> tuple[str, ...]:
     if n == 1 and not token.isalnum():
         return ("sign", f"sign={token}")
     head = token[:256]
-    shape = re.sub(r"(.)\1+", r"\1", head.translate(_CLASS))
+    shape = _RUN.sub(r"\1", head.translate(_CLASS))
     size = min(7, int(math.log2(n + 1) * 1.4))
     if head.isdigit():
         kind = "digits"
@@ -105,9 +114,7 @@ def _own(token: str) -> tuple[str, ...]:
         kind = "alnum" if head.isalnum() else "other"
     found = [f"size={size}", f"kind={kind}", f"kind={kind}&size={size}", f"shape={shape if len(shape) <= 5 else 'long'}"]
     if n >= 8:
-        terms = _terms(len(head))
-        spread = -sum([terms[head.count(c)] for c in dict.fromkeys(head)])
-        found += [f"spread={int(2 * spread)}", f"turns={min(9, 10 * len(shape) // len(head))}&kind={kind}"]
+        found += [f"spread={_spread(head)}", f"turns={min(9, 10 * len(shape) // len(head))}&kind={kind}"]
         found += [f"dots={min(3, head.count('.'))}", f"slashes={min(3, head.count('/'))}"]
         if kind not in ("lower", "title", "digits"):
             found += [f"first={head[:3]}", f"first={head[:4]}"]
@@ -287,9 +294,10 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 
 class Scorer:
-    """Scores of tokens by sums of lookups; the weights of a distinct token in each place are added up once.
+    """Scores of tokens by sums of lookups; the weights of a kind of tokens in each place are added up once.
 
-    Row 0 stands for what is beyond the ends of a line. Rows are forgotten when there are too many.
+    Tokens with the same features of their own that are no neighbours of note share a row, so the table stays small however
+    many words there are. Row 0 stands for what is beyond the ends of a line. Rows are forgotten when there are too many.
     """
 
     #: Columns: the token itself in a text of each trait, behind a telling word, and one, two, three before and one after.
@@ -307,7 +315,9 @@ class Scorer:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.alike: dict[tuple[str, ...], np.ndarray] = {}
+        self.alike: dict[tuple[tuple[str, ...], str], int] = {}
+        #: Features of long words of ASCII letters that are small but for the first; length, case and spread tell them.
+        self.words: dict[tuple[int, bool, int], tuple[str, ...]] = {}
         self.rows = np.zeros((1024, self.WIDTH, 2))
         self.rows[0] = self._added([[], [], [], [], ["-1=^", "-1^"], ["-2=^"], ["-3=^"], ["+1=$"]])
         self.n = 1
@@ -319,31 +329,46 @@ class Scorer:
 
     def row(self, token: str) -> int:
         """Number of the row of a token that has none; ``features`` says what its weights are."""
-        own = _own_of_word(token.translate(_CLASS)) if len(token) < 8 and token.isascii() and token.isalpha() else _own(token)
-        shared = self.alike.get(own)
-        if shared is None:
-            # what tokens with the same features of their own have in common
-            names = [["bias", *own, f"file={file}&{own[1]}"] for file in "012"]
-            names += [["near", f"near&{own[1]}", f"near&{own[0]}"], [f"-1{own[1]}"], [], [], [f"+1={own[1]}"]]
-            if len(self.alike) >= ALIKE:
-                self.alike.clear()
-            shared = self.alike[own] = np.array(self._added(names))
+        size = len(token)
+        if size <= REMEMBERED_LENGTH and token.isascii() and token.isalpha() and (size < 8 or token[1:].islower()):
+            if size < 8:
+                own = _own_of_word(token.translate(_CLASS))
+            else:
+                told = (size, token.islower(), _spread(token))
+                own = self.words.get(told) or self.words.setdefault(told, _own(token))
+        else:
+            own = _own(token)
+        beside = token.lower() if size < 24 else "long"
+        # a token by itself is told from all others
+        kind = (own, token if size == 1 else beside if beside in self.beside else "")
+        at = self.alike.get(kind)
+        if at is None:
+            at = self._add(token, own, self.beside.get(beside, ()))
+            if len(self.alike) < ALIKE:
+                self.alike[kind] = at
+        if size <= REMEMBERED_LENGTH:
+            self.number[token] = at
+        return at
+
+    def _add(self, token: str, own: tuple[str, ...], beside: Iterable[tuple[int, tuple[float, float]]]) -> int:
+        names = [["bias", *own, f"file={file}&{own[1]}"] for file in "012"]
+        names += [["near", f"near&{own[1]}", f"near&{own[0]}"], [f"-1{own[1]}"], [], [], [f"+1={own[1]}"]]
         if self.n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = shared
-        for column, weight in self.beside.get(token.lower() if len(token) < 24 else "long", ()):
+        self.rows[self.n] = self._added(names)
+        for column, weight in beside:
             self.rows[self.n, column] += weight
         if len(token) == 1:
             self.rows[self.n, self.AFTER] = self.model.weights.get(f"+1={token}", (0.0, 0.0))
         self.n += 1
-        if len(token) <= REMEMBERED_LENGTH:
-            self.number[token] = self.n - 1
         return self.n - 1
 
     def scores(self, lines: list[list[str]], files: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of begin and inside of the tokens of all lines, which are not empty, and the place of each line's first."""
         if self.n > REMEMBERED:
             self.forget()
+        if len(self.number) > REMEMBERED:
+            self.number.clear()
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         starts = 3 + np.cumsum(sizes + 3) - (sizes + 3)
         total = int((sizes + 3).sum()) + 3
