@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wordloom import layout
 from wordloom.operators import concordance, hits as hit_ops, ordering
 from wordloom.operators.hits import find_hits
-from wordloom.operators.patterns import Tok, form_test, word
+from wordloom.operators.patterns import Gap, Tok, form_test, word
 from wordloom.plans import given
 from wordloom.sources.tokens import context_blocks, document_blocks, tokenise
 
@@ -82,6 +82,21 @@ def test_blocks_near_hits(spark):
     assert lines(near) == lines(every) and 0 < near.count() < every.count()
 
 
+def test_hits_of_any_length_move_the_blocks_they_touch_only(spark, make_tokens):
+    size = 2 * layout.BLOCK + 700
+    tokens = make_tokens({n: [["x"] * 9 + ["from"] + ["y"] * (size - 20) + ["that"] + ["z"] * 9 if n == 3 else ["a", "b"]] for n in range(40)})
+    blocks = context_blocks(tokens)
+    hits = find_hits(tokens, [[word("from"), Gap(0), word("that")], [word("a"), word("b")]]).where("text_id in (3, 7)")
+    made = concordance.concordance_lines(hits, blocks, context=50)
+    # the search is written once, not run again for the hits of each kind
+    assert "_number" in plan(made) and "Window" not in plan(made)
+    found = {r.text_id: r for r in made.collect()}
+    assert found[7].match_text == "a b" and len(found) == 2
+    assert found[3].left_text == " ".join("x" * 9) and found[3].right_text == " ".join("z" * 9) and found[3].match_text.count(" ") == size - 19
+    few = concordance.concordance_lines(F.broadcast(hits), blocks, context=50, few=True)
+    assert "_number" not in plan(few) and {tuple(r) for r in few.collect()} == {tuple(r) for r in found.values()}
+
+
 def test_cells_of_a_page_are_sent_to_the_hits(spark):
     tokens = given.docs_tokens(spark, FOLDER)
     keyed = find_hits(tokens, [[Tok(form_test("t", where="start"))]], keep=("word",)).withColumn("sort_key", F.col("word"))

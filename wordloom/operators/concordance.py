@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wordloom.functions.text import rendered_token, text_id_of
-from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, bits_of, block, bucket, unfolded
+from wordloom.layout import BLOCK, BLOCK_BITS, BUCKET, asked_for, bits_of, block, bucket, unfolded
 from wordloom.operators.hits import spans
+from wordloom.session import cut
 from wordloom.sources.tokens import HALO
 
 # Context sizes in words.
@@ -40,7 +41,8 @@ def in_context(
     ``tokens`` may be a token table or context blocks (``sources.tokens.context_blocks``). Blocks are best for many hits:
     a hit meets the one row its context lies in, and nothing is grouped by hit. Hits that reach beyond their block (longer
     than ``HALO`` tokens with their context) meet all blocks they touch; ``longest``, the most tokens a hit can have
-    (``hits.longest_hit``), says that there are none, else the search is run for both kinds.
+    (``hits.longest_hit``), says that there are none, else the hits are written once for both kinds, and of the blocks only
+    those are moved that pass a filter made of them.
 
     With a token table a page or a sample of hits is sent to the tokens; more hits than that meet the tokens by exact
     position. The text id is part of the join, so context never runs into another text. ``context`` beyond ``most`` words is
@@ -52,32 +54,38 @@ def in_context(
     around = spans(hits, tokens, F.col("start") - n, F.col("end") + n, attributes, "_around")
     before = F.col("start") - F.element_at("_around", 1)["tok_no"]
     length = F.col("end") - F.col("start") + 1
-    cut = lambda first, size: F.slice("_around", first.cast("int"), size.cast("int"))
+    part = lambda first, size: F.slice("_around", first.cast("int"), size.cast("int"))
     return around.select(
         *hits.columns,
-        cut(F.lit(1), before).alias("left"),
-        cut(before + 1, length).alias("match"),
-        cut(before + length + 1, F.size("_around") - before - length).alias("right"),
+        part(F.lit(1), before).alias("left"),
+        part(before + 1, length).alias("match"),
+        part(before + length + 1, F.size("_around") - before - length).alias("right"),
     )
 
 
 def _in_blocks(
-    hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...], n: int, longest: int | None, shown: Callable
+    hits: DataFrame, blocks: DataFrame, attributes: tuple[str, ...], n: int, longest: int | None, shown: Callable, few: bool = False
 ) -> DataFrame:
     """``shown`` makes a column of each side from the slices of its arrays and the number of its first token."""
     own = block("start")
     fits = (F.col("end") + n < F.shiftleft(own, BLOCK_BITS) + BLOCK + HALO) & F.lit(n <= HALO)
-    found = _framed(_beside(hits.withColumn("_block", own), blocks, attributes).where(fits), hits, attributes, n, shown)
+    near = lambda rows: _framed(_beside(rows.withColumn("_block", own), blocks, attributes).where(fits), hits, attributes, n, shown)
     if longest is not None and longest - 1 + n <= HALO:
-        return found
-    # every block such a hit touches, without what it holds of its neighbours, put together again
+        return near(hits)
     wanted = F.greatest(F.col("start") - n, F.lit(0))
+    if not few:
+        # hits of both kinds and the filter of blocks are taken from what is written of the search
+        hits = cut(hits)
+        touched = unfolded(hits, block(wanted), block(F.col("end") + n), "_block")
+        blocks = asked_for(blocks, ("text_id", "block"), touched, ("text_id", "_block"))
+    found = near(hits)
+    # every block such a hit touches, without what it holds of its neighbours, put together again
     far = unfolded(hits.where(~fits), block(wanted), block(F.col("end") + n), "_block")
     low = F.shiftleft("_block", BLOCK_BITS)
     from_, to = F.greatest(wanted, low), F.least(F.col("end") + n, low + (BLOCK - 1))
     parts = [F.slice(f"_{a}", (from_ - F.col("first") + 1).cast("int"), F.greatest(to - from_ + 1, F.lit(0)).cast("int")).alias(f"_{a}") for a in attributes]
-    cut = _beside(far, blocks, attributes).select(*hits.columns, F.struct("_block", from_.alias("first"), *parts).alias("_part"))
-    joined = cut.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    pieces = _beside(far, blocks, attributes).select(*hits.columns, F.struct("_block", from_.alias("first"), *parts).alias("_part"))
+    joined = pieces.groupBy(*hits.columns).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     whole = joined.select(
         *hits.columns, F.col("_parts")[0]["first"].alias("first"), *(F.flatten(f"_parts._{a}").alias(f"_{a}") for a in attributes)
     )
@@ -140,11 +148,12 @@ def concordance_lines(
     treebank: bool = False,
     most: int | None = MAX_CONTEXT,
     longest: int | None = None,
+    few: bool = False,
 ) -> DataFrame:
-    """KWI-6. Hits with ``left_text``, ``match_text`` and ``right_text``."""
+    """KWI-6. Hits with ``left_text``, ``match_text`` and ``right_text``. ``few`` hits are sent to all blocks of their partitions."""
     attributes = tuple(attributes)
     if "block" in tokens.columns:
-        return _in_blocks(hits, tokens, attributes, context_size(context, treebank, most), longest, _token_text)
+        return _in_blocks(hits, tokens, attributes, context_size(context, treebank, most), longest, _token_text, few)
     lines = in_context(hits, tokens, attributes, context, treebank, most)
     return lines.select(*hits.columns, *(as_text(c, attributes).alias(f"{c}_text") for c in ("left", "match", "right")))
 

@@ -155,7 +155,7 @@ class Corpus:
         """
         source = self.tokens if self.blocks is None else self.blocks
         hits = F.broadcast(hits) if few and self.blocks is not None else hits
-        return concordance.concordance_lines(hits, source, context=context, treebank=self.treebank, longest=longest)
+        return concordance.concordance_lines(hits, source, context=context, treebank=self.treebank, longest=longest, few=few)
 
     def aligned_search(
         self, patterns: Mapping[str, list], alignment: DataFrame, selection: Selection = Selection()
