@@ -1,5 +1,7 @@
 """What is moved, written and read again no more often than the result needs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,9 @@ from wordloom import layout
 from wordloom.operators import concordance, hits as hit_ops, ordering
 from wordloom.operators.hits import find_hits
 from wordloom.operators.patterns import Gap, Tok, form_test, word
+from wordloom.operators.selection import Choice, Selection
 from wordloom.plans import given
-from wordloom.sources.tokens import context_blocks, document_blocks, tokenise
+from wordloom.sources.tokens import context_blocks, document_blocks, from_runs, placed_in_order, save_runs, save_tokens, token_runs, tokenise
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -112,3 +115,56 @@ def test_a_sample_by_part_counts_the_parts_once(spark, monkeypatch):
     drawn = ordering.sample_hits_by_part(hits, 7, parts)
     assert {"part", "n_tokens"} in written and any("start" in columns for columns in written)
     assert "regexp_extract_all" not in plan(drawn) and 0 < drawn.count() <= 7
+
+
+@pytest.mark.parametrize("bits", [1, 5, 20])
+def test_runs_hold_all_tokens(spark, tmp_path, bits):
+    """Sentences longer than a block or a partition, texts without tokens, and several of one id."""
+    long = "w. " + " ".join(f"W{i}" for i in range(layout.BLOCK + 700 if bits > 1 else 40)) + "! z"
+    rows = [(1, "A b. c?! d", 3), (2, long, 9), (3, "", 7), (4, None, 7), (5, "x", 7), (5, "y . Y", 7), (6, "e f", 4091), (7, "é", 4096)]
+    docs = documents(spark, rows)
+    tokens = tokenise(docs, "doc_id", "text", ("startpos",), neighbours=True)
+    tokens = tokens.withColumn("pos", F.col("startpos") + F.col("tok_no")).withColumn("word_folded", F.lower("word"))
+    want = tokens.withColumn("bucket", layout.bucket("pos", bits))
+    runs = token_runs(docs, "doc_id", "text", ("startpos",), bits)
+    assert runs.count() < want.count() and runs.agg(F.max(F.size("words"))).first()[0] <= 1 << min(bits, layout.BLOCK_BITS)
+    save_runs(runs, f"{tmp_path}/runs")
+    found = from_runs(spark.read.parquet(f"{tmp_path}/runs"))
+    assert layout.bits_of(found) == bits and set(found.columns) == set(want.columns)
+    shown = lambda df: sorted(map(str, df.select(*sorted(want.columns)).collect()))
+    assert shown(found) == shown(want)
+
+
+def test_a_stored_corpus_holds_its_words_once(spark, tmp_path):
+    from pathlib import Path
+
+    corpus = given.docs_stored(spark, FOLDER)
+    files = [Path(f.removeprefix("file:")) for f in corpus.tokens.inputFiles()]
+    ranges = given.docs_ranges(spark, FOLDER)
+    flat = given.docs_placed_tokens(spark, FOLDER, ranges, in_order=True, neighbours=True)
+    flat = flat.select("text_id", "lang", "startpos", "s_id", "s_first", "s_last", "tok_no", "word", "before", "after", "pos")
+    save_tokens(flat, f"{tmp_path}/flat", in_order=True)
+    assert sum(f.stat().st_size for f in files) * 2 < sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    columns = [*flat.columns, "word_folded", "bucket"]
+    stored = spark.read.parquet(f"{tmp_path}/flat").select(*columns)
+    assert stored.exceptAll(corpus.tokens.select(*columns)).isEmpty() and corpus.tokens.count() == stored.count()
+    found = corpus.search([[word("of"), word("the")]], Selection({"source": Choice(("src3",))}))
+    assert "dynamicpruning" in plan(found)
+    # the neighbours of a token are not looked at by a search that does not ask for them
+    read = re.search(r"FileScan parquet \[(.*?)\]", plan(corpus.search([[word("the")]]))).group(1)
+    assert "words" in read and "before" not in read and "after" not in read
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_documents_are_moved_once_and_put_in_order(spark, kind):
+    ids = [*range(300), None, 7, 7, 8]
+    rows = [(i, f"t{n}" * (n % 9), n % 5) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(5)
+    ranges = layout.running_total(docs.select(F.col("doc_id").alias("text_id"), "n"), ["text_id", "n"], F.col("n"), "startpos")
+    want = docs.join(ranges.select(F.col("text_id").alias("doc_id"), "startpos"), "doc_id")
+    shown = lambda df: sorted(map(str, df.select("doc_id", "text", "n", "startpos").collect()))
+    for bits in (2, 5, 30):
+        placed = placed_in_order(docs, ranges, "doc_id", bits)
+        assert shown(placed) == shown(want) and len(shown(want)) == 299 + 9 + 4 - 1
+        parts = [r.ids for r in placed.groupBy(F.spark_partition_id()).agg(F.collect_list("doc_id").alias("ids")).collect()]
+        assert all(p == sorted(p) for p in parts) and (bits == 30 or len(parts) > 1)

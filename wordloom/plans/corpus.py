@@ -12,7 +12,7 @@ from wordloom.operators import concordance, geo, hits as hit_ops, lexicon, order
 from wordloom.operators.patterns import Gap, Tok, is_blank
 from wordloom.operators.selection import Dimension, Selection, in_ranges, select_texts
 from wordloom.session import cut
-from wordloom.sources.tokens import NEIGHBOURS, corpus_sizes, save_blocks, save_tokens, vocabulary
+from wordloom.sources.tokens import NEIGHBOURS, corpus_sizes, save_blocks, save_runs, save_tokens, stored_tokens, vocabulary
 
 Patterns = Iterable[Iterable[Tok | Gap]]
 
@@ -44,17 +44,24 @@ class Corpus:
     words: DataFrame | None = None
 
     @staticmethod
-    def stored(tokens: DataFrame, texts: DataFrame, path: str, in_order: bool = False, blocks: Callable[[int], DataFrame] | None = None, **options) -> "Corpus":
+    def stored(
+        tokens: DataFrame | Callable[[int], DataFrame], texts: DataFrame, path: str, in_order: bool = False,
+        blocks: Callable[[int], DataFrame] | None = None, **options,
+    ) -> "Corpus":
         """Write the tables of a corpus to ``path`` and read them: tokens with their neighbours, context blocks, vocabulary.
 
         ``in_order`` says that tokens come from documents arranged by id (``sources.tokens.arranged``). ``blocks`` makes the
-        context blocks for a width of storage partitions; without it they are put together from the stored tokens.
+        context blocks for a width of storage partitions; without it they are put together from the stored tokens. A function
+        as ``tokens`` makes their runs (``sources.tokens.token_runs``) for such a width, which are stored instead of them.
         """
-        spark = tokens.sparkSession
+        spark = texts.sparkSession
         texts.write.parquet(f"{path}/texts")
         last = spark.read.parquet(f"{path}/texts").agg(F.max("endpos")).first()[0] if "endpos" in texts.columns else None
-        save_tokens(tokens, f"{path}/tokens", in_order=in_order, bits=None if last is None else bits_for(last + 1))
-        kept = spark.read.parquet(f"{path}/tokens")
+        if callable(tokens):
+            save_runs(tokens(bits_for(1 if last is None else last + 1)), f"{path}/tokens")
+        else:
+            save_tokens(tokens, f"{path}/tokens", in_order=in_order, bits=None if last is None else bits_for(last + 1))
+        kept = stored_tokens(spark.read.parquet(f"{path}/tokens"))
         save_blocks(kept, f"{path}/blocks", blocks=None if blocks is None else blocks(bits_of(kept)))
         vocabulary(kept).write.parquet(f"{path}/words")
         return Corpus.opened(spark, path, **options)
@@ -63,7 +70,7 @@ class Corpus:
     def opened(spark, path: str, **options) -> "Corpus":
         """A corpus that ``stored`` has written."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Corpus(read("tokens"), read("texts"), blocks=read("blocks"), words=read("words"), **options)
+        return Corpus(stored_tokens(read("tokens")), read("texts"), blocks=read("blocks"), words=read("words"), **options)
 
     # ------------------------------------------------------------ texts
 

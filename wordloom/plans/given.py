@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wordloom.layout import number_rows, running_total
 from wordloom.operators.selection import Dimension
 from wordloom.plans.corpus import Corpus
-from wordloom.session import checkpoint_folder, cut, spread, tune
-from wordloom.sources.tokens import TOKEN_PATTERN, TOKENS_PER_TASK, arranged, document_blocks, tokenise
+from wordloom.session import checkpoint_folder, spread, tune
+from wordloom.sources.tokens import TASK_BITS, TOKEN_PATTERN, arranged, document_blocks, placed_in_order, token_runs, tokenise
 
 UNLISTED_ROLE = "system"
 #: Stored corpora this process has written.
@@ -95,8 +95,8 @@ def docs_placed_tokens(
 def docs_stored(spark: SparkSession, folder: str) -> Corpus:
     """The same corpus as stored tables, in the shared folder of the session; written at the first call for a folder.
 
-    Documents are put in order once; tokens and blocks are both expanded from what is kept of that. Attributes that follow
-    from the word are not stored but computed when they are asked for.
+    Documents are put in order once; runs of tokens and blocks are both cut from what is kept of that. Tokens are made of
+    their runs, and attributes that follow from the word computed, when they are asked for.
     """
     path = f"{checkpoint_folder(tune(spark))}/docs-{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}-{spark.sparkContext.applicationId}"
     options = {"attributes": ("lemma", "pos_tag", "phon", "orig", "feats")}
@@ -104,14 +104,11 @@ def docs_stored(spark: SparkSession, folder: str) -> Corpus:
         corpus = Corpus.opened(spark, path, **options)
         return replace(corpus, tokens=annotated(corpus.tokens))
     ranges = docs_ranges(spark, folder)
-    total = ranges.agg(F.sum("n_tokens")).first()[0] or 0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TOKENS_PER_TASK))
-    ordered = cut(arranged(placed_documents(spark, folder, ranges), "doc_id", tasks))
-    tokens = tokenise(ordered, "doc_id", "text", ("lang", "startpos"), neighbours=True)
-    tokens = tokens.withColumn("pos", F.col("startpos") + F.col("tok_no"))
+    ordered = placed_in_order(table(spark, folder, "documents").select("doc_id", "lang", "text"), ranges, "doc_id", TASK_BITS)
+    runs = lambda bits: token_runs(ordered, "doc_id", "text", ("lang", "startpos"), bits)
     unique = not ranges.groupBy("text_id").count().where("count > 1").limit(1).count()
     blocks = lambda bits: document_blocks(ordered, "doc_id", "text", bits, unique)
-    corpus = Corpus.stored(tokens, ranges, path, in_order=True, blocks=blocks, **options)
+    corpus = Corpus.stored(runs, ranges, path, in_order=True, blocks=blocks, **options)
     _written.add(path)
     return replace(corpus, tokens=annotated(corpus.tokens))
 

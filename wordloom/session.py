@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: each can be changed on a running session.
@@ -22,6 +24,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings while something is planned and run."""
+    before = {key: spark.conf.get(key) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, one under the session's warehouse, on every master."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from wordloom.layout import BITS_KEY, BLOCK, BLOCK_BITS, BUCKET, asked_for, bits_of, block, bucket, running_total
+from wordloom.session import cut, settings
 
 # The token pattern and the tokens that end a sentence.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\p{L}\p{N}]"
@@ -16,8 +20,17 @@ HALO = 50
 #: Compression of stored tables, and files a task may have open at once when it writes tokens in order.
 CODEC = "zstd"
 WRITERS_KEY, WRITERS = "spark.sql.maxConcurrentOutputFileWriters", 16
-#: Tokens of a task that writes a stored corpus, on average: some partitions of positions.
-TOKENS_PER_TASK = 1 << 21
+#: Positions of a task that writes a stored corpus: some partitions of positions.
+TASK_BITS = 21
+#: Settings under which rows that were dealt out by one key of a join stay where they are.
+PLACED = dict.fromkeys(
+    (
+        "spark.sql.requireAllClusterKeysForDistribution",
+        "spark.sql.requireAllClusterKeysForCoPartition",
+        "spark.sql.adaptive.coalescePartitions.enabled",
+    ),
+    "false",
+)
 
 
 def tokenise(
@@ -30,27 +43,12 @@ def tokenise(
     by text. A sentence ends after each ``.``, ``!`` or ``?`` token. ``neighbours`` adds the words ``before`` and ``after``
     in the text, NULL at its ends.
     """
-    rows = documents.select(
-        F.col(text_id).alias("text_id"), *carry, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("_tokens")
-    )
-    # last token number of every sentence; the text's last token always closes one
-    is_end = lambda t, i: t.isin(*SENTENCE_ENDS) | (i == F.size("_tokens") - 1)
-    ends = rows.withColumn("_ends", F.array_compact(F.transform("_tokens", lambda t, i: F.when(is_end(t, i), i))))
+    tokens = lambda begin, last: F.slice("_tokens", begin + 1, last - begin + 1).alias("word")
     # from the token before a sentence to the one after it, once
-    edge = F.array(F.lit(None).cast("string"))
-    ends = ends.withColumn("_framed", F.concat(edge, "_tokens", edge)) if neighbours else ends
-    begin = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_ends", k - 1)) + 1
-    bounds = lambda last, k: F.struct(
-        begin(k).cast("bigint").alias("s_first"),
-        last.cast("bigint").alias("s_last"),
-        *(
-            F.slice(array, begin(k) + 1 + shift, last - begin(k) + 1).alias(name)
-            for array, shift, name in (
-                (("_framed", 1, "word"), ("_framed", 0, "before"), ("_framed", 2, "after")) if neighbours else (("_tokens", 0, "word"),)
-            )
-        ),
-    )
-    sentences = ends.select("text_id", *carry, F.posexplode(F.transform("_ends", bounds)).alias("s_id", "_s"))
+    framed = lambda begin, last: [
+        F.slice("_framed", begin + 1 + shift, last - begin + 1).alias(name) for shift, name in ((1, "word"), (0, "before"), (2, "after"))
+    ]
+    sentences = _sentences(documents, text_id, text, carry, framed if neighbours else lambda begin, last: [tokens(begin, last)], neighbours)
     words = ("word", *NEIGHBOURS) if neighbours else ("word",)
     body = F.arrays_zip(*(f"_s.{w}" for w in words)) if neighbours else F.col("_s.word")
     taken = [F.col(f"_w.{w}").alias(w) for w in words] if neighbours else [F.col("_w").alias("word")]
@@ -64,6 +62,88 @@ def tokenise(
     ).select("text_id", *carry, "s_id", "s_first", "s_last", (F.col("s_first") + F.col("_i")).alias("tok_no"), *taken)
 
 
+def _sentences(
+    documents: DataFrame, text_id: str, text: str, carry: tuple[str, ...], fields: Callable[[Column, Column], list[Column]], framed: bool = False
+) -> DataFrame:
+    """One row per sentence: ``text_id, <carry>, s_id`` and ``_s`` with ``s_first``, ``s_last`` and what ``fields`` makes of both.
+
+    ``fields`` may use the array ``_tokens`` of the text's tokens, and ``_framed``, the same between two NULLs.
+    """
+    rows = documents.select(
+        F.col(text_id).alias("text_id"), *carry, F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)).alias("_tokens")
+    )
+    # last token number of every sentence; the text's last token always closes one
+    is_end = lambda t, i: t.isin(*SENTENCE_ENDS) | (i == F.size("_tokens") - 1)
+    ends = rows.withColumn("_ends", F.array_compact(F.transform("_tokens", lambda t, i: F.when(is_end(t, i), i))))
+    edge = F.array(F.lit(None).cast("string"))
+    ends = ends.withColumn("_framed", F.concat(edge, "_tokens", edge)) if framed else ends
+    begin = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_ends", k - 1)) + 1
+    bounds = lambda last, k: F.struct(begin(k).cast("bigint").alias("s_first"), last.cast("bigint").alias("s_last"), *fields(begin(k), last))
+    return ends.select("text_id", *carry, F.posexplode(F.transform("_ends", bounds)).alias("s_id", "_s"))
+
+
+def token_runs(documents: DataFrame, text_id: str, text: str, carry: tuple[str, ...], bits: int) -> DataFrame:
+    """The tokens of ``tokenise`` as runs, for storing: one row per sentence, or part of it in one block of positions.
+
+    ``text_id, <carry>, s_id, s_first, s_last, skip, words, before, after`` and the storage partition: ``skip`` tokens of the
+    sentence stand before the run, ``before`` and ``after`` are the words beside it. What a run says once a token table
+    says for each token, and the words of tokens, their neighbours and their folded form are stored once. ``carry`` has
+    ``startpos``; ``bits`` is the width of a partition of positions. ``from_runs`` makes tokens of it.
+    """
+    fields = lambda begin, last: [
+        F.slice("_tokens", begin + 1, last - begin + 1).alias("words"), F.get("_tokens", begin - 1).alias("before"), F.get("_tokens", last + 1).alias("after")
+    ]
+    sentences = _sentences(documents, text_id, text, carry, fields).select(
+        "text_id", *carry, F.col("s_id").cast("bigint").alias("s_id"), "_s.*"
+    )
+    # no run crosses a partition, and a sentence of any length is many runs
+    part = min(bits, BLOCK_BITS)
+    place = lambda c: block(F.col("startpos") + F.col(c), part)
+    parts = sentences.withColumn("_part", F.explode(F.sequence(place("s_first"), place("s_last"))))
+    low = F.greatest(F.shiftleft("_part", part) - F.col("startpos") - F.col("s_first"), F.lit(0)).cast("int")
+    high = F.least(F.shiftleft(F.col("_part") + 1, part) - F.col("startpos"), F.col("s_last") + 1) - F.col("s_first")
+    cut_off = parts.withColumn("_low", low).withColumn("_high", high.cast("int"))
+    return cut_off.select(
+        "text_id",
+        *carry,
+        "s_id",
+        "s_first",
+        "s_last",
+        F.col("_low").cast("bigint").alias("skip", metadata={BITS_KEY: bits}),
+        F.slice("words", F.col("_low") + 1, F.col("_high") - F.col("_low")).alias("words"),
+        F.when(F.col("_low") > 0, F.get("words", F.col("_low") - 1)).otherwise(F.col("before")).alias("before"),
+        F.when(F.col("_high") < F.size("words"), F.get("words", F.col("_high"))).otherwise(F.col("after")).alias("after"),
+        bucket(F.shiftleft("_part", part), bits),
+    )
+
+
+def from_runs(runs: DataFrame) -> DataFrame:
+    """Tokens with ``pos``, neighbours and folded words from stored ``token_runs``; columns that are not asked for cost nothing."""
+    own = ["s_id", "s_first", "s_last", "skip", "words", *NEIGHBOURS, BUCKET]
+    carry = [c for c in runs.columns if c not in ("text_id", *own)]
+    rows = runs.select("text_id", *carry, *own, F.posexplode("words").alias("_i", "word"))
+    number = F.col("s_first") + F.col("skip") + F.col("_i")
+    return rows.select(
+        "text_id",
+        *carry,
+        "s_id",
+        "s_first",
+        "s_last",
+        number.alias("tok_no"),
+        "word",
+        F.when(F.col("_i") == 0, F.col("before")).otherwise(F.get("words", F.col("_i") - 1)).alias("before"),
+        F.when(F.col("_i") == F.size("words") - 1, F.col("after")).otherwise(F.get("words", F.col("_i") + 1)).alias("after"),
+        (F.col("startpos") + number).alias("pos", metadata={BITS_KEY: bits_of(runs)}),
+        F.lower("word").alias("word_folded"),
+        BUCKET,
+    )
+
+
+def stored_tokens(stored: DataFrame) -> DataFrame:
+    """The token table of what ``save_tokens`` or ``save_runs`` has written."""
+    return from_runs(stored) if "skip" in stored.columns else stored
+
+
 def text_ranges(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     """SRC-5. ``texts`` with ``n_tokens``, ``startpos`` and inclusive ``endpos``; texts follow each other by id.
 
@@ -100,6 +180,37 @@ def arranged(documents: DataFrame, text_id: str, partitions: int | None = None)
     return documents.repartitionByRange(*dealt, F.col(text_id)).sortWithinPartitions(text_id)
 
 
+def placed_in_order(documents: DataFrame, ranges: DataFrame, text_id: str, bits: int) -> DataFrame:
+    """Documents with the ``startpos`` of their text in ``ranges``, in partitions of ``2 ** bits`` positions sorted by id, kept.
+
+    It is what ``arranged`` makes of their join by id, but the documents are moved once: ranges tell the first id of each part
+    (one row per part, sent to both sides), and both sides are dealt out by part and joined where they then are.
+    """
+    spark = documents.sparkSession
+    firsts = ranges.where(F.col("text_id").isNotNull()).groupBy(F.shiftright("startpos", bits)).agg(F.min("text_id").alias("id"))
+    # a text without tokens may share its start with the next part's first one
+    bounds = sorted({row.id for row in firsts.collect()})[1:]
+    part = lambda c: _number_up_to(F.col(c), bounds, ranges.schema["text_id"].dataType).alias("_part")
+    # parts are dealt out by hash: twice the tasks, so that few get several
+    tasks = max(spark.sparkContext.defaultParallelism, 2 * (len(bounds) + 1))
+    texts = documents.where(F.col(text_id).isNotNull()).select("*", part(text_id)).repartition(tasks, "_part")
+    starts = ranges.where(F.col("text_id").isNotNull()).select(F.col("text_id").alias(text_id), "startpos", part("text_id")).repartition(tasks, "_part")
+    placed = texts.join(starts, ["_part", text_id]).sortWithinPartitions("_part", text_id).drop("_part")
+    # rows of one part lie together, so Spark need not deal them out again by all keys of the join, or to more tasks
+    with settings(spark, PLACED | {"spark.sql.shuffle.partitions": str(tasks)}):
+        return cut(placed)
+
+
+def _number_up_to(value: Column, bounds: list, kind: DataType) -> Column:
+    """How many of the sorted ``bounds`` are not above ``value``: looked up in steps of 64 and then in one step."""
+    if not bounds:
+        return F.lit(0)
+    listed = lambda values: F.array(*map(F.lit, values)).cast(ArrayType(kind))
+    up_to = lambda array: F.size(F.filter(array, lambda b: b <= value))
+    steps = up_to(listed(bounds[63::64])) * 64 if len(bounds) > 63 else F.lit(0)
+    return steps + up_to(F.slice(listed(bounds), steps + 1, 64))
+
+
 def with_neighbours(tokens: DataFrame) -> DataFrame:
     """Any token table with the words ``before`` and ``after`` in the text, NULL at its ends.
 
@@ -218,11 +329,15 @@ def save_tokens(
     if not in_order:
         keys = [F.col(c) for c in (*partition_by, "text_id")]
         tokens = tokens.repartitionByRange(*keys, block("tok_no")).sortWithinPartitions(*keys, "tok_no")
-    spark = tokens.sparkSession
-    before = spark.conf.get(WRITERS_KEY)
-    try:
-        # tokens in order fill one partition after the other, so a task keeps a few files open instead of sorting its tokens
-        spark.conf.set(WRITERS_KEY, str(WRITERS) if in_order else before)
-        tokens.write.partitionBy(*partition_by).option("compression", CODEC).parquet(path)
-    finally:
-        spark.conf.set(WRITERS_KEY, before)
+    _save(tokens, path, partition_by, in_order)
+
+
+def save_runs(runs: DataFrame, path: str) -> None:
+    """Store ``token_runs`` of arranged documents, partitioned by corpus position."""
+    _save(runs, path, (BUCKET,), True)
+
+
+def _save(rows: DataFrame, path: str, partition_by: tuple[str, ...], in_order: bool) -> None:
+    # rows in order fill one partition after the other, so a task keeps a few files open instead of sorting its rows
+    with settings(rows.sparkSession, {WRITERS_KEY: str(WRITERS)} if in_order else {}):
+        rows.write.partitionBy(*partition_by).option("compression", CODEC).parquet(path)
