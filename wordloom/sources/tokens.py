@@ -188,7 +188,7 @@ def placed_in_order(documents: DataFrame, ranges: DataFrame, text_id: str, bits:
     """
     spark = documents.sparkSession
     firsts = ranges.where(F.col("text_id").isNotNull()).groupBy(F.shiftright("startpos", bits)).agg(F.min("text_id").alias("id"))
-    # a text without tokens may share its start with the next part's first one
+    # texts of one id may lie in two parts; they stay together
     bounds = sorted({row.id for row in firsts.collect()})[1:]
     part = lambda c: _number_up_to(F.col(c), bounds, ranges.schema["text_id"].dataType).alias("_part")
     # parts are dealt out by hash: twice the tasks, so that few get several
